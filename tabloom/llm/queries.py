@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .chat import op5_chat_prefixes
+from .jaccard import op10_jaccard_join
 from .packing import op4_packing
 from .pii import op7_pii
 from .quality import op9_quality_rules
 from .sstable import op3_token_shards
 
-QUERIES = {f.__name__: f for f in (op3_token_shards, op4_packing, op5_chat_prefixes, op7_pii, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_token_shards, op4_packing, op5_chat_prefixes, op7_pii, op9_quality_rules, op10_jaccard_join)}
 ORACLE: dict[str, str] = {}
