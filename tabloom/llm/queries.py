@@ -7,7 +7,9 @@ from .jaccard import op10_jaccard_join
 from .packing import op4_packing
 from .pii import op7_pii
 from .quality import op9_quality_rules
+from .repeats import op8_repeated_strings
 from .sstable import op3_token_shards
+from .vectors import op2_embedding_pivots
 
-QUERIES = {f.__name__: f for f in (op3_token_shards, op4_packing, op5_chat_prefixes, op7_pii, op9_quality_rules, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_embedding_pivots, op3_token_shards, op4_packing, op5_chat_prefixes, op7_pii, op8_repeated_strings, op9_quality_rules, op10_jaccard_join)}
 ORACLE: dict[str, str] = {}
