@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .chat import op5_chat_prefixes
 from .jaccard import op10_jaccard_join
+from .lm import op6_maxent_scores
+from .mixing import op1_mixture_rates
 from .packing import op4_packing
 from .pii import op7_pii
 from .quality import op9_quality_rules
@@ -11,5 +13,5 @@ from .repeats import op8_repeated_strings
 from .sstable import op3_token_shards
 from .vectors import op2_embedding_pivots
 
-QUERIES = {f.__name__: f for f in (op2_embedding_pivots, op3_token_shards, op4_packing, op5_chat_prefixes, op7_pii, op8_repeated_strings, op9_quality_rules, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_mixture_rates, op2_embedding_pivots, op3_token_shards, op4_packing, op5_chat_prefixes, op6_maxent_scores, op7_pii, op8_repeated_strings, op9_quality_rules, op10_jaccard_join)}
 ORACLE: dict[str, str] = {}
