@@ -70,12 +70,12 @@ def _sums(weighed: DataFrame, rate: Column) -> tuple[float, list[float]]:
     return sum(sums), sums
 
 
-def fit_rates(weighed: DataFrame, targets: dict[str, float], total: float | None = None, steps: int = 40, tolerance: float = 1e-4) -> tuple[Column, list[dict]]:
+def fit_rates(weighed: DataFrame, targets: dict[str, float], total: float | None = None, steps: int = 30, tolerance: float = 5e-4) -> tuple[Column, list[dict]]:
     """The rate of each document as an expression over posterior, and the residuals of each step.
 
     Minimises 1/2 sum_k ((sum_d r_d n_d p_dk - T_k) / N)^2 over r >= 0, with T = targets x total and N all tokens. Tokens scale
     the gradient's metric (each token of a document counts alike), so a step changes a rate by -eta <p_d, g>. total: expected
-    tokens wanted; by default what the posterior gives to domains with a target, so that documents of those keep a rate near 1.
+    tokens wanted; by default as many as let the domain with the largest target keep its own, so that its rates stay near 1.
     """
     names = DOMAINS
     all_tokens, now = _sums(weighed, F.lit(1.0))
@@ -84,7 +84,8 @@ def fit_rates(weighed: DataFrame, targets: dict[str, float], total: float | None
     share = [targets.get(k, 0.0) for k in names]
     norm = sum(share) or 1.0
     wanted = [s / norm for s in share]
-    size = total if total is not None else sum(now)
+    lead = max(range(len(names)), key=lambda k: wanted[k])
+    size = total if total is not None else now[lead] / wanted[lead]
     goal = [w * size / all_tokens for w in wanted]
     # The Gram of the posteriors under tokens bounds the curvature: its trace gives a safe step.
     trace = weighed.agg(F.sum(F.col("n_tokens") * F.aggregate("posterior", F.lit(0.0), lambda a, x: a + x * x))).first()[0] / all_tokens

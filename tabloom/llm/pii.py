@@ -101,7 +101,8 @@ def candidates(text: Column) -> Column:
 
 def vote_counts(spans: DataFrame, column: str = "spans") -> list[dict]:
     """How often each vote pattern occurs; at most 4 kinds x 2 x 2 x 3 x 23 sizes, whatever the input."""
-    x = spans.where(F.size(column) > 0).select(F.explode(column).alias("x"))
+    # Filters on the column itself would be pushed below it and compute it twice.
+    x = spans.select(F.explode_outer(column).alias("x")).where("x is not null")
     rows = x.groupBy("x.kind", "x.rule", "x.gaz", "x.ctx", F.least("x.size", F.lit(22)).alias("size")).count().collect()
     return [r.asDict() for r in rows]
 
