@@ -48,7 +48,7 @@ def shingles(text: str | None, size: int):
         return np.array([xxhash.xxh3_64_intdigest(b"\x00".join(words), len(words))], np.uint64)
     if len(_WORDS) > 500_000:
         _WORDS.clear()
-    for w in {*words} - _WORDS.keys():
+    for w in [w for w in {*words} if w not in _WORDS]:
         _WORDS[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     n, out = len(words) - size + 1, np.zeros(len(words) - size + 1, np.uint64)

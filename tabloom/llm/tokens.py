@@ -14,37 +14,75 @@ _LOADED: dict[str, Encoder] = {}
 class Encoder:
     """Ids of a text as packed little-endian unsigned 32-bit integers.
 
-    Both tokenizer files cut a text before every run of white space that follows another character, and
-    never merge across such a cut, so a text is the sequence of its words' ids. Words repeat: each is
-    encoded once per worker and remembered, up to ``limit`` words at a time.
+    The tokenizer files cut a text before every run of white space that follows another character, and never merge
+    across such a cut, so a text is the sequence of its words' ids. Words repeat: each is encoded once per worker and
+    remembered, up to ``limit`` words at a time. A mark of ``MARKS`` after an ASCII letter at the end of a word is always cut off.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    MARKS = ".,!?"
+
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: Lower-casing files drop white space too: then words need neither case nor the blank before them.
+        self.folds = "Lowercase" in repr(self.tokenizer.normalizer)
         self.words = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        self.blanks = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
+        #: In texts with none of these, every blank stands by itself before a word.
+        self.odd = ["  ", "\t ", "\n ", "\x0b ", "\x0c ", "\r ", "\x1c", "\x1d", "\x1e", "\x1f", *[c for c in self.blanks if c > "~"]]
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.limit = limit
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+    def _split(self, word: str) -> list[str]:
+        """A word, as cut out of a text, as the parts that are encoded by themselves."""
+        out = []
+        for w in self.words(word):
+            if self.folds:
+                w = w.strip(self.blanks)
+                w = w.lower() if w.isascii() else w
+            if len(w) > 1 and w[-1] in self.MARKS and w[-2].isascii() and w[-2].isalpha():
+                out += [w[:-1], w[-1]]
+            elif w:
+                out.append(w)
+        return out
+
+    def _learn(self, words: list[str]) -> None:
         import numpy as np
 
-        out = []
+        split = [self._split(w) for w in words]
+        new = list({p for parts in split for p in parts if p not in self.parts})
+        if len(self.parts) + len(new) > self.limit:
+            self.parts.clear()
+            new = list({p for parts in split for p in parts})
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.parts[p] = np.array(e.ids, "<u4").tobytes()
+        for w, parts in zip(words, split, strict=True):
+            self.known[w] = b"".join([self.parts[p] for p in parts])
+
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        split = []
         for text in texts:
-            words = self.words(text or "")
-            new = list({*words} - self.known.keys())
-            if len(self.known) + len(new) > self.limit:
-                self.known.clear()
-                new = list({*words})
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.known[word] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(self.known.__getitem__, words)))
-        return out
+            text = text or ""
+            if any(c in text for c in (self.odd[:10] if text.isascii() else self.odd)):
+                split.append(self.words(text))
+            elif self.folds:
+                split.append(text.split())
+            else:
+                first, *rest = text.split(" ")
+                split.append([first, *[f" {w}" for w in rest]] if first else self.words(text))
+        new = list({w for words in split for w in words if w not in self.known})
+        if len(self.known) + len(new) > 2 * self.limit:
+            self.known.clear()
+            new = list({w for words in split for w in words})
+        if new:
+            self._learn(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 def encoder(path: str) -> Encoder:
