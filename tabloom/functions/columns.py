@@ -24,6 +24,13 @@ def clean_features(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[(finite(F.col(c)) if is_numeric(kinds[c]) else F.col(c).cast("string")).alias(c) for c in columns])
 
 
+def correlation_of(a: str, b: str) -> Column:
+    """Pearson's r over rows where both are known; null for a constant (the built-in divides by zero there)."""
+    known = F.col(a).isNotNull() & F.col(b).isNotNull()
+    spread = F.stddev_pop(F.when(known, F.col(a))) * F.stddev_pop(F.when(known, F.col(b)))
+    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
+
+
 def select_by_kind(df: DataFrame, numeric: bool | None = None, pattern: str | None = None) -> list[str]:
     import re
 

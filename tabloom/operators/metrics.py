@@ -15,14 +15,14 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = Non
     e = Y - P
     positive, nonneg = (F.count_if(~((Y > 0) & (P > 0))) == 0), (F.count_if((Y < 0) | (P < 0)) == 0)
     n = F.count(e)
-    poisson = 2 * (F.when(Y > 0, Y * F.ln(Y / P)).otherwise(0.0) - Y + P)
-    gamma = 2 * (F.ln(P / Y) + Y / P - 1)
+    poisson = 2 * (F.when(Y > 0, Y * F.ln(F.try_divide(Y, P))).otherwise(0.0) - Y + P)
+    gamma = 2 * (F.ln(F.try_divide(P, Y)) + F.try_divide(Y, P) - 1)
     t = power
     tweedie = 2 * (F.pow(F.greatest(Y, F.lit(0.0)), F.lit(2 - t)) / ((1 - t) * (2 - t)) - Y * F.pow(P, F.lit(1 - t)) / (1 - t) + F.pow(P, F.lit(2 - t)) / (2 - t))
     spread = F.var_pop(Y)
     return df.where(Y.isNotNull() & P.isNotNull()).groupBy(*by).agg(
         n.alias("n"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), F.lit(0.5)).alias("medae"),
-        F.when((n > 1) & (spread > 0), 1 - F.avg(e * e) / spread).alias("r2"), F.when((n > 1) & (spread > 0), 1 - F.var_pop(e) / spread).alias("explained_variance"), F.max(F.abs(e)).alias("max_error"),
+        F.when((n > 1) & (spread > 0), 1 - F.avg(e * e) / F.nullif(spread, F.lit(0.0))).alias("r2"), F.when((n > 1) & (spread > 0), 1 - F.var_pop(e) / F.nullif(spread, F.lit(0.0))).alias("explained_variance"), F.max(F.abs(e)).alias("max_error"),
         F.when(F.count_if(Y == 0) == 0, F.avg(F.abs(e / F.nullif(Y, F.lit(0.0))))).alias("mape"), (200 * F.avg(F.coalesce(F.abs(e) / F.nullif(F.abs(Y) + F.abs(P), F.lit(0.0)), F.lit(0.0)))).alias("smape"),
         F.when(nonneg, F.avg(F.pow(F.log1p(Y) - F.log1p(P), F.lit(2.0)))).alias("msle"), F.when(nonneg, F.sqrt(F.avg(F.pow(F.log1p(Y) - F.log1p(P), F.lit(2.0))))).alias("rmsle"),
         F.avg(F.greatest(quantile * e, (quantile - 1) * e)).alias("pinball"), F.when((F.count_if((Y < 0) | (P <= 0)) == 0), F.avg(poisson)).alias("poisson_deviance"), F.when(positive, F.avg(gamma)).alias("gamma_deviance"), F.when((F.count_if((Y < 0) | (P <= 0)) == 0), F.avg(tweedie)).alias("tweedie_deviance"),
@@ -105,14 +105,14 @@ def cluster_agreement(df: DataFrame, reference: str, label: str) -> DataFrame:
     """Adjusted Rand, homogeneity, completeness, v-measure, Fowlkes-Mallows from the contingency table."""
     c = df.groupBy(F.col(reference).alias("a"), F.col(label).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     two = lambda x: x * (x - 1) / 2
-    ent = lambda t: -F.sum(F.col("n") / F.col("N") * F.ln(F.col("n") / F.col("N")))
-    total = c.agg(F.sum("n").alias("N"))
+    ent = lambda t: -F.sum(F.col("n") / F.col("rows") * F.ln(F.col("n") / F.col("rows")))
+    total = c.agg(F.sum("n").alias("rows"))
     a, b = (c.groupBy(k).agg(F.sum("n").alias("n")).crossJoin(F.broadcast(total)).agg(F.sum(two(F.col("n"))).alias(f"p{k}"), ent(k).alias(f"h{k}")) for k in ("a", "b"))
-    j = c.crossJoin(F.broadcast(total)).agg(F.sum(two(F.col("n"))).alias("pj"), ent("j").alias("hj"), F.max("N").alias("N"))
+    j = c.crossJoin(F.broadcast(total)).agg(F.sum(two(F.col("n"))).alias("pj"), ent("j").alias("hj"), F.max("rows").alias("rows"))
     x = j.crossJoin(a).crossJoin(b)
     mi = F.col("ha") + F.col("hb") - F.col("hj")
     h, k = F.when(F.col("ha") > 0, mi / F.col("ha")).otherwise(1.0), F.when(F.col("hb") > 0, mi / F.col("hb")).otherwise(1.0)
-    exp = F.col("pa") * F.col("pb") / two(F.col("N"))
+    exp = F.col("pa") * F.col("pb") / two(F.col("rows"))
     return x.select(((F.col("pj") - exp) / F.nullif((F.col("pa") + F.col("pb")) / 2 - exp, F.lit(0.0))).alias("adjusted_rand"), h.alias("homogeneity"), k.alias("completeness"), F.coalesce(2 * h * k / F.nullif(h + k, F.lit(0.0)), F.lit(0.0)).alias("v_measure"), (F.col("pj") / F.sqrt(F.col("pa") * F.col("pb"))).alias("fowlkes_mallows"))
 
 

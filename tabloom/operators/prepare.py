@@ -9,6 +9,8 @@ from itertools import combinations, combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import correlation_of
+
 
 @dataclass
 class Fitted:
@@ -120,13 +122,13 @@ def frequency(train: DataFrame, column: str, normalize: bool = True) -> Fitted:
 def target_encode(train: DataFrame, column: str, target: str, fold: str, smooth: float = 10.0) -> tuple[DataFrame, Fitted]:
     """(train with out-of-fold encodings, model for other rows): (n mean + smooth global) / (n + smooth)."""
     per = train.groupBy(fold, column).agg(F.sum(target).alias("_s"), F.count(target).alias("_c"))
-    all_ = per.groupBy(column).agg(F.sum("_s").alias("_S"), F.sum("_c").alias("_C"))
+    all_ = per.groupBy(column).agg(F.sum("_s").alias("_as"), F.sum("_c").alias("_ac"))
     by_fold = per.groupBy(fold).agg(F.sum("_s").alias("_fs"), F.sum("_c").alias("_fc"))
     total = per.agg(F.sum("_s").alias("_ts"), F.sum("_c").alias("_tc"))
     name = f"{column}__target"
     enc = lambda s, c, g: (s + smooth * g) / (c + smooth)
-    table = per.join(all_, column).join(F.broadcast(by_fold), fold).crossJoin(F.broadcast(total)).select(fold, column, enc(F.col("_S") - F.col("_s"), F.col("_C") - F.col("_c"), (F.col("_ts") - F.col("_fs")) / (F.col("_tc") - F.col("_fc"))).alias(name))
-    whole = all_.crossJoin(F.broadcast(total)).select(column, enc(F.col("_S"), F.col("_C"), F.col("_ts") / F.col("_tc")).alias(name))
+    table = per.join(all_, column).join(F.broadcast(by_fold), fold).crossJoin(F.broadcast(total)).select(fold, column, enc(F.col("_as") - F.col("_s"), F.col("_ac") - F.col("_c"), (F.col("_ts") - F.col("_fs")) / (F.col("_tc") - F.col("_fc"))).alias(name))
+    whole = all_.crossJoin(F.broadcast(total)).select(column, enc(F.col("_as"), F.col("_ac"), F.col("_ts") / F.col("_tc")).alias(name))
 
     def apply(df: DataFrame) -> DataFrame:
         return df.join(whole, column, "left").crossJoin(F.broadcast(total.select((F.col("_ts") / F.col("_tc")).alias("_g")))).withColumn(name, F.coalesce(name, "_g")).drop("_g")
@@ -176,7 +178,7 @@ def variances(train: DataFrame, columns: list[str]) -> DataFrame:
 
 def f_regression(train: DataFrame, columns: list[str], target: str) -> DataFrame:
     def cell(c: str) -> Column:
-        r2 = F.least(F.corr(c, target) * F.corr(c, target), F.lit(1 - 1e-12))
+        r2 = F.least(F.pow(correlation_of(c, target), F.lit(2.0)), F.lit(1 - 1e-12))
         return F.struct(F.lit(c).alias("feature"), (r2 / (1 - r2) * (F.count(target) - 2)).alias("score"))
 
     return train.agg(F.array(*[cell(c) for c in columns]).alias("x")).select(F.inline("x"))
@@ -186,19 +188,19 @@ def anova(train: DataFrame, columns: list[str], label: str) -> DataFrame:
     """Between-class over within-class variance for each feature."""
     long = train.select(F.col(label).alias("c"), F.inline(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).cast("double").alias("v")) for x in columns])))
     per = long.groupBy("feature", "c").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    g = per.groupBy("feature").agg(F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("B"), F.count("c").alias("k"))
-    between = F.col("B") - F.col("S") * F.col("S") / F.col("N")
-    within = F.col("Q") - F.col("B")
-    return g.select("feature", (between / (F.col("k") - 1) / (within / (F.col("N") - F.col("k")))).alias("score"))
+    g = per.groupBy("feature").agg(F.sum("n").alias("rows"), F.sum("s").alias("total"), F.sum("q").alias("squares"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("within_sq"), F.count("c").alias("k"))
+    between = F.col("within_sq") - F.col("total") * F.col("total") / F.col("rows")
+    within = F.col("squares") - F.col("within_sq")
+    return g.select("feature", (between / (F.col("k") - 1) / (within / (F.col("rows") - F.col("k")))).alias("score"))
 
 
 def chi2(train: DataFrame, columns: list[str], label: str) -> DataFrame:
     """Of nonnegative sums per class against those expected from class shares."""
-    n = train.agg(F.count(F.lit(1)).alias("N"))
+    n = train.agg(F.count(F.lit(1)).alias("rows"))
     long = train.select(F.col(label).alias("c"), F.inline(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).cast("double").alias("v")) for x in columns])))
     per = long.groupBy("feature", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("o"))
     tot = per.groupBy("feature").agg(F.sum("o").alias("all"))
-    e = F.col("all") * F.col("n") / F.col("N")
+    e = F.col("all") * F.col("n") / F.col("rows")
     return per.join(tot, "feature").crossJoin(F.broadcast(n)).groupBy("feature").agg(F.sum(F.pow(F.col("o") - e, F.lit(2.0)) / e).alias("score"))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_numeric, ranked, running_total, shuffle_key, value_bucket
+from ..functions.columns import correlation_of, is_numeric, ranked, running_total, shuffle_key, value_bucket
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -85,9 +85,8 @@ def correlation(df: DataFrame, columns: list[str], method: str = "pearson") -> D
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     known = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
     if method == "pearson":
-        cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r"), F.count_if(known(a, b)).alias("n")) for a, b in pairs]
-        out = df.agg(F.array(*cells).alias("x")).select(F.inline("x"))
-        return out.withColumn("r", F.when(F.isnan("r"), None).otherwise(F.col("r")))
+        cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation_of(a, b).alias("r"), F.count_if(known(a, b)).alias("n")) for a, b in pairs]
+        return df.agg(F.array(*cells).alias("x")).select(F.inline("x"))
     parts = []
     for a, b in pairs:
         both = df.where(known(a, b)).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).groupBy("a", "b").count()
