@@ -77,6 +77,12 @@ def e2_histogram(t):
     return E.histogram(t("lineitem"), "l_extendedprice", 30)
 
 
+@query(f"""WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) a, quantile_cont(l_extendedprice, 0.5) b, quantile_cont(l_extendedprice, 0.75) c FROM lineitem)
+SELECT {_r('a', 'q25')}, {_r('b', 'q50')}, {_r('c', 'q75')}, {_r('min(l_extendedprice) FILTER (l_extendedprice BETWEEN a-1.5*(c-a) AND c+1.5*(c-a))', 'low')}, {_r('max(l_extendedprice) FILTER (l_extendedprice BETWEEN a-1.5*(c-a) AND c+1.5*(c-a))', 'high')}, count(*) FILTER (l_extendedprice NOT BETWEEN a-1.5*(c-a) AND c+1.5*(c-a)) AS n_out FROM lineitem, q GROUP BY a, b, c""")
+def e3_box(t):
+    return E.box(t("lineitem").select("l_extendedprice"), "l_extendedprice")
+
+
 @query(f"""WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) a, quantile_cont(l_extendedprice, 0.5) b, quantile_cont(l_extendedprice, 0.75) c FROM lineitem GROUP BY 1)
 SELECT l_returnflag, {_r('a', 'q25')}, {_r('b', 'q50')}, {_r('c', 'q75')}, {_r('min(l_extendedprice) FILTER (l_extendedprice BETWEEN a-1.5*(c-a) AND c+1.5*(c-a))', 'low')}, {_r('max(l_extendedprice) FILTER (l_extendedprice BETWEEN a-1.5*(c-a) AND c+1.5*(c-a))', 'high')}, count(*) FILTER (l_extendedprice NOT BETWEEN a-1.5*(c-a) AND c+1.5*(c-a)) AS n_out FROM lineitem JOIN q USING (l_returnflag) GROUP BY l_returnflag, a, b, c""")
 def e16_group_box(t):
@@ -159,6 +165,11 @@ def e8_scatter(t):
     return E.scatter(t("lineitem").withColumn("key", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "key", ["l_quantity", "l_extendedprice"], 500, 3)
 
 
+@query("SELECT l_orderkey * 10 + l_linenumber AS key, l_quantity + 0.0 AS l_quantity, l_extendedprice + 0.0 AS l_extendedprice, l_tax + 0.0 AS l_tax FROM lineitem ORDER BY md5(concat_ws('|', '4', (l_orderkey * 10 + l_linenumber)::VARCHAR)), 1 LIMIT 500")
+def e9_scatter3d(t):
+    return E.scatter(t("lineitem").withColumn("key", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "key", ["l_quantity", "l_extendedprice", "l_tax"], 500, 4)
+
+
 @query("SELECT c_custkey, (bal IS NULL)::BIGINT AS bal FROM (SELECT * FROM " + CUST + " ORDER BY md5(concat_ws('|', '0', c_custkey::VARCHAR)), c_custkey LIMIT 200)")
 def e13_missing_matrix(t):
     return E.missing_matrix(customers(t), "c_custkey", ["bal"], 200)
