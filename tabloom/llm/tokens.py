@@ -30,15 +30,22 @@ class Encoder:
         #: Lower-casing files drop white space too: then words need neither case nor the blank before them.
         self.folds = "Lowercase" in repr(self.tokenizer.normalizer)
         self.words = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        self.plain = re.compile(f" ?[^{WHITE}]+").fullmatch
         self.blanks = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
         #: In texts with none of these, every blank stands by itself before a word.
         self.odd = ["  ", "\t ", "\n ", "\x0b ", "\x0c ", "\r ", "\x1c", "\x1d", "\x1e", "\x1f", *[c for c in self.blanks if c > "~"]]
+        #: The id of a line end, if the file gives it one of its own between words: then many words are encoded as lines of one text.
+        lines = self.tokenizer.encode(" ab.\ncd\n ef", add_special_tokens=False).ids
+        alone = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = alone[0] if len(alone) == 1 and lines.count(alone[0]) == 2 else None
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.limit = limit
 
     def _split(self, word: str) -> list[str]:
         """A word, as cut out of a text, as the parts that are encoded by themselves."""
+        if not self.folds and self.plain(word):
+            return [word[:-1], word[-1]] if word[-1] in self.MARKS and len(word) > 1 and word[-2].isascii() and word[-2].isalpha() else [word]
         out = []
         for w in self.words(word):
             if self.folds:
@@ -50,20 +57,31 @@ class Encoder:
                 out.append(w)
         return out
 
-    def _learn(self, words: list[str]) -> None:
+    def _encode_parts(self, parts: list[str]) -> Iterable[tuple[str, bytes]]:
         import numpy as np
 
-        split = [self._split(w) for w in words]
-        new = list({p for parts in split for p in parts if p not in self.parts})
-        if len(self.parts) + len(new) > self.limit:
+        lines = [p for p in parts if "\n" not in p] if self.line is not None else []
+        if lines:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.line)).tolist(), 4 * len(ids)]
+            if len(ends) == len(lines):
+                data, at = ids.tobytes(), 0
+                for p, end in zip(lines, ends, strict=True):
+                    yield p, data[at:end]
+                    at = end + 4
+                parts = [p for p in parts if "\n" in p]
+        for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            yield p, np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.parts) > self.limit:
             self.parts.clear()
-            new = list({p for parts in split for p in parts})
+        split = [(w, self._split(w)) for w in words]
+        new = list({p for _, parts in split for p in parts}.difference(self.parts))
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.parts[p] = np.array(e.ids, "<u4").tobytes()
-        for w, parts in zip(words, split, strict=True):
-            self.known[w] = b"".join([self.parts[p] for p in parts])
+            self.parts.update(self._encode_parts(new[at : at + 4096]))
+        for w, parts in split:
+            self.known[w] = self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[p] for p in parts])
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         split = []
@@ -76,10 +94,11 @@ class Encoder:
             else:
                 first, *rest = text.split(" ")
                 split.append([first, *[f" {w}" for w in rest]] if first else self.words(text))
-        new = list({w for words in split for w in words if w not in self.known})
+        seen = set().union(*split)
+        new = seen.difference(self.known)
         if len(self.known) + len(new) > 2 * self.limit:
             self.known.clear()
-            new = list({w for words in split for w in words})
+            new = seen
         if new:
             self._learn(new)
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
