@@ -126,3 +126,12 @@ def trial_curve(trials: DataFrame, trial: str, score: str, maximise: bool = Fals
     """Best score so far; as many rows as trials (bounded by the search budget)."""
     best: Column = (F.max if maximise else F.min)(score).over(Window.orderBy(trial).rowsBetween(Window.unboundedPreceding, 0))
     return trials.select(trial, score, best.alias("best"))
+
+
+def calinski_harabasz(df: DataFrame, features: list[str], cluster: str) -> DataFrame:
+    """Between-cluster over within-cluster dispersion; null for fewer than two clusters."""
+    per = df.groupBy(cluster).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], sum((F.var_pop(f) for f in features), F.lit(0.0)).alias("v"))
+    k, n = F.count(F.lit(1)), F.sum("n")
+    between = sum((F.sum(F.col("n") * F.col(f"m{i}") * F.col(f"m{i}")) - F.pow(F.sum(F.col("n") * F.col(f"m{i}")), F.lit(2.0)) / n for i in range(len(features))), F.lit(0.0))
+    within = F.sum(F.col("n") * F.col("v"))
+    return per.agg(F.when((k > 1) & (within > 0), between / (k - 1) / (within / (n - k))).alias("calinski_harabasz"))

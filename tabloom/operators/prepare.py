@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import combinations, combinations_with_replacement
@@ -220,3 +221,46 @@ def random_under(train: DataFrame, label: str, key: str, seed: int = 0) -> DataF
 
     n = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("_low"))
     return shuffled_rank(train, seed, key, [label], "_rank").crossJoin(F.broadcast(n)).where("_rank <= _low").drop("_rank", "_low")
+
+
+def quantile_uniform(train: DataFrame, column: str, count: int = 32) -> Fitted:
+    """Piecewise-linear distribution function through count + 1 quantiles; a value shared by several quantiles gets their middle."""
+    q = train.agg(F.percentile(column, F.array(*[F.lit(i / count) for i in range(count + 1)]))).first()[0]
+    x = F.col(column)
+    total = F.lit(0.0)
+    for a, b in zip(q, q[1:], strict=False):
+        total = total + (F.least(F.greatest((x - a) / (b - a), F.lit(0.0)), F.lit(1.0)) if b > a else F.when(x > a, 1.0).when(x == a, 0.5).otherwise(0.0))
+    return Fitted(lambda df: df.withColumn(column, F.when(x <= q[0], 0.0).when(x >= q[-1], 1.0).when(x.isNotNull(), total / count)), {"quantiles": q})
+
+
+def _power(x: Column, p: float, how: str) -> Column:
+    if how == "box_cox":
+        return F.ln(x) if abs(p) < 1e-9 else (F.pow(x, F.lit(p)) - 1) / p
+    up = F.log1p(x) if abs(p) < 1e-9 else (F.pow(x + 1, F.lit(p)) - 1) / p
+    down = -F.log1p(-x) if abs(p - 2) < 1e-9 else -(F.pow(1 - x, F.lit(2 - p)) - 1) / (2 - p)
+    return F.when(x >= 0, up).otherwise(down)
+
+
+def power(train: DataFrame, column: str, how: str = "yeo_johnson") -> Fitted:
+    """Yeo-Johnson, or Box-Cox for positive values: the exponent of highest likelihood, twenty candidates a pass, four passes."""
+    x = F.col(column).cast("double")
+    log = F.ln(x) if how == "box_cox" else F.signum(x) * F.log1p(F.abs(x))
+    lo, hi = -5.0, 5.0
+    for _ in range(4):
+        grid = [lo + (hi - lo) * i / 20 for i in range(21)]
+        r = train.agg(F.count(column).alias("n"), F.sum(log).alias("log"), *[F.var_pop(_power(x, p, how)).alias(f"v{i}") for i, p in enumerate(grid)]).first()
+        best = max((i for i in range(21) if r[f"v{i}"]), key=lambda i: -r["n"] / 2 * math.log(r[f"v{i}"]) + (grid[i] - 1) * r["log"], default=None)
+        if best is None:
+            return Fitted(lambda df: df, {"exponent": None})
+        lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, 20)]
+    p = grid[best]
+    return Fitted(lambda df: df.withColumn(column, _power(x, p, how)), {"exponent": p})
+
+
+def mutual_information(df: DataFrame, feature: str, label: str) -> DataFrame:
+    """Of two discrete columns, in nats."""
+    joint = df.where(F.col(feature).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(feature).alias("a"), F.col(label).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    a, b = joint.groupBy("a").agg(F.sum("n").alias("na")), joint.groupBy("b").agg(F.sum("n").alias("nb"))
+    total = joint.agg(F.sum("n").alias("all"))
+    x = joint.join(a, "a").join(b, "b").crossJoin(F.broadcast(total))
+    return x.agg(F.sum(F.col("n") / F.col("all") * F.ln(F.col("n") * F.col("all") / (F.col("na") * F.col("nb")))).alias("mutual_information"))

@@ -191,3 +191,68 @@ def cross_validate(by_fold: dict, alphas: list[float], fit=ridge) -> list[dict]:
     parts = list(by_fold.values())
     total = Gram.combine(parts[0].features, [(p, 1) for p in parts])
     return [{"alpha": a, "fold": f, "mse": mean_squared_error(fit(total - g, a), g)} for a in alphas for f, g in by_fold.items()]
+
+
+def sqrt_lasso(g: Gram, alpha: float, rounds: int = 200) -> Linear:
+    """|e|_2 + alpha |w|_1: a lasso whose penalty follows the size of its own residual."""
+    size = float(np.sqrt(g.yy))
+    for _ in range(rounds):
+        m = lasso(g, alpha * size / g.n)
+        new = float(np.sqrt(max(mean_squared_error(m, g), 0.0) * g.n))
+        if abs(new - size) <= 1e-10 * max(size, 1e-300):
+            break
+        size = new
+    return m
+
+
+def mcp(g: Gram, alpha: float, gamma: float = 3.0, rounds: int = 10_000) -> Linear:
+    """(1/2n) |e|^2 + the minimax concave penalty, by coordinate descent; needs gamma above 1 / variance of each feature."""
+    xx, xy = g.xx / g.n, g.xy / g.n
+    if np.any(np.diag(xx) * gamma <= 1):
+        raise ValueError("gamma must exceed 1 / variance: scale the features")
+    w = np.zeros(len(xy))
+    for _ in range(rounds):
+        before = w.copy()
+        for j in range(len(w)):
+            c, rho = xx[j, j], xy[j] - xx[j] @ w + xx[j, j] * w[j]
+            w[j] = rho / c if abs(rho) > gamma * alpha * c else np.sign(rho) * max(abs(rho) - alpha, 0.0) / (c - 1 / gamma)
+        if np.abs(w - before).max() < 1e-12 * max(1.0, np.abs(w).max()):
+            break
+    return _model(g, w)
+
+
+def bayesian_ridge(g: Gram, rounds: int = 300, prior: float = 1e-6) -> Linear:
+    """Evidence maximisation of the noise and weight precisions."""
+    values, vectors = np.linalg.eigh(g.xx)
+    values, projected = np.maximum(values, 0.0), vectors.T @ g.xy
+    noise, weight, w = g.n / max(g.yy, 1e-300), 1.0, np.zeros(len(g.xy))
+    for _ in range(rounds):
+        old, w = w, vectors @ (projected / (values + weight / noise))
+        rss = max(g.yy - 2 * w @ g.xy + w @ g.xx @ w, 0.0)
+        used = float((noise * values / (weight + noise * values)).sum())
+        weight, noise = (used + 2 * prior) / (w @ w + 2 * prior), (g.n - used + 2 * prior) / (rss + 2 * prior)
+        if np.abs(w - old).sum() < 1e-10 * max(1.0, np.abs(w).sum()):
+            break
+    return _model(g, w)
+
+
+def learning_curve(by_bucket: dict, validation: Gram, alpha: float, fit=ridge) -> list[dict]:
+    """Nested training sizes: the Gram of size i is the sum of buckets 0..i, from one grouped pass."""
+    out, total = [], None
+    for b in sorted(by_bucket):
+        total = by_bucket[b] if total is None else total + by_bucket[b]
+        m = fit(total, alpha)
+        out.append({"n": int(total.n), "train_mse": mean_squared_error(m, total), "validation_mse": mean_squared_error(m, validation)})
+    return out
+
+
+def loss_surface(g: Gram, model: Linear, a: int, b: int, alpha: float = 0.0, steps: int = 25, spread: float = 1.0) -> list[dict]:
+    """Ridge objective around two coefficients, the intercept following them, from the moments alone."""
+    out = []
+    for i in np.linspace(-spread, spread, steps):
+        for j in np.linspace(-spread, spread, steps):
+            w = model.coefficients.copy()
+            w[a] += i * max(abs(w[a]), 1.0)
+            w[b] += j * max(abs(w[b]), 1.0)
+            out.append({"a": float(w[a]), "b": float(w[b]), "loss": float(g.yy - 2 * w @ g.xy + w @ g.xx @ w + alpha * w @ w)})
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .operators import metrics as M
+from .operators import models as K
 from .operators import prepare as P
 from .operators import profile as E
 from .operators import splits as V
@@ -516,6 +517,110 @@ def x1_lasso_path(t):
     return df.sparkSession.createDataFrame(rows, "alpha double, feature string, coefficient double")
 
 
+
+# --- classifiers ------------------------------------------------------------------------------------------------------
+
+_X = "(SELECT l_returnflag, l_quantity AS a, l_extendedprice / 1000 AS b, l_discount * 100 AS c, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS i FROM lineitem)"
+
+
+def classified(t) -> DataFrame:
+    return t("lineitem").select("l_returnflag", F.col("l_quantity").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"), (F.col("l_discount") * 100).alias("c"))
+
+
+def _guesses(df: DataFrame) -> DataFrame:
+    return df.groupBy("l_returnflag", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH x AS {_X}, m AS (SELECT l_returnflag AS k, avg(a) a, avg(b) b, avg(c) c FROM x GROUP BY 1), p AS (SELECT x.i, x.l_returnflag, arg_min(k, (x.a - m.a) ** 2 + (x.b - m.b) ** 2 + (x.c - m.c) ** 2) AS prediction FROM x, m GROUP BY 1, 2)
+SELECT l_returnflag, prediction, count(*) AS n FROM p GROUP BY 1, 2""")
+def a11_nearest_centroid(t):
+    x = classified(t)
+    return _guesses(K.nearest_centroid(x, ["a", "b", "c"], "l_returnflag").transform(x))
+
+
+@query(f"""WITH x AS {_X}, e AS (SELECT 1e-9 * greatest(var_pop(a), var_pop(b), var_pop(c)) AS e FROM x), m AS (SELECT l_returnflag AS k, count(*) n, avg(a) a, avg(b) b, avg(c) c, var_pop(a) + any_value(e) va, var_pop(b) + any_value(e) vb, var_pop(c) + any_value(e) vc FROM x, e GROUP BY 1),
+p AS (SELECT x.i, x.l_returnflag, arg_max(k, ln(n) - 0.5 * (ln(va) + ln(vb) + ln(vc) + (x.a - m.a) ** 2 / va + (x.b - m.b) ** 2 / vb + (x.c - m.c) ** 2 / vc)) AS prediction FROM x, m GROUP BY 1, 2) SELECT l_returnflag, prediction, count(*) AS n FROM p GROUP BY 1, 2""")
+def a12_gaussian_nb(t):
+    x = classified(t)
+    return _guesses(K.gaussian_nb(x, ["a", "b", "c"], "l_returnflag").transform(x))
+
+
+@query(f"SELECT l_linestatus, {_r('any_value(m)', 'mean')}, {_r('any_value(q)', 'median')}, count(*) AS n FROM lineitem, (SELECT avg(l_tax) m, quantile_cont(l_tax, 0.5) q FROM lineitem) GROUP BY 1")
+def a10_dummy_regressor(t):
+    x = t("lineitem").select("l_linestatus", "l_tax")
+    out = K.dummy_regressor(x, "l_tax").transform(x).withColumnRenamed("prediction", "mean")
+    out = K.dummy_regressor(x, "l_tax", "median").transform(out).withColumnRenamed("prediction", "median")
+    return out.groupBy("l_linestatus").agg(F.first("mean").alias("mean"), F.first("median").alias("median"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_linestatus, p AS prediction, count(*) AS n FROM lineitem, (SELECT l_returnflag AS p FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) GROUP BY 1, 2")
+def a10_dummy_classifier(t):
+    x = t("lineitem").select("l_linestatus", "l_returnflag")
+    return K.dummy_classifier(x, "l_returnflag").transform(x).groupBy("l_linestatus", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def l23_ridge_classifier(t):
+    x = classified(t)
+    return _guesses(K.ridge_classifier(x, ["a", "b", "c"], "l_returnflag").transform(x))
+
+
+@query()
+def l24_linear_discriminant(t):
+    x = classified(t)
+    return _guesses(K.linear_discriminant(x, ["a", "b", "c"], "l_returnflag").transform(x))
+
+
+@query()
+def a2_random_forest(t):
+    x = t("lineitem").select("l_linestatus", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    m = K.tree_ensemble(x, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "random_forest_regressor", numTrees=10, maxDepth=5, seed=1)
+    return M.regression_metrics(m.transform(x), "l_extendedprice", "prediction", ["l_linestatus"])
+
+
+@query(f"""WITH c AS (SELECT l_returnflag k, l_linestatus b, count(*)::DOUBLE n FROM lineitem GROUP BY 1, 2), a AS (SELECT k, sum(n) na FROM c GROUP BY 1), d AS (SELECT b, sum(n) nb FROM c GROUP BY 1), t AS (SELECT sum(n) nn FROM c)
+SELECT {_r('sum(n / nn * ln(n * nn / (na * nb)))', 'mutual_information')} FROM c JOIN a USING (k) JOIN d USING (b), t""")
+def f19b_mutual_information(t):
+    return P.mutual_information(t("lineitem"), "l_returnflag", "l_linestatus")
+
+
+_SEG = " + ".join(f"CASE WHEN q[{i + 2}] > q[{i + 1}] THEN least(greatest((c_acctbal - q[{i + 1}]) / nullif(q[{i + 2}] - q[{i + 1}], 0), 0), 1) WHEN c_acctbal > q[{i + 1}] THEN 1 WHEN c_acctbal = q[{i + 1}] THEN 0.5 ELSE 0 END" for i in range(8))
+
+
+@query(f"SELECT c_custkey, {_r(f'CASE WHEN c_acctbal <= q[1] THEN 0 WHEN c_acctbal >= q[9] THEN 1 ELSE ({_SEG}) / 8.0 END', 'c_acctbal')} FROM customer, (SELECT quantile_cont(c_acctbal, {[i / 8 for i in range(9)]}) q FROM customer)")
+def f5c_quantile_uniform(t):
+    c = t("customer").select("c_custkey", "c_acctbal")
+    return P.quantile_uniform(c, "c_acctbal", 8).transform(c)
+
+
+@query()
+def f5b_yeo_johnson(t):
+    c = t("customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("c_acctbal"))
+    return P.power(c, "c_acctbal").transform(c)
+
+
+@query(f"""WITH x AS {_X}, m AS (SELECT l_returnflag, count(*) n, avg(a) a, avg(b) b, var_pop(a) + var_pop(b) v FROM x GROUP BY 1), g AS (SELECT avg(a) ga, avg(b) gb FROM x)
+SELECT {_r('(sum(n * ((a - ga) ** 2 + (b - gb) ** 2)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*)))', 'calinski_harabasz', 4)} FROM m, g""", places=4)
+def m18_calinski_harabasz(t):
+    return M.calinski_harabasz(classified(t), ["a", "b"], "l_returnflag")
+
+
+@query()
+def x2_learning_curve(t):
+    """Five nested sizes and a validation part from one grouped pass."""
+    df = t("lineitem").withColumn("bucket", (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("0"), "l_orderkey")), 1, 6), 16, 10).cast("long") % 6).cast("int"))
+    by = G.grams(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "bucket")
+    validation = by.pop(5)
+    return df.sparkSession.createDataFrame(G.learning_curve(by, validation, 1.0))
+
+
+@query()
+def x6_loss_surface(t):
+    df = t("lineitem")
+    g = G.grams(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")[None]
+    return df.sparkSession.createDataFrame(G.loss_surface(g, G.ridge(g, 1.0), 0, 1, 1.0))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge on lineitem: split by md5, scale and encode from the training part, fit from its Gram, measure by split."""
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("key", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
