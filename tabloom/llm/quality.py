@@ -113,9 +113,11 @@ def calibrate(feats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
 
 
 def verdict(cutoffs: dict[str, dict[str, float]], stratum: str = "lang", prefix: str = "") -> Column:
-    """True where no certified rule of the document's stratum rejects it; strata without labels keep everything."""
+    """True where no certified rule of the document's stratum rejects it: its own stratum if that has a name in cutoffs, else ''."""
     s = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    hit = [(s == name) & reduce(lambda a, b: a | b, [F.col(prefix + r) >= c for r, c in rules.items()]) for name, rules in cutoffs.items() if rules]
+    names = [name for name in cutoffs if name]
+    within = lambda name: s == name if name else ~s.isin(*names) if names else F.lit(True)
+    hit = [within(name) & reduce(lambda a, b: a | b, [F.col(prefix + r) >= c for r, c in rules.items()]) for name, rules in cutoffs.items() if rules]
     return ~reduce(lambda a, b: a | b, hit) if hit else F.lit(True)
 
 

@@ -58,6 +58,23 @@ def test_binomial_bound_is_exact():
     assert quality.upper_bound(5, 5, 0.1) == 1.0
 
 
+def rule_values(spark, good, spam=()):
+    """(features, labels): good gives the documents of each language, spam the languages of labelled symbol spam."""
+    rows = [(lang, 1, 0.0) for lang, n in good.items() for _ in range(n)] + [(lang, 0, 0.31) for lang in spam]
+    rows = [(i, lang, q, x) for i, (lang, q, x) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, quality int, symbol_share double")
+    feats = df.select("doc_id", "lang", "symbol_share", *[F.lit(0.0).alias(r) for r in quality.RULES if r != "symbol_share"], F.lit(False).alias("base_failed"))
+    return feats, df.select("doc_id", "quality")
+
+
+def test_pooled_strata_get_the_pooled_cutoffs(spark):
+    feats, labels = rule_values(spark, {f"l{i:02}": 4000 if i < 32 else 600 for i in range(40)})
+    cutoffs = quality.calibrate(feats, labels)
+    assert cutoffs[""]["symbol_share"] <= 0.3 and "l39" not in cutoffs
+    spam = spark.createDataFrame([("l00",), ("l39",), ("new",), ("",), (None,)], "lang string").select("lang", F.lit(0.31).alias("symbol_share"), *[F.lit(0.0).alias(r) for r in quality.RULES if r != "symbol_share"])
+    assert spam.where(quality.verdict(cutoffs)).count() == 0
+
+
 def base_spans(t):
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
