@@ -1,14 +1,18 @@
 """Quality rules with risk-controlled thresholds (operator 9); DataFrame functions only.
 
 Base rules work on words ``[^\\x20\\x09-\\x0D]+``. On top of them, each rule of ``RULES`` has a ladder of
-cutoffs fixed in advance. Labelled documents form the holdout: within a stratum, cutoffs are tested from
-the mildest to the strictest, and the strictest whose exact (Clopper-Pearson) upper bound on the share of
-good documents it rejects stays within the budget is used. Strata and rules share the error probability
-(Bonferroni); the ladder is a fixed sequence and needs no further correction.
+cutoffs fixed in advance. Good labelled documents form the holdout. Within a stratum one sequence of sets of
+cutoffs is tested, rule after rule and each from its mildest cutoff to its strictest: a set is certified if the exact
+(Clopper-Pearson) upper bound on the share of good documents that all its cutoffs together reject is within alpha.
+Rules go in the order of how many labelled low documents their strictest cutoff rejects, which does not look at the
+holdout. A fixed sequence needs no correction until its first failure; what follows failures is tested at a share of
+the error probability divided by the number of ways to come there. Strata share it evenly; those with too few good
+labelled documents for a certificate of their own share a coarser one, that of all strata without a name.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from functools import reduce
 
@@ -25,6 +29,7 @@ RULES = {
     "bang_share": [0.9, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1],
 }
 MAX_STRATA = 32
+log = logging.getLogger(__name__)
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -84,32 +89,78 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def calibrate(feats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05, doc_id: str = "doc_id", quality: str = "quality") -> dict[str, dict[str, float]]:
-    """stratum -> rule -> certified cutoff. Strata beyond the MAX_STRATA with most labels, and null, form one: ''.
+#: Share of a stratum's error probability for the sequence up to its first failure; the rest is for what follows failures.
+MAIN = 0.9
+
+
+def _needed(alpha: float, delta: float) -> int:
+    """Good documents without which not even a set that rejects none of them is certified."""
+    return math.ceil(math.log(MAIN * delta) / math.log1p(-alpha))
+
+
+def _own_strata(sizes: list[tuple[str, int]], total: int, alpha: float, delta: float) -> list[str]:
+    """As many of the largest strata as leave each of them, and the rest together, enough good documents; sizes fall."""
+    for m in range(len(sizes), 0, -1):
+        rest = total - sum(n for _, n in sizes[:m])
+        if min([n for _, n in sizes[:m]] + [rest] * (rest > 0)) >= _needed(alpha, delta / (m + (rest > 0))):
+            return [s for s, _ in sizes[:m]]
+    return []
+
+
+def _certify(by: dict[tuple[int, ...], int], order: list[int], alpha: float, delta: float) -> tuple[dict[str, float], int, float | None]:
+    """(cutoffs, good documents they reject, its upper bound) of one stratum. by: documents for each tuple of steps, in the order of RULES."""
+    names, n = list(RULES), sum(by.values())
+    # A sequence after a failure starts at the cutoffs reached by the rules before: at most that many starts.
+    starts = sum(len(RULES[names[order[i]]]) * math.prod(len(RULES[names[r]]) + 1 for r in order[:i]) for i in range(len(order) - 1))
+    reached = [0] * len(names)
+    level, lost, bound = MAIN * delta, 0, None
+    for r in order:
+        for j in range(1, len(RULES[names[r]]) + 1):
+            to = [*reached[:r], j, *reached[r + 1 :]]
+            k = sum(v for steps, v in by.items() if any(0 < t <= x for t, x in zip(to, steps, strict=True)))
+            u = upper_bound(k, n, level)
+            if u > alpha:
+                level = (1 - MAIN) * delta / max(1, starts)
+                break
+            reached, lost, bound = to, k, u
+    return {names[r]: RULES[names[r]][reached[r] - 1] for r in order if reached[r]}, lost, bound
+
 
-    A document with several labels counts once, as good if any label says so. Rules that cannot be
-    certified (too few labelled documents, or too many good ones rejected) are left out. alpha is
-    divided evenly among the rules, so that all rules together reject at most alpha of the good.
+def certificates(feats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05, doc_id: str = "doc_id", quality: str = "quality") -> list[dict]:
+    """One report for each stratum: stratum, good (labelled documents that pass the base rules), delta, cutoffs (rule -> certified
+    cutoff), rejected (good documents that these reject), bound (of the share of good documents they reject; None without cutoffs).
+
+    With probability 1 - delta, the certified cutoffs of every stratum reject at most alpha of its good documents. The stratum ''
+    is coarser: it stands for all documents without a stratum of their own in the list, which are null, too small, or beyond the
+    MAX_STRATA largest, and its share of good documents is that over all of them together. A document with several labels counts
+    once, as good if any label says so. Rules that cannot be certified are left out.
     """
-    good = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(quality).alias("_q"))
-    held = feats.where(~F.col("base_failed")).join(good.where("_q = 1"), F.col(doc_id) == F.col("_id"))
-    steps = [F.struct(F.lit(r).alias("rule"), sum(((F.col(r) >= c).cast("int") for c in cuts), F.lit(0)).alias("step")) for r, cuts in RULES.items()]
-    counts = held.select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s"), F.explode(F.array(*steps)).alias("x")).groupBy("s", "x.rule", "x.step").count()
-    sizes = counts.where(F.col("rule") == next(iter(RULES))).groupBy("s").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "s").limit(MAX_STRATA).collect()
-    own = {r["s"] for r in sizes}
+    known = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(quality).alias("_q"))
+    held = feats.where(~F.col("base_failed")).join(known, F.col(doc_id) == F.col("_id"))
+    steps = [sum(((F.col(r) >= c).cast("int") for c in cuts), F.lit(0)).alias(r) for r, cuts in RULES.items()]
+    counts = materialize(held.select((F.col("_q") == 1).alias("good"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s"), *steps).groupBy("good", "s", *RULES).count(), "steps")
+    low = counts.where("not good").agg(*[F.sum(F.when(F.col(r) >= len(cuts), F.col("count"))).alias(r) for r, cuts in RULES.items()]).first()
+    order = sorted(range(len(RULES)), key=lambda i: -(low[i] or 0))
+    good = counts.where("good")
+    total = good.agg(F.sum("count")).first()[0] or 0
+    sizes = good.where("s <> ''").groupBy("s").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "s").limit(MAX_STRATA).collect()
+    own = _own_strata([(r["s"], r["n"]) for r in sizes], total, alpha, delta)
     named = F.when(F.col("s").isin(*own), F.col("s")).otherwise(F.lit("")) if own else F.lit("")
-    rejected: dict[tuple[str, str], dict[int, int]] = {}
-    for r in counts.groupBy(named.alias("s"), "rule", "step").agg(F.sum("count").alias("n")).collect():
-        rejected.setdefault((r["s"], r["rule"]), {})[r["step"]] = r["n"]
-    each = delta / max(1, len({s for s, _ in rejected}) * len(RULES))
-    chosen: dict[str, dict[str, float]] = {s: {} for s, _ in rejected}
-    for (s, rule), by in rejected.items():
-        n = sum(by.values())
-        for j, cut in enumerate(RULES[rule], 1):
-            if upper_bound(sum(v for k, v in by.items() if k >= j), n, each) > alpha / len(RULES):
-                break
-            chosen[s][rule] = cut
-    return chosen
+    # At most one row for each tuple of steps in each of MAX_STRATA + 1 strata.
+    by: dict[str, dict[tuple[int, ...], int]] = {}
+    for r in good.groupBy(named.alias("s"), *RULES).agg(F.sum("count").alias("n")).collect():
+        by.setdefault(r["s"], {})[tuple(r[x] for x in RULES)] = r["n"]
+    out = []
+    for s in sorted(by):
+        cutoffs, lost, bound = _certify(by[s], order, alpha, delta / len(by))
+        out.append({"stratum": s, "good": sum(by[s].values()), "delta": delta / len(by), "cutoffs": cutoffs, "rejected": lost, "bound": bound})
+        log.info("certified quality rules: %s", out[-1])
+    return out
+
+
+def calibrate(feats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05, doc_id: str = "doc_id", quality: str = "quality") -> dict[str, dict[str, float]]:
+    """stratum -> rule -> certified cutoff, as certificates() reports them."""
+    return {c["stratum"]: c["cutoffs"] for c in certificates(feats, labels, stratum, alpha, delta, doc_id, quality)}
 
 
 def verdict(cutoffs: dict[str, dict[str, float]], stratum: str = "lang", prefix: str = "") -> Column:

@@ -75,6 +75,35 @@ def test_pooled_strata_get_the_pooled_cutoffs(spark):
     assert spam.where(quality.verdict(cutoffs)).count() == 0
 
 
+def test_planted_symbol_spam_is_rejected(spark):
+    """As on sf0.1: too few good documents for a quarter of alpha for each rule, or for es alone."""
+    feats, labels = rule_values(spark, {"en": 2027, "fr": 498, "de": 493, "es": 312}, ["en", "fr", "de", "es"] * 20)
+    report = quality.certificates(feats, labels)
+    assert all(c["cutoffs"]["symbol_share"] == 0.05 and c["rejected"] == 0 and c["bound"] <= 0.01 for c in report)
+    assert sum(c["good"] for c in report) == 3330 and sum(c["delta"] for c in report) == pytest.approx(0.05)
+    kept = feats.where(quality.verdict({c["stratum"]: c["cutoffs"] for c in report}))
+    assert kept.where("symbol_share > 0").count() == 0 and kept.count() == 3330
+
+
+def test_symbol_spam_of_the_tables_is_rejected(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    labelled = spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id", "quality"), "doc_id")
+    out = quality.features(labelled).drop("text").cache()
+    judged = out.where("not base_failed").withColumn("kept", quality.verdict(quality.calibrate(out, labels)))
+    share = lambda where: judged.where(where).agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    assert share("quality = 0 and symbol_share >= 0.15") == 0
+    assert share("quality = 1") >= 0.99
+
+
+def test_sequence_goes_on_after_a_failure():
+    by = {(0, 0, 0, 0): 98_000, (0, 1, 0, 0): 2_000}
+    cutoffs, rejected, bound = quality._certify(by, [1, 0, 2, 3], 0.01, 0.05)
+    assert "symbol_share" not in cutoffs and set(cutoffs) == {"upper_share", "repeat_share", "bang_share"}
+    assert rejected == 0 and bound <= 0.01
+    assert quality._certify({(0, 0, 0, 0): 200}, [1, 0, 2, 3], 0.01, 0.05) == ({}, 0, None)
+
+
 def base_spans(t):
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
