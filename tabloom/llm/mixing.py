@@ -2,12 +2,14 @@
 
 A classifier trained on a labelled table gives every document a posterior over domains. A document's rate (how often
 it is used, 0 or more) is fitted so that the expected tokens of each domain, the sum over documents of rate x tokens x
-posterior, meet the targets: least squares by projected gradient, where a step needs one sum per domain over all
-documents. Rates start at 1, so documents move away from plain use only as far as the targets ask.
+posterior, meet the targets: least squares by Newton steps in one multiplier per domain, scaled by the Gram of the posteriors
+of the documents in use, where a step needs one aggregate over all documents. Of all rates that do so, those nearest to 1 are
+taken, so documents move away from plain use only as far as the targets ask.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -64,72 +66,114 @@ def posteriors(docs: DataFrame, model: LogisticRegressionModel | None, text: str
     return model.transform(df).withColumn("posterior", full).drop("_features", "_p", "_r", "_y")
 
 
-def _sums(weighed: DataFrame, rate: Column) -> tuple[float, list[float]]:
-    row = weighed.agg(*[F.sum(rate * F.col("n_tokens") * F.get("posterior", F.lit(k))).alias(f"d{k}") for k in range(len(DOMAINS))]).first()
-    sums = [float(x or 0) for x in row]
-    return sum(sums), sums
-
-
-def fit_rates(weighed: DataFrame, targets: dict[str, float], total: float | None = None, steps: int = 30, tolerance: float = 5e-4) -> tuple[Column, list[dict]]:
-    """The rate of each document as an expression over posterior, and the residuals of each step.
-
-    Minimises 1/2 sum_k ((sum_d r_d n_d p_dk - T_k) / N)^2 over r >= 0, with T = targets x total and N all tokens. Tokens scale
-    the gradient's metric (each token of a document counts alike), so a step changes a rate by -eta <p_d, g>. total: expected
-    tokens wanted; by default as many as let the domain with the largest target keep its own, so that its rates stay near 1.
+def _rate(multipliers: list[float]) -> Column:
+    pull = reduce(lambda a, b: a + b, [F.get("posterior", F.lit(k)) * F.lit(float(x)) for k, x in enumerate(multipliers)])
+    return F.greatest(F.lit(0.0), F.lit(1.0) + pull)
+
+
+def _pass(weighed: DataFrame, multipliers: list[float], wanted: list[float]) -> tuple[list[float], list[list[float]], float, float]:
+    """Tokens of each domain under the rates, the Gram of the documents in use, half the squared rates, and the tokens of documents
+    that most likely belong to a wanted domain but get rate 0. All but the last are sums over tokens."""
+    n = len(DOMAINS)
+    p = [F.get("posterior", F.lit(k)) for k in range(n)]
+    of = weighed.select("n_tokens", *[x.alias(f"p{k}") for k, x in enumerate(p)], _rate(multipliers).alias("r"))
+    used, t = (F.col("r") > 0).cast("double"), F.col("n_tokens")
+    ours = [F.col(f"p{k}") for k in range(n) if wanted[k] > 0]
+    others = [F.col(f"p{k}") for k in range(n) if wanted[k] <= 0]
+    likely = F.greatest(*ours, F.lit(0.0)) >= F.greatest(*others, F.lit(0.0), F.lit(0.0))
+    row = of.agg(
+        *[F.sum(t * F.col("r") * F.col(f"p{k}")).alias(f"d{k}") for k in range(n)],
+        *[F.sum(t * used * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}{j}") for i in range(n) for j in range(i, n)],
+        F.sum(t * F.col("r") * F.col("r") / 2).alias("half"),
+        F.sum(F.when(likely & (used == 0), t)).alias("unused"),
+    ).first()
+    gram = [[float(row[f"g{min(i, j)}{max(i, j)}"] or 0) for j in range(n)] for i in range(n)]
+    return [float(row[f"d{k}"] or 0) for k in range(n)], gram, float(row["half"] or 0), float(row["unused"] or 0)
+
+
+def fit_rates(weighed: DataFrame, targets: dict[str, float], total: float | None = None, steps: int = 200, tolerance: float = 5e-4, unused: float = 0.1) -> tuple[Column, list[dict]]:
+    """The rate of each document as an expression over posterior, and the residuals of each stage; the last are those of the rate.
+
+    Minimises 1/2 sum_k ((sum_d r_d n_d p_dk - T_k) / N)^2 + m/2 sum_d n_d (r_d - 1)^2 / N over r >= 0, with T = targets x total and
+    N all tokens; there r_d = max(0, 1 + <p_d, l>) with one multiplier l_k per domain. m falls from stage to stage until every
+    residual is within tolerance. total: expected tokens wanted; by default as many as let the domain with the largest target keep
+    its own, so that its rates stay near 1.
+
+    A soft posterior leaves some of each domain in every document, so that the last of an unwanted domain is only gone with most
+    of the others: m stops falling before more than unused of all tokens, of documents most likely of a wanted domain, would get
+    rate 0. Then, or where a domain has too few tokens, residuals stay above the tolerance; callers warn of it.
     """
-    names = DOMAINS
-    all_tokens, now = _sums(weighed, F.lit(1.0))
-    if not all_tokens:
-        return F.lit(1.0), []
+    import numpy as np
+
+    names, n = DOMAINS, len(DOMAINS)
     share = [targets.get(k, 0.0) for k in names]
     norm = sum(share) or 1.0
     wanted = [s / norm for s in share]
-    lead = max(range(len(names)), key=lambda k: wanted[k])
-    size = total if total is not None else now[lead] / wanted[lead]
-    goal = [w * size / all_tokens for w in wanted]
-    # The Gram of the posteriors under tokens bounds the curvature: its trace gives a safe step.
-    trace = weighed.agg(F.sum(F.col("n_tokens") * F.aggregate("posterior", F.lit(0.0), lambda a, x: a + x * x))).first()[0] / all_tokens
-    eta = 1.0 / max(trace, 1e-9)
-    gradients: list[list[float]] = []
-    seen: list[dict] = []
-
-    def rate() -> Column:
-        if not gradients:
-            return F.lit(1.0)
-        g = F.array(*[F.struct(*[F.lit(float(x)).alias(f"g{k}") for k, x in enumerate(row)]) for row in gradients])
-        step = lambda r, x: F.greatest(F.lit(0.0), r - reduce(lambda a, b: a + b, [F.get("posterior", F.lit(k)) * x[f"g{k}"] for k in range(len(names))]))
-        return F.aggregate(g, F.lit(1.0), step)
-
-    for _ in range(steps):
-        if gradients:
-            _, now = _sums(weighed, rate())
-        residual = [x / all_tokens - t for x, t in zip(now, goal, strict=True)]
-        seen.append(dict(zip(names, residual, strict=True)))
-        if max(map(abs, residual)) < tolerance:
+    at = np.zeros(n)
+    now, gram, half, idle = _pass(weighed, list(at), wanted)
+    all_tokens = sum(now)
+    if not all_tokens:
+        return F.lit(1.0), []
+    lead = max(range(n), key=lambda k: wanted[k])
+    goal = np.array(wanted) * (total if total is not None else now[lead] / wanted[lead]) / all_tokens
+    residual = np.array(now) / all_tokens - goal
+    best, seen = at, [dict(zip(names, map(float, residual), strict=True))]
+    m, passes = 1e-2, 1
+    while np.abs(residual).max() >= tolerance and m > 1e-9 and passes < steps:
+        while passes < steps:
+            slope = residual + m * at
+            if np.abs(slope).max() < tolerance / 20:
+                break
+            step = -np.linalg.solve(np.array(gram) / all_tokens + m * np.eye(n), slope)
+            value, length = half / all_tokens - at @ goal + m / 2 * at @ at, 1.0
+            while passes < steps:
+                new = at + length * step
+                now, gram, half, idle = _pass(weighed, list(new), wanted)
+                passes += 1
+                if half / all_tokens - new @ goal + m / 2 * new @ new <= value + 1e-4 * length * (slope @ step) + 1e-12 or length < 1e-3:
+                    break
+                length /= 2
+            at, residual = new, np.array(now) / all_tokens - goal
+        if idle > unused * all_tokens:
             break
-        gradients.append([eta * r for r in residual])
-    return rate(), seen
+        best = at
+        seen.append(dict(zip(names, map(float, residual), strict=True)))
+        m /= 4
+    return _rate([float(x) for x in best]), seen
+
+
+def _fitted(weighed: DataFrame, targets: dict[str, float], total: float | None, residuals: dict[str, float] | None) -> Column:
+    """The rate; its residuals go into residuals, and a warning names them where the targets are missed."""
+    tolerance = 5e-4
+    rate, seen = fit_rates(weighed, targets, total, tolerance=tolerance)
+    last = seen[-1] if seen else {}
+    if residuals is not None:
+        residuals.update(last)
+    if any(abs(x) >= tolerance for x in last.values()):
+        warnings.warn(f"mixture misses its targets by these shares of all tokens: {last}", stacklevel=3)
+    return rate
 
 
-def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, text: str = "text", max_labelled: int = 20_000, reuse: DataFrame | None = None) -> DataFrame:
+def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, text: str = "text", max_labelled: int = 20_000, reuse: DataFrame | None = None, residuals: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, n_tokens, posterior, rate, copies) for every row of docs; copies rounds the rate by a hash of doc_id.
 
     Null text has no tokens and the classifier's prior as its posterior. reuse: documents for training, by default docs.
+    residuals: a dict to fill with what each domain's expected tokens miss of its target, as a share of all tokens.
     """
     model = train_domains(docs if reuse is None else reuse, label_domains(labels), max_labelled, text)
     weighed = materialize(posteriors(docs.select("doc_id", text), model, text).select("doc_id", "n_tokens", "posterior"), "posteriors")
-    rate, _ = fit_rates(weighed, targets or TARGETS, total)
+    rate = _fitted(weighed, targets or TARGETS, total, residuals)
     u = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return weighed.withColumn("rate", rate).withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", max_copies: int | None = None) -> DataFrame:
-    """The rows of docs, each as often as its copies; the columns of docs."""
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", max_copies: int | None = None, residuals: dict[str, float] | None = None) -> DataFrame:
+    """The rows of docs, each as often as its copies; the columns of docs. residuals as in mixture()."""
     model = train_domains(docs, label_domains(labels), text=text)
     names = docs.columns
     weighed = posteriors(docs, model, text)
     small = materialize(weighed.select("doc_id", "n_tokens", "posterior"), "posteriors")
-    rate, _ = fit_rates(small, targets or TARGETS)
+    rate = _fitted(small, targets or TARGETS, None, residuals)
     u = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     counted = small.withColumn("_rate", rate).select("doc_id", (F.floor("_rate") + (u < F.col("_rate") - F.floor("_rate")).cast("int")).cast("int").alias("_copies")).where("_copies > 0")
     if max_copies:

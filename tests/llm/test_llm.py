@@ -290,3 +290,24 @@ def test_mixture_meets_targets(spark):
     assert sums[0] / sum(sums) == pytest.approx(0.9, abs=0.05)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert mixing.mixture(docs.limit(5), none).where("rate > 0").count() == 5
+
+
+def test_small_domains_reach_their_targets(spark):
+    """Toxic has 2 % of the tokens, low 10 %; posteriors are soft and certain in turn."""
+    rows = [(1000, [0.0, 0.02, 0.98] if i % 100 < 2 else [0.03, 0.97, 0.0] if i % 100 < 12 else [0.99, 0.01, 0.0] if i % 2 else [1.0, 0.0, 0.0]) for i in range(2000)]
+    weighed = spark.createDataFrame(rows, "n_tokens long, posterior array<double>").cache()
+    rate, seen = mixing.fit_rates(weighed, mixing.TARGETS)
+    total = 2_000_000
+    token = lambda k, r: weighed.agg(F.sum(r * F.col("n_tokens") * F.get("posterior", F.lit(k)))).first()[0] / total
+    size = token(0, F.lit(1.0)) / 0.96
+    for k, name in enumerate(mixing.DOMAINS):
+        residual = token(k, rate) - mixing.TARGETS[name] * size
+        assert abs(residual) < 5e-4 and residual == pytest.approx(seen[-1][name], abs=1e-9), name
+
+
+def test_missed_targets_are_told(spark):
+    docs = spark.createDataFrame([(i, "a b c") for i in range(5)], "doc_id long, text string")
+    none, missed = spark.createDataFrame([], "doc_id long, quality int, toxic int"), {}
+    with pytest.warns(UserWarning, match="misses its targets"):
+        mixing.mixture(docs, none, residuals=missed)
+    assert missed["low"] == pytest.approx(-0.04 / 0.96)
