@@ -10,7 +10,7 @@ from itertools import combinations, combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import correlation_of
+from ..functions.columns import correlation_of, ranked
 
 
 @dataclass
@@ -93,11 +93,20 @@ def bins(train: DataFrame, column: str, count: int = 5, how: str = "quantile") -
     return Fitted(lambda df: df.withColumn(f"{column}__bin", F.when(F.col(column).isNotNull(), sum([(F.col(column) >= e).cast("int") for e in edges], F.lit(0)))), {"edges": edges})
 
 
+#: Categories that may become columns.
+MOST_CATEGORIES = 2000
+
+
+def _category_counts(train: DataFrame, column: str, min_count: int = 1) -> DataFrame:
+    return train.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).count().where(F.col("count") >= min_count)
+
+
 def categories(train: DataFrame, column: str, min_count: int = 1, limit: int | None = None) -> list[str]:
-    """Known values in lexicographic order; the most frequent if there is a limit."""
-    counts = train.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).count().where(F.col("count") >= min_count)
-    top = counts.orderBy(F.desc("count"), "v").limit(min(limit or 2000, 2000))
-    return sorted(r["v"] for r in top.collect())
+    """Known values in lexicographic order; the most frequent if there is a limit. Refuses more than MOST_CATEGORIES."""
+    top = _category_counts(train, column, min_count).orderBy(F.desc("count"), "v").limit(min(limit or MOST_CATEGORIES + 1, MOST_CATEGORIES + 1)).collect()
+    if len(top) > MOST_CATEGORIES:
+        raise ValueError(f"{column} has more than {MOST_CATEGORIES} categories; give a limit or a min_count")
+    return sorted(r["v"] for r in top)
 
 
 def onehot(train: DataFrame, column: str, min_count: int = 1, limit: int | None = None) -> Fitted:
@@ -107,10 +116,14 @@ def onehot(train: DataFrame, column: str, min_count: int = 1, limit: int | None
 
 
 def ordinal(train: DataFrame, column: str, order: list[str] | None = None) -> Fitted:
-    """Position in the given or lexicographic order; unknown -1, missing -2."""
-    known = order or categories(train, column)
-    lookup = train.sparkSession.createDataFrame([(v, i) for i, v in enumerate(known)], f"`{column}` string, `{column}__code` int")
-    return Fitted(lambda df: df.join(F.broadcast(lookup), column, "left").withColumn(f"{column}__code", F.when(F.col(column).isNull(), -2).otherwise(F.coalesce(f"{column}__code", F.lit(-1)))), {"categories": known})
+    """Position in the given or lexicographic order; unknown -1, missing -2. Without an order, every known value is in a table."""
+    code = f"{column}__code"
+    if order:
+        lookup = F.broadcast(train.sparkSession.createDataFrame([(v, i) for i, v in enumerate(order)], f"`{column}` string, `{code}` int"))
+    else:
+        values = ranked(_category_counts(train, column).select("v"), [F.col("v")], F.substring("v", 1, 2), None, "_rank")
+        lookup = values.select(F.col("v").alias(column), (F.col("_rank") - 1).cast("int").alias(code))
+    return Fitted(lambda df: df.join(lookup, column, "left").withColumn(code, F.when(F.col(column).isNull(), -2).otherwise(F.coalesce(code, F.lit(-1)))), {"categories": order or lookup})
 
 
 def frequency(train: DataFrame, column: str, normalize: bool = True) -> Fitted:

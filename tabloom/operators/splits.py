@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ordered_rank, ranked, shuffle_key, shuffled_rank, value_bucket
 
+#: Folds that leave_one_group_out makes.
+MOST_GROUPS = 100
+
 
 def _part(rank: Column, n: Column, train: float, validation: float) -> Column:
     """train = floor(n f), validation = floor(rest f_v / (1 - f)), test the remainder."""
@@ -117,9 +120,12 @@ def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
 
 
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
-    g = df.select(group).distinct().orderBy(group).limit(101)
-    numbered = g.withColumn("fold", (F.dense_rank().over(Window.orderBy(group)) - 1).cast("int"))
-    return df.join(F.broadcast(numbered), group)
+    """One fold per group, null included as the first; refuses more than MOST_GROUPS."""
+    found = df.select(group).distinct().limit(MOST_GROUPS + 1)
+    if found.count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
+    numbered = found.select(F.col(group).alias("_group"), (F.dense_rank().over(Window.orderBy(group)) - 1).cast("int").alias("fold"))
+    return df.join(F.broadcast(numbered), F.col(group).eqNullSafe(F.col("_group"))).select(group, *[c for c in df.columns if c != group], "fold")
 
 
 def stratified_bins(df: DataFrame, target: str, key: str, k: int = 5, bins: int = 5, seed: int = 0) -> DataFrame:

@@ -151,3 +151,17 @@ def test_snapshots_and_library(spark, tmp_path):
     assert S.read_snapshot(spark, str(tmp_path), new).where("x is null").count() == 1
     lib = spark.read.parquet(str(tmp_path / "library"))
     assert S.list_library(lib, "fir", ["t"]).count() == 1 and S.list_library(lib, "zzz").count() == 0
+
+
+def test_groups_and_categories_beyond_the_limits(spark):
+    df = spark.range(101).select(F.col("id"), F.concat(F.lit("g"), F.col("id")).alias("g"))
+    with pytest.raises(ValueError, match="more than 100 groups"):
+        V.leave_one_group_out(df, "g")
+    some = V.leave_one_group_out(df.where("id < 99").unionByName(spark.createDataFrame([(99, None)], "id long, g string")), "g")
+    assert some.columns == ["g", "id", "fold"]
+    assert some.count() == 100 and sorted(r.fold for r in some.collect()) == list(range(100))
+    many = spark.range(2500).select(F.format_string("v%05d", "id").alias("v"))
+    assert rows(P.ordinal(many, "v").transform(many), "v") == [(f"v{i:05}", i) for i in range(2500)]
+    with pytest.raises(ValueError, match="more than 2000 categories"):
+        P.onehot(many, "v")
+    assert len(P.categories(many, "v", limit=10)) == 10
