@@ -387,6 +387,12 @@ def f15_tfidf(t):
     return P.tfidf(d, "doc_id", "text", 200)
 
 
+@query()
+def f15b_tfidf_whole_text(t):
+    """Over the texts as they are; DuckDB's pattern in f15 knows ASCII words only."""
+    return P.tfidf(t("documents").select("doc_id", "text"), "doc_id", "text", 200)
+
+
 @query("SELECT o_orderkey, year(o_orderdate) AS o_orderdate__year, month(o_orderdate) AS o_orderdate__month, isodow(o_orderdate) - 1 AS o_orderdate__weekday, dayofyear(o_orderdate) AS o_orderdate__dayofyear, (isodow(o_orderdate) >= 6)::BIGINT AS o_orderdate__weekend FROM orders")
 def f17_datetime_parts(t):
     return P.datetime_parts(t("orders"), "o_orderdate", ["year", "month", "weekday", "dayofyear", "weekend"]).select("o_orderkey", *[f"o_orderdate__{p}" for p in ("year", "month", "weekday", "dayofyear", "weekend")])

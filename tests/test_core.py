@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -165,3 +169,18 @@ def test_groups_and_categories_beyond_the_limits(spark):
     with pytest.raises(ValueError, match="more than 2000 categories"):
         P.onehot(many, "v")
     assert len(P.categories(many, "v", limit=10)) == 10
+
+
+def test_tfidf_query_takes_whole_texts(spark, tmp_path):
+    from tabloom.queries import QUERIES
+
+    texts = {0: "Größe über Größe été", 1: "привет мир привет", 2: "数据 処理 über", 3: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    words = {k: re.findall(r"\b\w\w+\b", (v or "").lower()) for k, v in texts.items()}
+    df = Counter(w for v in words.values() for w in set(v))
+    want = {}
+    for k, v in words.items():
+        raw = {w: n * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, n in Counter(v).items()}
+        want |= {(k, w): x / math.sqrt(sum(y * y for y in raw.values())) for w, x in raw.items()}
+    got = {(r.doc_id, r.term): r.weight for r in QUERIES["f15b_tfidf_whole_text"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-5) and (0, "größe") in got and (1, "привет") in got
