@@ -16,9 +16,11 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; one of our own only where none is set."""
+    """The folder all executors share, as the session names it; a local one only where none is set and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -67,28 +69,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Scratch:
+    """Tables of one operator in the shared folder; those that are no longer read are deleted, so that disk follows the current step."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """materialize(), remembered."""
+        path = scratch(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame, all_but: list[DataFrame] | None = None) -> None:
+        """Deletes tables, or all but some. Only for tables that nothing still to be computed reads."""
+        gone = [id(t) for t in tables] if all_but is None else [k for k in self.paths if k not in {id(t) for t in all_but}]
+        for k in gone:
+            if k in self.paths:
+                remove(self.spark, self.paths.pop(k)[0])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours by the file system that it lies in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame, v: str = "id") -> DataFrame:
     """(v, component): the smallest vertex reachable over edges (a, b), itself included.
 
-    Each round takes the smallest label among the neighbours and then follows labels once (pointer
-    jumping), so chains shrink by doubling. Rounds end in tables of the shared folder. Vertices
-    without an edge never enter the loop.
+    Each round ties every vertex to its smallest neighbour, follows these ties to their ends by doubling, and contracts what is
+    tied together: the next round sees only edges between different groups, each once, and at most half of the vertices.
+    Rounds end in tables of the shared folder, superseded ones are deleted. Vertices without an edge never enter the loop.
     """
-    spark = vertices.sparkSession
-    both = materialize(
-        edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        "edges",
-    )
-    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("c")), "labels")
-    while True:
-        near = both.join(labels, both.a == labels.v).groupBy(F.col("b").alias("v")).agg(F.min("c").alias("m"))
-        low = labels.join(near, "v", "left").select("v", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("was"))
-        step = materialize(low, "labels")
-        root = step.select(F.col("v").alias("c"), F.col("c").alias("r"))
-        jumped = step.join(root, "c", "left").select("v", F.least("c", F.coalesce("r", "c")).alias("c"), "was")
-        step = materialize(jumped, "labels")
-        changed = step.where("c <> was").limit(1).count()
-        labels = step.select("v", "c")
-        if not changed:
-            break
-    return vertices.join(labels.withColumnRenamed("v", v).withColumnRenamed("c", "component"), v, "left").withColumn("component", F.coalesce("component", v))
+    store = Scratch(vertices.sparkSession)
+    left = store.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    labels = None
+    while left.limit(1).count():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ties = store.keep(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("c")), "ties")
+        while True:
+            ends = ties.select(F.col("v").alias("c"), F.col("c").alias("end"))
+            jumped = store.keep(ties.join(ends, "c").select("v", F.col("end").alias("c"), (F.col("end") != F.col("c")).alias("moved")), "ties")
+            store.drop(ties)
+            ties = jumped
+            if not ties.where("moved").limit(1).count():
+                break
+        ties = ties.select("v", "c")
+        if labels is None:
+            new = ties
+        else:
+            new = labels.withColumnRenamed("c", "was").join(ties.select(F.col("v").alias("was"), "c"), "was", "left").select("v", F.coalesce("c", "was").alias("c"))
+            new = store.keep(new, "labels")
+            store.drop(labels)
+        step = left.join(ties.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(ties.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb")
+        after = store.keep(step.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct(), "edges")
+        store.drop(left)
+        left, labels = after, new
+    if labels is None:
+        return vertices.withColumn("component", F.col(v))
+    named = labels.select(F.col("v").alias(v), F.col("c").alias("component"))
+    return vertices.join(named, v, "left").withColumn("component", F.coalesce("component", v))

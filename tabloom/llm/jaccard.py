@@ -1,20 +1,24 @@
 """N-gram Jaccard join in metric space (operator 10).
 
-Jaccard distance is a metric, and so are pivots of two kinds used here.
-
-* Coarse regions: the pivots are single shingles {s}. A document is at distance below 1 of its own shingles
-  only; in a global order of the pivots its nearest ones are its first. For a link, at most ``n - ceil(t n)``
-  of its n shingles may be missing from the partner, so it suffices to replicate a document to the regions
-  of its first ``n - ceil(t n) + 1`` pivots: the window around a region's border. Frequent shingles come last
-  in the order.
-* Inside a region the pivots are documents. Every document is compared with the pivot it shares most regions
-  with (its home). Those within the radius are linked to it and fall into one component; two others with the
-  same home can only be linked if their distances to it differ by the radius at most (triangle inequality).
-* What is left, pairs of different components that share a region, is joined again: small regions wholly, large
-  ones with a doubling number of pivots per round, until nothing untested is left. Every link between different
-  sets is thus either found or lies inside one component already.
-
-Equal sets are joined first and take part once.
+Documents are points, their distance is 1 - |A & B| / |A | B| over sets of word shingles, and a link is a distance of at
+most r = 1 - percent / 100. The join recurses over regions:
+
+* Regions. A region is cut by pivots, which are documents of it. Two unrelated texts are at distance 1, so the pivots near
+  a document cannot be found by distances alone; they are found through shingles. In any total order of the shingles, a
+  link of a set of n has one of its first ``n - ceil(t n) + 1`` shingles (its keys) in common with its partner. All
+  documents of the region with a common key form a list, the first of a list is its pivot, and a document belongs to
+  the cells of the pivots of all its lists: both ends of every link meet in a cell.
+* Small cells are joined by one task: keys bound distances from below, which leaves few members, and only the
+  shingle sets of these are sent there, each once, and compared exactly.
+* Large cells become regions of the next turn. Every member is compared with the pivot. Rings of width 2r around the pivot
+  divide the cell, and by the triangle inequality it suffices to replicate the documents in the outer half of a ring to
+  the next ring. Documents linked to the pivot are in one component already; they stay only if another document lies
+  within their window. Inside a ring the keys are drawn anew, with the shingles that the pivot does not have first: what
+  the cell had in common, such as a passage of many documents, no longer brings documents together.
+
+A pivot leaves its cell with the turn, so recursion ends. Every link between different sets is found or lies inside a
+component that other links have formed. Equal sets are joined first and take part once. Shingles are compared as 64-bit
+hashes, sets as sizes and two 64-bit sums.
 """
 
 from __future__ import annotations
@@ -24,186 +28,325 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, ship, table, text_of
+from .common import Scratch, connected_components, ship, table, text_of
+from .shingles import shingle_sets
 
-BUCKETS = 1 << 20
-#: A pivot shingle in the windows of more documents than this is moved to the end of the order.
-HOT = 64
-#: Regions of at most so many documents are joined pair by pair.
-SMALL = 48
-#: Documents compared with a pivot in one go.
-RUN = 256
-_WORDS: dict[bytes, int] = {}
-
-
-def shingles(text: str | None, size: int):
-    """Sorted distinct 64-bit hashes of the word shingles; with fewer words, of the whole sequence; none without words."""
-    import numpy as np
-    import xxhash
-
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest(b"\x00".join(words), len(words))], np.uint64)
-    if len(_WORDS) > 500_000:
-        _WORDS.clear()
-    for w in [w for w in {*words} if w not in _WORDS]:
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    n, out = len(words) - size + 1, np.zeros(len(words) - size + 1, np.uint64)
-    factor = 0x9E3779B97F4A7C15
-    for k in range(size):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(factor) + h[k : k + n]
-    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(out ^ (out >> np.uint64(32)))
+#: Members of a cell that one task joins in the first turn (it doubles from turn to turn up to LARGEST), and the shingles of all of them.
+SMALL, LARGEST, SHINGLES = 64, 256, 4_000_000
+#: Members of a large cell that are compared with its pivot in one go.
+RUN = 512
 
 
 def window(n: int, percent: int) -> int:
-    """How many of its first pivots a set of n must visit."""
+    """How many keys a set of n has."""
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
-def _sets(docs: DataFrame, size: int, percent: int, hot: bytes | None) -> DataFrame:
-    """(doc_id, n, s1, s2, keys): set size, two sums that identify the set, the pivots visited."""
+def most_different(a, b, percent: int):
+    """The largest symmetric difference of two linked sets of these sizes."""
+    both = -(-percent * (a + b) // (100 + percent))
+    return a + b - 2 * both
+
+
+def _keys(h, percent: int, apart=None):
+    """The keys of a sorted set, packed; the shingles that apart lacks come first."""
+    import numpy as np
+
+    w = window(len(h), percent)
+    if apart is None:
+        return h[:w]
+    at = np.minimum(np.searchsorted(apart, h), max(0, len(apart) - 1))
+    own = apart[at] != h if len(apart) else np.ones(len(h), bool)
+    first = h[own][:w]
+    return first if len(first) == w else np.concatenate([first, h[~own][: w - len(first)]])
+
+
+def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n, s1, s2, keys) of every row; s1 and s2 are sums that identify the set."""
 
     def scan(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        late = np.unpackbits(np.frombuffer(hot, np.uint8)).astype(bool) if hot else None
+        names = ["doc_id", "text_hash", "n", "s1", "s2", "keys"]
         for batch in batches:
-            ids, ns, s1, s2, keys = batch.column("doc_id").to_pylist(), [], [], [], []
-            for text in batch.column("text").to_pylist():
-                h = shingles(text, size)
+            ns, s1, s2, keys = [], [], [], []
+            for h in shingle_sets(batch.column("text"), size):
                 ns.append(len(h))
                 mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0xA0761D6478BD642F)
                 s1.append(int(h.sum().astype(np.int64)))
                 s2.append(int((mixed ^ (mixed >> np.uint64(30))).sum().astype(np.int64)))
-                if late is not None:
-                    is_late = late[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                    h = np.concatenate([h[~is_late], h[is_late]])
-                keys.append(h[: window(len(h), percent)].astype(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists], names=["doc_id", "n", "s1", "s2", "keys"])
-
-    return docs.mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, keys array<long>")
-
-
-def _verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b, distance, linked) of the given pairs (a, b): b is the pivot, whose text is sent once per RUN partners."""
-    n = pairs.groupBy("b").agg(F.count("*").alias("_m")).withColumn("runs", F.ceil(F.col("_m") / RUN).cast("int")).drop("_m")
-    n = materialize(n, "runs")
-    members = pairs.join(n, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), F.pmod(F.xxhash64("a"), F.col("runs")).cast("int").alias("run"), F.lit(1).alias("member"))
-    pivots = n.select(F.col("b").alias("doc_id"), F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(0).alias("member"))
-    sent = materialize(members.unionByName(pivots), "sent")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sent.join(docs, "doc_id").repartition(parts, "pivot", "run").sortWithinPartitions("pivot", "run", "member")
+                keys.append(_keys(h, percent).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(ns, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.binary())], names=names)
 
-    def compare(batches) -> Iterator:
+    return docs.mapInArrow(scan, "doc_id long, text_hash long, n long, s1 long, s2 long, keys binary")
+
+
+def _exploded(points: DataFrame) -> DataFrame:
+    """(region, key, row) for every key of points."""
+
+    def spread(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        for batch in batches:
+            raw = batch.column("keys").to_pylist()
+            counts = np.array([len(k) // 8 for k in raw], np.int64)
+            rows = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("region", "row")]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(rows[1])], names=["region", "key", "row"])
+
+    return points.select("region", "row", "keys").mapInArrow(spread, "region long, key long, row long")
+
+
+def _cells(points: DataFrame, store: Scratch) -> DataFrame:
+    """(region, pivot, row): the members of the cells, pivots included."""
+    keys = store.keep(_exploded(points), "keys")
+    lists = store.keep(keys.groupBy("region", "key").agg(F.min("row").alias("pivot"), F.max("row").alias("_last")).where("pivot <> _last").drop("_last"), "lists")
+    out = store.keep(keys.join(lists, ["region", "key"]).select("region", "pivot", "row").distinct(), "cells")
+    store.drop(keys, lists)
+    return out
+
+
+def _near(cells: DataFrame, points: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(region, pivot, row) of the members of small cells that may have a link there, by their keys alone."""
+
+    def close(key, rows):
+        import numpy as np
+
+        m = len(rows)
+        n = np.array([r[1] for r in rows], np.int64)
+        lists = [np.frombuffer(r[2], np.uint64) for r in rows]
+        w = np.array([len(x) for x in lists])
+        owner = np.repeat(np.arange(m), w)
+        flat = np.concatenate(lists)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        new = np.concatenate([[True], flat[1:] != flat[:-1]])
+        column = np.cumsum(new) - 1
+        size = np.bincount(column)
+        often = size[column] > 1
+        column = np.unique(column[often], return_inverse=True)[1]
+        owner = owner[often]
+        shared = np.zeros((m, m), np.int32)
+        for at in range(0, int(column.max()) + 1 if len(column) else 0, 2048):
+            part = (column >= at) & (column < at + 2048)
+            grid = np.zeros((m, 2048), np.float32)
+            grid[owner[part], column[part] - at] = 1
+            shared += (grid @ grid.T).astype(np.int32)
+        if key[0] == 0:
+            # In the order of the hashes, two key lists are complete up to the smaller of their last keys.
+            last = np.array([x[-1] if k < c else np.uint64((1 << 64) - 1) for x, k, c in zip(lists, w, n, strict=True)], np.uint64)
+            known = np.stack([np.searchsorted(x, last, "right") for x in lists])
+            differ = known + known.T - 2 * shared
+        else:
+            differ = np.zeros((m, m), np.int64)
+        fit = (shared > 0) & (differ <= most_different(n[:, None], n[None, :], percent)) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+        np.fill_diagonal(fit, False)
+        label = np.array([r[3] for r in rows])
+        fit &= label[:, None] != label[None, :]
+        return [rows[i][0] for i in np.flatnonzero(fit.any(axis=1))]
+
+    def compare(batches) -> Iterator:
+        import pyarrow as pa
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["region", "pivot", "row"])
+
+        at, rows, found = None, [], []
+        for batch in batches:
+            for region, pivot, row, n, keys, label in zip(*(batch.column(c).to_pylist() for c in ("region", "pivot", "row", "n", "keys", "label")), strict=True):
+                if (region, pivot) != at:
+                    if len(rows) > 1:
+                        found += [(*at, r) for r in close(at, rows)]
+                    at, rows = (region, pivot), []
+                rows.append((row, n, keys, label))
+            if found:
+                yield out(found)
+                found = []
+        if len(rows) > 1:
+            found += [(*at, r) for r in close(at, rows)]
+        if found:
+            yield out(found)
+
+    rows = cells.join(points.select("region", "row", "n", "keys", "label"), ["region", "row"]).select("region", "pivot", "row", "n", "keys", "label")
+    return rows.repartition(parts, "region", "pivot").sortWithinPartitions("region", "pivot", "row").mapInArrow(compare, "region long, pivot long, row long")
+
+
+def _texts(wanted: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """wanted (with row) and the text of each row."""
+    found = wanted.join(reps.select("row", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "row")
+    return found.join(docs, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))).drop("_id", "_hash", "doc_id", "text_hash")
+
+
+def _linked(both: int, a: int, b: int, percent: int) -> bool:
+    return both > 0 and 100 * both >= percent * (a + b - both)
+
+
+def _both(a, b) -> int:
+    """Size of the intersection of two sorted sets."""
+    import numpy as np
+
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum()) if len(b) else 0
+
+
+def _join_small(rows: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
+    """(a, b) links of small cells, as many as tie their members together; rows of a cell arrive by size of set."""
+
+    def compare(batches) -> Iterator:
+        import pyarrow as pa
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["a", "b"])
+
+        at, held, root, found = None, [], {}, []
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in batches:
+            for region, pivot, row, label, h in zip(*(batch.column(c).to_pylist() for c in ("region", "pivot", "row", "label")), shingle_sets(batch.column("text"), size), strict=True):
+                if (region, pivot) != at:
+                    at, held, root = (region, pivot), [], {}
+                held = [x for x in held if 100 * len(x[2]) >= percent * len(h)]
+                for other, its, g in held:
+                    if row != other and find(label) != find(its) and _linked(_both(h, g), len(h), len(g), percent):
+                        found.append((row, other))
+                        root[find(label)] = find(its)
+                held.append((row, label, h))
+            if found:
+                yield out(found)
+                found = []
+
+    ordered = rows.select("region", "pivot", "row", "label", "n", "text").repartition(parts, "region", "pivot").sortWithinPartitions("region", "pivot", "n", "row")
+    return ordered.mapInArrow(compare, "a long, b long")
+
+
+def _around_pivots(rows: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
+    """(region, pivot, row, label, n, distance, linked, keys) of the members of large cells; pivots come first in each run."""
+
+    def compare(batches) -> Iterator:
+        import pyarrow as pa
+
+        names = ["region", "pivot", "row", "label", "n", "distance", "linked", "keys"]
+        types = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.binary()]
         at, own = None, None
         for batch in batches:
-            a, b, d, linked = [], [], [], []
-            for doc, pivot, run, member, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pivot", "run", "member", "text")), strict=True):
-                h = shingles(text, size)
-                if not member:
-                    at, own = (pivot, run), h
+            out = []
+            for region, pivot, run, row, label, h in zip(*(batch.column(c).to_pylist() for c in ("region", "pivot", "run", "row", "label")), shingle_sets(batch.column("text"), size), strict=True):
+                if row == pivot:
+                    at, own = (region, pivot, run), h
                     continue
-                assert at == (pivot, run)
-                both = len(np.intersect1d(h, own, assume_unique=True))
-                either = len(h) + len(own) - both
-                a.append(doc)
-                b.append(pivot)
-                d.append(1 - both / either if either else 1.0)
-                linked.append(bool(both) and 100 * both >= percent * either)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "distance", "linked"])
-
-    return materialize(rows.select("doc_id", "pivot", "run", "member", "text").mapInArrow(compare, "a long, b long, distance double, linked boolean"), "tested")
+                assert at == (region, pivot, run)
+                both = _both(h, own)
+                out.append((region, pivot, row, label, len(h), 1 - both / (len(h) + len(own) - both), _linked(both, len(h), len(own), percent), _keys(h, percent, own).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    order = ["region", "pivot", "run", "other", "row"]
+    ordered = rows.withColumn("other", F.col("row") != F.col("pivot")).select(*order, "label", "text").repartition(parts, "region", "pivot", "run").sortWithinPartitions(*order)
+    return ordered.mapInArrow(compare, "region long, pivot long, row long, label long, n long, distance double, linked boolean, keys binary")
+
+
+def _next_points(tested: DataFrame, percent: int) -> DataFrame:
+    """Points of the next turn: (region, row, label, n, keys); the rings of a large cell, with the windows between them."""
+    r = 1 - percent / 100
+    nearest = tested.groupBy("region", "pivot").agg(F.min(F.when(~F.col("linked"), F.col("distance"))).alias("nearest")).where("nearest is not null")
+    open_ = tested.join(nearest, ["region", "pivot"]).where(~F.col("linked") | (F.col("distance") >= F.col("nearest") - r - 1e-9))
+    ring = F.floor(F.col("distance") / (2 * r)).cast("int")
+    outer = F.col("distance") - 2 * r * ring >= r - 1e-9
+    rings = F.when(outer, F.array(ring, ring + 1)).otherwise(F.array(ring))
+    label = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("label"))
+    placed = open_.select("region", "pivot", "row", label.alias("label"), "n", "keys", F.explode(rings).alias("ring"))
+    # Region 0 is that of the first turn, whose keys are in the order of the hashes.
+    name = F.xxhash64("region", "pivot", "ring")
+    return placed.select(F.when(name == 0, F.lit(1).cast("long")).otherwise(name).alias("region"), "row", "label", "n", "keys")
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document.
+    """(doc_id, n_shingles, component_id), one row for every row of docs.
 
-    Two documents are linked when 100 x intersection >= percent x union of their shingle sets; components are
-    the transitive closure and carry their smallest doc_id. Null, empty and blank texts have no shingles and are
-    linked with nothing. doc_id must be unique and not null.
+    Two documents are linked when 100 x intersection >= percent x union of their shingle sets; components are the transitive
+    closure and carry their smallest doc_id. Null, empty and blank texts have no shingles, are linked with nothing and keep
+    their own id. Repeated rows and repeated ids give a row each, and a row without an id takes part like any other (its
+    component_id is null if no member has an id). Empty docs give an empty result; other columns are not read.
     """
-    ship(docs.sparkSession)
-    spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    all_sets = materialize(_sets(docs, size, percent, None), "sets")
-    reps = materialize(all_sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
-    ids = reps.select(F.col("rep").alias("doc_id"))
-    keys = all_sets.join(ids, "doc_id", "left_semi").select(F.explode("keys").alias("key"), "doc_id", "n")
-
-    often = keys.groupBy("key").count().where(F.col("count") > HOT)
-    hot = [r[0] for r in often.select(F.col("key").bitwiseAND(BUCKETS - 1)).distinct().collect()]  # at most BUCKETS
-    if hot:
-        import numpy as np
+    return _components(docs, size, percent, doc_id, text).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
 
-        flags = np.zeros(BUCKETS, np.uint8)
-        flags[hot] = 1
-        again = _sets(docs, size, percent, np.packbits(flags).tobytes()).select("doc_id", "n", "keys")
-        keys = again.join(ids, "doc_id", "left_semi").select(F.explode("keys").alias("key"), "doc_id", "n")
-    keys = materialize(keys, "keys")
-    regions = materialize(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("pivot")).where("m > 1"), "regions")
-    inside = materialize(keys.join(regions, "key"), "inside")
-
-    shared = inside.where("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("k"))
-    home = shared.groupBy("doc_id").agg(F.max(F.struct("k", (-F.col("pivot")).alias("p"))).alias("x")).select(F.col("doc_id").alias("a"), (-F.col("x.p")).alias("b"))
-    tested = _verify(docs, materialize(home, "home"), size, percent)
-    home = tested.select(F.col("a").alias("doc_id"), F.col("b").alias("home"), "distance")
-    inside = materialize(inside.join(home, "doc_id", "left"), "inside")
-
-    known, turn, radius = [tested], 0, (100 - percent) / 100 + 1e-9
+def _components(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(row, doc_id, text_hash, n, component_id, first) of every row; first: it is the one that stays of its component."""
+    ship(docs.sparkSession)
+    spark, store = docs.sparkSession, Scratch(docs.sparkSession)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sets = store.keep(_sets(docs, size, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
+    least = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("row"))
+    reps = store.keep(sets.join(least.select("row"), "row", "left_semi"), "reps")
+    if sets.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        docs = store.keep(docs.dropDuplicates(["doc_id", "text_hash"]), "docs")
+    points = reps.select(F.lit(0).cast("long").alias("region"), "row", F.col("row").alias("label"), "n", "keys")
+    links, turn = [], 0
     while True:
-        links = known[0].where("linked").select("a", "b")
-        for t in known[1:]:
-            links = links.unionByName(t.where("linked").select("a", "b"))
-        comp = materialize(connected_components(ids, links, "doc_id"), "components")
-        placed = inside.join(comp, "doc_id")
-        if turn:
-            placed = placed.join(open_keys, "key", "left_semi")  # noqa: F821  set in the round before
-        open_ = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("left")).where("c0 <> c1").select("key", "left")
-        open_keys = materialize(open_, "open")
-        rows = materialize(placed.join(open_keys, "key").drop("pivot", "m"), "rows")
-        sides = {}
-        for s in ("x", "y"):
-            sides[s] = rows.select("key", "left", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "home", "distance", "component")])
-        share = 2.0**turn * SMALL
-        drawn = F.pmod(F.xxhash64("doc_id_y"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * share / F.col("left")
-        pivots = sides["y"].where((F.col("left") <= SMALL) | drawn).drop("left")
-        pairs = sides["x"].join(pivots, "key").where(
-            "doc_id_x <> doc_id_y and component_x <> component_y"
-            f" and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
-            f" and (home_x is null or home_y is null or home_x <> home_y or abs(distance_x - distance_y) <= {radius})"
-        )
-        pairs = pairs.select(F.greatest("doc_id_x", "doc_id_y").alias("a"), F.least("doc_id_x", "doc_id_y").alias("b")).distinct()
-        for t in known:
-            pairs = pairs.join(t.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        more = pairs.limit(1).count()
-        if more:
-            known.append(_verify(docs, pairs, size, percent))
-        turn += 1
-        if not more and not rows.where(F.col("left") > share).limit(1).count():
+        cells = _cells(points, store)
+        few, total = min(LARGEST, SMALL << turn), SHINGLES << turn
+        facts = cells.join(points.select("region", "row", "n", "label"), ["region", "row"]).groupBy("region", "pivot").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+        facts = store.keep(facts.withColumn("small", (F.col("m") <= few) & (F.col("shingles") <= total)).select("region", "pivot", "m", "small"), "facts")
+        near = store.keep(_near(cells.join(facts.where("small"), ["region", "pivot"]).select("region", "pivot", "row"), points, percent, parts), "near")
+        known = points.select("region", "row", "label", "n")
+        rows = _texts(near.join(known, ["region", "row"]), reps, docs)
+        links.append(store.keep(_join_small(rows, size, percent, parts), "links"))
+        if not facts.where("not small").limit(1).count():
             break
-    own = materialize(comp.select(F.col("doc_id").alias("rep"), "component").join(reps, "rep"), "reps")
-    least = own.select("n", "s1", "s2", "component")
-    out = all_sets.select("doc_id", "n", "s1", "s2").join(least, ["n", "s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        large = cells.join(facts.where("not small"), ["region", "pivot"]).join(known, ["region", "row"])
+        runs = F.ceil(F.col("m") / RUN).cast("int")
+        dealt = F.when(F.col("row") == F.col("pivot"), F.sequence(F.lit(0), runs - 1)).otherwise(F.array(F.pmod(F.xxhash64("row"), runs).cast("int")))
+        large = large.select("region", "pivot", "row", "label", F.explode(dealt).alias("run"))
+        tested = store.keep(_around_pivots(_texts(large, reps, docs), size, percent, parts), "tested")
+        links.append(store.keep(tested.where("linked").select(F.col("row").alias("a"), F.col("pivot").alias("b")), "links"))
+        after = store.keep(_next_points(tested, percent), "points")
+        store.drop(cells, facts, near, tested, *([points] if turn else []))
+        points, turn = after, turn + 1
+    found = links[0]
+    for more in links[1:]:
+        found = found.unionByName(more)
+    comp = connected_components(reps.select("row"), found, "row")
+    mine = store.keep(comp.join(reps.select("row", "n", "s1", "s2"), "row").select("n", "s1", "s2", "component"), "components")
+    # The broad side keeps its rows without words: they are components of their own.
+    joined = store.keep(sets.select("row", "doc_id", "text_hash", "n", "s1", "s2").join(mine, ["n", "s1", "s2"], "left").select("row", "doc_id", "text_hash", "n", F.coalesce("component", "row").alias("component")), "labels")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
+    least = joined.groupBy("component").agg(F.min(order).alias("x")).select("component", F.col("x.doc_id").alias("component_id"), F.col("x.row").alias("first"))
+    out = joined.join(least, "component").select("row", "doc_id", "text_hash", "n", "component_id", (F.col("row") == F.col("first")).alias("first"))
+    out = store.keep(out, "result")
+    store.drop(all_but=[out])
+    return out
 
 
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; rows without an id are kept."""
-    found = jaccard_components(docs.where(F.col(doc_id).isNotNull()), size, percent, doc_id, text)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)), "gone")
-    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    """The rows of docs but one of each component: that with the smallest doc_id stays, a row without an id only if none has one.
+
+    Documents without words stay. Of rows that repeat both id and text one stays; the columns are those of docs.
+    """
+    names = docs.columns
+    found = _components(docs, size, percent, doc_id, text)
+    id_, hash_ = F.col(doc_id).cast("long"), F.xxhash64(text_of(text))
+    gone = found.where("not first and n > 0").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
+    stay = found.where("first and n > 0").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
+    again = stay.intersect(gone)
+    if not again.limit(1).count():
+        match = id_.eqNullSafe(F.col("_gone_id")) & (hash_ == F.col("_gone_hash"))
+        return docs.join(gone, match, "left_anti").select(*names)
+    # Some rows repeat both: number the equal ones and let only the first stay.
+    marked = docs.select(*names, id_.alias("_jid"), hash_.alias("_jhash"))
+    match = F.col("_jid").eqNullSafe(F.col("_gone_id")) & (F.col("_jhash") == F.col("_gone_hash"))
+    ours = marked.join(stay.distinct(), match, "left_semi").dropDuplicates(["_jid", "_jhash"])
+    rest = marked.join(stay.unionByName(gone).distinct(), match, "left_anti")
+    return ours.unionByName(rest).select(*names)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

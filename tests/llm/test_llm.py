@@ -5,11 +5,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tabloom.llm import chat, jaccard, lm, mixing, packing, pii, quality, repeats, sstable, vectors
 from tabloom.llm.common import scratch
+from tabloom.llm.shingles import shingle_sets
 from tabloom.llm.tokens import Encoder, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -149,7 +151,7 @@ def test_jaccard_large_region_is_joined_in_rounds(spark):
         own = [f"w{x}" for x in rng.integers(0, 10**9, 6)]
         texts.append(" ".join(common + own))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = [jaccard.shingles(t, 4) for t in texts]
+    sets = list(shingle_sets(pa.array(texts), 4))
     root = list(range(len(texts)))
     changed = True
     while changed:
