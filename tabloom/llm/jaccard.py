@@ -14,7 +14,8 @@ most r = 1 - percent / 100. The join recurses over regions:
   divide the cell, and by the triangle inequality it suffices to replicate the documents in the outer half of a ring to
   the next ring. Documents linked to the pivot are in one component already; they stay only if another document lies
   within their window. Inside a ring the keys are drawn anew, with the shingles that the pivot does not have first: what
-  the cell had in common, such as a passage of many documents, no longer brings documents together.
+  the cell had in common, such as a passage of many documents, no longer brings documents together, unless one of them
+  lies in the pivot almost wholly.
 
 A pivot leaves its cell with the turn, so recursion ends. Every link between different sets is found or lies inside a
 component that other links have formed. Equal sets are joined first and take part once. Shingles are compared as 64-bit
@@ -28,11 +29,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, ship, table, text_of
-from .shingles import shingle_sets
+from .common import Scratch, connected_components, materialize, remove, ship, table, text_of
+from .shingles import mix, shingle_sets
 
 #: Members of a cell that one task joins in the first turn (it doubles from turn to turn up to LARGEST), and the shingles of all of them.
 SMALL, LARGEST, SHINGLES = 64, 256, 4_000_000
+#: Rows of a few numbers that may be broadcast (about 80 bytes each).
+FEW = 1_000_000
 #: Members of a large cell that are compared with its pivot in one go.
 RUN = 512
 
@@ -48,26 +51,84 @@ def most_different(a, b, percent: int):
     return a + b - 2 * both
 
 
-def _keys(h, percent: int, apart=None):
-    """The keys of a sorted set, packed; the shingles that apart lacks come first."""
+class Order:
+    """The total order of the shingles: those marked as frequent come last. The marks change which keys a set has, never a result."""
+
+    def __init__(self, marks: bytes | None):
+        import numpy as np
+
+        self.late = np.unpackbits(np.frombuffer(marks, np.uint8), bitorder="little") if marks else None
+
+    def keys(self, h, percent: int, apart=None) -> tuple[bytes, int]:
+        """The keys of a sorted set, packed as ordered numbers, and how many are not in apart; these come before all others."""
+        import numpy as np
+
+        k = h >> np.uint64(1)
+        if self.late is not None:
+            k |= self.late[(h & np.uint64(len(self.late) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
+        w = window(len(h), percent)
+        if apart is None:
+            return (np.sort(np.partition(k, w - 1)[:w]) if 0 < w < len(k) else np.sort(k)[:w]).tobytes(), w
+        at = np.searchsorted(apart, h)
+        at[at == len(apart)] = 0
+        own = apart[at] != h if len(apart) else np.ones(len(h), bool)
+        first = np.sort(k[own])[:w]
+        return np.concatenate([first, np.sort(k[~own])[: w - len(first)]]).tobytes(), len(first)
+
+
+def _frequent(docs: DataFrame, size: int, percent: int) -> bytes | None:
+    """Marks of shingles that come first in many sets, as a bitmap of at most 2 MB by their last bits.
+
+    Counted are repetitions inside blocks of documents, over all documents: a shingle that is frequent in the corpus is repeated
+    in its blocks. The first 2w shingles of a set are looked at, since that is where its keys come from.
+    """
+
+    def scan(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        held, size_ = [], 0
+
+        def out():
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n > 1
+            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often])], names=["key", "n"])
+
+        for batch in batches:
+            for h in shingle_sets(batch.column("text"), size):
+                held.append(h[: 2 * window(len(h), percent)])
+                size_ += len(held[-1])
+                if size_ > 4_000_000:
+                    yield out()
+                    held, size_ = [], 0
+        if held:
+            yield out()
+
+    often = docs.select("text").mapInArrow(scan, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > SMALL)
+    often = materialize(often.select("key"), "often")
+    n = often.count()
+    bits = 1 << max(16, min(24, (16 * n).bit_length()))
+    place = F.col("key").bitwiseAND(bits - 1)
+    # At most 2^18 rows.
+    words = often.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((key & {bits - 1}) & 63 as int))")).alias("x")).collect() if n else []
+    remove(docs.sparkSession, often.inputFiles()[0].rpartition("/")[0]) if n else None
+    if not words:
+        return None
     import numpy as np
 
-    w = window(len(h), percent)
-    if apart is None:
-        return h[:w]
-    at = np.minimum(np.searchsorted(apart, h), max(0, len(apart) - 1))
-    own = apart[at] != h if len(apart) else np.ones(len(h), bool)
-    first = h[own][:w]
-    return first if len(first) == w else np.concatenate([first, h[~own][: w - len(first)]])
+    marks = np.zeros(bits // 64, np.int64)
+    marks[[r["word"] for r in words]] = [r["x"] for r in words]
+    return marks.tobytes()
 
 
-def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, size: int, percent: int, marks) -> DataFrame:
     """(doc_id, text_hash, n, s1, s2, keys) of every row; s1 and s2 are sums that identify the set."""
 
     def scan(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        order = Order(marks.value)
         names = ["doc_id", "text_hash", "n", "s1", "s2", "keys"]
         for batch in batches:
             ns, s1, s2, keys = [], [], [], []
@@ -76,14 +137,18 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0xA0761D6478BD642F)
                 s1.append(int(h.sum().astype(np.int64)))
                 s2.append(int((mixed ^ (mixed >> np.uint64(30))).sum().astype(np.int64)))
-                keys.append(_keys(h, percent).tobytes())
+                keys.append(order.keys(h, percent)[0])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(ns, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.binary())], names=names)
 
     return docs.mapInArrow(scan, "doc_id long, text_hash long, n long, s1 long, s2 long, keys binary")
 
 
 def _exploded(points: DataFrame) -> DataFrame:
-    """(region, key, row) for every key of points."""
+    """(region, list, row, inner) for every key of points; a list is a key in a region, and whether the last pivot has it.
+
+    inner: two documents that share nothing but shingles of the last pivot can only be linked if one of them has so many of
+    these that it is inner; for keys that the pivot lacks it is always true.
+    """
 
     def spread(batches) -> Iterator:
         import numpy as np
@@ -92,18 +157,22 @@ def _exploded(points: DataFrame) -> DataFrame:
         for batch in batches:
             raw = batch.column("keys").to_pylist()
             counts = np.array([len(k) // 8 for k in raw], np.int64)
-            rows = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("region", "row")]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(rows[1])], names=["region", "key", "row"])
+            region, row = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("region", "row"))
+            own = np.repeat(batch.column("own").to_numpy(zero_copy_only=False), counts)
+            theirs = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) >= own
+            inner = ~theirs | np.repeat(batch.column("inner").to_numpy(zero_copy_only=False), counts)
+            lists = mix(np.frombuffer(b"".join(raw), np.uint64) ^ mix(region.view(np.uint64) ^ theirs.astype(np.uint64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(lists), pa.array(row), pa.array(inner)], names=["region", "list", "row", "inner"])
 
-    return points.select("region", "row", "keys").mapInArrow(spread, "region long, key long, row long")
+    return points.select("region", "row", "keys", "own", "inner").mapInArrow(spread, "region long, list long, row long, inner boolean")
 
 
 def _cells(points: DataFrame, store: Scratch) -> DataFrame:
     """(region, pivot, row): the members of the cells, pivots included."""
-    keys = store.keep(_exploded(points), "keys")
-    lists = store.keep(keys.groupBy("region", "key").agg(F.min("row").alias("pivot"), F.max("row").alias("_last")).where("pivot <> _last").drop("_last"), "lists")
-    out = store.keep(keys.join(lists, ["region", "key"]).select("region", "pivot", "row").distinct(), "cells")
-    store.drop(keys, lists)
+    keys = _exploded(points)
+    lists = store.keep(keys.groupBy("list").agg(F.min("row").alias("pivot"), F.max("row").alias("_last"), F.max("inner").alias("_inner")).where("pivot <> _last and _inner").select("list", "pivot"), "lists")
+    out = store.keep(keys.join(lists, "list").select("region", "pivot", "row").distinct(), "cells")
+    store.drop(lists)
     return out
 
 
@@ -134,7 +203,7 @@ def _near(cells: DataFrame, points: DataFrame, percent: int, parts: int) -> Data
             grid[owner[part], column[part] - at] = 1
             shared += (grid @ grid.T).astype(np.int32)
         if key[0] == 0:
-            # In the order of the hashes, two key lists are complete up to the smaller of their last keys.
+            # Two lists of keys in the one order of the first turn are complete up to the smaller of their last keys.
             last = np.array([x[-1] if k < c else np.uint64((1 << 64) - 1) for x, k, c in zip(lists, w, n, strict=True)], np.uint64)
             known = np.stack([np.searchsorted(x, last, "right") for x in lists])
             differ = known + known.T - 2 * shared
@@ -172,9 +241,11 @@ def _near(cells: DataFrame, points: DataFrame, percent: int, parts: int) -> Data
     return rows.repartition(parts, "region", "pivot").sortWithinPartitions("region", "pivot", "row").mapInArrow(compare, "region long, pivot long, row long")
 
 
-def _texts(wanted: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """wanted (with row) and the text of each row."""
+def _texts(wanted: DataFrame, reps: DataFrame, docs: DataFrame, store: Scratch) -> DataFrame:
+    """wanted (with row) and the text of each row; up to FEW rows are broadcast, so that texts are not shuffled for them."""
     found = wanted.join(reps.select("row", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "row")
+    found = store.keep(found, "wanted")
+    found = F.broadcast(found) if found.count() <= FEW else found
     return found.join(docs, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))).drop("_id", "_hash", "doc_id", "text_hash")
 
 
@@ -227,15 +298,15 @@ def _join_small(rows: DataFrame, size: int, percent: int, parts: int) -> DataFra
     return ordered.mapInArrow(compare, "a long, b long")
 
 
-def _around_pivots(rows: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
-    """(region, pivot, row, label, n, distance, linked, keys) of the members of large cells; pivots come first in each run."""
+def _around_pivots(rows: DataFrame, size: int, percent: int, parts: int, marks) -> DataFrame:
+    """(region, pivot, row, label, n, distance, linked, keys, own, inner) of the members of large cells; pivots come first in each run."""
 
     def compare(batches) -> Iterator:
         import pyarrow as pa
 
-        names = ["region", "pivot", "row", "label", "n", "distance", "linked", "keys"]
-        types = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.binary()]
-        at, own = None, None
+        names = ["region", "pivot", "row", "label", "n", "distance", "linked", "keys", "own", "inner"]
+        types = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.binary(), pa.int64(), pa.bool_()]
+        at, own, order = None, None, Order(marks.value)
         for batch in batches:
             out = []
             for region, pivot, run, row, label, h in zip(*(batch.column(c).to_pylist() for c in ("region", "pivot", "run", "row", "label")), shingle_sets(batch.column("text"), size), strict=True):
@@ -244,17 +315,19 @@ def _around_pivots(rows: DataFrame, size: int, percent: int, parts: int) -> Data
                     continue
                 assert at == (region, pivot, run)
                 both = _both(h, own)
-                out.append((region, pivot, row, label, len(h), 1 - both / (len(h) + len(own) - both), _linked(both, len(h), len(own), percent), _keys(h, percent, own).tobytes()))
+                # If x and y share only shingles of the pivot, min(both_x, both_y) >= t (n_x + n_y) / (1 + t): one of them is inner.
+                inner = both * (100 + percent) >= 2 * percent * len(h)
+                out.append((region, pivot, row, label, len(h), 1 - both / (len(h) + len(own) - both), _linked(both, len(h), len(own), percent), *order.keys(h, percent, own), inner))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    order = ["region", "pivot", "run", "other", "row"]
-    ordered = rows.withColumn("other", F.col("row") != F.col("pivot")).select(*order, "label", "text").repartition(parts, "region", "pivot", "run").sortWithinPartitions(*order)
-    return ordered.mapInArrow(compare, "region long, pivot long, row long, label long, n long, distance double, linked boolean, keys binary")
+    by = ["region", "pivot", "run", "other", "row"]
+    ordered = rows.withColumn("other", F.col("row") != F.col("pivot")).select(*by, "label", "text").repartition(parts, "region", "pivot", "run").sortWithinPartitions(*by)
+    return ordered.mapInArrow(compare, "region long, pivot long, row long, label long, n long, distance double, linked boolean, keys binary, own long, inner boolean")
 
 
 def _next_points(tested: DataFrame, percent: int) -> DataFrame:
-    """Points of the next turn: (region, row, label, n, keys); the rings of a large cell, with the windows between them."""
+    """Points of the next turn: (region, row, label, n, keys, own, inner); the rings of a large cell, with the windows between them."""
     r = 1 - percent / 100
     nearest = tested.groupBy("region", "pivot").agg(F.min(F.when(~F.col("linked"), F.col("distance"))).alias("nearest")).where("nearest is not null")
     open_ = tested.join(nearest, ["region", "pivot"]).where(~F.col("linked") | (F.col("distance") >= F.col("nearest") - r - 1e-9))
@@ -262,10 +335,10 @@ def _next_points(tested: DataFrame, percent: int) -> DataFrame:
     outer = F.col("distance") - 2 * r * ring >= r - 1e-9
     rings = F.when(outer, F.array(ring, ring + 1)).otherwise(F.array(ring))
     label = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("label"))
-    placed = open_.select("region", "pivot", "row", label.alias("label"), "n", "keys", F.explode(rings).alias("ring"))
-    # Region 0 is that of the first turn, whose keys are in the order of the hashes.
+    placed = open_.select("region", "pivot", "row", label.alias("label"), "n", "keys", "own", "inner", F.explode(rings).alias("ring"))
+    # Region 0 is that of the first turn, whose keys are in one order for all.
     name = F.xxhash64("region", "pivot", "ring")
-    return placed.select(F.when(name == 0, F.lit(1).cast("long")).otherwise(name).alias("region"), "row", "label", "n", "keys")
+    return placed.select(F.when(name == 0, F.lit(1).cast("long")).otherwise(name).alias("region"), "row", "label", "n", "keys", "own", "inner")
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -285,12 +358,13 @@ def _components(docs: DataFrame, size: int, percent: int, doc_id: str, text: str
     spark, store = docs.sparkSession, Scratch(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    sets = store.keep(_sets(docs, size, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
+    marks = spark.sparkContext.broadcast(_frequent(docs, size, percent))  # at most 2 MB
+    sets = store.keep(_sets(docs, size, percent, marks).withColumn("row", F.monotonically_increasing_id()), "sets")
     least = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("row"))
     reps = store.keep(sets.join(least.select("row"), "row", "left_semi"), "reps")
     if sets.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
         docs = store.keep(docs.dropDuplicates(["doc_id", "text_hash"]), "docs")
-    points = reps.select(F.lit(0).cast("long").alias("region"), "row", F.col("row").alias("label"), "n", "keys")
+    points = reps.select(F.lit(0).cast("long").alias("region"), "row", F.col("row").alias("label"), "n", "keys", (F.length("keys") / 8).cast("long").alias("own"), F.lit(True).alias("inner"))
     links, turn = [], 0
     while True:
         cells = _cells(points, store)
@@ -299,7 +373,7 @@ def _components(docs: DataFrame, size: int, percent: int, doc_id: str, text: str
         facts = store.keep(facts.withColumn("small", (F.col("m") <= few) & (F.col("shingles") <= total)).select("region", "pivot", "m", "small"), "facts")
         near = store.keep(_near(cells.join(facts.where("small"), ["region", "pivot"]).select("region", "pivot", "row"), points, percent, parts), "near")
         known = points.select("region", "row", "label", "n")
-        rows = _texts(near.join(known, ["region", "row"]), reps, docs)
+        rows = _texts(near.join(known, ["region", "row"]), reps, docs, store)
         links.append(store.keep(_join_small(rows, size, percent, parts), "links"))
         if not facts.where("not small").limit(1).count():
             break
@@ -307,7 +381,7 @@ def _components(docs: DataFrame, size: int, percent: int, doc_id: str, text: str
         runs = F.ceil(F.col("m") / RUN).cast("int")
         dealt = F.when(F.col("row") == F.col("pivot"), F.sequence(F.lit(0), runs - 1)).otherwise(F.array(F.pmod(F.xxhash64("row"), runs).cast("int")))
         large = large.select("region", "pivot", "row", "label", F.explode(dealt).alias("run"))
-        tested = store.keep(_around_pivots(_texts(large, reps, docs), size, percent, parts), "tested")
+        tested = store.keep(_around_pivots(_texts(large, reps, docs, store), size, percent, parts, marks), "tested")
         links.append(store.keep(tested.where("linked").select(F.col("row").alias("a"), F.col("pivot").alias("b")), "links"))
         after = store.keep(_next_points(tested, percent), "points")
         store.drop(cells, facts, near, tested, *([points] if turn else []))

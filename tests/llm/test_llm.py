@@ -142,27 +142,68 @@ def test_jaccard_components(docs, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
-def test_jaccard_large_region_is_joined_in_rounds(spark):
-    """Many documents that share one passage but nothing else, and chains of near copies among them."""
-    rng = np.random.default_rng(3)
-    common = [f"c{i}" for i in range(60)]
+def brute_components(texts, size, percent):
+    """Smallest index reachable over links, by all pairs."""
+    sets = []
+    for t in texts:
+        w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in words(t)]
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return sets, [find(i) for i in range(len(texts))]
+
+
+def crowded(rng, n=80):
+    """Texts that share a passage, with chains of near copies among them and near copies of one text."""
+    common, base = [f"c{i}" for i in range(60)], [f"b{i}" for i in range(80)]
     texts = []
-    for i in range(150):
-        own = [f"w{x}" for x in rng.integers(0, 10**9, 6)]
+    for i in range(n):
+        own = [f"w{x}" for x in rng.integers(0, 10**9, 6 if i % 2 else 40)]
         texts.append(" ".join(common + own))
+    for i in range(n // 2):
+        t = list(base)
+        for j in rng.integers(0, 80, i % 6):
+            t[j] = f"v{rng.integers(0, 9)}"
+        texts.append(" ".join(t))
+    for i in range(0, n, 5):
+        t = texts[i].split()
+        t[int(rng.integers(0, len(t)))] = "changed"
+        texts.append(" ".join(t))
+    return texts
+
+
+@pytest.mark.parametrize(("size", "percent", "small"), [(5, 80, 64), (4, 85, 3)])
+def test_jaccard_crowded_regions(spark, monkeypatch, size, percent, small):
+    """Small limits send every cell through the recursion: pivots, rings, runs."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "LARGEST", 4 * small)
+    monkeypatch.setattr(jaccard, "RUN", 20)
+    texts = crowded(np.random.default_rng(3))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = list(shingle_sets(pa.array(texts), 4))
-    root = list(range(len(texts)))
-    changed = True
-    while changed:
-        changed = False
-        for i, a in enumerate(sets):
-            for j in range(i):
-                k = len(np.intersect1d(a, sets[j]))
-                if 100 * k >= 85 * (len(a) + len(sets[j]) - k) and root[i] != root[j]:
-                    root[i] = root[j] = min(root[i], root[j])
-                    changed = True
-    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()} == dict(enumerate(root))
+    sets, root = brute_components(texts, size, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, size, percent).collect()}
+    assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
+
+
+def test_jaccard_repeated_and_missing_ids(spark):
+    t = "a b c d e f g h"
+    rows = [(1, t), (1, t), (1, t + " x y z u v w"), (None, t), (None, t), (2, None), (2, None), (3, ""), (None, None), (4, t.upper()), (5, "q " * 9)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()), key=str)
+    assert got == sorted([(1, 5, 1), (1, 5, 1), (1, 11, 1), (None, 5, 1), (None, 5, 1), (2, 0, 2), (2, 0, 2), (3, 0, 3), (None, 0, None), (4, 5, 1), (5, 1, 5)], key=str)
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, t), (1, t + " x y z u v w"), (2, None), (2, None), (3, ""), (None, None), (5, "q " * 9)], key=str)
 
 
 def test_repeated_bytes(docs, empty):
