@@ -97,14 +97,13 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, v: str = "id") -> DataFrame:
-    """(v, component): the smallest vertex reachable over edges (a, b), itself included.
+def reachable(edges: DataFrame, store: Scratch) -> DataFrame | None:
+    """(v, c) for the ends of edges (a, b): the smallest vertex reachable, itself included; None without edges.
 
     Each round ties every vertex to its smallest neighbour, follows these ties to their ends by doubling, and contracts what is
     tied together: the next round sees only edges between different groups, each once, and at most half of the vertices.
-    Rounds end in tables of the shared folder, superseded ones are deleted. Vertices without an edge never enter the loop.
+    Rounds end in tables of the shared folder; superseded ones are deleted.
     """
-    store = Scratch(vertices.sparkSession)
     left = store.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     labels = None
     while left.limit(1).count():
@@ -117,17 +116,20 @@ def connected_components(vertices: DataFrame, edges: DataFrame, v: str = "id") -
             ties = jumped
             if not ties.where("moved").limit(1).count():
                 break
-        ties = ties.select("v", "c")
-        if labels is None:
-            new = ties
-        else:
-            new = labels.withColumnRenamed("c", "was").join(ties.select(F.col("v").alias("was"), "c"), "was", "left").select("v", F.coalesce("c", "was").alias("c"))
-            new = store.keep(new, "labels")
-            store.drop(labels)
-        step = left.join(ties.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(ties.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb")
+        to = lambda old, new: ties.select(F.col("v").alias(old), F.col("c").alias(new))  # noqa: B023, E731  used before the next round
+        step = left.join(to("a", "ca"), "a").join(to("b", "cb"), "b").where("ca <> cb")
         after = store.keep(step.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct(), "edges")
-        store.drop(left)
+        new = ties.select("v", "c") if labels is None else labels.withColumnRenamed("c", "was").join(to("was", "c"), "was", "left").select("v", F.coalesce("c", "was").alias("c"))
+        new = store.keep(new, "labels")
+        store.drop(left, ties, *([] if labels is None else [labels]))
         left, labels = after, new
+    store.drop(left)
+    return labels
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame, v: str = "id") -> DataFrame:
+    """(v, component): the smallest vertex reachable over edges (a, b), itself included. Vertices without an edge never enter the loop."""
+    labels = reachable(edges, Scratch(vertices.sparkSession))
     if labels is None:
         return vertices.withColumn("component", F.col(v))
     named = labels.select(F.col("v").alias(v), F.col("c").alias("component"))

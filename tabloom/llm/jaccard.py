@@ -29,11 +29,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, materialize, remove, ship, table, text_of
+from .common import Scratch, materialize, reachable, remove, ship, table, text_of
 from .shingles import mix, shingle_sets
 
-#: Members of a cell that one task joins in the first turn (it doubles from turn to turn up to LARGEST), and the shingles of all of them.
-SMALL, LARGEST, SHINGLES = 64, 256, 4_000_000
+#: Members of a cell that one task joins in the first turn (four times as many in each later one, up to LARGEST), and members x shingles of all of them.
+SMALL, LARGEST, WORK = 64, 2048, 400_000_000
 #: Rows of a few numbers that may be broadcast (about 80 bytes each).
 FEW = 1_000_000
 #: Members of a large cell that are compared with its pivot in one go.
@@ -144,7 +144,7 @@ def _sets(docs: DataFrame, size: int, percent: int, marks) -> DataFrame:
 
 
 def _exploded(points: DataFrame) -> DataFrame:
-    """(region, list, row, inner) for every key of points; a list is a key in a region, and whether the last pivot has it.
+    """(region, list, row, label, inner) for every key of points; a list is a key in a region, and whether the last pivot has it.
 
     inner: two documents that share nothing but shingles of the last pivot can only be linked if one of them has so many of
     these that it is inner; for keys that the pivot lacks it is always true.
@@ -157,60 +157,61 @@ def _exploded(points: DataFrame) -> DataFrame:
         for batch in batches:
             raw = batch.column("keys").to_pylist()
             counts = np.array([len(k) // 8 for k in raw], np.int64)
-            region, row = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("region", "row"))
+            region, row, label = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("region", "row", "label"))
             own = np.repeat(batch.column("own").to_numpy(zero_copy_only=False), counts)
             theirs = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) >= own
             inner = ~theirs | np.repeat(batch.column("inner").to_numpy(zero_copy_only=False), counts)
             lists = mix(np.frombuffer(b"".join(raw), np.uint64) ^ mix(region.view(np.uint64) ^ theirs.astype(np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(lists), pa.array(row), pa.array(inner)], names=["region", "list", "row", "inner"])
+            yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(lists), pa.array(row), pa.array(label), pa.array(inner)], names=["region", "list", "row", "label", "inner"])
 
-    return points.select("region", "row", "keys", "own", "inner").mapInArrow(spread, "region long, list long, row long, inner boolean")
+    return points.select("region", "row", "label", "keys", "own", "inner").mapInArrow(spread, "region long, list long, row long, label long, inner boolean")
 
 
 def _cells(points: DataFrame, store: Scratch) -> DataFrame:
-    """(region, pivot, row): the members of the cells, pivots included."""
+    """(region, pivot, row): the members of the cells, pivots included. Lists within one component have nothing to find."""
     keys = _exploded(points)
-    lists = store.keep(keys.groupBy("list").agg(F.min("row").alias("pivot"), F.max("row").alias("_last"), F.max("inner").alias("_inner")).where("pivot <> _last and _inner").select("list", "pivot"), "lists")
-    out = store.keep(keys.join(lists, "list").select("region", "pivot", "row").distinct(), "cells")
+    lists = store.keep(keys.groupBy("list").agg(F.min("row").alias("pivot"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("inner").alias("_inner")).where("l0 <> l1 and _inner").select("list", "pivot"), "lists")
+    out = store.keep(keys.select("region", "list", "row").join(lists, "list").select("region", "pivot", "row").distinct(), "cells")
     store.drop(lists)
     return out
 
 
+def _intersections(lists: list):
+    """Sizes of the intersections of all pairs of a bounded number of sorted sets."""
+    import numpy as np
+
+    m = len(lists)
+    flat, owner = np.concatenate(lists), np.repeat(np.arange(m), [len(x) for x in lists])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    column = np.cumsum(np.concatenate([[0], flat[1:] != flat[:-1]]))[: len(flat)]
+    often = np.bincount(column)[column] > 1 if len(column) else np.empty(0, bool)
+    column, owner = np.unique(column[often], return_inverse=True)[1], owner[often]
+    shared = np.zeros((m, m), np.int32)
+    cuts = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + 2048, 2048))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        grid = np.zeros((m, 2048), np.float32)
+        grid[owner[a:b], column[a:b] - 2048 * k] = 1
+        shared += (grid @ grid.T).astype(np.int32)
+    return shared
+
+
 def _near(cells: DataFrame, points: DataFrame, percent: int, parts: int) -> DataFrame:
     """(region, pivot, row) of the members of small cells that may have a link there, by their keys alone."""
 
     def close(key, rows):
         import numpy as np
 
-        m = len(rows)
         n = np.array([r[1] for r in rows], np.int64)
         lists = [np.frombuffer(r[2], np.uint64) for r in rows]
-        w = np.array([len(x) for x in lists])
-        owner = np.repeat(np.arange(m), w)
-        flat = np.concatenate(lists)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        new = np.concatenate([[True], flat[1:] != flat[:-1]])
-        column = np.cumsum(new) - 1
-        size = np.bincount(column)
-        often = size[column] > 1
-        column = np.unique(column[often], return_inverse=True)[1]
-        owner = owner[often]
-        shared = np.zeros((m, m), np.int32)
-        for at in range(0, int(column.max()) + 1 if len(column) else 0, 2048):
-            part = (column >= at) & (column < at + 2048)
-            grid = np.zeros((m, 2048), np.float32)
-            grid[owner[part], column[part] - at] = 1
-            shared += (grid @ grid.T).astype(np.int32)
+        shared = _intersections(lists if key[0] == 0 else [np.sort(x) for x in lists])
+        differ = np.zeros_like(shared)
         if key[0] == 0:
             # Two lists of keys in the one order of the first turn are complete up to the smaller of their last keys.
-            last = np.array([x[-1] if k < c else np.uint64((1 << 64) - 1) for x, k, c in zip(lists, w, n, strict=True)], np.uint64)
+            last = np.array([x[-1] if len(x) < k else np.uint64((1 << 64) - 1) for x, k in zip(lists, n, strict=True)], np.uint64)
             known = np.stack([np.searchsorted(x, last, "right") for x in lists])
             differ = known + known.T - 2 * shared
-        else:
-            differ = np.zeros((m, m), np.int64)
         fit = (shared > 0) & (differ <= most_different(n[:, None], n[None, :], percent)) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
-        np.fill_diagonal(fit, False)
         label = np.array([r[3] for r in rows])
         fit &= label[:, None] != label[None, :]
         return [rows[i][0] for i in np.flatnonzero(fit.any(axis=1))]
@@ -265,7 +266,29 @@ def _both(a, b) -> int:
 
 
 def _join_small(rows: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
-    """(a, b) links of small cells, as many as tie their members together; rows of a cell arrive by size of set."""
+    """(a, b) links of small cells, as many as tie their members together."""
+
+    def close(rows):
+        import numpy as np
+
+        if len(rows) == 2:
+            (x, its, g), (row, label, h) = rows
+            return [(x, row)] if its != label and _linked(_both(g, h), len(g), len(h), percent) else []
+        n, label = np.array([len(r[2]) for r in rows]), np.array([r[1] for r in rows])
+        both = _intersections([r[2] for r in rows]).astype(np.int64)
+        tied = (both > 0) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+        tied |= label[:, None] == label[None, :]
+        out, seen = [], np.zeros(len(rows), bool)
+        for start in range(len(rows)):
+            stack = [] if seen[start] else [start]
+            seen[start] = True
+            while stack:
+                u = stack.pop()
+                new = np.flatnonzero(tied[u] & ~seen)
+                seen[new] = True
+                stack += new.tolist()
+                out += [(rows[u][0], rows[v][0]) for v in new.tolist() if label[u] != label[v]]
+        return out
 
     def compare(batches) -> Iterator:
         import pyarrow as pa
@@ -273,43 +296,36 @@ def _join_small(rows: DataFrame, size: int, percent: int, parts: int) -> DataFra
         def out(found):
             return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["a", "b"])
 
-        at, held, root, found = None, [], {}, []
-
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
-
+        at, held, found = None, [], []
         for batch in batches:
             for region, pivot, row, label, h in zip(*(batch.column(c).to_pylist() for c in ("region", "pivot", "row", "label")), shingle_sets(batch.column("text"), size), strict=True):
                 if (region, pivot) != at:
-                    at, held, root = (region, pivot), [], {}
-                held = [x for x in held if 100 * len(x[2]) >= percent * len(h)]
-                for other, its, g in held:
-                    if row != other and find(label) != find(its) and _linked(_both(h, g), len(h), len(g), percent):
-                        found.append((row, other))
-                        root[find(label)] = find(its)
+                    found += close(held) if len(held) > 1 else []
+                    at, held = (region, pivot), []
                 held.append((row, label, h))
             if found:
                 yield out(found)
                 found = []
+        found = close(held) if len(held) > 1 else []
+        if found:
+            yield out(found)
 
-    ordered = rows.select("region", "pivot", "row", "label", "n", "text").repartition(parts, "region", "pivot").sortWithinPartitions("region", "pivot", "n", "row")
-    return ordered.mapInArrow(compare, "a long, b long")
+    by = ["region", "pivot", "row"]
+    return rows.select(*by, "label", "text").repartition(parts, "region", "pivot").sortWithinPartitions(*by).mapInArrow(compare, "a long, b long")
 
 
 def _around_pivots(rows: DataFrame, size: int, percent: int, parts: int, marks) -> DataFrame:
-    """(region, pivot, row, label, n, distance, linked, keys, own, inner) of the members of large cells; pivots come first in each run."""
+    """(region, pivot, row, n, distance, linked, keys, own, inner) of the members of large cells; pivots come first in each run."""
 
     def compare(batches) -> Iterator:
         import pyarrow as pa
 
-        names = ["region", "pivot", "row", "label", "n", "distance", "linked", "keys", "own", "inner"]
-        types = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.binary(), pa.int64(), pa.bool_()]
+        names = ["region", "pivot", "row", "n", "distance", "linked", "keys", "own", "inner"]
+        types = [pa.int64()] * 4 + [pa.float64(), pa.bool_(), pa.binary(), pa.int64(), pa.bool_()]
         at, own, order = None, None, Order(marks.value)
         for batch in batches:
             out = []
-            for region, pivot, run, row, label, h in zip(*(batch.column(c).to_pylist() for c in ("region", "pivot", "run", "row", "label")), shingle_sets(batch.column("text"), size), strict=True):
+            for region, pivot, run, row, h in zip(*(batch.column(c).to_pylist() for c in ("region", "pivot", "run", "row")), shingle_sets(batch.column("text"), size), strict=True):
                 if row == pivot:
                     at, own = (region, pivot, run), h
                     continue
@@ -317,30 +333,53 @@ def _around_pivots(rows: DataFrame, size: int, percent: int, parts: int, marks)
                 both = _both(h, own)
                 # If x and y share only shingles of the pivot, min(both_x, both_y) >= t (n_x + n_y) / (1 + t): one of them is inner.
                 inner = both * (100 + percent) >= 2 * percent * len(h)
-                out.append((region, pivot, row, label, len(h), 1 - both / (len(h) + len(own) - both), _linked(both, len(h), len(own), percent), *order.keys(h, percent, own), inner))
+                out.append((region, pivot, row, len(h), 1 - both / (len(h) + len(own) - both), _linked(both, len(h), len(own), percent), *order.keys(h, percent, own), inner))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     by = ["region", "pivot", "run", "other", "row"]
-    ordered = rows.withColumn("other", F.col("row") != F.col("pivot")).select(*by, "label", "text").repartition(parts, "region", "pivot", "run").sortWithinPartitions(*by)
-    return ordered.mapInArrow(compare, "region long, pivot long, row long, label long, n long, distance double, linked boolean, keys binary, own long, inner boolean")
+    ordered = rows.withColumn("other", F.col("row") != F.col("pivot")).select(*by, "text").repartition(parts, "region", "pivot", "run").sortWithinPartitions(*by)
+    return ordered.mapInArrow(compare, "region long, pivot long, row long, n long, distance double, linked boolean, keys binary, own long, inner boolean")
+
 
+def _next_points(tested: DataFrame, comp: DataFrame | None, percent: int) -> DataFrame:
+    """Points of the next turn: (region, row, label, n, keys, own, inner); the rings of a large cell, with the windows between them.
 
-def _next_points(tested: DataFrame, percent: int) -> DataFrame:
-    """Points of the next turn: (region, row, label, n, keys, own, inner); the rings of a large cell, with the windows between them."""
+    label: the component so far. Documents of the pivot's own component stay only where one of another is within their window.
+    """
     r = 1 - percent / 100
-    nearest = tested.groupBy("region", "pivot").agg(F.min(F.when(~F.col("linked"), F.col("distance"))).alias("nearest")).where("nearest is not null")
-    open_ = tested.join(nearest, ["region", "pivot"]).where(~F.col("linked") | (F.col("distance") >= F.col("nearest") - r - 1e-9))
+    if comp is not None:
+        tested = tested.join(comp.select(F.col("v").alias("row"), F.col("c").alias("label")), "row", "left").join(comp.select(F.col("v").alias("pivot"), F.col("c").alias("its")), "pivot", "left")
+        tested = tested.withColumn("label", F.coalesce("label", "row")).withColumn("its", F.coalesce("its", "pivot"))
+    else:
+        tested = tested.withColumn("label", F.col("row")).withColumn("its", F.col("pivot"))
+    other = F.col("label") != F.col("its")
+    nearest = tested.groupBy("region", "pivot").agg(F.min(F.when(other, F.col("distance"))).alias("nearest")).where("nearest is not null")
+    open_ = tested.join(nearest, ["region", "pivot"]).where(other | (F.col("distance") >= F.col("nearest") - r - 1e-9))
     ring = F.floor(F.col("distance") / (2 * r)).cast("int")
     outer = F.col("distance") - 2 * r * ring >= r - 1e-9
     rings = F.when(outer, F.array(ring, ring + 1)).otherwise(F.array(ring))
-    label = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("label"))
-    placed = open_.select("region", "pivot", "row", label.alias("label"), "n", "keys", "own", "inner", F.explode(rings).alias("ring"))
+    placed = open_.select("region", "pivot", "row", "label", "n", "keys", "own", "inner", F.explode(rings).alias("ring"))
     # Region 0 is that of the first turn, whose keys are in one order for all.
     name = F.xxhash64("region", "pivot", "ring")
     return placed.select(F.when(name == 0, F.lit(1).cast("long")).otherwise(name).alias("region"), "row", "label", "n", "keys", "own", "inner")
 
 
+def _merged(comp: DataFrame | None, links: DataFrame, store: Scratch) -> DataFrame | None:
+    """comp (v, c) after more links (a, b): only links between components are followed, with these as vertices."""
+    if comp is None:
+        return reachable(links, store)
+    to = lambda v, c: comp.select(F.col("v").alias(v), F.col("c").alias(c))
+    between = links.join(to("a", "ca"), "a", "left").join(to("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    more = reachable(between, store)
+    if more is None:
+        return comp
+    moved = comp.withColumnRenamed("c", "was").join(more.select(F.col("v").alias("was"), "c"), "was", "left").select("v", F.coalesce("c", "was").alias("c"))
+    out = store.keep(moved.unionByName(more.join(comp.select("v"), "v", "left_anti").select("v", "c")), "components")
+    store.drop(comp, more)
+    return out
+
+
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for every row of docs.
 
@@ -365,32 +404,31 @@ def _components(docs: DataFrame, size: int, percent: int, doc_id: str, text: str
     if sets.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
         docs = store.keep(docs.dropDuplicates(["doc_id", "text_hash"]), "docs")
     points = reps.select(F.lit(0).cast("long").alias("region"), "row", F.col("row").alias("label"), "n", "keys", (F.length("keys") / 8).cast("long").alias("own"), F.lit(True).alias("inner"))
-    links, turn = [], 0
+    comp, turn = None, 0
     while True:
         cells = _cells(points, store)
-        few, total = min(LARGEST, SMALL << turn), SHINGLES << turn
-        facts = cells.join(points.select("region", "row", "n", "label"), ["region", "row"]).groupBy("region", "pivot").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
-        facts = store.keep(facts.withColumn("small", (F.col("m") <= few) & (F.col("shingles") <= total)).select("region", "pivot", "m", "small"), "facts")
-        near = store.keep(_near(cells.join(facts.where("small"), ["region", "pivot"]).select("region", "pivot", "row"), points, percent, parts), "near")
+        few = min(LARGEST, SMALL << 2 * turn)
         known = points.select("region", "row", "label", "n")
+        facts = cells.join(known, ["region", "row"]).groupBy("region", "pivot").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+        facts = store.keep(facts.withColumn("small", (F.col("m") <= few) & (F.col("m") * F.col("shingles") <= WORK)).select("region", "pivot", "m", "small"), "facts")
+        near = store.keep(_near(cells.join(facts.where("small"), ["region", "pivot"]).select("region", "pivot", "row"), points, percent, parts), "near")
         rows = _texts(near.join(known, ["region", "row"]), reps, docs, store)
-        links.append(store.keep(_join_small(rows, size, percent, parts), "links"))
+        links = store.keep(_join_small(rows, size, percent, parts), "links")
         if not facts.where("not small").limit(1).count():
+            comp = _merged(comp, links, store)
             break
-        large = cells.join(facts.where("not small"), ["region", "pivot"]).join(known, ["region", "row"])
+        large = cells.join(facts.where("not small"), ["region", "pivot"]).select("region", "pivot", "row", "m")
         runs = F.ceil(F.col("m") / RUN).cast("int")
         dealt = F.when(F.col("row") == F.col("pivot"), F.sequence(F.lit(0), runs - 1)).otherwise(F.array(F.pmod(F.xxhash64("row"), runs).cast("int")))
-        large = large.select("region", "pivot", "row", "label", F.explode(dealt).alias("run"))
+        large = large.select("region", "pivot", "row", F.explode(dealt).alias("run"))
         tested = store.keep(_around_pivots(_texts(large, reps, docs, store), size, percent, parts, marks), "tested")
-        links.append(store.keep(tested.where("linked").select(F.col("row").alias("a"), F.col("pivot").alias("b")), "links"))
-        after = store.keep(_next_points(tested, percent), "points")
-        store.drop(cells, facts, near, tested, *([points] if turn else []))
+        comp = _merged(comp, links.unionByName(tested.where("linked").select(F.col("row").alias("a"), F.col("pivot").alias("b"))), store)
+        after = store.keep(_next_points(tested, comp, percent), "points")
+        store.drop(cells, facts, near, links, tested, *([points] if turn else []))
         points, turn = after, turn + 1
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
-    comp = connected_components(reps.select("row"), found, "row")
-    mine = store.keep(comp.join(reps.select("row", "n", "s1", "s2"), "row").select("n", "s1", "s2", "component"), "components")
+    found = reps.select("row", "n", "s1", "s2")
+    found = found.withColumn("component", F.col("row")) if comp is None else found.join(comp.withColumnRenamed("v", "row"), "row", "left").withColumn("component", F.coalesce("c", "row"))
+    mine = store.keep(found.select("n", "s1", "s2", "component"), "mine")
     # The broad side keeps its rows without words: they are components of their own.
     joined = store.keep(sets.select("row", "doc_id", "text_hash", "n", "s1", "s2").join(mine, ["n", "s1", "s2"], "left").select("row", "doc_id", "text_hash", "n", F.coalesce("component", "row").alias("component")), "labels")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
