@@ -66,7 +66,12 @@ class ShardWriter:
             self.index.append([key, self.at, 0])
         shared = next((i for i, (x, y) in enumerate(zip(key, self.last, strict=False)) if x != y), min(len(key), len(self.last)))
         n = len(ids) // 4
-        body = np.frombuffer(ids, "<u4").astype("<u2").tobytes() if self.id_bytes == 2 else ids
+        body = ids
+        if self.id_bytes == 2:
+            wide = np.frombuffer(ids, "<u4")
+            if n and wide.max() > 0xFFFF:
+                raise ValueError(f"id {wide.max()} of document {doc_id} does not fit 2 bytes")
+            body = wide.astype("<u2").tobytes()
         for x in (ENTRY.pack(shared, len(key) - shared, n), key[shared:], body):
             self.parts.append(x)
             self.at += len(x)
@@ -136,16 +141,20 @@ class ShardReader:
         return found
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text", id_bytes: int = 2, splits: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text", id_bytes: int | None = None, splits: int | None = None) -> DataFrame:
     """Writes docs under path and returns (shard, first, docs, ids), a row per shard; shard names sort as keys do.
 
     Null text is empty (only the end id remains). Rows without a key are refused, repeated keys keep all
     their rows. A task writes its range of keys in order, through a temporary name, so a rerun after a
-    lost executor replaces whole files and never leaves half of one. Ids must fit id_bytes (2 or 4).
+    lost executor replaces whole files and never leaves half of one. id_bytes: 2 or 4, by default as many as the file's
+    largest id or end_id needs; ids that do not fit are refused. Empty docs give no shards.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.assert_true(F.col(doc_id).isNotNull()).alias("_ok"), F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).drop("_ok")
+    id_bytes = id_bytes or (2 if max(encoder(tokenizer_path).largest_id, end_id or 0) <= 0xFFFF else 4)
+    # Part of the key itself, so that it is never left out of the plan.
+    key = F.coalesce(F.col(doc_id).cast("long"), F.raise_error(F.lit(f"{doc_id} is null")).cast("long"))
+    rows = docs.select(key.alias("doc_id"), text_of(text).alias("text"))
     n = splits or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     tail = b"" if end_id is None else struct.pack("<I", end_id)

@@ -11,12 +11,22 @@ WHITE = "\t-\r \x85\xa0  -     　"
 _LOADED: dict[str, Encoder] = {}
 
 
+#: Texts on which a file must give the same ids by words as by whole texts, or else it is used on whole texts only.
+PROBES = [
+    "Plain words, and more; it's John's, we'll (see) 12.5% of #7 -- A/B? yes! \"quoted.\" e.g. x.y.z.", "a  b", " a   b", "tail ", "\ttab\n\nlines\r\n x\x0b\x0cy", "!.. ?! .,", "don't 'S 's", "é ünï Straße ΑΣ. ﬁ",
+    "x\u00a0y\u2003z\u3000w.", "日本語 テキスト。 русский текст, слово.", "🙂🙂 a🙂.", "e\u0301 a\u0308. \u0301x", "\x1c!\x1d a\x1e\x85b", "A" * 40 + "! " + "0123456789" * 4, "", " ", "\n",
+]
+#: Words that may part others in one text to encode, if they have an id of their own.
+SEPARATORS = ["\n", "Ж", "中", "ß", "ø", "♥"]
+
+
 class Encoder:
-    """Ids of a text as packed little-endian unsigned 32-bit integers.
+    """Ids of a text as packed little-endian unsigned 32-bit integers: those that tokenizer.encode gives for the whole text.
 
-    The tokenizer files cut a text before every run of white space that follows another character, and never merge
-    across such a cut, so a text is the sequence of its words' ids. Words repeat: each is encoded once per worker and
-    remembered, up to ``limit`` words at a time. A mark of ``MARKS`` after an ASCII letter at the end of a word is always cut off.
+    The usual files cut a text before every run of white space that follows another character, and never merge across such a
+    cut, so a text is the sequence of its words' ids. Words repeat: each is encoded once per worker and remembered, up to
+    ``limit`` words at a time. A mark of ``MARKS`` after an ASCII letter at the end of a word is cut off too. Whether a file does
+    so is tried on PROBES; texts that hold one of its added tokens, and all texts of other files, are encoded whole.
     """
 
     MARKS = ".,!?"
@@ -26,26 +36,42 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: For parts of words: a word that becomes an added token by lower-casing is none.
+        self.inner = Tokenizer.from_file(path)
+        self.inner.encode_special_tokens = True
+        self.largest_id = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
         #: Lower-casing files drop white space too: then words need neither case nor the blank before them.
         self.folds = "Lowercase" in repr(self.tokenizer.normalizer)
         self.words = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-        self.plain = re.compile(f" ?[^{WHITE}]+").fullmatch
         self.blanks = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
         #: In texts with none of these, every blank stands by itself before a word.
-        self.odd = ["  ", "\t ", "\n ", "\x0b ", "\x0c ", "\r ", "\x1c", "\x1d", "\x1e", "\x1f", *[c for c in self.blanks if c > "~"]]
-        #: The id of a line end, if the file gives it one of its own between words: then many words are encoded as lines of one text.
-        lines = self.tokenizer.encode(" ab.\ncd\n ef", add_special_tokens=False).ids
-        alone = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = alone[0] if len(alone) == 1 and lines.count(alone[0]) == 2 else None
+        self.odd = ["  ", "\t", "\n ", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", *[c for c in self.blanks if c > "~"]]
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.limit = limit
+        self.between, self.line = self._separator()
+        self.whole = any(t.normalized or not t.special for t in added)
+        self.whole = self.whole or self.encode(PROBES) != [self._directly(t) for t in PROBES]
+
+    def _directly(self, text: str) -> bytes:
+        import numpy as np
+
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _separator(self) -> tuple[str, int | None]:
+        """A word with an id of its own between others; then many words are encoded as one text."""
+        for c in SEPARATORS:
+            alone = self.inner.encode(c, add_special_tokens=False).ids
+            between = f" {c} " if self.folds else c
+            ids = self.inner.encode(between.join(["ab.", "cd", "ef" if self.folds else " ef"]), add_special_tokens=False).ids
+            if len(alone) == 1 and ids.count(alone[0]) == 2:
+                return between, alone[0]
+        return "", None
 
     def _split(self, word: str) -> list[str]:
         """A word, as cut out of a text, as the parts that are encoded by themselves."""
-        if not self.folds and self.plain(word):
-            return [word[:-1], word[-1]] if word[-1] in self.MARKS and len(word) > 1 and word[-2].isascii() and word[-2].isalpha() else [word]
         out = []
         for w in self.words(word):
             if self.folds:
@@ -57,51 +83,76 @@ class Encoder:
                 out.append(w)
         return out
 
-    def _encode_parts(self, parts: list[str]) -> Iterable[tuple[str, bytes]]:
+    def _remember(self, parts: list[str]) -> None:
+        """Encodes parts and keeps their ids."""
         import numpy as np
 
-        lines = [p for p in parts if "\n" not in p] if self.line is not None else []
+        mark = self.between.strip(" ") or self.between
+        lines = [p for p in parts if mark not in p] if self.line is not None else []
         if lines:
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
-            ends = [*(4 * np.flatnonzero(ids == self.line)).tolist(), 4 * len(ids)]
-            if len(ends) == len(lines):
-                data, at = ids.tobytes(), 0
-                for p, end in zip(lines, ends, strict=True):
-                    yield p, data[at:end]
-                    at = end + 4
-                parts = [p for p in parts if "\n" in p]
-        for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            yield p, np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
+            ids = np.array(self.inner.encode_batch_fast([self.between.join(lines)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.line)).tolist()
+            if len(cuts) == len(lines) - 1:
+                data = ids.tobytes()
+                self.parts.update(zip(lines, [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)], strict=True))
+                parts = [p for p in parts if mark in p]
+        for p, e in zip(parts, self.inner.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            self.parts[p] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, words: set[str], plain: bool) -> None:
+        """plain: white space in words is one blank in front, or line ends."""
         if len(self.parts) > self.limit:
             self.parts.clear()
-        split = [(w, self._split(w)) for w in words]
-        new = list({p for _, parts in split for p in parts}.difference(self.parts))
+        plain, split = plain and not self.folds, []
+        if plain:
+            marks = self.MARKS
+            lined = [w for w in words if "\n" in w or w == " "]
+            words.difference_update(lined)
+            split = [(w, self._split(w)) for w in lined]
+            cut = [w for w in words if w[-1] in marks and len(w) > 1 and w[-2].isascii() and w[-2].isalpha()]
+            alone = words.difference(cut)
+            new = {*[w[:-1] for w in cut], *[w[-1] for w in cut], *alone, *[p for _, parts in split for p in parts]}
+        else:
+            split = [(w, self._split(w)) for w in words]
+            new = {p for _, parts in split for p in parts}
+        new = [*new.difference(self.parts)]
         for at in range(0, len(new), 4096):
-            self.parts.update(self._encode_parts(new[at : at + 4096]))
-        for w, parts in split:
-            self.known[w] = self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[p] for p in parts])
+            self._remember(new[at : at + 4096])
+        parts, known = self.parts, self.known
+        if plain:
+            known.update(zip(alone, map(parts.__getitem__, alone), strict=True))
+            known.update([(w, parts[w[:-1]] + parts[w[-1]]) for w in cut])
+        if split:
+            known.update([(w, parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x])) for w, x in split])
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        split = []
-        for text in texts:
-            text = text or ""
-            if any(c in text for c in (self.odd[:10] if text.isascii() else self.odd)):
-                split.append(self.words(text))
+        """Ids of each text; null is empty."""
+        texts = [t or "" for t in texts]
+        out: list = [None] * len(texts)
+        split, plain = {}, {}
+        for i, text in enumerate(texts):
+            if self.whole or any(a in text for a in self.added):
+                out[i] = self._directly(text)
+            elif any(c in text for c in (self.odd[:10] if text.isascii() else self.odd)):
+                split[i] = self.words(text)
             elif self.folds:
-                split.append(text.split())
-            else:
+                plain[i] = text.split()
+            elif text:
                 first, *rest = text.split(" ")
-                split.append([first, *[f" {w}" for w in rest]] if first else self.words(text))
-        seen = set().union(*split)
-        new = seen.difference(self.known)
-        if len(self.known) + len(new) > 2 * self.limit:
-            self.known.clear()
-            new = seen
-        if new:
-            self._learn(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+                plain[i] = [first, *[f" {w}" for w in rest]] if first else [f" {w}" for w in rest]
+            else:
+                out[i] = b""
+        for lists, easy in ((plain, True), (split, False)):
+            seen = set().union(*lists.values())
+            new = seen.difference(self.known)
+            if len(self.known) + len(new) > 2 * self.limit:
+                self.known.clear()
+                new = seen
+            if new:
+                self._learn(new, easy)
+            for i, words in lists.items():
+                out[i] = b"".join([*map(self.known.__getitem__, words)])
+        return out
 
 
 def encoder(path: str) -> Encoder:

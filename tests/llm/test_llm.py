@@ -238,24 +238,58 @@ def test_vectors_find_links_and_skip_bad_ones(spark):
     assert got[200].component_id == 0 and all(got[i].n_links == 0 and got[i].kept for i in range(300, 305))
 
 
+def plain_ids(name, texts):
+    """What the library gives for whole texts with the file as it is."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary(name))
+    return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+HARD = ["a  b", " a   b", "\x1c!\x1c! a", "it's 'S", "a\n\n b.!? c.", "a <|endoftext|> b", "<|startoftext|>x", "<|ENDOFTEXT|>", "Á Σσ. 12.5,", "x.\ny!\nz", "tail ", "\n", "ø ø a ♥", "word, " * 50 + "\t."]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_the_tokenizer(name):
     e = Encoder(vocabulary(name), limit=50)
-    hard = [t or "" for t in TEXTS] + ["a  b", " a   b", "\x1c!\x1c! a", "it's 'S", "a\n\n b.!? c.", "<|endoftext|>", "Á Σσ. 12.5,"]
-    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in hard]
-    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(hard)] == want
+    assert not e.whole
+    hard = [t or "" for t in TEXTS] + HARD
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(hard)] == plain_ids(name, hard)
+
+
+def test_encoder_takes_whole_texts_where_a_file_does_not_cut_at_blanks(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers
+
+    t = Tokenizer(models.BPE(vocab={"a": 0, " ": 1, "b": 2, "a b": 3, "a ": 4}, merges=[("a", " "), ("a ", "b")]))
+    t.normalizer = normalizers.NFC()
+    t.save(str(tmp_path / "t.json"))
+    e = Encoder(str(tmp_path / "t.json"))
+    assert e.whole and np.frombuffer(e.encode(["a b"])[0], "<u4").tolist() == [3]
 
 
 def test_shards_round_trip(spark, docs, empty):
     path = scratch(spark, "sst")
     shards = sstable.write_shards(docs, path, vocabulary("word_bpe_49k.json"), 2, splits=3)
-    e = Encoder(vocabulary("word_bpe_49k.json"))
-    want = {i: x + b"\x02\0\0\0" for i, x in enumerate(e.encode(TEXTS))}
+    want = {i: np.array([*x, 2], "<u4").tobytes() for i, x in enumerate(plain_ids("word_bpe_49k.json", TEXTS))}
     assert {r.doc_id: bytes(r.ids) for r in sstable.read_shards(spark, path).collect()} == want
     assert shards.agg(F.sum("docs")).first()[0] == len(TEXTS)
     assert sstable.write_shards(empty, scratch(spark, "sst"), vocabulary("word_bpe_49k.json"), 2).count() == 0
 
 
+def test_shards_refuse_missing_keys_and_wide_ids(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    df = spark.createDataFrame([(None, "a"), (1, "b")], "doc_id long, text string")
+    with pytest.raises(PySparkException, match="doc_id"):
+        sstable.write_shards(df, scratch(spark, "sst"), vocabulary("word_bpe_49k.json"), 2)
+    w = sstable.ShardWriter(2)
+    with pytest.raises(ValueError, match="70000"):
+        w.add(1, np.array([70000], "<u4").tobytes())
+    w = sstable.ShardWriter(4)
+    w.add(1, np.array([70000], "<u4").tobytes())
+    assert sstable.ShardReader(w.bytes()).get(1)[0].tolist() == [70000]
+
+
 def test_shard_lookup():
     w = sstable.ShardWriter()
     keys = [-5, 0, 0, *range(10, 40000, 3)]
@@ -273,8 +307,7 @@ def test_cuts_cover_a_document(n):
 
 def test_packing(spark, docs, empty):
     rows = packing.pack(docs.unionByName(docs.where("doc_id = 7")), vocabulary("byte_bpe_50k.json"), 0).collect()
-    e = Encoder(vocabulary("byte_bpe_50k.json"))
-    ids = {i: x + b"\0\0\0\0" for i, x in enumerate(e.encode(TEXTS))}
+    ids = {i: np.array([*x, 0], "<u4").tobytes() for i, x in enumerate(plain_ids("byte_bpe_50k.json", TEXTS))}
     seqs, count = {}, Counter()
     for r in rows:
         assert bytes(r.ids) == ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)] and zlib.crc32(bytes(r.ids)) == r.ids_crc32
