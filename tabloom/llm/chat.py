@@ -41,14 +41,15 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def format_chat(conversations: DataFrame) -> DataFrame:
     """Examples of conversations (conv_id, turn, role, text), in order of turn, role, text.
 
-    Null role or text is empty; rows without conv_id are left out, null turns come first, repeated rows stay.
-    One conversation is one record, so its turns meet in one task; examples are made one after another and
-    are never all in memory.
+    Null role or text is empty; rows without conv_id are left out, null turns come first, equal turns go by role and text,
+    repeated rows stay. Other columns are not read; an empty table gives no examples. One conversation is one record, so its
+    turns meet in one task and must fit it (2 GB at most); examples are made one after another and are never all in memory,
+    though their total length grows with the square of a conversation's: that is the method.
     """
     ship(conversations.sparkSession)
     rows = conversations.where(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").cast("long").alias("conv_id"),
-        F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("x"),
+        F.struct(F.col("turn").isNotNull().alias("numbered"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("x"),
     )
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("turns"))
 

@@ -97,6 +97,16 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unique_ids(df: DataFrame, name: str) -> bool:
+    """Whether every row has an id and no two have the same."""
+    return not df.groupBy(F.col(name).cast("long").alias("id")).count().where("id is null or count > 1").limit(1).count()
+
+
+def numbered(df: DataFrame, id_: str, *others: str) -> DataFrame:
+    """(key, id_, others): rows with a number of their own, in a table, so that it stays the same wherever the table is read."""
+    return materialize(df.select(F.col(id_).cast("long").alias(id_), *others).withColumn("key", F.monotonically_increasing_id()), "numbered")
+
+
 def reachable(edges: DataFrame, store: Scratch) -> DataFrame | None:
     """(v, c) for the ends of edges (a, b): the smallest vertex reachable, itself included; None without edges.
 

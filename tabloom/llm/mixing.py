@@ -168,18 +168,26 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", max_copies: int | None = None, residuals: dict[str, float] | None = None) -> DataFrame:
-    """The rows of docs, each as often as its copies; the columns of docs. residuals as in mixture()."""
-    model = train_domains(docs, label_domains(labels), text=text)
-    names = docs.columns
-    weighed = posteriors(docs, model, text)
-    small = materialize(weighed.select("doc_id", "n_tokens", "posterior"), "posteriors")
+    """The rows of docs, each as often as its copies; the columns of docs. residuals as in mixture().
+
+    A row without an id takes part like any other, its copies are drawn by its text; rows that repeat both id and text have the
+    same copies each. Null and empty texts have no tokens and stay at the classifier's prior. Columns of docs with any name
+    pass through; empty docs give an empty result.
+    """
+    ours = docs.select("doc_id", text)
+    model = train_domains(ours, label_domains(labels), text=text)
+    weighed = posteriors(ours.withColumn("text_hash", F.xxhash64(text_of(text))), model, text)
+    small = materialize(weighed.select("doc_id", "text_hash", "n_tokens", "posterior"), "posteriors")
     rate = _fitted(small, targets or TARGETS, None, residuals)
-    u = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counted = small.withColumn("_rate", rate).select("doc_id", (F.floor("_rate") + (u < F.col("_rate") - F.floor("_rate")).cast("int")).cast("int").alias("_copies")).where("_copies > 0")
+    drawn = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(5), "text_hash")).otherwise(F.xxhash64(F.lit(5), "doc_id"))
+    u = F.pmod(drawn, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counted = small.withColumn("rate", rate).select(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash"), (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("_mix_copies")).where("_mix_copies > 0")
     if max_copies:
-        counted = counted.withColumn("_copies", F.least("_copies", F.lit(max_copies)))
-    counted = materialize(counted.dropDuplicates(["doc_id"]), "copies")
-    return docs.join(counted, "doc_id").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+        counted = counted.withColumn("_mix_copies", F.least("_mix_copies", F.lit(max_copies)))
+    counted = materialize(counted.dropDuplicates(["_mix_id", "_mix_hash"]), "copies")
+    rows = docs.select(F.struct(*docs.columns).alias("_mix_row"), F.col("doc_id").alias("_mix_doc"), F.xxhash64(text_of(text)).alias("_mix_text"))
+    joined = rows.join(counted, F.col("_mix_doc").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_text") == F.col("_mix_hash")))
+    return joined.select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select("_mix_row.*")
 
 
 def op1_mixture_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,7 +136,8 @@ def assign(pieces: DataFrame, capacity: int = 1024, parts: int = 64) -> DataFram
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None, capacity: int = 1024, slack: float = 0.05, with_ids: bool = True) -> DataFrame:
     """One row per piece with its place. Each id of each row of docs lies in exactly one piece.
 
-    Null or empty text still has its end id; rows that repeat a doc_id are packed each by itself.
+    Null or empty text still has its end id; rows that repeat a doc_id or have none are packed each by itself. Other columns are
+    not read, and empty docs give no pieces.
     """
     pieces = materialize(token_pieces(docs, tokenizer_path, end_id, capacity, slack, with_ids), "pieces")
     parts = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -188,7 +188,8 @@ def listed(spans: Column) -> Column:
 def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.9) -> DataFrame:
     """docs without its text, plus base (exact spans) and spans (all), each [(start, kind, end, ...)] in code points.
 
-    Null text has no spans. Each row is handled by itself; empty input gives an empty result.
+    Null text has no spans. Each row is handled by itself, repeated rows and rows without an id too; empty input gives an empty
+    result. Columns of docs called spans or base are replaced, all others stay.
     """
     found = materialize(docs.withColumn("spans", candidates(text_of(text))).drop(text), "pii")
     model = train(vote_counts(found))
@@ -196,19 +197,22 @@ def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.9) -> Dat
 
 
 def mask_pii(docs: DataFrame, text: str = "text", threshold: float = 0.9) -> DataFrame:
-    """docs with every found span replaced by its kind in brackets; same rows and columns, null text stays null."""
+    """docs with every found span replaced by its kind in brackets; same rows and columns, whatever their names, null text stays null."""
     model = train(vote_counts(docs.select(candidates(text_of(text)).alias("spans"))))
-    df = docs.withColumn("_found", candidates(text_of(text))).withColumn("_spans", chosen(model, "_found", threshold))
+    names = docs.columns
+    df = docs.select(F.struct(*names).alias("_row"), F.col(text).alias("_text"))
+    df = df.withColumn("_found", candidates(text_of("_text"))).withColumn("_spans", chosen(model, "_found", threshold))
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
         inside = s["start"] < a["at"]
-        put = F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.get(tags, s["kind"]))
+        put = F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, s["start"] - a["at"]), F.get(tags, s["kind"]))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(inside, a["out"]).otherwise(put).alias("out"))
 
-    masked = F.aggregate("_spans", zero, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(text))))
-    return df.withColumn(text, F.when(F.col(text).isNull() | (F.size("_spans") == 0), F.col(text)).otherwise(masked)).select(*docs.columns)
+    masked = F.aggregate("_spans", zero, step, lambda a: F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, F.length("_text"))))
+    result = F.when(F.col("_text").isNull() | (F.size("_spans") == 0), F.col("_text")).otherwise(masked)
+    return df.withColumn("_masked", result).select(*[F.col("_masked").alias(c) if c == text else F.col("_row")[c].alias(c) for c in names])
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,27 +172,32 @@ def verdict(cutoffs: dict[str, dict[str, float]], stratum: str = "lang", prefix:
     return ~reduce(lambda a, b: a | b, hit) if hit else F.lit(True)
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """One row per row of docs with all counts, base_failed and kept."""
-    feats = features(docs)
-    if stratum not in feats.columns:
-        feats = feats.withColumn(stratum, F.lit(None).cast("string"))
-    numbers = materialize(feats.drop("text"), "quality")
+def _inputs(docs: DataFrame, stratum: str, text: str, *more: Column) -> DataFrame:
+    """doc_id, text and stratum of docs (null where docs has no such column), and more."""
+    s = F.col(stratum).cast("string") if stratum in docs.columns else F.lit(None).cast("string")
+    return docs.select("doc_id", F.col(text).alias("text"), s.alias(stratum), *more)
+
+
+def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05, text: str = "text") -> DataFrame:
+    """doc_id, stratum, all counts and rule values, base_failed and kept, one row per row of docs; other columns are not read.
+
+    Rows without an id or without a label are judged like all others, they only do not take part in the calibration.
+    """
+    numbers = materialize(features(_inputs(docs, stratum, text)).drop("text"), "quality")
     cutoffs = calibrate(numbers, labels, stratum, alpha, delta)
     return numbers.withColumn("kept", ~F.col("base_failed") & verdict(cutoffs, stratum))
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """The rows of docs that pass, with the columns of docs; texts are read twice instead of being stored again."""
-    names = docs.columns
-    feats = features(docs if stratum in names else docs.withColumn(stratum, F.lit(None).cast("string")))
+def filter_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05, text: str = "text") -> DataFrame:
+    """The rows of docs that pass, with the columns of docs as they are, whatever their names; texts are read twice instead of being stored again."""
     used = ["doc_id", stratum, "base_failed", *RULES]
-    cutoffs = calibrate(materialize(feats.select(*used), "quality"), labels, stratum, alpha, delta)
+    cutoffs = calibrate(materialize(features(_inputs(docs, stratum, text)).select(*used), "quality"), labels, stratum, alpha, delta)
+    feats = features(_inputs(docs, stratum, text, F.struct(*docs.columns).alias("_row")))
     # A filter on computed columns would be pushed below them and compute them once for each mention; a generator stops that.
     row = F.explode(F.array(F.struct(*[F.col(c).alias(f"_f_{c}") for c in used[1:]]))).alias("_f")
-    kept = feats.select(*names, row).select(*names, "_f.*")
+    kept = feats.select("_row", row).select("_row", "_f.*")
     passed = kept.where(~F.col("_f_base_failed") & verdict(cutoffs, f"_f_{stratum}", "_f_"))
-    return passed.select(*names)
+    return passed.select("_row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, table, text_of
+from .common import materialize, numbered, ship, table, text_of, unique_ids
 
 GRAM = 100
 #: Differing runs of one anchor that one task compares by itself; beyond, windows are counted by Spark.
@@ -218,12 +218,20 @@ def _compare_crowds(cut: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_bytes(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): kept is what is left of the text's UTF-8 bytes.
+    """(doc_id, n_bytes, n_removed, n_spans, kept), a row for every row of docs: kept is what is left of the text's UTF-8 bytes.
 
-    Strings are judged on the input and never cross documents. Null text is empty. doc_id must be unique and not null.
+    Strings are judged on the input and never cross documents. Null text is empty. Rows that repeat an id, or have none, are
+    documents of their own (equal long texts repeat each other as a whole). Other columns are not read; empty docs give no rows.
     """
+    if not unique_ids(docs, doc_id):
+        rows = numbered(docs, doc_id, text)
+        found = _repeated(rows.select(F.col("key").alias("doc_id"), text_of(text).alias("text")), length)
+        return found.withColumnRenamed("doc_id", "key").join(rows.select("key", F.col(doc_id).alias("doc_id")), "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    return _repeated(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")), length)
+
+
+def _repeated(docs: DataFrame, length: int) -> DataFrame:
     ship(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long_docs = docs.where(F.octet_length("text") >= length)
     copies = materialize(long_docs.groupBy(F.md5("text").alias("m"), F.octet_length("text").alias("n")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("same")), "copies")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, ship, table
+from .common import connected_components, materialize, numbered, ship, table, unique_ids
 
 #: Members of an inverted list that one block holds.
 BLOCK = 1024
@@ -101,12 +101,24 @@ def _verify(blocks: DataFrame, threshold: float, min_shared: int) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, pivots: int = 60, nearest: int = 7, min_shared: int = 2, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every vector.
+    """(vec_id, n_links, component_id, kept), a row for every row of vectors.
 
     Two vectors are compared only if their labels are equal and not null and they have the same length. A vector that is
-    null, empty, zero, or has a null or non-finite component links with nothing. vec_id must be unique and not null. Links
-    are exact; the index may miss some (recall is measured in the tests), never invents one.
+    null, empty, zero, or has a null or non-finite component links with nothing. Rows that repeat an id, or have none, are
+    vectors of their own; component_id is the smallest id of the component (null if no member has one), and kept tells the one
+    row of it that stays. Other columns are not read; an empty table gives an empty result. Links are exact; the index may
+    miss some (recall is measured in the tests), never invents one.
     """
+    if unique_ids(vectors, vec_id):
+        return _near(vectors.select(F.col(vec_id).alias("vec_id"), embedding, label), threshold, pivots, nearest, min_shared, "vec_id", embedding, label)
+    rows = numbered(vectors, vec_id, embedding, label)
+    found = _near(rows, threshold, pivots, nearest, min_shared, "key", embedding, label).select(F.col("vec_id").alias("key"), "n_links", F.col("component_id").alias("c"))
+    found = materialize(found.join(rows.select("key", F.col(vec_id).alias("vec_id")), "key"), "found")
+    first = found.groupBy("c").agg(F.min(F.struct(F.col("vec_id").isNull().alias("none"), "vec_id", "key")).alias("x"))
+    return found.join(first, "c").select("vec_id", "n_links", F.col("x.vec_id").alias("component_id"), (F.col("key") == F.col("x.key")).alias("kept"))
+
+
+def _near(vectors: DataFrame, threshold: float, pivots: int, nearest: int, min_shared: int, vec_id: str, embedding: str, label: str) -> DataFrame:
     ship(vectors.sparkSession)
     spark = vectors.sparkSession
     inf = float("inf")

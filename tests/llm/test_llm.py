@@ -387,3 +387,62 @@ def test_missed_targets_are_told(spark):
     with pytest.warns(UserWarning, match="misses its targets"):
         mixing.mixture(docs, none, residuals=missed)
     assert missed["low"] == pytest.approx(-0.04 / 0.96)
+
+
+CLASH = ["_t", "_w", "n_words", "spans", "base", "_features", "_words", "_spans", "_found", "_row", "_text", "_copies", "kept", "rate", "label", "text_hash", "key", "row"]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    """Null and repeated ids and rows, null, empty and very long texts, ties, and columns with the names that operators use inside."""
+    long = "word and more words, 12 of 345; " * 60_000
+    rows = [(None, "A lonely row without an id has ten words in it here."), (None, None), (1, "Same text here, twice, with enough words to pass the rule."), (1, "Same text here, twice, with enough words to pass the rule."), (1, "Other text under one id, mail a.b@c.org or +49 170 1234567 now please."), (2, None), (3, ""), (4, long), (5, long + "x"), (6, "é" * 500), (7, " \n\t ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    return df.select("*", *[F.lit(f"mine {c}").alias(c) for c in CLASH])
+
+
+def test_stages_keep_clashing_columns_and_rows_without_ids(spark, edge):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (4, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    stages = [lambda d: quality.filter_documents(d, labels), lambda d: jaccard.keep_one(d, 5, 80), pii.mask_pii, lambda d: mixing.mix(d, labels)]
+    for stage in stages:
+        out = stage(edge)
+        assert out.columns == edge.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"mine {c}" for r in rows for c in CLASH)
+        assert any(r.doc_id is None and (r.text or "").startswith("A lonely") for r in rows)
+        assert stage(edge.limit(0)).count() == 0
+    masked = {r.text for r in pii.mask_pii(edge).collect() if r.doc_id == 1}
+    assert any("[EMAIL] or [PHONE] now" in t for t in masked)
+
+
+def test_operators_take_the_edge_table(spark, edge):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    n = edge.count()
+    for out in (mixing.mixture(edge, labels), quality.apply_rules(edge, labels), pii.find_pii(edge), repeats.repeated_bytes(edge), jaccard.jaccard_components(edge), lm.score_documents(edge)):
+        assert out.count() == n
+    pieces = packing.pack(edge, vocabulary("byte_bpe_50k.json"), 0, with_ids=False)
+    assert pieces.select("doc_id", "row").distinct().count() == n
+    for op in (lambda d: mixing.mixture(d, labels), lm.score_documents, repeats.repeated_bytes):
+        assert op(edge.limit(0)).count() == 0
+
+
+def test_repeats_with_missing_and_repeated_ids(spark):
+    t = "abcdefghij" * 50
+    rows = [(None, t), (None, "x" + t), (1, t + "y"), (1, "short"), (1, "short"), (2, None)]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in repeats.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("None", 500, 500), ("None", 501, 500), ("1", 501, 500), ("1", 5, 0), ("1", 5, 0), ("2", 0, 0)])
+
+
+def test_vectors_with_missing_and_repeated_ids(spark):
+    v, w = [1.0, 0.0, 0.5], [0.0, 1.0, 0.0]
+    rows = [(None, v, 0), (5, v, 0), (5, v, 0), (3, w, 0), (None, w, 0), (None, None, 0)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=str)
+    assert got == sorted([(None, 2, 5, False), (5, 2, 5, True), (5, 2, 5, False), (3, 1, 3, True), (None, 1, 3, False), (None, 0, None, True)], key=str)
+    assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
+
+
+def test_chat_null_turns_come_first(spark):
+    rows = [(1, -9, "user", "second"), (1, None, "user", "first"), (1, 0, "assistant", "third")]
+    ex = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [x for _, x in chat.parse(ex[-1].text)] == ["first", "second", "third"]
+    assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
