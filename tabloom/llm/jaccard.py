@@ -10,14 +10,15 @@ most r = 1 - percent / 100. The join recurses over regions:
   the cells of the pivots of all its lists: both ends of every link meet in a cell.
 * Small cells are joined by one task: keys bound distances from below, which leaves few members, and only the
   shingle sets of these are sent there, each once, and compared exactly.
-* Large cells become regions of the next turn. Every member is compared with the pivot. Rings of width 2r around the pivot
-  divide the cell, and by the triangle inequality it suffices to replicate the documents in the outer half of a ring to
-  the next ring. Documents linked to the pivot are in one component already; they stay only if another document lies
-  within their window. Inside a ring the keys are drawn anew, with the shingles that the pivot does not have first: what
+* Large cells become regions of the next turn. Every member is compared with the pivot and a few more. Rings of width 2r around
+  the pivot divide the cell, and by the triangle inequality it suffices to replicate the documents in the outer half of a
+  ring to the next ring. Documents linked to the pivot are in one component already; they stay only if another document lies
+  within their window. Inside a ring the keys are drawn anew, with the shingles that no pivot has first: what
   the cell had in common, such as a passage of many documents, no longer brings documents together, unless one of them
-  lies in the pivot almost wholly.
+  lies in the pivots almost wholly.
+* What is large and dense even so, near copies of one text just out of reach of each other, is joined block against block.
 
-A pivot leaves its cell with the turn, so recursion ends. Every link between different sets is found or lies inside a
+Pivots leave their cell with the turn, so recursion ends. Every link between different sets is found or lies inside a
 component that other links have formed. Equal sets are joined first and take part once. Shingles are compared as 64-bit
 hashes, sets as sizes and two 64-bit sums.
 """
@@ -33,7 +34,11 @@ from .common import Scratch, materialize, reachable, remove, ship, table, text_o
 from .shingles import mix, shingle_sets
 
 #: Members of a cell that one task joins in the first turn (four times as many in each later one, up to LARGEST), and members x shingles of all of them.
-SMALL, LARGEST, WORK = 64, 2048, 400_000_000
+SMALL, LARGEST, WORK = 64, 1024, 200_000_000
+#: After the first turn, cells of up to BLOCKED members with at most WIDE shingles each on average are joined block by block.
+BLOCK, BLOCKED, WIDE = 512, 16_384, 4000
+#: Pivots of a large cell, besides the first of its lists.
+PIVOTS = 8
 #: Rows of a few numbers that may be broadcast (about 80 bytes each).
 FEW = 1_000_000
 #: Members of a large cell that are compared with its pivot in one go.
@@ -189,10 +194,11 @@ def _intersections(lists: list):
     column, owner = np.unique(column[often], return_inverse=True)[1], owner[often]
     shared = np.zeros((m, m), np.int32)
     cuts = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + 2048, 2048))
+    grid = np.zeros((m, 2048), np.float32)
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        grid = np.zeros((m, 2048), np.float32)
+        grid[:] = 0
         grid[owner[a:b], column[a:b] - 2048 * k] = 1
-        shared += (grid @ grid.T).astype(np.int32)
+        np.add(shared, grid @ grid.T, out=shared, casting="unsafe")
     return shared
 
 
@@ -202,14 +208,14 @@ def _near(cells: DataFrame, points: DataFrame, percent: int, parts: int) -> Data
     def close(key, rows):
         import numpy as np
 
-        n = np.array([r[1] for r in rows], np.int64)
+        n = np.array([r[1] for r in rows], np.int32)
         lists = [np.frombuffer(r[2], np.uint64) for r in rows]
         shared = _intersections(lists if key[0] == 0 else [np.sort(x) for x in lists])
         differ = np.zeros_like(shared)
         if key[0] == 0:
             # Two lists of keys in the one order of the first turn are complete up to the smaller of their last keys.
             last = np.array([x[-1] if len(x) < k else np.uint64((1 << 64) - 1) for x, k in zip(lists, n, strict=True)], np.uint64)
-            known = np.stack([np.searchsorted(x, last, "right") for x in lists])
+            known = np.stack([np.searchsorted(x, last, "right").astype(np.int32) for x in lists])
             differ = known + known.T - 2 * shared
         fit = (shared > 0) & (differ <= most_different(n[:, None], n[None, :], percent)) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
         label = np.array([r[3] for r in rows])
@@ -265,8 +271,8 @@ def _both(a, b) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def _join_small(rows: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
-    """(a, b) links of small cells, as many as tie their members together."""
+def _join_small(rows: DataFrame, size: int, percent: int, parts: int, by: list[str]) -> DataFrame:
+    """(a, b) links inside small groups of rows, as many as tie their members together."""
 
     def close(rows):
         import numpy as np
@@ -274,8 +280,8 @@ def _join_small(rows: DataFrame, size: int, percent: int, parts: int) -> DataFra
         if len(rows) == 2:
             (x, its, g), (row, label, h) = rows
             return [(x, row)] if its != label and _linked(_both(g, h), len(g), len(h), percent) else []
-        n, label = np.array([len(r[2]) for r in rows]), np.array([r[1] for r in rows])
-        both = _intersections([r[2] for r in rows]).astype(np.int64)
+        n, label = np.array([len(r[2]) for r in rows], np.int32), np.array([r[1] for r in rows])
+        both = _intersections([r[2] for r in rows])
         tied = (both > 0) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
         tied |= label[:, None] == label[None, :]
         out, seen = [], np.zeros(len(rows), bool)
@@ -298,10 +304,10 @@ def _join_small(rows: DataFrame, size: int, percent: int, parts: int) -> DataFra
 
         at, held, found = None, [], []
         for batch in batches:
-            for region, pivot, row, label, h in zip(*(batch.column(c).to_pylist() for c in ("region", "pivot", "row", "label")), shingle_sets(batch.column("text"), size), strict=True):
-                if (region, pivot) != at:
+            for *key, row, label, h in zip(*(batch.column(c).to_pylist() for c in (*by, "row", "label")), shingle_sets(batch.column("text"), size), strict=True):
+                if key != at:
                     found += close(held) if len(held) > 1 else []
-                    at, held = (region, pivot), []
+                    at, held = key, []
                 held.append((row, label, h))
             if found:
                 yield out(found)
@@ -310,36 +316,50 @@ def _join_small(rows: DataFrame, size: int, percent: int, parts: int) -> DataFra
         if found:
             yield out(found)
 
-    by = ["region", "pivot", "row"]
-    return rows.select(*by, "label", "text").repartition(parts, "region", "pivot").sortWithinPartitions(*by).mapInArrow(compare, "a long, b long")
+    return rows.select(*by, "row", "label", "text").repartition(parts, *by).sortWithinPartitions(*by, "row").mapInArrow(compare, "a long, b long")
+
+
+def _blocks(cells: DataFrame) -> DataFrame:
+    """Members of cells (with m) dealt to blocks of about BLOCK, with a row for each pair of blocks they take part in."""
+    count = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = cells.withColumn("count", count).withColumn("side", F.pmod(F.xxhash64("row"), F.col("count")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    return dealt.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("count", "side", "other", "m")
 
 
 def _around_pivots(rows: DataFrame, size: int, percent: int, parts: int, marks) -> DataFrame:
-    """(region, pivot, row, n, distance, linked, keys, own, inner) of the members of large cells; pivots come first in each run."""
+    """(region, pivot, row, n, distance, links, keys, own, inner) of the members of large cells that are no pivots themselves, and
+    of pivots with distance null; rows of a run with member = 0 are its pivots and come first, that of the cell before the others."""
 
     def compare(batches) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        names = ["region", "pivot", "row", "n", "distance", "linked", "keys", "own", "inner"]
-        types = [pa.int64()] * 4 + [pa.float64(), pa.bool_(), pa.binary(), pa.int64(), pa.bool_()]
-        at, own, order = None, None, Order(marks.value)
+        names = ["region", "pivot", "row", "n", "distance", "links", "keys", "own", "inner"]
+        types = [pa.int64()] * 4 + [pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.bool_()]
+        at, pivots, union, order = None, {}, None, Order(marks.value)
         for batch in batches:
             out = []
-            for region, pivot, run, row, h in zip(*(batch.column(c).to_pylist() for c in ("region", "pivot", "run", "row")), shingle_sets(batch.column("text"), size), strict=True):
-                if row == pivot:
-                    at, own = (region, pivot, run), h
+            for region, pivot, run, member, row, h in zip(*(batch.column(c).to_pylist() for c in ("region", "pivot", "run", "member", "row")), shingle_sets(batch.column("text"), size), strict=True):
+                if (region, pivot, run) != at:
+                    at, pivots, union = (region, pivot, run), {}, None
+                if not member:
+                    pivots[row] = h
                     continue
-                assert at == (region, pivot, run)
-                both = _both(h, own)
-                # If x and y share only shingles of the pivot, min(both_x, both_y) >= t (n_x + n_y) / (1 + t): one of them is inner.
-                inner = both * (100 + percent) >= 2 * percent * len(h)
-                out.append((region, pivot, row, len(h), 1 - both / (len(h) + len(own) - both), _linked(both, len(h), len(own), percent), *order.keys(h, percent, own), inner))
+                if union is None:
+                    union = np.unique(np.concatenate(list(pivots.values())))
+                shared = {p: _both(h, g) for p, g in pivots.items() if p != row}
+                links = [p for p, both in shared.items() if _linked(both, len(h), len(pivots[p]), percent)]
+                distance = None if row in pivots else 1 - shared[pivot] / (len(h) + len(pivots[pivot]) - shared[pivot])
+                # If x and y share only shingles of the pivots, min(both_x, both_y) >= t (n_x + n_y) / (1 + t): one of them is inner.
+                inner = _both(h, union) * (100 + percent) >= 2 * percent * len(h)
+                out.append((region, pivot, row, len(h), distance, links, *order.keys(h, percent, union), inner))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    by = ["region", "pivot", "run", "other", "row"]
-    ordered = rows.withColumn("other", F.col("row") != F.col("pivot")).select(*by, "text").repartition(parts, "region", "pivot", "run").sortWithinPartitions(*by)
-    return ordered.mapInArrow(compare, "region long, pivot long, row long, n long, distance double, linked boolean, keys binary, own long, inner boolean")
+    by = ["region", "pivot", "run", "member", "row"]
+    ordered = rows.select(*by, "text").repartition(parts, "region", "pivot", "run").sortWithinPartitions(*by)
+    return ordered.mapInArrow(compare, "region long, pivot long, row long, n long, distance double, links array<long>, keys binary, own long, inner boolean")
 
 
 def _next_points(tested: DataFrame, comp: DataFrame | None, percent: int) -> DataFrame:
@@ -348,6 +368,7 @@ def _next_points(tested: DataFrame, comp: DataFrame | None, percent: int) -> Dat
     label: the component so far. Documents of the pivot's own component stay only where one of another is within their window.
     """
     r = 1 - percent / 100
+    tested = tested.where("distance is not null")
     if comp is not None:
         tested = tested.join(comp.select(F.col("v").alias("row"), F.col("c").alias("label")), "row", "left").join(comp.select(F.col("v").alias("pivot"), F.col("c").alias("its")), "pivot", "left")
         tested = tested.withColumn("label", F.coalesce("label", "row")).withColumn("its", F.coalesce("its", "pivot"))
@@ -410,19 +431,26 @@ def _components(docs: DataFrame, size: int, percent: int, doc_id: str, text: str
         few = min(LARGEST, SMALL << 2 * turn)
         known = points.select("region", "row", "label", "n")
         facts = cells.join(known, ["region", "row"]).groupBy("region", "pivot").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
-        facts = store.keep(facts.withColumn("small", (F.col("m") <= few) & (F.col("m") * F.col("shingles") <= WORK)).select("region", "pivot", "m", "small"), "facts")
-        near = store.keep(_near(cells.join(facts.where("small"), ["region", "pivot"]).select("region", "pivot", "row"), points, percent, parts), "near")
+        size_class = F.when((F.col("m") <= few) & (F.col("m") * F.col("shingles") <= WORK), "small").when(F.lit(turn > 0) & (F.col("m") <= BLOCKED) & (F.col("shingles") <= WIDE * F.col("m")), "dense").otherwise("large")
+        facts = store.keep(facts.withColumn("how", size_class).select("region", "pivot", "m", "how"), "facts")
+        of = lambda how: cells.join(facts.where(F.col("how") == how).select("region", "pivot", "m"), ["region", "pivot"])  # noqa: B023, E731  used in this turn only
+        near = store.keep(_near(of("small").drop("m"), points, percent, parts), "near")
         rows = _texts(near.join(known, ["region", "row"]), reps, docs, store)
-        links = store.keep(_join_small(rows, size, percent, parts), "links")
-        if not facts.where("not small").limit(1).count():
+        links = store.keep(_join_small(rows, size, percent, parts, ["region", "pivot"]), "links")
+        if facts.where("how = 'dense'").limit(1).count():
+            rows = _texts(_blocks(of("dense").join(known.drop("n"), ["region", "row"])), reps, docs, store)
+            links = links.unionByName(store.keep(_join_small(rows, size, percent, parts, ["region", "pivot", "lo", "hi"]), "dense"))
+        if not facts.where("how = 'large'").limit(1).count():
             comp = _merged(comp, links, store)
             break
-        large = cells.join(facts.where("not small"), ["region", "pivot"]).select("region", "pivot", "row", "m")
         runs = F.ceil(F.col("m") / RUN).cast("int")
-        dealt = F.when(F.col("row") == F.col("pivot"), F.sequence(F.lit(0), runs - 1)).otherwise(F.array(F.pmod(F.xxhash64("row"), runs).cast("int")))
-        large = large.select("region", "pivot", "row", F.explode(dealt).alias("run"))
-        tested = store.keep(_around_pivots(_texts(large, reps, docs, store), size, percent, parts, marks), "tested")
-        comp = _merged(comp, links.unionByName(tested.where("linked").select(F.col("row").alias("a"), F.col("pivot").alias("b"))), store)
+        members = of("large").withColumn("runs", runs)
+        drawn = members.groupBy("region", "pivot", F.pmod(F.xxhash64(F.lit(9), "row"), F.lit(PIVOTS)).alias("draw")).agg(F.min("row").alias("row"), F.first("runs").alias("runs"))
+        drawn = drawn.select("region", "pivot", "row", "runs").where("row <> pivot").unionByName(members.where("row = pivot").select("region", "pivot", "row", "runs"))
+        pivots = drawn.select("region", "pivot", "row", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(0).alias("member"))
+        members = members.select("region", "pivot", "row", F.pmod(F.xxhash64("row"), F.col("runs")).cast("int").alias("run"), F.lit(1).alias("member"))
+        tested = store.keep(_around_pivots(_texts(members.unionByName(pivots), reps, docs, store), size, percent, parts, marks), "tested")
+        comp = _merged(comp, links.unionByName(tested.select(F.col("row").alias("a"), F.explode("links").alias("b"))), store)
         after = store.keep(_next_points(tested, comp, percent), "points")
         store.drop(cells, facts, near, links, tested, *([points] if turn else []))
         points, turn = after, turn + 1

@@ -184,7 +184,11 @@ def crowded(rng, n=80):
 
 @pytest.mark.parametrize(("size", "percent", "small"), [(5, 80, 64), (4, 85, 3)])
 def test_jaccard_crowded_regions(spark, monkeypatch, size, percent, small):
-    """Small limits send every cell through the recursion: pivots, rings, runs."""
+    """Small limits send every cell through the recursion: pivots, rings, runs, blocks."""
+    if small < 64:
+        monkeypatch.setattr(jaccard, "PIVOTS", 2)
+        monkeypatch.setattr(jaccard, "BLOCK", 6)
+        monkeypatch.setattr(jaccard, "BLOCKED", 25)
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "LARGEST", 4 * small)
     monkeypatch.setattr(jaccard, "RUN", 20)
