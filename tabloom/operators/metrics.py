@@ -135,3 +135,83 @@ def calinski_harabasz(df: DataFrame, features: list[str], cluster: str) -> DataF
     between = sum((F.sum(F.col("n") * F.col(f"m{i}") * F.col(f"m{i}")) - F.pow(F.sum(F.col("n") * F.col(f"m{i}")), F.lit(2.0)) / n for i in range(len(features))), F.lit(0.0))
     within = F.sum(F.col("n") * F.col("v"))
     return per.agg(F.when((k > 1) & (within > 0), between / (k - 1) / (within / (n - k))).alias("calinski_harabasz"))
+
+
+def binary_averages(df: DataFrame, y: str, p: str, positive, beta: float = 1.0) -> DataFrame:
+    """precision, recall, f1 and fbeta of the positive class; 0 where undefined. Needs exactly two classes."""
+    if not 0 < beta <= 100:
+        raise ValueError("beta lies above 0 and at most at 100")
+    if df.select(F.col(y).alias("c")).unionByName(df.select(F.col(p).alias("c"))).where("c is not null").distinct().limit(3).count() != 2:
+        raise ValueError("binary averages need two classes")
+    tp, fp, fn = (F.count_if((F.col(y) == positive) & (F.col(p) == positive)), F.count_if((F.col(y) != positive) & (F.col(p) == positive)), F.count_if((F.col(y) == positive) & (F.col(p) != positive)))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    b2 = beta * beta
+    return df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).agg(
+        ratio(tp, tp + fp).alias("precision_binary"), ratio(tp, tp + fn).alias("recall_binary"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1_binary"), ratio((1 + b2) * tp, (1 + b2) * tp + b2 * fn + fp).alias("fbeta_binary"),
+    )
+
+
+def multiclass_log_loss(df: DataFrame, y: str, probabilities: dict, eps: float = 2.220446049250313e-16) -> DataFrame:
+    """Mean of -ln of the probability of the true class, clipped; probabilities: class -> column."""
+    own = F.coalesce(*[F.when(F.col(y) == c, F.col(q)) for c, q in probabilities.items()])
+    return df.agg(F.avg(-F.ln(F.least(F.greatest(own, F.lit(eps)), F.lit(1 - eps)))).alias("log_loss"))
+
+
+def _auc(df: DataFrame, positive: str, score: str) -> tuple[float | None, int]:
+    """(area under the curve, number of positives) by counts over distinct scores; ties count half."""
+    from ..functions.columns import running_total
+
+    d = df.select(F.col(score).cast("double").alias("s"), F.col(positive).cast("long").alias("y")).groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    r = running_total(d, "s", "neg", "below").agg(F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2)).alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    return (r["won"] / (r["p"] * r["n"]) if r["p"] and r["n"] else None), int(r["p"] or 0)
+
+
+def multiclass_auc(df: DataFrame, y: str, scores: dict) -> DataFrame:
+    """roc_auc (one against the rest, mean over classes), roc_auc_weighted (by class size), roc_auc_ovo (mean over pairs of classes,
+    each both ways); null if a class has no rows. scores: class -> column; two jobs per class or pair, whatever the rows."""
+    rest = {c: _auc(df.withColumn("_y", (F.col(y) == c).cast("int")), "_y", q) for c, q in scores.items()}
+    full = all(a is not None for a, _ in rest.values())
+    pairs = []
+    for a, qa in scores.items():
+        for b in scores:
+            if a != b:
+                pairs.append(_auc(df.where(F.col(y).isin(a, b)).withColumn("_y", (F.col(y) == a).cast("int")), "_y", qa)[0])
+    n = sum(k for _, k in rest.values())
+    row = (sum(a for a, _ in rest.values()) / len(rest), sum(a * k for a, k in rest.values()) / n, sum(pairs) / len(pairs)) if full else (None, None, None)
+    return df.sparkSession.createDataFrame([row], "roc_auc double, roc_auc_weighted double, roc_auc_ovo double")
+
+
+def cluster_information(df: DataFrame, reference: str, label: str) -> DataFrame:
+    """homogeneity, completeness, v_measure, normalized_mutual_info and fowlkes_mallows of two labellings, from their contingency table."""
+    cells = df.where(F.col(reference).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(reference).alias("r"), F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    rows, cols = cells.groupBy("r").agg(F.sum("n").alias("a")), cells.groupBy("l").agg(F.sum("n").alias("b"))
+    total = rows.agg(F.sum("a").alias("t"))
+    plogp = lambda c: F.sum(-F.col(c) / F.col("t") * F.ln(F.col(c) / F.col("t")))
+    hr = rows.crossJoin(F.broadcast(total)).agg(plogp("a").alias("hr"), F.sum(F.col("a") * (F.col("a") - 1) / 2).alias("pr"))
+    hl = cols.crossJoin(F.broadcast(total)).agg(plogp("b").alias("hl"), F.sum(F.col("b") * (F.col("b") - 1) / 2).alias("pl"))
+    mi = cells.join(rows, "r").join(cols, "l").crossJoin(F.broadcast(total)).agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("a") * F.col("b")))).alias("mi"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pp"))
+    x = mi.crossJoin(F.broadcast(hr)).crossJoin(F.broadcast(hl))  # one row each
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(1.0))
+    h, c = share(F.col("mi"), F.col("hr")), share(F.col("mi"), F.col("hl"))
+    return x.select(
+        h.alias("homogeneity"), c.alias("completeness"), F.when(h + c > 0, 2 * h * c / (h + c)).otherwise(F.lit(0.0)).alias("v_measure"),
+        share(F.col("mi"), (F.col("hr") + F.col("hl")) / 2).alias("normalized_mutual_info"), F.when((F.col("pr") > 0) & (F.col("pl") > 0), F.col("pp") / F.sqrt(F.col("pr") * F.col("pl"))).otherwise(F.lit(0.0)).alias("fowlkes_mallows"),
+    )
+
+
+def davies_bouldin(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Mean over clusters of the worst (spread + spread) / distance of centres; centres, one row per cluster, are compared with each other."""
+    known = df.dropna(subset=[*features, label]).where(F.col(label).cast("string") != "-1")
+    centers = known.groupBy(label).agg(*[F.avg(f).alias(f"_c_{f}") for f in features])
+    if centers.limit(1001).count() > 1000:
+        raise ValueError("more than 1000 clusters")
+    gap = sum(((F.col(f) - F.col(f"_c_{f}")) ** 2 for f in features), F.lit(0.0))
+    spread = known.join(centers, label).groupBy(label).agg(F.avg(F.sqrt(gap)).alias("_s"), *[F.first(f"_c_{f}").alias(f"_c_{f}") for f in features])
+    a, b = (spread.select(*[F.col(c).alias(f"{c}_{side}") for c in spread.columns]) for side in ("x", "y"))
+    far = F.sqrt(sum(((F.col(f"_c_{f}_x") - F.col(f"_c_{f}_y")) ** 2 for f in features), F.lit(0.0)))
+    worst = a.join(b, F.col(f"{label}_x") != F.col(f"{label}_y")).groupBy(f"{label}_x").agg(F.max((F.col("_s_x") + F.col("_s_y")) / far).alias("w"))  # at most 1000 x 1000
+    return worst.agg(F.avg("w").alias("davies_bouldin"))
+
+
+def anomaly_fraction(df: DataFrame, label: str = "anomaly") -> DataFrame:
+    return df.agg(F.avg((F.col(label) == -1).cast("double")).alias("anomaly_fraction"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import correlation_of, is_numeric, ranked, running_total, shuffle_key, value_bucket
+from ..functions.columns import correlation_of, finite, is_numeric, ranked, running_total, shuffle_key, value_bucket
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -158,3 +158,23 @@ def missing_matrix(df: DataFrame, key: str, columns: list[str], sample_size: int
 def scatter(df: DataFrame, key: str, columns: list[str], sample_size: int = 2000, seed: int = 0) -> DataFrame:
     """A reproducible sample of the rows where all columns are known."""
     return df.dropna(subset=columns).orderBy(shuffle_key(seed, key), key).limit(sample_size).select(key, *columns)
+
+
+def auto_histogram(df: DataFrame, column: str, top: int = 30) -> DataFrame:
+    """(bin, low, high, n): min(30, ceil(sqrt n)) equal bins of a numeric column, one bin for a constant; for text (value, n): the most
+    frequent values and the rest together as a null value."""
+    if not is_numeric(df.schema[column]):
+        counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        first = counts.orderBy(F.desc("n"), "value").limit(top)
+        rest = counts.join(first.select("value"), "value", "left_anti").agg(F.lit(None).cast("string").alias("value"), F.sum("n").alias("n")).where("n is not null")
+        return first.select(F.col("value").cast("string").alias("value"), "n").unionByName(rest)
+    x = finite(F.col(column))
+    low, high, n = df.select(x.alias("x")).agg(F.min("x"), F.max("x"), F.count("x")).first()
+    if not n:
+        return df.sparkSession.createDataFrame([], "bin long, low double, high double, n long")
+    bins = 1 if low == high else min(30, int(-(-(n**0.5) // 1)))
+    width = (high - low) / bins
+    at = F.least(F.lit(bins - 1), F.floor((F.col("x") - low) / width)) if width else F.lit(0)
+    counts = df.select(x.alias("x")).where("x is not null").groupBy(at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").alias("bin"), (F.lit(low) + F.col("id") * width).alias("low"), (F.lit(low) + (F.col("id") + 1) * width).alias("high"))
+    return every.join(counts, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

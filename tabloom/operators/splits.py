@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ordered_rank, ranked, shuffle_key, shuffled_rank, value_bucket
+from ..functions.columns import ordered_rank, ranked, shuffled_rank, value_bucket
 
 #: Folds that leave_one_group_out makes.
 MOST_GROUPS = 100
@@ -18,6 +18,12 @@ def _part(rank: Column, n: Column, train: float, validation: float) -> Column:
     return F.when(rank <= a, "train").when(rank <= b, "validation").otherwise("test")
 
 
+def _ordered_part(rank: Column, n: Column, train: float, validation: float) -> Column:
+    """Cuts at floor(n f) and floor(n (f + f_v))."""
+    a, b = F.floor(n * train + 1e-9), F.floor(n * (train + validation) + 1e-9)
+    return F.when(rank <= a, "train").when(rank <= b, "validation").otherwise("test")
+
+
 def holdout(df: DataFrame, key: str, train: float = 0.6, validation: float = 0.2, seed: int = 0, strata: str | None = None) -> DataFrame:
     """df with split; within each stratum if one is given."""
     by = [strata] if strata else []
@@ -35,16 +41,16 @@ def group_holdout(df: DataFrame, group: str, train: float = 0.6, validation: flo
 
 def ordered_holdout(df: DataFrame, order: str, train: float = 0.6, validation: float = 0.2) -> DataFrame:
     n = df.agg(F.count(F.lit(1)).alias("_n"))
-    return ordered_rank(df, order, None, "_rank").crossJoin(F.broadcast(n)).withColumn("split", _part(F.col("_rank"), F.col("_n"), train, validation)).drop("_rank", "_n")
+    return ordered_rank(df, order, None, "_rank").crossJoin(F.broadcast(n)).withColumn("split", _ordered_part(F.col("_rank"), F.col("_n"), train, validation)).drop("_rank", "_n")
 
 
 def chronological_holdout(df: DataFrame, origin: str, target_time: str, train: float = 0.6, validation: float = 0.2) -> DataFrame:
     """Cuts between unique origins; rows whose label lies in a later part are left out."""
-    origins = df.select(origin).distinct().withColumn("_u", F.unix_micros(origin).cast("double"))
+    origins = df.select(origin).distinct().withColumn("_u", F.unix_micros(F.col(origin).cast("timestamp")).cast("double"))
     r = ranked(origins, [F.col(origin)], value_bucket(origins, "_u"), None, "_rank")
     n = origins.count()
     a = int(n * train + 1e-9)
-    b = a + int((n - a) * (validation / (1 - train)) + 1e-9)
+    b = int(n * (train + validation) + 1e-9)
     cut = r.agg(F.min(F.when(F.col("_rank") > a, F.col(origin))).alias("_v"), F.min(F.when(F.col("_rank") > b, F.col(origin))).alias("_t"))
     x = df.crossJoin(F.broadcast(cut))
     split = F.when((F.col(origin) < F.col("_v")) & (F.col(target_time) < F.col("_v")), "train").when((F.col(origin) >= F.col("_v")) & (F.col(origin) < F.col("_t")) & (F.col(target_time) < F.col("_t")), "validation").when(F.col(origin) >= F.col("_t"), "test")
@@ -107,7 +113,7 @@ def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     Sizes are counted first; groups of one size are dealt round robin, so only distinct sizes reach the driver.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    r = sizes.withColumn("_i", F.row_number().over(Window.partitionBy("_size").orderBy(F.desc("_size"), F.col(group))) - 1)
+    r = ranked(sizes, [F.col(group)], F.substring(F.md5(F.col(group).cast("string")), 1, 2), ["_size"], "_i").withColumn("_i", F.col("_i") - 1)
     load, first = [0] * k, {}
     for row in sizes.groupBy("_size").count().orderBy(F.desc("_size")).collect():
         order = sorted(range(k), key=lambda f: (load[f], f))
@@ -145,5 +151,10 @@ def fold_summary(scores: DataFrame, metric: str = "metric", value: str = "value"
     return scores.groupBy(metric).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("valid_folds"))
 
 
-def hash_order(seed: int, key: str) -> Column:
-    return shuffle_key(seed, key)
+
+def leave_one_out(df: DataFrame, key: str, most: int = MOST_GROUPS) -> DataFrame:
+    """A fold per row, in the order of key; refuses more than most rows."""
+    found = df.limit(most + 1)
+    if found.count() > most:
+        raise ValueError(f"more than {most} rows")
+    return found.withColumn("fold", (F.row_number().over(Window.orderBy(key)) - 1).cast("int"))

@@ -646,3 +646,6 @@ def flagship_ridge(t):
     df = t("lineitem")
     path = df.inputFiles()[0].rpartition("/lineitem.parquet")[0]
     return flagship(df.sparkSession, path)
+
+
+from . import queries_learn  # noqa: E402, F401  registers its queries with the decorator above
