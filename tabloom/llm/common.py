@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import shutil
 import tempfile
@@ -92,12 +91,6 @@ class Scratch:
                 remove(self.spark, self.paths.pop(k)[0])
 
 
-    def free(self) -> None:
-        """Lets Spark delete the shuffle files of steps that are over: it does so when its driver finds their plans unreachable."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of ours by the file system that it lies in."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

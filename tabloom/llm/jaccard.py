@@ -178,8 +178,6 @@ def _cells(points: DataFrame, store: Scratch) -> DataFrame:
     lists = store.keep(keys.groupBy("list").agg(F.min("row").alias("pivot"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("inner").alias("_inner")).where("l0 <> l1 and _inner").select("list", "pivot"), "lists")
     out = store.keep(keys.select("region", "list", "row").join(lists, "list").select("region", "pivot", "row").distinct(), "cells")
     store.drop(lists)
-    del keys
-    store.free()
     return out
 
 
@@ -424,7 +422,6 @@ def _components(docs: DataFrame, size: int, percent: int, doc_id: str, text: str
     sets = store.keep(_sets(docs, size, percent, marks).withColumn("row", F.monotonically_increasing_id()), "sets")
     least = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("row"))
     reps = store.keep(sets.join(least.select("row"), "row", "left_semi"), "reps")
-    store.free()
     if sets.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
         docs = store.keep(docs.dropDuplicates(["doc_id", "text_hash"]), "docs")
     points = reps.select(F.lit(0).cast("long").alias("region"), "row", F.col("row").alias("label"), "n", "keys", (F.length("keys") / 8).cast("long").alias("own"), F.lit(True).alias("inner"))
@@ -439,7 +436,6 @@ def _components(docs: DataFrame, size: int, percent: int, doc_id: str, text: str
         of = lambda how: cells.join(facts.where(F.col("how") == how).select("region", "pivot", "m"), ["region", "pivot"])  # noqa: B023, E731  used in this turn only
         near = store.keep(_near(of("small").drop("m"), points, percent, parts), "near")
         rows = _texts(near.join(known, ["region", "row"]), reps, docs, store)
-        store.free()
         links = store.keep(_join_small(rows, size, percent, parts, ["region", "pivot"]), "links")
         if facts.where("how = 'dense'").limit(1).count():
             rows = _texts(_blocks(of("dense").join(known.drop("n"), ["region", "row"])), reps, docs, store)
@@ -458,7 +454,6 @@ def _components(docs: DataFrame, size: int, percent: int, doc_id: str, text: str
         after = store.keep(_next_points(tested, comp, percent), "points")
         store.drop(cells, facts, near, links, tested, *([points] if turn else []))
         points, turn = after, turn + 1
-        store.free()
     found = reps.select("row", "n", "s1", "s2")
     found = found.withColumn("component", F.col("row")) if comp is None else found.join(comp.withColumnRenamed("v", "row"), "row", "left").withColumn("component", F.coalesce("c", "row"))
     mine = store.keep(found.select("n", "s1", "s2", "component"), "mine")
