@@ -8,8 +8,8 @@ most r = 1 - percent / 100. The join recurses over regions:
   link of a set of n has one of its first ``n - ceil(t n) + 1`` shingles (its keys) in common with its partner. All
   documents of the region with a common key form a list, the first of a list is its pivot, and a document belongs to
   the cells of the pivots of all its lists: both ends of every link meet in a cell.
-* Small cells are joined by one task: keys bound distances from below, which leaves few members, and only the
-  shingle sets of these are sent there, each once, and compared exactly.
+* Small cells are joined by one task: keys, in the one order of the region, bound distances from below, which leaves few
+  members, and only the texts of these are sent there, each once, and compared exactly.
 * Large cells become regions of the next turn. Every member is compared with the pivot and a few more. Rings of width 2r around
   the pivot divide the cell, and by the triangle inequality it suffices to replicate the documents in the outer half of a
   ring to the next ring. Documents linked to the pivot are in one component already; they stay only if another document lies
@@ -34,7 +34,9 @@ from .common import Scratch, materialize, reachable, remove, ship, table, text_o
 from .shingles import mix, shingle_sets
 
 #: Members of a cell that one task joins in the first turn (four times as many in each later one, up to LARGEST), and members x shingles of all of them.
-SMALL, LARGEST, WORK = 64, 1024, 200_000_000
+SMALL, LARGEST, WORK = 256, 1024, 200_000_000
+#: Shingles that come first in more sets than that are marked as frequent.
+OFTEN = 64
 #: After the first turn, cells of up to BLOCKED members with at most WIDE shingles each on average are joined block by block.
 BLOCK, BLOCKED, WIDE = 512, 16_384, 4000
 #: Pivots of a large cell, besides the first of its lists.
@@ -109,7 +111,7 @@ def _frequent(docs: DataFrame, size: int, percent: int) -> bytes | None:
         if held:
             yield out()
 
-    often = docs.select("text").mapInArrow(scan, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > SMALL)
+    often = docs.select("text").mapInArrow(scan, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > OFTEN)
     often = materialize(often.select("key"), "often")
     n = often.count()
     bits = 1 << max(16, min(24, (16 * n).bit_length()))
@@ -203,20 +205,35 @@ def _intersections(lists: list):
 
 
 def _near(cells: DataFrame, points: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(region, pivot, row) of the members of small cells that may have a link there, by their keys alone."""
+    """(region, pivot, row) of the members of small cells that may have a link there, by the upper halves of their keys alone.
 
-    def close(key, rows):
+    The order of a region has shingles outside its pivots first. Halves that agree by chance make a member stay that need not;
+    they never make one go.
+    """
+
+    def halve(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            short = []
+            for raw, own in zip(batch.column("keys").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                k = np.frombuffer(raw, np.uint64) >> np.uint64(1)
+                k[own:] |= np.uint64(1 << 63)
+                short.append((k >> np.uint64(32)).astype(np.uint32).tobytes())
+            columns = [pa.array(short, pa.binary()) if c == "keys" else batch.column(c) for c in ("region", "row", "n", "keys", "label")]
+            yield pa.RecordBatch.from_arrays(columns, names=["region", "row", "n", "keys", "label"])
+
+    def close(rows):
         import numpy as np
 
         n = np.array([r[1] for r in rows], np.int32)
-        lists = [np.frombuffer(r[2], np.uint64) for r in rows]
-        shared = _intersections(lists if key[0] == 0 else [np.sort(x) for x in lists])
-        differ = np.zeros_like(shared)
-        if key[0] == 0:
-            # Two lists of keys in the one order of the first turn are complete up to the smaller of their last keys.
-            last = np.array([x[-1] if len(x) < k else np.uint64((1 << 64) - 1) for x, k in zip(lists, n, strict=True)], np.uint64)
-            known = np.stack([np.searchsorted(x, last, "right").astype(np.int32) for x in lists])
-            differ = known + known.T - 2 * shared
+        lists = [np.unique(np.frombuffer(r[2], np.uint32)) for r in rows]
+        shared = _intersections(lists)
+        # Two lists of keys in the one order of their region are complete below the smaller of their last keys, also as upper halves.
+        last = np.array([x[-1] if len(x) < k else 1 << 32 for x, k in zip(lists, n, strict=True)], np.uint64)
+        known = np.stack([np.searchsorted(x, last).astype(np.int32) for x in lists])
+        differ = known + known.T - 2 * shared
         fit = (shared > 0) & (differ <= most_different(n[:, None], n[None, :], percent)) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
         label = np.array([r[3] for r in rows])
         fit &= label[:, None] != label[None, :]
@@ -233,18 +250,19 @@ def _near(cells: DataFrame, points: DataFrame, percent: int, parts: int) -> Data
             for region, pivot, row, n, keys, label in zip(*(batch.column(c).to_pylist() for c in ("region", "pivot", "row", "n", "keys", "label")), strict=True):
                 if (region, pivot) != at:
                     if len(rows) > 1:
-                        found += [(*at, r) for r in close(at, rows)]
+                        found += [(*at, r) for r in close(rows)]
                     at, rows = (region, pivot), []
                 rows.append((row, n, keys, label))
             if found:
                 yield out(found)
                 found = []
         if len(rows) > 1:
-            found += [(*at, r) for r in close(at, rows)]
+            found += [(*at, r) for r in close(rows)]
         if found:
             yield out(found)
 
-    rows = cells.join(points.select("region", "row", "n", "keys", "label"), ["region", "row"]).select("region", "pivot", "row", "n", "keys", "label")
+    short = points.select("region", "row", "n", "keys", "label", "own").mapInArrow(halve, "region long, row long, n long, keys binary, label long")
+    rows = cells.join(short, ["region", "row"]).select("region", "pivot", "row", "n", "keys", "label")
     return rows.repartition(parts, "region", "pivot").sortWithinPartitions("region", "pivot", "row").mapInArrow(compare, "region long, pivot long, row long")
 
 
@@ -419,9 +437,11 @@ def _components(docs: DataFrame, size: int, percent: int, doc_id: str, text: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     marks = spark.sparkContext.broadcast(_frequent(docs, size, percent))  # at most 2 MB
-    sets = store.keep(_sets(docs, size, percent, marks).withColumn("row", F.monotonically_increasing_id()), "sets")
-    least = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("row"))
-    reps = store.keep(sets.join(least.select("row"), "row", "left_semi"), "reps")
+    keyed = store.keep(_sets(docs, size, percent, marks).withColumn("row", F.monotonically_increasing_id()), "sets")
+    least = keyed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("row"))
+    reps = store.keep(keyed.join(least.select("row"), "row", "left_semi"), "reps")
+    sets = store.keep(keyed.drop("keys"), "sets")
+    store.drop(keyed)
     if sets.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
         docs = store.keep(docs.dropDuplicates(["doc_id", "text_hash"]), "docs")
     points = reps.select(F.lit(0).cast("long").alias("region"), "row", F.col("row").alias("label"), "n", "keys", (F.length("keys") / 8).cast("long").alias("own"), F.lit(True).alias("inner"))
