@@ -7,7 +7,8 @@ document, so it is not used here (see the README); the same exact result comes f
 * every window of ``length`` bytes has one anchor, the smallest hash among its ``GRAM``-byte strings, so equal windows
   have equal anchors at equal places;
 * the windows of one anchor are a run; a run whose whole content occurs twice is repeated as a whole;
-* only the rest, runs that share an anchor but differ somewhere, is compared window by window.
+* only the rest, runs that share an anchor but differ somewhere, is compared window by window, or, where one anchor has many
+  such runs, by pieces that are split until they are settled.
 
 Whole texts that are equal take part once. Equality is that of 64-bit hashes of strings found at equal anchors.
 """
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, ship, table, text_of, unique_ids
+from .common import Scratch, materialize, numbered, ship, table, text_of, unique_ids
 
 GRAM = 100
-#: Differing runs of one anchor that one task compares by itself; beyond, windows are counted by Spark.
+#: Differing runs of one anchor that one task compares by itself; beyond, Spark compares pieces of them.
 GROUP = 512
 _MASK, _BASE = (1 << 64) - 1, 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple] = {}
@@ -200,21 +201,59 @@ def _compare_groups(cut: DataFrame, length: int, parts: int) -> DataFrame:
     return small.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "doc_id long, first int, last int")
 
 
-def _compare_crowds(cut: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with many differing runs: their windows are counted by hash."""
+def _split(rows: DataFrame, length: int, width: int) -> DataFrame:
+    """Pieces of runs: the windows whose distance before the anchor lies in one block of ``width`` distances.
+
+    ``core`` is the hash of the bytes that every window of such a block has, ``whole`` that of all bytes of the piece's windows.
+    """
 
-    def spread(batches) -> Iterator:
+    def split(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        names = ["doc_id", "open", "place", "first", "last", "core", "whole", "body"]
+        types = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for doc, place, first, last, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "place", "first", "last", "body")), strict=True):
-                h = _hashes(body, place, first, last, length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), doc, np.int64)), pa.array(h.view(np.int64)), pa.array(np.arange(first, last + 1, dtype=np.int32))], names=["doc_id", "window", "at"])
+            out = [[] for _ in names]
+            for doc, new, place, first, last, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "open", "place", "first", "last", "body")), strict=True):
+                block = np.arange((place - last) // width, (place - first) // width + 1)
+                low, high = np.maximum(block * width, place - last), np.minimum(block * width + width - 1, place - first)
+                starts, ends, s = place - high, place - low, Sums(body)
+                at = place - first - block * width
+                core = s.of(at, at - width + 1 + length) ^ _mix(block.astype(np.uint64) + np.uint64(77))
+                whole = s.of(starts - first, ends - first + length) ^ _mix(low.astype(np.uint64) * np.uint64(1000003) + high.astype(np.uint64))
+                bodies = [body[x - first : y - first + length] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+                n = len(block)
+                for column, values in zip(out, ([doc] * n, [new] * n, [place] * n, starts.tolist(), ends.tolist(), core.view(np.int64).tolist(), whole.view(np.int64).tolist(), bodies), strict=True):
+                    column += values
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+
+    return rows.select("doc_id", "open", "place", "first", "last", "body").mapInArrow(split, "doc_id long, open boolean, place int, first int, last int, core long, whole long, body binary")
+
 
-    rows = materialize(cut.where("crowd").mapInArrow(spread, "doc_id long, window long, at int"), "windows")
-    again = materialize(rows.groupBy("window").count().where("count > 1").select("window"), "again")
-    return rows.join(again, "window").select("doc_id", F.col("at").alias("first"), F.col("at").alias("last"))
+def _compare_crowds(cut: DataFrame, length: int) -> DataFrame:
+    """The same for anchors with many differing runs, by ever shorter pieces; rows grow with the runs, not with their windows.
+
+    Equal windows have equal cores. A piece whose whole content occurs twice is repeated; one of each content goes on as a partner
+    of others. A piece whose core no other content has is not repeated. Only what is left is split again, down to single windows.
+    """
+    store, found, done = Scratch(cut.sparkSession), None, []
+    rows, width = cut.where("crowd").withColumn("open", F.lit(True)), 1 << max(0, (length - min(GRAM, length) + 1).bit_length() - 2)
+    while True:
+        pieces = store.keep(_split(rows, length, width), "pieces")
+        store.drop(*done)
+        kinds = store.keep(pieces.groupBy("core", "whole").agg(F.count("*").alias("same"), F.min(F.struct("doc_id", "first")).alias("x")), "kinds")
+        again = pieces.where("open").join(kinds.where("same > 1").select("core", "whole"), ["core", "whole"]).select("doc_id", "first", "last")
+        again, done = materialize(again, "again"), [pieces, kinds]
+        found = again if found is None else found.unionByName(again)
+        several = kinds.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+        ahead = kinds.join(several, "core").select("x.doc_id", "x.first", (F.col("same") == 1).alias("single"))
+        rows = pieces.join(ahead, ["doc_id", "first"]).withColumn("open", F.col("open") & F.col("single"))
+        if width == 1 or not rows.limit(1).count():
+            store.drop(*done)
+            return found
+        width = max(1, width // 4)
 
 
 def repeated_bytes(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

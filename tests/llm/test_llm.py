@@ -226,6 +226,32 @@ def test_repeated_bytes(docs, empty):
     assert repeats.repeated_bytes(empty, length).count() == 0
 
 
+@pytest.mark.parametrize("length", [120, 160, 400])
+def test_repeated_bytes_of_crowded_anchors(spark, monkeypatch, length):
+    """Every anchor with two differing runs counts as crowded; near copies, a common line in unlike texts, and plain copies."""
+    monkeypatch.setattr(repeats, "GROUP", 1)
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    base, line = [word() for _ in range(300)], " ".join(word() for _ in range(22))
+    texts = []
+    for i in range(30):
+        near = list(base)
+        for at in rng.integers(0, 300, i % 4):
+            near[at] = word()
+        texts.append(" ".join(near[rng.integers(0, 40) :]))
+    texts += [" ".join([*(word() for _ in range(40)), line, *(word() for _ in range(i))]) for i in range(25)]
+    texts += [texts[3], texts[40], line + line, "é" * length, ""]
+    data = [t.encode() for t in texts]
+    seen = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    for r in repeats.repeated_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length).collect():
+        b = data[r.doc_id]
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        assert r.n_removed == gone.sum() and bytes(r.kept) == bytes(np.frombuffer(b, np.uint8)[~gone])
+
+
 def test_vectors_find_links_and_skip_bad_ones(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 16))
