@@ -7,12 +7,13 @@ with one entry for all unseen words of the class.
 
 Weights are trained by rounds of distributed gradient updates: in a round every task runs gradient steps over its own
 documents from the common weights, and the tasks' results are averaged by tokens; each round takes its own share of the
-documents, so that all training tokens are used. Counts are gathered per block of documents, summed over the corpus, and
+documents, so that all training tokens are used. The buckets grow with the distinct words of the training documents. Counts are gathered per block of documents, summed over the corpus, and
 returned to the blocks that use the words, so that a block holds only its own vocabulary, whatever the corpus has.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialize, ship, table, text_of
 
 CLASSES = 32
+#: Least buckets of a feature; see buckets_for().
 BUCKETS = 1 << 12
 FEATURES = 3
 STEP = 8192
@@ -70,7 +72,16 @@ def tokens(texts: list[str]):
     return seen.hashes[where], seen.classes[where], ends
 
 
-def histories(h, starts):
+def buckets_for(words: int) -> int:
+    """Buckets of each feature for a corpus of so many distinct words: a power of two, at least eight times the square root."""
+    return max(BUCKETS, 1 << math.ceil(math.log2(8 * max(1, words) ** 0.5)))
+
+
+def buckets_of(weights) -> int:
+    return (len(weights) - 1) // FEATURES
+
+
+def histories(h, starts, buckets: int = BUCKETS):
     """Feature buckets of each token: (tokens, FEATURES)."""
     import numpy as np
 
@@ -78,7 +89,7 @@ def histories(h, starts):
     one[starts[:-1]] = START
     two = np.concatenate([[START], one[:-1]]).astype(np.uint64)
     two[starts[:-1]] = START
-    mix = lambda x, k: ((x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD + 2 * k) >> np.uint64(40)) % np.uint64(BUCKETS) + np.uint64(k * BUCKETS)
+    mix = lambda x, k: ((x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD + 2 * k) >> np.uint64(40)) % np.uint64(buckets) + np.uint64(k * buckets)
     return np.stack([mix(one, 0), mix(two, 1), mix(one * np.uint64(0x9E3779B97F4A7C15) + two, 2)], axis=1).astype(np.int64)
 
 
@@ -113,7 +124,8 @@ def descend(weights, h, c, starts, rate: float):
     """One pass of damped gradient steps over the tokens, in place."""
     import numpy as np
 
-    feats = histories(h, starts)
+    buckets = buckets_of(weights)
+    feats = histories(h, starts, buckets)
     for at in range(0, len(h), STEP):
         f, y = feats[at : at + STEP], c[at : at + STEP]
         g = class_scores(weights, f)
@@ -122,21 +134,21 @@ def descend(weights, h, c, starts, rate: float):
         g[np.arange(len(y)), y] -= 1
         weights[-1] -= rate * g.mean(axis=0)
         for k in range(FEATURES):
-            # Buckets of a feature fit 16 bits, for which numpy sorts by digits.
-            bucket = (f[:, k] - k * BUCKETS).astype(np.uint16)
+            # While the buckets of a feature fit 16 bits, numpy sorts them by digits.
+            bucket = (f[:, k] - k * buckets).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
             order = np.argsort(bucket, kind="stable")
             bucket = bucket[order]
             first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             share = rate / (np.diff(first, append=len(bucket)) + 4.0)
-            weights[bucket[first].astype(np.int64) + k * BUCKETS] -= np.add.reduceat(g.take(order, axis=0), first, axis=0) * share[:, None].astype(weights.dtype)
+            weights[bucket[first].astype(np.int64) + k * buckets] -= np.add.reduceat(g.take(order, axis=0), first, axis=0) * share[:, None].astype(weights.dtype)
 
 
 def _train_round(docs: DataFrame, weights, rate: float):
-    """The average of the tasks' weights after one pass over docs, by tokens."""
+    """The average of the tasks' weights after one pass over docs, by tokens; docs has few enough tasks for what they return."""
     import numpy as np
 
     start, chunk = weights.astype(np.float32), 256
-    shared = docs.sparkSession.sparkContext.broadcast(start.tobytes())  # fixed size: (FEATURES * BUCKETS + 1) x CLASSES
+    shared = docs.sparkSession.sparkContext.broadcast(start.tobytes())  # (FEATURES * buckets + 1) x CLASSES, which grows as the square root of the distinct words
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -176,11 +188,16 @@ def _train_round(docs: DataFrame, weights, rate: float):
     return result
 
 
-def train(docs: DataFrame, rounds: int = 2, rate: float = 1.0):
-    """Class weights from training documents; zero weights (uniform classes) without any."""
+def train(docs: DataFrame, rounds: int = 2, rate: float = 1.0, buckets: int = BUCKETS, chars: int | None = None):
+    """Class weights from training documents; zero weights (uniform classes) without any.
+
+    chars: the characters of docs, if known. Then so few tasks take part that the weights they return stay below an eighth of that.
+    """
     import numpy as np
 
-    weights = np.zeros((FEATURES * BUCKETS + 1, CLASSES))
+    weights = np.zeros((FEATURES * buckets + 1, CLASSES))
+    if chars is not None:
+        docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, chars // (8 * 4 * weights.size)))
     for k in range(rounds):
         weights = _train_round(docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(rounds)) == k), weights, rate / (k + 1) ** 0.5)
     return weights
@@ -247,8 +264,8 @@ def score_documents(docs: DataFrame, rounds: int = 2, doc_id: str = "doc_id", te
     known = counts.where("c > 0").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # CLASSES rows
     train_tokens, vocabulary = sum(r["n"] for r in known), sum(r["v"] for r in known)
     per_class = {r["class"]: (r["n"], r["v"]) for r in known}
-    weights = train(rows.where(~F.col("held_out")), rounds)
-    shared = spark.sparkContext.broadcast(weights.astype("float32").tobytes())  # fixed size
+    weights = train(rows.where(~F.col("held_out")), rounds, buckets=buckets_for(vocabulary), chars=size)
+    shared = spark.sparkContext.broadcast(weights.astype("float32").tobytes())  # as large as in training
     words = local.select("block", "word").join(counts.select("word", "c"), "word").select("block", "word", "c")
 
     def score(key, texts, own):
@@ -265,7 +282,7 @@ def score_documents(docs: DataFrame, rounds: int = 2, doc_id: str = "doc_id", te
             part = texts.iloc[at : at + 256]
             h, c, s = tokens(part["text"].tolist())
             n = c_of[np.searchsorted(vocab, h.view(np.int64))]
-            feats, logp = histories(h, s), np.empty(len(h))
+            feats, logp = histories(h, s, buckets_of(w)), np.empty(len(h))
             for i in range(0, len(h), STEP):
                 logp[i : i + STEP] = log_prob_of(w, feats[i : i + STEP], c[i : i + STEP])
             full = logp / np.log(10) + np.log10((n + 0.1) / class_all[c])

@@ -387,6 +387,22 @@ def test_class_probabilities_sum_to_one():
     assert np.exp(lm.class_log_probs(w, lm.histories(h, s))).sum(axis=1) == pytest.approx(np.ones(5))
 
 
+def test_buckets_grow_with_the_words(spark):
+    sizes = [lm.buckets_for(v) for v in (0, 1, 262_144, 262_145, 10**8, 10**10)]
+    assert sizes == [4096, 4096, 4096, 8192, 131_072, 1_048_576]
+    h, c, s = lm.tokens(["to be or not to be", "to be"] * 20)
+    for buckets in (lm.BUCKETS, 1 << 17):
+        w = np.zeros((lm.FEATURES * buckets + 1, lm.CLASSES), np.float32)
+        f = lm.histories(h, s, buckets)
+        assert all((f[:, k] // buckets == k).all() for k in range(lm.FEATURES))
+        before = lm.log_prob_of(w, f, c).sum()
+        for _ in range(20):
+            lm.descend(w, h, c, s, 1.0)
+        assert lm.log_prob_of(w, f, c).sum() > before / 2
+    docs = spark.createDataFrame([(1, "to be or not to be")] * 3, "doc_id long, text string")
+    assert lm.train(docs, buckets=1 << 13, chars=54).shape == (lm.FEATURES * (1 << 13) + 1, lm.CLASSES)
+
+
 def test_mixture_meets_targets(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = mixing.mixture(docs, spark.read.parquet(f"{SF}/labels.parquet"), {"good": 0.9, "low": 0.1}).cache()
