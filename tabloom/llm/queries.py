@@ -10,8 +10,10 @@ from .packing import op4_packing
 from .pii import op7_pii
 from .quality import op9_quality_rules
 from .repeats import op8_repeated_strings
+from .runs import op13_periodic_runs
 from .sstable import op3_token_shards
+from .variants import op11_spelling_variants
 from .vectors import op2_embedding_pivots
 
-QUERIES = {f.__name__: f for f in (op1_mixture_rates, op2_embedding_pivots, op3_token_shards, op4_packing, op5_chat_prefixes, op6_maxent_scores, op7_pii, op8_repeated_strings, op9_quality_rules, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_mixture_rates, op2_embedding_pivots, op3_token_shards, op4_packing, op5_chat_prefixes, op6_maxent_scores, op7_pii, op8_repeated_strings, op9_quality_rules, op10_jaccard_join, op11_spelling_variants, op13_periodic_runs)}
 ORACLE: dict[str, str] = {}
