@@ -51,6 +51,8 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.limit = limit
+        #: Words that are encoded at once.
+        self.batch = 4096
         self.between, self.line = self._separator()
         self.whole = any(t.normalized or not t.special for t in added)
         self.whole = self.whole or self.encode(PROBES) != [self._directly(t) for t in PROBES]
@@ -116,8 +118,8 @@ class Encoder:
             split = [(w, self._split(w)) for w in words]
             new = {p for _, parts in split for p in parts}
         new = [*new.difference(self.parts)]
-        for at in range(0, len(new), 4096):
-            self._remember(new[at : at + 4096])
+        for at in range(0, len(new), self.batch):
+            self._remember(new[at : at + self.batch])
         parts, known = self.parts, self.known
         if plain:
             known.update(zip(alone, map(parts.__getitem__, alone), strict=True))

@@ -6,10 +6,13 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 
-from tabloom.llm import runs, variants
+from tabloom.llm import bpe, runs, variants
+from tabloom.llm.bpe import Decoder, TrieEncoder
+from tabloom.llm.tokens import PROBES, vocabulary
 
 SF = "/root/testdata/sf0.001"
 
@@ -166,3 +169,45 @@ def test_words_of_the_edge_table(spark):
     assert {tuple(r) for r in variants.count_words(docs).collect()} == {("letters", 1), ("abcdefg", 7), ("longword", 30_000)}
     assert {tuple(r) for r in variants.count_words(docs, least_length=4).collect()} == {("letters", 1), ("abcdefg", 7), ("longword", 30_000), ("éa×b", 1)}
     assert variants.count_words(docs.limit(0), typos=31).count() == 0
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_trie_encoder_equals_the_library(file):
+    from tokenizers import Tokenizer
+
+    path = vocabulary(file)
+    whole, rng = Tokenizer.from_file(path), random.Random(7)
+    alphabets = ["ab", "aeiourstln", "é ü ß a's ", "ABC abc 'll 've 's 12 ", "日本 語🙂 é ", "!?.,-- \t\n", "".join(map(chr, range(1, 400)))]
+    texts = ["", "a", "aaaaaaaaaaaaaaaaaaaa", "lolololololo banana", "x" * 700, "<|endoftext|>", "a <|endoftext|>b<|startoftext|> <|ENDOFTEXT|>", "</w> a</w>b", *PROBES]
+    texts += ["".join(rng.choice(a) for _ in range(rng.randrange(1, 60))) for a in alphabets for _ in range(300)]
+    texts += [r["text"] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
+    texts += [" ".join(w for w, _ in rng.sample(sorted(whole.get_vocab().items()), 40)) for _ in range(100)]
+    got, back = TrieEncoder(path).encode(texts), Decoder(path)
+    for text, ids in zip(texts, got, strict=True):
+        want = whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want, text
+        assert back.decode(ids) == whole.decode(want, skip_special_tokens=False)
+    again = TrieEncoder(path, limit=50)
+    assert again.encode(texts[:1500]) == got[:1500]
+
+
+def test_op12_query(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op12_trie_bpe(spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for doc, text in texts.items():
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert got[doc] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(whole.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
+def test_bpe_takes_the_edge_table(spark):
+    path = vocabulary("word_bpe_49k.json")
+    rows = [(None, None), (None, "one two"), (1, ""), (1, " \n"), (1, "one two"), (1, "one two"), (2, "word " * 30_000 + "y" * 50_000)]
+    docs = spark.createDataFrame([(a, b, 1, "q") for a, b in rows], "doc_id long, text string, ids int, n_tokens string")
+    out = bpe.decode_ids(bpe.encode_texts(docs, path), path).collect()
+    assert sorted([(r.doc_id, r.text) for r in out if len(r.text) < 99], key=str) == sorted([(None, ""), (None, "one</w> two</w>"), (1, ""), (1, ""), (1, "one</w> two</w>"), (1, "one</w> two</w>")], key=str)
+    assert max(len(r.text) for r in out) > 150_000
+    assert bpe.encode_texts(docs.limit(0), path).count() == 0
