@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, table, text_of
-from .tokens import Encoder, vocabulary
+from .tokens import LIMIT, Encoder, vocabulary
 
 #: Characters of text encoded in one go.
 CHARS = 3_000_000
@@ -143,7 +143,7 @@ def _byte_symbols() -> list[str]:
 class TrieEncoder(Encoder):
     """Encoder whose words are encoded by Merges; the library only normalizes and cuts texts into words."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = LIMIT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

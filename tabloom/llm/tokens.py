@@ -9,6 +9,8 @@ from collections.abc import Iterable
 #: Unicode White_Space (fixed values): what the tokenizers' patterns call \\s.
 WHITE = "\t-\r \x85\xa0  -     　"
 _LOADED: dict[str, Encoder] = {}
+#: Bytes of words and ids, with ENTRY for each, that an encoder remembers of parts of words; of whole words twice as much.
+LIMIT, ENTRY = 90_000_000, 240
 
 
 #: Texts on which a file must give the same ids by words as by whole texts, or else it is used on whole texts only.
@@ -20,18 +22,48 @@ PROBES = [
 SEPARATORS = ["\n", "Ж", "中", "ß", "ø", "♥"]
 
 
+#: Parts of lower characters only go to the quick encoder: older and newer tables of letters agree on them.
+QUICK_BELOW = "\u0250"
+
+
+def _quick(tokenizer):
+    """For files of plain byte-level BPE: a function from a text to an array of its ids; else None. It merges by the file's own ids, if these go by rank."""
+    import json
+
+    import tiktoken
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    file = json.loads(tokenizer.to_str())
+    model, cutter = file["model"], file["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or file["normalizer"] or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
+        return None
+    ids, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    products = [ids[a + b] for a, b in merges]
+    symbols = {ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(b))[0][0]: b for b in range(128)}
+    symbols |= {s: b for pair in range(128, 2048) for s, b in zip(ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(pair))[0][0], chr(pair).encode(), strict=True)}
+    rest = sorted({*ByteLevel.alphabet()} - {*symbols})
+    symbols |= dict(zip(rest, sorted({*range(256)} - {*symbols.values()}), strict=True))
+    if products != sorted({*products}) or any(c not in ids for c in symbols) or max(map(ids.__getitem__, symbols)) > products[0]:
+        return None
+    special = {t["content"] for t in file["added_tokens"]}
+    ranks = {bytes(symbols[c] for c in t): i for t, i in ids.items() if t not in special}
+    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+
+
 class Encoder:
     """Ids of a text as packed little-endian unsigned 32-bit integers: those that tokenizer.encode gives for the whole text.
 
     The usual files cut a text before every run of white space that follows another character, and never merge across such a
     cut, so a text is the sequence of its words' ids. Words repeat: each is encoded once per worker and remembered, up to
-    ``limit`` words at a time. A mark of ``MARKS`` after an ASCII letter at the end of a word is cut off too. Whether a file does
+    ``limit`` bytes of parts of words, and twice as much of words, at a time. A mark of ``MARKS`` after an ASCII letter at the end of a word is cut off too. Whether a file does
     so is tried on PROBES; texts that hold one of its added tokens, and all texts of other files, are encoded whole.
     """
 
     MARKS = ".,!?"
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = LIMIT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,10 +82,11 @@ class Encoder:
         self.odd = ["  ", "\t", "\n ", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", *[c for c in self.blanks if c > "~"]]
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.limit = limit
+        self.limit, self.known_bytes, self.parts_bytes = limit, 0, 0
         #: Words that are encoded at once.
         self.batch = 4096
         self.between, self.line = self._separator()
+        self.quick = _quick(self.tokenizer)
         self.whole = any(t.normalized or not t.special for t in added)
         self.whole = self.whole or self.encode(PROBES) != [self._directly(t) for t in PROBES]
 
@@ -91,41 +124,60 @@ class Encoder:
 
         mark = self.between.strip(" ") or self.between
         lines = [p for p in parts if mark not in p] if self.line is not None else []
-        if lines:
-            ids = np.array(self.inner.encode_batch_fast([self.between.join(lines)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * np.flatnonzero(ids == self.line)).tolist()
-            if len(cuts) == len(lines) - 1:
-                data = ids.tobytes()
-                self.parts.update(zip(lines, [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)], strict=True))
-                parts = [p for p in parts if mark in p]
-        for p, e in zip(parts, self.inner.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+        done: set[str] = set()
+        if self.quick:
+            usual = [p for p in lines if p.isascii() or max(p) < QUICK_BELOW]
+            done |= self._by_lines(usual, self.quick)
+            lines = [p for p in lines if p not in done]
+        done |= self._by_lines(lines, lambda text: np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))
+        left = [p for p in parts if p not in done]
+        for p, e in zip(left, self.inner.encode_batch_fast(left, add_special_tokens=False), strict=True):
             self.parts[p] = np.array(e.ids, "<u4").tobytes()
 
+    def _by_lines(self, lines: list[str], encode) -> set[str]:
+        """Encodes parts as lines of one text and cuts its ids at the line ends; the parts that are done: all or none."""
+        import numpy as np
+
+        if not lines:
+            return set()
+        ids = encode(self.between.join(lines))
+        cuts = (4 * np.flatnonzero(ids == self.line)).tolist()
+        if len(cuts) != len(lines) - 1:
+            return set()
+        data = ids.tobytes()
+        self.parts.update(zip(lines, [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)], strict=True))
+        return set(lines)
+
     def _learn(self, words: set[str], plain: bool) -> None:
-        """plain: white space in words is one blank in front, or line ends."""
-        if len(self.parts) > self.limit:
+        """plain: white space in words is one blank in front, or line ends; none in files that fold."""
+        if self.parts_bytes > self.limit:
             self.parts.clear()
-        plain, split = plain and not self.folds, []
+            self.parts_bytes = 0
+        split, cut, alone = [], [], []
         if plain:
             marks = self.MARKS
-            lined = [w for w in words if "\n" in w or w == " "]
-            words.difference_update(lined)
+            lined = [] if self.folds else [w for w in words if "\n" in w or w == " "]
+            words = words.difference(lined) if lined else words
             split = [(w, self._split(w)) for w in lined]
-            cut = [w for w in words if w[-1] in marks and len(w) > 1 and w[-2].isascii() and w[-2].isalpha()]
-            alone = words.difference(cut)
-            new = {*[w[:-1] for w in cut], *[w[-1] for w in cut], *alone, *[p for _, parts in split for p in parts]}
+            folded = [(w, w.lower() if w.isascii() else w) for w in words] if self.folds else zip(words, words, strict=True)
+            for x in folded:
+                p = x[1]
+                (cut if p[-1] in marks and len(p) > 1 and p[-2].isascii() and p[-2].isalpha() else alone).append(x)
+            new = {p[:-1] for _, p in cut}
+            new.update([p[-1] for _, p in cut])
+            new.update([p for _, p in alone])
+            new.update([p for _, x in split for p in x])
         else:
             split = [(w, self._split(w)) for w in words]
-            new = {p for _, parts in split for p in parts}
-        new = [*new.difference(self.parts)]
+            new = {p for _, x in split for p in x}
+        parts, known = self.parts, self.known
+        new = [*new.difference(parts)]
         for at in range(0, len(new), self.batch):
             self._remember(new[at : at + self.batch])
-        parts, known = self.parts, self.known
-        if plain:
-            known.update(zip(alone, map(parts.__getitem__, alone), strict=True))
-            known.update([(w, parts[w[:-1]] + parts[w[-1]]) for w in cut])
-        if split:
-            known.update([(w, parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x])) for w, x in split])
+        self.parts_bytes += ENTRY * len(new) + sum(map(len, new)) + sum([len(parts[p]) for p in new])
+        known.update([(w, parts[p]) for w, p in alone])
+        known.update([(w, parts[p[:-1]] + parts[p[-1]]) for w, p in cut])
+        known.update([(w, parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x])) for w, x in split])
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; null is empty."""
@@ -147,11 +199,12 @@ class Encoder:
         for lists, easy in ((plain, True), (split, False)):
             seen = set().union(*lists.values())
             new = seen.difference(self.known)
-            if len(self.known) + len(new) > 2 * self.limit:
+            if new and self.known_bytes > 2 * self.limit:
                 self.known.clear()
-                new = seen
+                self.known_bytes, new = 0, seen
             if new:
                 self._learn(new, easy)
+                self.known_bytes += ENTRY * len(new) + sum(map(len, new)) + sum([len(self.known[w]) for w in new])
             for i, words in lists.items():
                 out[i] = b"".join([*map(self.known.__getitem__, words)])
         return out
