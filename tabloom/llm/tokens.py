@@ -22,34 +22,72 @@ PROBES = [
 SEPARATORS = ["\n", "Ж", "中", "ß", "ø", "♥"]
 
 
-#: Parts of lower characters only go to the quick encoder: older and newer tables of letters agree on them.
-QUICK_BELOW = "\u0250"
+def _byte_symbols() -> dict[str, int]:
+    """The byte of each symbol of byte-level files."""
+    from tokenizers.pre_tokenizers import ByteLevel
 
+    cut = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    out = {s: b for code in [*range(128), *range(128, 2048, 32), *range(128, 192)] for s, b in zip(cut(chr(code))[0][0], chr(code).encode(), strict=True)}
+    return out | dict(zip(sorted({*ByteLevel.alphabet()} - {*out}), sorted({*range(256)} - {*out.values()}), strict=True))
 
-def _quick(tokenizer):
-    """For files of plain byte-level BPE: a function from a text to an array of its ids; else None. It merges by the file's own ids, if these go by rank."""
-    import json
 
-    import tiktoken
-    from tokenizers.pre_tokenizers import ByteLevel
+class Quick:
+    """A merger without offsets for the parts of byte-level BPE files that are cut in a known way: all of lower characters, on whose
+    kinds older and newer tables agree, or, in files that fold case, words of letters only. Raises ValueError for other files.
+
+    A file with a mark at word ends has it as a line end here: its merge with a word's last byte comes before all others.
+    """
 
-    file = json.loads(tokenizer.to_str())
-    model, cutter = file["model"], file["pre_tokenizer"] or {}
-    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-    if not plain or file["normalizer"] or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
-        return None
-    ids, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    products = [ids[a + b] for a, b in merges]
-    symbols = {ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(b))[0][0]: b for b in range(128)}
-    symbols |= {s: b for pair in range(128, 2048) for s, b in zip(ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(pair))[0][0], chr(pair).encode(), strict=True)}
-    rest = sorted({*ByteLevel.alphabet()} - {*symbols})
-    symbols |= dict(zip(rest, sorted({*range(256)} - {*symbols.values()}), strict=True))
-    if products != sorted({*products}) or any(c not in ids for c in symbols) or max(map(ids.__getitem__, symbols)) > products[0]:
-        return None
-    special = {t["content"] for t in file["added_tokens"]}
-    ranks = {bytes(symbols[c] for c in t): i for t, i in ids.items() if t not in special}
-    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+    def __init__(self, tokenizer):
+        import json
+
+        import numpy as np
+        import tiktoken
+
+        file = json.loads(tokenizer.to_str())
+        model, cutter, suffix = file["model"], file["pre_tokenizer"] or {}, file["model"].get("end_of_word_suffix") or ""
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            raise ValueError("not a plain BPE file")
+        self.folds = bool(suffix)
+        letters = "".join(c for c in map(chr, range(256)) if c.isalpha() and c == c.lower())
+        if self.folds:
+            steps = [n["type"] for n in (file["normalizer"] or {}).get("normalizers", [])]
+            if steps != ["NFC", "Replace", "Lowercase"] or len(tokenizer.pre_tokenizer.pre_tokenize_str(letters)) != 1:
+                raise ValueError("words of letters are not words of the file")
+        elif file["normalizer"] or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
+            raise ValueError("not a plain byte-level file")
+        symbols, ids = _byte_symbols(), model["vocab"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        spelled = {c: bytes([b]) for c, b in symbols.items()}
+        order = [*spelled] if not suffix else [*spelled, *[c + suffix for c in spelled]]
+        spelled |= {c + suffix: b + b"\n" for c, b in spelled.items()} if suffix else {}
+        for x, y in merges:
+            spelled[x + y] = spelled[x] + spelled[y]
+            order.append(x + y)
+        ranks = {spelled[t]: i for i, t in enumerate(order)}
+        if len(ranks) < len(order):
+            raise ValueError("a token has two merges")
+        #: By rank: the file's id, and whether a line ends there.
+        self.ids = np.array([ids[t] for t in order], "<u4")
+        self.ends = np.array([spelled[t].endswith(b"\n") for t in order])
+        pattern = r"[^\n]*\n" if suffix else r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.encode = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+
+    def takes(self, part: str) -> bool:
+        if self.folds:
+            return part.isalpha() and (part.isascii() or max(part) < "\u0100")
+        return "\n" not in part and not part[-1].isspace() and (part.isascii() or max(part) < "\u0250")
+
+    def lines(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that it takes."""
+        import numpy as np
+
+        text = "\n".join(parts) + "\n"
+        found = self.encode(text.lower() if self.folds else text)
+        ends = np.flatnonzero(self.ends[found]) + 1
+        data, cuts = self.ids[found].tobytes(), (4 * ends).tolist()
+        starts = [0, *cuts[:-1]]
+        return [data[a:b] for a, b in zip(starts, cuts if self.folds else [c - 4 for c in cuts], strict=True)]
 
 
 class Encoder:
@@ -86,7 +124,10 @@ class Encoder:
         #: Words that are encoded at once.
         self.batch = 4096
         self.between, self.line = self._separator()
-        self.quick = _quick(self.tokenizer)
+        try:
+            self.quick = Quick(self.tokenizer)
+        except (ValueError, KeyError):
+            self.quick = None
         self.whole = any(t.normalized or not t.special for t in added)
         self.whole = self.whole or self.encode(PROBES) != [self._directly(t) for t in PROBES]
 
@@ -122,32 +163,25 @@ class Encoder:
         """Encodes parts and keeps their ids."""
         import numpy as np
 
+        if self.quick:
+            usual = [p for p in parts if self.quick.takes(p)]
+            found = self.quick.lines(usual) if usual else []
+            if len(found) == len(usual):
+                self.parts.update(zip(usual, found, strict=True))
+                done = {*usual}
+                parts = [p for p in parts if p not in done]
         mark = self.between.strip(" ") or self.between
         lines = [p for p in parts if mark not in p] if self.line is not None else []
-        done: set[str] = set()
-        if self.quick:
-            usual = [p for p in lines if p.isascii() or max(p) < QUICK_BELOW]
-            done |= self._by_lines(usual, self.quick)
-            lines = [p for p in lines if p not in done]
-        done |= self._by_lines(lines, lambda text: np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))
-        left = [p for p in parts if p not in done]
-        for p, e in zip(left, self.inner.encode_batch_fast(left, add_special_tokens=False), strict=True):
+        if lines:
+            ids = np.array(self.inner.encode_batch_fast([self.between.join(lines)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.line)).tolist()
+            if len(cuts) == len(lines) - 1:
+                data = ids.tobytes()
+                self.parts.update(zip(lines, [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)], strict=True))
+                parts = [p for p in parts if mark in p]
+        for p, e in zip(parts, self.inner.encode_batch_fast(parts, add_special_tokens=False), strict=True):
             self.parts[p] = np.array(e.ids, "<u4").tobytes()
 
-    def _by_lines(self, lines: list[str], encode) -> set[str]:
-        """Encodes parts as lines of one text and cuts its ids at the line ends; the parts that are done: all or none."""
-        import numpy as np
-
-        if not lines:
-            return set()
-        ids = encode(self.between.join(lines))
-        cuts = (4 * np.flatnonzero(ids == self.line)).tolist()
-        if len(cuts) != len(lines) - 1:
-            return set()
-        data = ids.tobytes()
-        self.parts.update(zip(lines, [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)], strict=True))
-        return set(lines)
-
     def _learn(self, words: set[str], plain: bool) -> None:
         """plain: white space in words is one blank in front, or line ends; none in files that fold."""
         if self.parts_bytes > self.limit:
