@@ -28,7 +28,7 @@ from .tokens import LIMIT, Encoder, vocabulary
 #: Characters of text encoded in one go.
 CHARS = 3_000_000
 #: Verdicts on token pairs that a worker remembers.
-PAIRS = 2_000_000
+PAIRS = 500_000
 NEVER = 1 << 60
 _LOADED: dict[str, TrieEncoder] = {}
 
@@ -157,7 +157,7 @@ class TrieEncoder(Encoder):
         self.at_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.normalizer, self.pre_tokenizer = tokenizer.normalizer, tokenizer.pre_tokenizer
         super().__init__(path, limit)
-        self.batch = 100_000
+        self.batch = 40_000
 
     def _words(self, text: str) -> list[str]:
         """The words that the file cuts a text into, in its symbols."""
@@ -259,41 +259,50 @@ def _chunks(batches, column: str) -> Iterator:
                 a, size = b + 1, 0
 
 
-def encode_texts(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) of (doc_id, text): the ids of each whole text, packed as little-endian unsigned 32-bit integers.
+def _encode(batches, path: str) -> Iterator:
+    """(doc_id, ids) batches of (doc_id, text) batches."""
+    import pyarrow as pa
 
-    They are those of the tokenizers library without special tokens added; strings of the file's special tokens in a text
-    are those tokens, as there. Null and empty texts have no ids. Null and repeated doc_ids stay, a row for a row; other columns
-    are not read; an empty table gives an empty one. A text is encoded in one task, a few million characters of texts at a time.
-    """
-    ship(docs.sparkSession)
+    for ids, texts in _chunks(batches, "text"):
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(trie_encoder(path).encode(texts), pa.binary())], names=["doc_id", "ids"])
 
-    def encode(batches) -> Iterator:
-        import pyarrow as pa
 
-        for ids, texts in _chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(trie_encoder(path).encode(texts), pa.binary())], names=["doc_id", "ids"])
+def _decode(batches, path: str) -> Iterator:
+    """(doc_id, ids, text) batches of (doc_id, ids) batches."""
+    import pyarrow as pa
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(encode, "doc_id long, ids binary")
+    if path not in _DECODERS:
+        _DECODERS[path] = Decoder(path)
+    for docs, ids in _chunks(batches, "ids"):
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ids, pa.binary()), pa.array([*map(_DECODERS[path].decode, ids)], pa.string())], names=["doc_id", "ids", "text"])
 
 
-def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, text) of (doc_id, ids): the texts that the tokenizers library decodes ids to, special tokens included. Null ids are empty."""
-    ship(encoded.sparkSession)
+def encode_texts(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) of (doc_id, text): the ids of each whole text, packed as little-endian unsigned 32-bit integers.
+
+    decoded: also text, what the ids decode to, in the same pass. The ids are those of the tokenizers library without special
+    tokens added; strings of the file's special tokens in a text are those tokens, as there. Null and empty texts have no ids.
+    Null and repeated doc_ids stay, a row for a row; other columns are not read; an empty table gives an empty one. A text is
+    encoded in one task, a few million characters of texts at a time.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    if decoded:
+        return rows.mapInArrow(lambda batches: _decode(_encode(batches, path), path), "doc_id long, ids binary, text string")
+    return rows.mapInArrow(lambda batches: _encode(batches, path), "doc_id long, ids binary")
 
-    def decode(batches) -> Iterator:
-        import pyarrow as pa
 
-        if path not in _DECODERS:
-            _DECODERS[path] = Decoder(path)
-        for docs, ids in _chunks(batches, "ids"):
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ids, pa.binary()), pa.array([*map(_DECODERS[path].decode, ids)], pa.string())], names=["doc_id", "ids", "text"])
+def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, text) of (doc_id, ids): the texts that the tokenizers library decodes ids to, special tokens included.
 
+    Null ids are empty, unknown ones are left out; null and repeated doc_ids stay; other columns are not read.
+    """
+    ship(encoded.sparkSession)
     rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("ids", F.lit(b"")).alias("ids"))
-    return rows.mapInArrow(decode, "doc_id long, ids binary, text string")
+    return rows.mapInArrow(lambda batches: _decode(batches, path), "doc_id long, ids binary, text string")
 
 
 def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("word_bpe_49k.json")
-    out = decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)
+    out = encode_texts(table(spark, sf_dir, "documents"), path, decoded=True)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

@@ -208,6 +208,7 @@ def test_bpe_takes_the_edge_table(spark):
     rows = [(None, None), (None, "one two"), (1, ""), (1, " \n"), (1, "one two"), (1, "one two"), (2, "word " * 30_000 + "y" * 50_000)]
     docs = spark.createDataFrame([(a, b, 1, "q") for a, b in rows], "doc_id long, text string, ids int, n_tokens string")
     out = bpe.decode_ids(bpe.encode_texts(docs, path), path).collect()
+    assert sorted(bpe.encode_texts(docs, path, decoded=True).collect(), key=str) == sorted(out, key=str)
     assert sorted([(r.doc_id, r.text) for r in out if len(r.text) < 99], key=str) == sorted([(None, ""), (None, "one</w> two</w>"), (1, ""), (1, ""), (1, "one</w> two</w>"), (1, "one</w> two</w>")], key=str)
     assert max(len(r.text) for r in out) > 150_000
     assert bpe.encode_texts(docs.limit(0), path).count() == 0
