@@ -98,3 +98,55 @@ def running_total(df: DataFrame, column: str, value: str, name: str, ascending:
     before = totals.select("_bucket", F.coalesce(F.sum("_t").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     inside = F.sum(value).over(Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("_i", inside).join(F.broadcast(before), "_bucket").withColumn(name, F.col("_i") + F.col("_b")).drop("_bucket", "_i", "_b")
+
+
+def join_null_safe(df: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """df with the other columns of table, where equal nulls match too; columns of df first."""
+    renamed = table.withColumnsRenamed({c: f"_{c}_key" for c in on})
+    condition = [df[c].eqNullSafe(renamed[f"_{c}_key"]) for c in on]
+    return df.join(renamed, condition, how).drop(*[f"_{c}_key" for c in on])
+
+
+#: Values that order_statistics may hold on the driver.
+HELD = 50_000
+
+
+def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> list[float]:
+    """The values of the given 0-based ranks of a numeric column without nulls, exactly.
+
+    A bracket around each rank, from approximate quantiles, is counted and narrowed until it holds few rows or one value, so that
+    no task sees more than its own share of the column.
+    """
+    out: dict[int, float] = {}
+    for k in sorted(set(ranks)):
+        part, before, n = df.select(F.col(column).cast("double").alias("v")), 0, None
+        while True:
+            n = part.count() if n is None else n
+            if n <= HELD:
+                out[k] = sorted(r[0] for r in part.collect())[k - before]
+                break
+            q = (k - before + 0.5) / n
+            low, high = part.approxQuantile("v", [max(0.0, q - 0.002), min(1.0, q + 0.002)], 0.0005)
+            below, upto = part.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v") <= high)).first()
+            if not before + below <= k < before + upto:
+                low, high, below, upto = (-float("inf"), low, 0, below) if k < before + below else (high, float("inf"), upto, n)
+                part = part.where((F.col("v") < high) if low == -float("inf") else (F.col("v") > low))
+            elif low == high:
+                out[k] = low
+                break
+            else:
+                part = part.where(F.col("v").between(low, high))
+            before, n = before + below, upto - below
+    return [out[k] for k in ranks]
+
+
+def exact_quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float | None]:
+    """Quantiles with linear interpolation of the known values of a column; null without any."""
+    known = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias(column))
+    n = known.count()
+    if not n:
+        return [None] * len(qs)
+    at = [q * (n - 1) for q in qs]
+    ranks = sorted({int(a) for a in at} | {min(int(a) + 1, n - 1) for a in at})
+    value = dict(zip(ranks, order_statistics(known, column, ranks), strict=True))
+    return [value[int(a)] + (a - int(a)) * (value[min(int(a) + 1, n - 1)] - value[int(a)]) for a in at]

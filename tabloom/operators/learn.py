@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import exact_quantiles, order_statistics
 from .checks import balanced_weights, check_target, direction
 
 VECTOR = "features_vector"
@@ -120,17 +121,29 @@ def regressor(train: DataFrame, features: list[str], target: str, kind: str = "h
     df = train.dropna(subset=[*features, target])
     check_target(df, target, model=kind if kind in ("poisson", "gamma", "tweedie") else None, power=options.get("variancePower"))
     common = {"labelCol": target} | ({"weightCol": weight} if weight else {})
-    n, mean = df.agg(F.count(F.lit(1)), F.avg(target)).first()
+    w = F.col(weight) if weight else F.lit(1.0)
+    n, mean = df.agg(F.sum(w), F.sum(w * F.col(target)) / F.sum(w)).first()
+    n = n or 0
     makers = {
-        "huber": lambda: MR.LinearRegression(loss="huber", regParam=2 * alpha / max(n, 1), standardization=False, **common, **options),
-        # The penalty of the family's solver is scaled by the mean working weight, which is the mean target for poisson and 1 for gamma.
+        "huber": lambda: MR.LinearRegression(loss="huber", regParam=alpha / max(n, 1), standardization=False, **common, **options),
+        # The penalty of the family's solver is scaled by the mean working weight, which is the (weighted) mean target for poisson and 1 for gamma.
         "poisson": lambda: MR.GeneralizedLinearRegression(family="poisson", link="log", regParam=alpha / mean if mean else 0.0, **common, **options),
         "gamma": lambda: MR.GeneralizedLinearRegression(family="gamma", link="log", regParam=alpha, **common, **options),
-        "tweedie": lambda: MR.GeneralizedLinearRegression(family="tweedie", linkPower=0.0, regParam=alpha, **common, **options),
+        "tweedie": lambda: MR.GeneralizedLinearRegression(family="tweedie", linkPower=0.0, regParam=penalty, **common, **options),
         "tree": lambda: MR.DecisionTreeRegressor(**common, **options),
         "forest": lambda: MR.RandomForestRegressor(**common, **options),
         "boosting": lambda: MR.GBTRegressor(**common, **options),
     }
+    penalty = alpha
+    if kind == "tweedie" and alpha:
+        # Its working weights are mu^(2 - power), whose mean is known only after a fit: the penalty is set anew until it holds.
+        power, penalty = options.get("variancePower", 0.0), alpha / max(mean, 1e-12) ** (2 - options.get("variancePower", 0.0))
+        for _ in range(20):
+            model = _fit(df, features, target, makers[kind]())
+            scale = model.transform(df).agg(F.sum(w * F.pow("prediction", F.lit(2.0 - power))) / F.sum(w)).first()[0]
+            if abs(penalty * scale - alpha) <= 1e-6 * alpha:
+                return model
+            penalty = alpha / scale
     return _fit(df, features, target, makers[kind]())
 
 
@@ -145,18 +158,24 @@ def cluster_sizes(df: DataFrame, label: str = "prediction") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def elliptic_envelope(df: DataFrame, features: list[str], contamination: float = 0.1, steps: int = 10) -> Callable[[DataFrame], DataFrame]:
-    """Robust location and covariance by concentration steps: each takes the second moments of the share of rows nearest so far.
+def elliptic_envelope(df: DataFrame, features: list[str], contamination: float = 0.1, steps: int = 30) -> Callable[[DataFrame], DataFrame]:
+    """Robust location and covariance by concentration steps on h = (n + p + 1) / 2 rows, started from medians and median deviations.
 
-    Returns a function that adds anomaly_score (squared distance, higher is more unusual) and anomaly (-1 for the contamination
-    share of the training rows with the largest scores, else 1). The cut is an approximate quantile within 0.1 % of the ranks.
+    Each step takes the second moments of the h rows nearest so far, with exact cuts, until they stay; so nearly half of the rows
+    may be outliers. Returns a function that adds anomaly_score (squared distance, higher is more unusual) and anomaly (-1 for the
+    contamination share of the training rows with the largest scores, else 1). Rows with an unknown feature have neither.
     """
-    known = df.dropna(subset=features)
+    if not 0 < contamination <= 0.5:
+        raise ValueError("contamination must be above 0 and at most 0.5")
+    known = df.dropna(subset=features).select(*[F.col(f).cast("double").alias(f) for f in features])
+    n, p = known.count(), len(features)
+    if n <= p + 1:
+        raise ValueError("too few rows for a covariance")
+    h = (n + p + 1) // 2
 
     def fit(rows):
         aggs = [F.avg(f).alias(f"m{i}") for i, f in enumerate(features)] + [F.covar_pop(f, h).alias(f"c{i}_{j}") for i, f in enumerate(features) for j, h in enumerate(features) if i <= j]
         r = rows.agg(*aggs).first()
-        p = len(features)
         cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
         return [r[f"m{i}"] for i in range(p)], np.linalg.pinv(cov)
 
@@ -164,19 +183,20 @@ def elliptic_envelope(df: DataFrame, features: list[str], contamination: float =
         d = [F.col(f) - F.lit(float(m)) for f, m in zip(features, center, strict=True)]
         return reduce(lambda a, b: a + b, [d[i] * d[j] * F.lit(float(inverse[i, j])) for i in range(len(d)) for j in range(len(d))])
 
-    center, inverse = fit(known)
+    center = [exact_quantiles(known, f, [0.5])[0] for f in features]
+    spread = [exact_quantiles(known.select(F.abs(F.col(f) - F.lit(m)).alias("d")), "d", [0.5])[0] for f, m in zip(features, center, strict=True)]
+    inverse = np.diag([1 / (1.4826 * s) ** 2 if s else 0.0 for s in spread])
     for _ in range(steps):
         scored = known.withColumn("_d", distance(center, inverse))
-        cut = scored.approxQuantile("_d", [1 - contamination], 0.001)[0]
-        new, inverse_new = fit(scored.where(F.col("_d") <= cut))
+        new, inverse_new = fit(scored.where(F.col("_d") <= order_statistics(scored, "_d", [h - 1])[0]))
         done = np.allclose(new, center, rtol=1e-9) and np.allclose(inverse_new, inverse, rtol=1e-6)
         center, inverse = new, inverse_new
         if done:
             break
-    cut = known.withColumn("_d", distance(center, inverse)).approxQuantile("_d", [1 - contamination], 0.001)[0]
+    cut = exact_quantiles(known.withColumn("_d", distance(center, inverse)), "_d", [1 - contamination])[0]
 
     def score(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("anomaly_score", distance(center, inverse)).withColumn("anomaly", F.when(F.col("anomaly_score") > cut, -1).otherwise(1))
+        return rows.withColumn("anomaly_score", distance(center, inverse)).withColumn("anomaly", F.when(F.col("anomaly_score") > cut, -1).when(F.col("anomaly_score").isNotNull(), 1))
 
     return score
 
@@ -232,7 +252,7 @@ def prediction_view(model: Model, train: DataFrame, axes: list[str], points: int
         raise ValueError("one or two axes")
     rest = [f for f in model.features if f not in axes]
     ends = train.agg(*[F.min(a).alias(f"lo_{a}") for a in axes], *[F.max(a).alias(f"hi_{a}") for a in axes]).first()
-    middle = train.approxQuantile(rest, [0.5], 0.001) if rest else []
+    middle = [exact_quantiles(train, f, [0.5]) for f in rest]
     grid = train.sparkSession.range(points ** len(axes))
     for i, a in enumerate(axes):
         at = F.floor(F.col("id") / points**i) % points
@@ -252,7 +272,8 @@ def random_candidates(space: dict, n: int, seed: int = 0) -> list[dict]:
             raise ValueError(f"{name}: no values")
     rng, out = np.random.default_rng(seed), []
     discrete = all(isinstance(s, list) or (isinstance(s[0], int) and isinstance(s[1], int) and len(s) == 2) for s in space.values())
-    most = int(np.prod([len(s) if isinstance(s, list) else s[1] - s[0] + 1 for s in space.values()])) if discrete else n
+    values = {k: [v for i, v in enumerate(s) if v not in s[:i]] if isinstance(s, list) else s for k, s in space.items()}
+    most = int(np.prod([len(s) if isinstance(s, list) else s[1] - s[0] + 1 for s in values.values()], dtype=object)) if discrete else n
 
     def draw(s):
         if isinstance(s, list):
@@ -262,7 +283,7 @@ def random_candidates(space: dict, n: int, seed: int = 0) -> list[dict]:
         return int(rng.integers(s[0], s[1] + 1)) if isinstance(s[0], int) and isinstance(s[1], int) else float(rng.uniform(*s))
 
     while len(out) < min(n, most):
-        c = {k: draw(s) for k, s in space.items()}
+        c = {k: draw(s) for k, s in values.items()}
         if c not in out:
             out.append(c)
     return out

@@ -10,7 +10,7 @@ from itertools import combinations, combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import correlation_of, ranked
+from ..functions.columns import correlation_of, join_null_safe, ranked
 
 
 @dataclass
@@ -134,20 +134,20 @@ def frequency(train: DataFrame, column: str, normalize: bool = True) -> Fitted:
 
 
 def target_encode(train: DataFrame, column: str, target: str, fold: str, smooth: float = 10.0) -> tuple[DataFrame, Fitted]:
-    """(train with out-of-fold encodings, model for other rows): (n mean + smooth global) / (n + smooth)."""
+    """(train with out-of-fold encodings, model for other rows): (n mean + smooth global) / (n + smooth). Null is a category."""
     per = train.groupBy(fold, column).agg(F.sum(target).alias("_s"), F.count(target).alias("_c"))
     all_ = per.groupBy(column).agg(F.sum("_s").alias("_as"), F.sum("_c").alias("_ac"))
     by_fold = per.groupBy(fold).agg(F.sum("_s").alias("_fs"), F.sum("_c").alias("_fc"))
     total = per.agg(F.sum("_s").alias("_ts"), F.sum("_c").alias("_tc"))
     name = f"{column}__target"
     enc = lambda s, c, g: (s + smooth * g) / (c + smooth)
-    table = per.join(all_, column).join(F.broadcast(by_fold), fold).crossJoin(F.broadcast(total)).select(fold, column, enc(F.col("_as") - F.col("_s"), F.col("_ac") - F.col("_c"), (F.col("_ts") - F.col("_fs")) / (F.col("_tc") - F.col("_fc"))).alias(name))
+    table = join_null_safe(join_null_safe(per, all_, [column]), by_fold, [fold]).crossJoin(F.broadcast(total)).select(fold, column, enc(F.col("_as") - F.col("_s"), F.col("_ac") - F.col("_c"), (F.col("_ts") - F.col("_fs")) / (F.col("_tc") - F.col("_fc"))).alias(name))
     whole = all_.crossJoin(F.broadcast(total)).select(column, enc(F.col("_as"), F.col("_ac"), F.col("_ts") / F.col("_tc")).alias(name))
 
     def apply(df: DataFrame) -> DataFrame:
-        return df.join(whole, column, "left").crossJoin(F.broadcast(total.select((F.col("_ts") / F.col("_tc")).alias("_g")))).withColumn(name, F.coalesce(name, "_g")).drop("_g")
+        return join_null_safe(df, whole, [column], "left").crossJoin(F.broadcast(total.select((F.col("_ts") / F.col("_tc")).alias("_g")))).withColumn(name, F.coalesce(name, "_g")).drop("_g")
 
-    return train.join(table, [fold, column]), Fitted(apply)
+    return join_null_safe(train, table, [fold, column]), Fitted(apply)
 
 
 def tfidf(df: DataFrame, key: str, text: str, max_features: int = 1000, ngrams: int = 1, lowercase: bool = True, weights: bool = True) -> DataFrame:
@@ -219,12 +219,12 @@ def chi2(train: DataFrame, columns: list[str], label: str) -> DataFrame:
 
 
 def random_over(train: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
-    """Every class up to the size of the largest: whole copies, and one more for the first rows of its shuffled order."""
+    """Every class up to the size of the largest: whole copies, and one more for the first rows of its shuffled order. A null label is a class."""
     from ..functions.columns import shuffled_rank
 
     n = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     top = n.agg(F.max("_n").alias("_top"))
-    r = shuffled_rank(train, seed, key, [label], "_rank").join(F.broadcast(n.crossJoin(top)), label)
+    r = join_null_safe(shuffled_rank(train, seed, key, [label], "_rank"), n.crossJoin(F.broadcast(top)), [label])
     copies = F.floor(F.col("_top") / F.col("_n")) + (F.col("_rank") <= F.col("_top") % F.col("_n")).cast("int")
     return r.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("_rank", "_n", "_top")
 

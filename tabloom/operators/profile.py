@@ -53,7 +53,7 @@ def box(df: DataFrame, column: str, groups: list[str] | None = None) -> DataFram
     by = groups or []
     q = df.groupBy(*by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(*by, *[F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("q25", "q50", "q75"))])
     q = q.withColumns({"_lo": F.col("q25") - 1.5 * (F.col("q75") - F.col("q25")), "_hi": F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))})
-    joined = df.join(F.broadcast(q), by) if by else df.crossJoin(F.broadcast(q))
+    joined = df.join(q, by) if by else df.crossJoin(F.broadcast(q))
     inside = F.col(column).between(F.col("_lo"), F.col("_hi"))
     return joined.groupBy(*by, "q25", "q50", "q75").agg(F.min(F.when(inside, F.col(column))).alias("low"), F.max(F.when(inside, F.col(column))).alias("high"), F.count_if(~inside).alias("n_out"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ordered_rank, ranked, shuffled_rank, value_bucket
+from ..functions.columns import join_null_safe, ordered_rank, ranked, shuffled_rank, value_bucket
 
 #: Folds that leave_one_group_out makes.
 MOST_GROUPS = 100
@@ -29,14 +29,16 @@ def holdout(df: DataFrame, key: str, train: float = 0.6, validation: float = 0.2
     by = [strata] if strata else []
     r = shuffled_rank(df, seed, key, by, "_rank")
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    r = r.join(F.broadcast(n), r[strata].eqNullSafe(n[strata])).drop(n[strata]) if strata else r.crossJoin(F.broadcast(n))
+    r = join_null_safe(r, n, by) if strata else r.crossJoin(F.broadcast(n))
     return r.withColumn("split", _part(F.col("_rank"), F.col("_n"), train, validation)).drop("_rank", "_n")
 
 
 def group_holdout(df: DataFrame, group: str, train: float = 0.6, validation: float = 0.2, seed: int = 0) -> DataFrame:
-    """Whole groups in one part."""
-    parts = holdout(df.select(group).distinct(), group, train, validation, seed)
-    return df.join(parts, group)
+    """Whole groups in one part; rows without a group are one group. Refuses fewer than 5 groups."""
+    groups = df.select(group).distinct()
+    if groups.limit(5).count() < 5:
+        raise ValueError("a group holdout needs 5 groups")
+    return join_null_safe(df, holdout(groups, group, train, validation, seed), [group])
 
 
 def ordered_holdout(df: DataFrame, order: str, train: float = 0.6, validation: float = 0.2) -> DataFrame:
@@ -77,7 +79,7 @@ def repeated_kfold(df: DataFrame, key: str, k: int = 5, repeats: int = 2, seed:
 
 
 def shuffle_splits(df: DataFrame, key: str, splits: int = 3, test_size: float = 0.2, seed: int = 0, strata: str | None = None) -> DataFrame:
-    """(split_id, ..., role): in each split the first ceil(n x test_size) of its own order are the test part."""
+    """(split_id, ..., role): in each split the first ceil(n x test_size) of its own order are the test part; null strata are one stratum."""
     from functools import reduce
 
     by = [strata] if strata else []
@@ -85,17 +87,20 @@ def shuffle_splits(df: DataFrame, key: str, splits: int = 3, test_size: float =
     out = []
     for s in range(splits):
         r = shuffled_rank(df, seed + s, key, by, "_rank")
-        r = r.join(F.broadcast(n), strata) if strata else r.crossJoin(F.broadcast(n))
+        r = join_null_safe(r, n, by) if strata else r.crossJoin(F.broadcast(n))
         out.append(r.select(F.lit(s).alias("split_id"), *df.columns, F.when(F.col("_rank") <= F.ceil(F.col("_n") * test_size - 1e-9), "test").otherwise("train").alias("role")))
     return reduce(DataFrame.unionByName, out)
 
 
 def group_shuffle_splits(df: DataFrame, group: str, splits: int = 3, test_size: float = 0.2, seed: int = 0) -> DataFrame:
-    return df.join(shuffle_splits(df.select(group).distinct(), group, splits, test_size, seed), group)
+    """shuffle_splits() of whole groups; rows without a group are one group."""
+    return join_null_safe(df, shuffle_splits(df.select(group).distinct(), group, splits, test_size, seed), [group])
 
 
 def timeseries_splits(df: DataFrame, time: str, splits: int = 3, test_size: int = 1, gap: int = 0, max_train: int | None = None) -> DataFrame:
-    """(split_id, ..., role): expanding windows over ranks of unique times."""
+    """(split_id, ..., role): expanding windows over ranks of unique times. Refuses null times."""
+    if df.where(F.col(time).isNull()).limit(1).count():
+        raise ValueError(f"{time} has null times")
     times = df.select(time).distinct().withColumn("_u", F.unix_micros(F.col(time).cast("timestamp")).cast("double"))
     n = times.count()
     r = ranked(times, [F.col(time)], value_bucket(times, "_u"), None, "_rank").select(time, (F.col("_rank") - 1).alias("_i"))
@@ -110,10 +115,10 @@ def timeseries_splits(df: DataFrame, time: str, splits: int = 3, test_size: int
 def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """Folds of whole groups, largest first into the emptiest fold; as many greedy steps as there are groups in the largest bucket of sizes.
 
-    Sizes are counted first; groups of one size are dealt round robin, so only distinct sizes reach the driver.
+    Sizes are counted first; groups of one size are dealt round robin, so only distinct sizes reach the driver. Rows without a group are one group.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    r = ranked(sizes, [F.col(group)], F.substring(F.md5(F.col(group).cast("string")), 1, 2), ["_size"], "_i").withColumn("_i", F.col("_i") - 1)
+    r = ranked(sizes, [F.col(group)], F.substring(F.md5(F.coalesce(F.col(group).cast("string"), F.lit(""))), 1, 2), ["_size"], "_i").withColumn("_i", F.col("_i") - 1)
     load, first = [0] * k, {}
     for row in sizes.groupBy("_size").count().orderBy(F.desc("_size")).collect():
         order = sorted(range(k), key=lambda f: (load[f], f))
@@ -122,7 +127,7 @@ def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
             load[f] += row["_size"] * (row["count"] // k + (j < row["count"] % k))
     table = df.sparkSession.createDataFrame(list(first.items()), "_size long, _order array<int>")
     folds = r.join(F.broadcast(table), "_size").select(group, F.get("_order", (F.col("_i") % k).cast("int")).alias("fold"))
-    return df.join(folds, group)
+    return join_null_safe(df, folds, [group])
 
 
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:

@@ -34,11 +34,12 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
 
 
 def coerce(df: DataFrame) -> DataFrame:
-    """Text columns become numbers where every value is one, with a point or else with a comma for decimals; NaN and infinities are refused."""
+    """Text columns become numbers where every value is one, with a point or else with a comma for decimals; columns with texts for NaN or infinities stay text."""
     texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
     if not texts:
         return df
-    number = lambda c: F.try_to_number(c, F.lit("")) if False else c.try_cast("double")
+    cast = lambda c: c.try_cast("double")
+    number = lambda c: F.when(~F.isnan(cast(c)) & (F.abs(cast(c)) < float("inf")), cast(c))
     aggs: list[Column] = []
     for c in texts:
         x = F.trim(F.col(f"`{c}`"))
