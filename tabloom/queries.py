@@ -648,4 +648,4 @@ def flagship_ridge(t):
     return flagship(df.sparkSession, path)
 
 
-from . import queries_learn  # noqa: E402, F401  registers its queries with the decorator above
+from . import queries_learn, queries_neighbors  # noqa: E402, F401  register their queries with the decorator above
