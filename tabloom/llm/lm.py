@@ -199,7 +199,7 @@ def train(docs: DataFrame, rounds: int = 2, rate: float = 1.0, buckets: int = BU
     if chars is not None:
         docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, chars // (8 * 4 * weights.size)))
     for k in range(rounds):
-        weights = _train_round(docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(rounds)) == k), weights, rate / (k + 1) ** 0.5)
+        weights = _train_round(docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(rounds)) == k), weights, rate / (k + 1) ** 0.5)
     return weights
 
 
@@ -249,7 +249,9 @@ def score_documents(docs: DataFrame, rounds: int = 2, doc_id: str = "doc_id", te
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
     held_out: a boolean column; without it, documents whose crc32(doc_id as text) mod 10 is 0 are held out. Null text is
-    empty and has its end token only. Rows that repeat a doc_id are scored each by itself.
+    empty and has its end token only. Rows that repeat a doc_id, or have
+    none, are scored each by itself, and do not crowd one block; other columns are not read; an empty table gives no rows. A text is
+    scored in one task.
     """
     ship(docs.sparkSession)
     spark = docs.sparkSession
@@ -258,7 +260,7 @@ def score_documents(docs: DataFrame, rounds: int = 2, doc_id: str = "doc_id", te
     size = rows.agg(F.sum(F.length("text") + 1).alias("n")).first()["n"] or 0
     blocks = max(32, -(-size // BLOCK_CHARS))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 4)
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     local = materialize(_block_counts(placed.repartition(parts, "block")), "blockwords")
     counts = materialize(local.groupBy("word", "class").agg(F.sum("n").alias("c")), "words")
     known = counts.where("c > 0").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # CLASSES rows

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, numbered, ship, table, unique_ids
@@ -43,6 +43,8 @@ def _index(reps: DataFrame, pivots: list[list[float]], nearest: int) -> DataFram
                     m = np.zeros((len(raw), len(x)))
                     for i, p in enumerate(raw):
                         m[i, : min(len(p), len(x))] = p[: len(x)]
+                    most = np.abs(m).max(axis=1, keepdims=True)
+                    m = m / np.where(most > 0, most, 1)
                     norm = np.linalg.norm(m, axis=1, keepdims=True)
                     by_dim[len(x)] = m / np.where(norm > 0, norm, 1)
                 scores = by_dim[len(x)] @ (x / np.abs(x).max())
@@ -51,10 +53,10 @@ def _index(reps: DataFrame, pivots: list[list[float]], nearest: int) -> DataFram
                 for i, j in combinations(near, 2) if len(near) > 1 else [(near[0], near[0])]:
                     out.append((rep, label, len(x), mask, 64 * i + j, x.tobytes()))
             if out:
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+                types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["rep", "label", "dim", "mask", "key", "v"])
 
-    return reps.select("rep", "label", "v").mapInArrow(describe, "rep long, label long, dim int, mask long, key int, v binary")
+    return reps.select("rep", "label", "v").mapInArrow(describe, "rep long, label string, dim int, mask long, key int, v binary")
 
 
 def _verify(blocks: DataFrame, threshold: float, min_shared: int) -> DataFrame:
@@ -100,10 +102,16 @@ def _verify(blocks: DataFrame, threshold: float, min_shared: int) -> DataFrame:
     return blocks.mapInArrow(compare, "a long, b long")
 
 
+def label_text(df: DataFrame, label: str) -> Column:
+    """A label of any type as text: equal labels have equal texts, different ones different texts."""
+    c = F.col(label)
+    return (F.when(c == 0, F.lit(0.0)).otherwise(c) if dict(df.dtypes)[label] in ("double", "float") else c).cast("string")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, pivots: int = 60, nearest: int = 7, min_shared: int = 2, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for every row of vectors.
 
-    Two vectors are compared only if their labels are equal and not null and they have the same length. A vector that is
+    Two vectors are compared only if their labels (of any type) are equal and not null and they have the same length. A vector that is
     null, empty, zero, or has a null or non-finite component links with nothing. Rows that repeat an id, or have none, are
     vectors of their own; component_id is the smallest id of the component (null if no member has one), and kept tells the one
     row of it that stays. Other columns are not read; an empty table gives an empty result. Links are exact; the index may
@@ -124,7 +132,7 @@ def _near(vectors: DataFrame, threshold: float, pivots: int, nearest: int, min_s
     inf = float("inf")
     v = F.col(embedding).cast("array<double>")
     fit = F.col(label).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < inf), F.lit(False))) & F.exists(v, lambda x: x != 0)
-    every = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), v.alias("v"), F.coalesce(fit, F.lit(False)).alias("fit"))
+    every = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), label_text(vectors, label).alias("label"), v.alias("v"), F.coalesce(fit, F.lit(False)).alias("fit"))
     usable = every.where("fit").select("vec_id", "label", "v", F.xxhash64("label", "v").alias("h"), F.xxhash64(F.lit(1), "label", "v").alias("g"))
     reps = materialize(usable.groupBy("label", "h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("same"), F.min_by("v", "vec_id").alias("v")), "reps")
     points = reference_points(reps, pivots)
