@@ -34,16 +34,19 @@ class Model:
     def transform(self, df: DataFrame) -> DataFrame:
         """df with prediction (for classifiers the class) and, where the model has them, probabilities in the order of classes.
 
-        Rows with an unknown feature are left out. df may lack the target.
+        Every row stays; where a feature is unknown, prediction and probabilities are null. df may lack the target.
         """
-        ready = df.dropna(subset=self.features)
+        known = reduce(lambda a, b: a & b, [F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) for f in self.features])
+        kinds = dict(df.dtypes)
+        ready = df.withColumn("_known", known).withColumn("_given", F.struct(*self.features)).withColumns({f: F.when(F.col("_known"), F.col(f)).otherwise(F.lit(0).cast(kinds[f])) for f in self.features})
         stages = [s for s in self.pipeline.stages if not s.uid.startswith("StringIndexer")]
         out = PipelineModel(stages).transform(ready)
         if "probability" in out.columns:
-            out = out.withColumn("probabilities", vector_to_array("probability"))
+            out = out.withColumn("probabilities", F.when(F.col("_known"), vector_to_array("probability")))
         if self.classes is not None:
             out = out.withColumn("prediction", F.get(F.array(*map(F.lit, self.classes)), F.col("prediction").cast("int")))
-        return out.drop(VECTOR, "rawPrediction", "probability")
+        out = out.withColumn("prediction", F.when(F.col("_known"), F.col("prediction"))).withColumns({f: F.col("_given").getField(f) for f in self.features})
+        return out.drop(VECTOR, "rawPrediction", "probability", "_known", "_given")
 
     def probabilities(self, df: DataFrame, classes: list[str]) -> DataFrame:
         """transform() with probabilities aligned to an outer list of classes; classes that the model has not seen get 0."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
+from .functions.stages import keep
 from .operators import metrics as M
 from .operators import models as K
 from .operators import prepare as P
@@ -630,7 +631,8 @@ def x6_loss_surface(t):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge on lineitem: split by md5, scale and encode from the training part, fit from its Gram, measure by split."""
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("key", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    df = V.holdout(df.select("key", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice"), "key", seed=417)
+    # Written once: scale, categories, moments and scores read the same split.
+    df = keep(V.holdout(df.select("key", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice"), "key", seed=417))
     train = df.where("split = 'train'")
     numeric = ["l_quantity", "l_discount", "l_tax"]
     scale, hot = P.scale(train, numeric), P.onehot(train, "l_returnflag")
