@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import join_null_safe
 from ..functions.stages import keep
 
 
@@ -25,8 +24,8 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).count().where("count > 1")
 
 
-def regular(df: DataFrame, time: str, entity: str | None = None) -> DataFrame:
-    """Per entity whether times step evenly, in seconds or in whole months on the same day."""
+def _grid(df: DataFrame, time: str, entity: str | None = None) -> DataFrame:
+    """Per entity the number of rows, whether a time repeats, and whether times step evenly, in seconds or in whole months on the same day."""
     by = [entity] if entity else []
     w = Window.partitionBy(*by).orderBy(time)
     stamp = dict(df.dtypes)[time] in ("timestamp", "date", "timestamp_ntz")
@@ -36,7 +35,12 @@ def regular(df: DataFrame, time: str, entity: str | None = None) -> DataFrame:
     x = df.select(*by, (t - F.lag(t).over(w)).alias("d"), (months - F.lag(months).over(w)).alias("m"), day.alias("day"))
     even = (F.min("d") == F.max("d")) & (F.min("d") > 0)
     monthly = (F.min("m") == F.max("m")) & (F.min("m") > 0) & (F.min("day") == F.max("day"))
-    return x.groupBy(*by).agg(F.coalesce(even | F.coalesce(monthly, F.lit(False)), F.lit(False)).alias("regular"))
+    return x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min("d") == 0, F.lit(False)).alias("repeats"), F.coalesce(even | F.coalesce(monthly, F.lit(False)), F.lit(False)).alias("regular"))
+
+
+def regular(df: DataFrame, time: str, entity: str | None = None) -> DataFrame:
+    """Per entity whether times step evenly, in seconds or in whole months on the same day."""
+    return _grid(df, time, entity).select(*([entity] if entity else []), "regular")
 
 
 def check_policy(target: str, lags: list[int], rolling: list[int], horizon: int, features: list[str]) -> None:
@@ -54,12 +58,10 @@ def check_policy(target: str, lags: list[int], rolling: list[int], horizon: int,
 
 def check_grid(df: DataFrame, time: str, entity: str | None = None) -> None:
     """Refuses repeated times of a series and times that do not step evenly; a series of one row passes."""
-    by = [entity] if entity else []
-    if duplicates(df, [*by, time]).limit(1).count():
+    repeats, uneven = _grid(df, time, entity).agg(F.count_if("repeats"), F.count_if(~F.col("regular") & (F.col("n") > 1))).first()
+    if repeats:
         raise ValueError("a series repeats a time")
-    several = df.groupBy(*by).count().where("count > 1") if by else None
-    uneven = regular(df if several is None else join_null_safe(df, several.select(*by), by), time, entity).where("not regular")
-    if uneven.limit(1).count() and (by or df.limit(2).count() > 1):
+    if uneven:
         raise ValueError("a series has irregular times")
 
 
