@@ -105,8 +105,8 @@ def load_gradient_model(df: DataFrame, path: str) -> GradientModel:
     return GradientModel(**{**state, "trace": [tuple(t) for t in state["trace"]]})
 
 
-def _sums(rows: DataFrame, work: Callable) -> np.ndarray:
-    """Sums over tasks of the vectors that work returns for their blocks of (x, y, w, held)."""
+def _sums(rows: DataFrame, work: Callable, columns: tuple[str, ...] = ("y", "w", "held")) -> np.ndarray:
+    """Sums over tasks of the vectors that work returns for their blocks of the arrays v and the columns."""
 
     def task(batches):
         import pyarrow as pa
@@ -116,7 +116,7 @@ def _sums(rows: DataFrame, work: Callable) -> np.ndarray:
             for a in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(a, BLOCK)
                 x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                made = work(x, *[part.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "held")])
+                made = work(x, *[part.column(c).to_numpy(zero_copy_only=False) for c in columns])
                 total = made if total is None else total + made
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "s"])
