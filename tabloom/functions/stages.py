@@ -1,10 +1,23 @@
-"""Cutting lineage between the steps of a loop."""
+"""Cutting lineage between the steps of a loop, and the package on the workers."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where their path does not lead to it; sent once per session."""
+    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1].name
+    context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{package}", "zip", root, package))
+    context._shipped = True
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -12,6 +25,7 @@ def keep(df: DataFrame) -> DataFrame:
 
     Only a session on one machine that names no folder gets one of its own.
     """
+    ship(df.sparkSession)
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stages import keep
+from ..functions.stages import keep, ship
 from .gradient import _sums
 
 #: Sweeps of the least squares of one block of rows.
@@ -68,6 +68,7 @@ class Factors:
             known = [F.when(~F.isnan(c), c) - F.lit(float(m)) for c, m in zip(x, self.mean, strict=True)]
             return df.withColumns({f"{name}{i}": sum((c * F.lit(float(w)) for c, w in zip(known, row, strict=True)), F.lit(0.0)) for i, row in enumerate(self.projection)})
         h = np.array(self.components)
+        ship(df.sparkSession)
 
         @F.pandas_udf("array<double>")
         def solve(v):  # a batch of rows against the same components
