@@ -73,13 +73,18 @@ def near_miss(train: DataFrame, label: str, key: str, features: list[str] | str,
     return train.where(F.col(label) == least).unionByName(kept.select(*train.columns))
 
 
-def _between(seeds: DataFrame, pool: DataFrame, key: str, features: list[str], k: int, seed: int, reach: float = 1.0) -> DataFrame:
-    """A synthetic row for each row of seeds (key, _copy, features): from the row towards one of its k nearest rows of the pool."""
+def _towards(seeds: DataFrame, pool: DataFrame, key: str, features: list[str], k: int, seed: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each row of seeds (key, _copy, features) with one of its k nearest rows of the pool: its distance, its values under _ and _u in [0, 1)."""
     near = nearest(seeds.select(key, *features).distinct(), pool, key, features, k)
     count = near.groupBy("query").agg(F.count(F.lit(1)).alias("_k"))
     chosen = seeds.join(count, seeds[key] == count["query"]).withColumn("place", (1 + F.floor(_draw(seed, "neighbour", key, "_copy") * F.col("_k"))).cast("int"))
-    to = pool.select(F.col(key).alias("_to"), *[F.col(f).cast("double").alias(f"_{f}") for f in features])
-    joined = chosen.join(near.select("query", "place", F.col("key").alias("_to")), ["query", "place"]).join(to, "_to").withColumn("_u", _draw(seed, "way", key, "_copy") * reach)
+    to = pool.select(F.col(key).alias("_to"), *[F.col(f).cast("double").alias(f"_{f}") for f in [*features, *carry]])
+    return chosen.join(near.select("query", "place", F.col("key").alias("_to"), F.col("distance").alias("_distance")), ["query", "place"]).join(to, "_to").withColumn("_u", _draw(seed, "way", key, "_copy"))
+
+
+def _between(seeds: DataFrame, pool: DataFrame, key: str, features: list[str], k: int, seed: int) -> DataFrame:
+    """A synthetic row for each row of seeds (key, _copy, features): from the row towards one of its k nearest rows of the pool."""
+    joined = _towards(seeds, pool, key, features, k, seed)
     return joined.withColumns({f: F.col(f).cast("double") + F.col("_u") * (F.col(f"_{f}") - F.col(f).cast("double")) for f in features})
 
 
