@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stages import ship
+
 
 @dataclass
 class Gram:
@@ -49,8 +51,58 @@ def gram_table(df: DataFrame, features: list[str], label: str, by: list[str] | N
     return df.dropna(subset=names).groupBy(*(by or [])).agg(*aggs)
 
 
+#: Features beyond which moments are block sums of vectors instead of one aggregate column for each pair.
+WIDE = 30
+
+
+def _wide_grams(df: DataFrame, features: list[str], label: str, by: str | None) -> dict:
+    """grams() of many features: tasks multiply blocks of rows, and return sums of as many numbers as pairs for each group."""
+    names = [*features, label]
+    k = len(names)
+    ship(df.sparkSession)
+    v, group = F.array(*[F.col(c).cast("double") for c in names]).alias("v"), F.col(by).alias("by") if by else F.lit(0).alias("by")
+    rows = df.dropna(subset=names).select(group, v)
+    center = np.array(rows.agg(*[F.avg(F.get("v", F.lit(i))) for i in range(k)]).first(), dtype=object)
+    if any(c is None for c in center):
+        return {}
+    center, at = center.astype(float), np.triu_indices(k)
+
+    def task(batches):
+        import pyarrow as pa
+
+        sums: dict = {}
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("by").type
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, k) - center
+                keys = np.array([*part.column("by").to_pylist(), None], dtype=object)[:-1]
+                for g in set(keys):
+                    z = x[np.array([q == g for q in keys], bool)]
+                    made = np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z)[at]])
+                    sums[g] = sums[g] + made if g in sums else made
+        for g, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(s), kind), pa.array(np.arange(len(s))), pa.array(s)], names=["by", "i", "s"])
+
+    kind = rows.schema["by"].dataType.simpleString()
+    found: dict = {}
+    for r in rows.mapInArrow(task, f"by {kind}, i long, s double").groupBy("by", "i").agg(F.sum("s").alias("s")).groupBy("by").agg(F.array_sort(F.collect_list(F.struct("i", "s")))["s"].alias("s")).toLocalIterator():
+        found[r["by"]] = np.array(r["s"])
+    out = {}
+    for g, t in found.items():
+        n, s, q = t[0], t[1 : k + 1], np.zeros((k, k))
+        q[at] = t[k + 1 :]
+        q = q + np.triu(q, 1).T
+        m, c = s / n, q - np.outer(s, s) / n
+        out[g if by else None] = Gram(features, n, center[:-1] + m[:-1], center[-1] + m[-1], c[:-1, :-1], c[:-1, -1], c[-1, -1])
+    return out
+
+
 def grams(df: DataFrame, features: list[str], label: str, by: str | None = None) -> dict:
     """Gram of every group (key None without groups); the means of a first, cheap aggregate are the shift."""
+    if len(features) > WIDE:
+        return _wide_grams(df, features, label, by)
     names = [*features, label]
     shift = {k: v or 0.0 for k, v in df.dropna(subset=names).agg(*[F.avg(c).alias(c) for c in names]).first().asDict().items()}
     center = np.array([shift[c] for c in names])
@@ -134,8 +186,8 @@ def weighted_lasso(g: Gram, alpha: float, ratio: float = 2.0) -> Linear:
     return elastic_net(g, alpha, 1.0, weights=np.linspace(1.0, ratio, len(g.xy)))
 
 
-def best_subset(g: Gram, size: int) -> Linear:
-    """Exact for at most 12 features."""
+def best_subset(g: Gram, size: int, alpha: float = 0.0) -> Linear:
+    """The least (1/2n) |e|^2 + alpha (number of features) of at most size features; exact, for at most 12 features."""
     from itertools import combinations
 
     if len(g.xy) > 12:
@@ -145,7 +197,7 @@ def best_subset(g: Gram, size: int) -> Linear:
         for s in combinations(range(len(g.xy)), k):
             i = list(s)
             v = np.linalg.lstsq(g.xx[np.ix_(i, i)], g.xy[i], rcond=None)[0]
-            loss = g.yy - v @ g.xy[i]
+            loss = g.yy - v @ g.xy[i] + 2 * g.n * alpha * k
             if loss < least - 1e-12 * g.yy:
                 best, least = np.zeros(len(g.xy)), loss
                 best[i] = v
