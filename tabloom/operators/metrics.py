@@ -215,3 +215,88 @@ def davies_bouldin(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 def anomaly_fraction(df: DataFrame, label: str = "anomaly") -> DataFrame:
     return df.agg(F.avg((F.col(label) == -1).cast("double")).alias("anomaly_fraction"))
+
+
+def silhouette(df: DataFrame, features: list[str], label: str, key: str, size: int = 2000, seed: int = 0) -> DataFrame:
+    """(silhouette, n, clusters): the mean over at most size rows, the first in an md5 order, of (b - a) / max(a, b).
+
+    a: mean distance to the other rows of the own cluster, b: the least mean distance to another cluster, all among these rows. Noise (-1), unknown
+    labels and features take no part; a row alone in its cluster counts 0; fewer than two clusters give null.
+    """
+    import numpy as np
+
+    from ..functions.columns import finite, shuffled_rank
+    from ..functions.stages import keep, ship
+
+    known = df.select(F.col(key).alias("k"), F.col(label).cast("string").alias("l"), F.array(*[finite(F.col(f)) for f in features]).alias("v"))
+    known = known.where(F.col("l").isNotNull() & (F.col("l") != "-1") & F.forall("v", lambda e: e.isNotNull()))
+    rows = keep(shuffled_rank(known, seed, "k", name="r").where(F.col("r") <= size))
+    held = rows.select("l", "v").collect()
+    clusters = sorted({r["l"] for r in held})
+    if len(clusters) < 2:
+        return rows.agg(F.lit(None).cast("double").alias("silhouette"), F.count(F.lit(1)).alias("n"), F.lit(len(clusters)).cast("long").alias("clusters"))
+    at = np.array([r["v"] for r in held])
+    own = np.array([[r["l"] == c for c in clusters] for r in held], float)
+    ship(df.sparkSession)
+
+    @F.pandas_udf("double")
+    def score(v, label):
+        import pandas as pd
+
+        out = []
+        for x, c in zip(v, label, strict=True):
+            total = np.sqrt(((at - np.asarray(x)) ** 2).sum(axis=1)) @ own
+            n, i = own.sum(axis=0), clusters.index(c)
+            a = total[i] / max(n[i] - 1, 1)
+            b = np.delete(total / n, i).min()
+            out.append((b - a) / max(a, b) if n[i] > 1 and max(a, b) > 0 else 0.0)
+        return pd.Series(out, index=v.index, dtype=float)
+
+    return rows.withColumn("s", score("v", "l")).agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n"), F.lit(len(clusters)).cast("long").alias("clusters"))
+
+
+#: Clusters of a labelling that adjusted_mutual_information takes.
+MOST_CLUSTERS = 1000
+
+
+def adjusted_mutual_information(df: DataFrame, reference: str, label: str) -> DataFrame:
+    """(adjusted_mutual_information): (MI - E[MI]) / (mean entropy - E[MI]), the expectation over all tables with these margins.
+
+    One pass makes the contingency table; the margins, at most MOST_CLUSTERS a side, are held by the driver. Counts further than 40 standard
+    deviations from their mean, of a probability below 1e-300, are left out of the expectation. Rows with an unknown label take no part; 1.0 if both
+    sides are one cluster.
+    """
+    import math
+
+    import numpy as np
+
+    from ..functions.stages import keep
+
+    cells = keep(df.where(F.col(reference).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(reference).alias("r"), F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n")))
+    margins = [sorted(x["s"] for x in cells.groupBy(c).agg(F.sum("n").alias("s")).limit(MOST_CLUSTERS + 1).collect()) for c in ("r", "l")]
+    if max(map(len, margins)) > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
+    spark = df.sparkSession
+    if max(map(len, margins)) <= 1:
+        return spark.range(1).select(F.lit(1.0).alias("adjusted_mutual_information"))
+    total = sum(margins[0])
+    entropies = [-sum(x / total * math.log(x / total) for x in m) for m in margins]
+    log_factorial = np.vectorize(lambda x: math.lgamma(x + 1), otypes=[float])
+    expected = 0.0
+    pairs: dict = {}
+    for a in margins[0]:
+        for b in margins[1]:
+            pairs[a, b] = pairs.get((a, b), 0) + 1
+    for (a, b), times in pairs.items():
+        mean = a * b / total
+        reach = 40 * math.sqrt(mean * (1 - a / total) * (1 - b / total) * total / max(total - 1, 1)) + 40
+        n = np.arange(max(1, a + b - total, math.floor(mean - reach)), min(a, b, math.ceil(mean + reach)) + 1)
+        fixed = math.lgamma(a + 1) + math.lgamma(b + 1) + math.lgamma(total - a + 1) + math.lgamma(total - b + 1) - math.lgamma(total + 1)
+        chance = np.exp(fixed - log_factorial(n) - log_factorial(a - n) - log_factorial(b - n) - log_factorial(total - a - b + n))
+        expected += times * float((n / total * np.log(total * n / (a * b)) * chance).sum())
+    rows, cols = cells.groupBy("r").agg(F.sum("n").alias("a")), cells.groupBy("l").agg(F.sum("n").alias("b"))
+    mi = cells.join(rows, "r").join(cols, "l").agg(F.sum(F.col("n") / total * F.ln(F.col("n") * float(total) / (F.col("a") * F.col("b").cast("double")))).alias("mi"))
+    bound = sum(entropies) / 2 - expected
+    # The library rule: a bound of 0 is moved off it, with its sign.
+    bound = min(bound, -2.0**-52) if bound < 0 else max(bound, 2.0**-52)
+    return mi.select(((F.col("mi") - expected) / bound).alias("adjusted_mutual_information"))

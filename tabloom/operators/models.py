@@ -123,3 +123,45 @@ def tree_ensemble(train: DataFrame, features: list[str], label: str, kind: str =
         "decision_tree_classifier": classification.DecisionTreeClassifier, "random_forest_classifier": classification.RandomForestClassifier, "gradient_boosting_classifier": classification.GBTClassifier,
     }[kind]
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip"), made(featuresCol="_features", labelCol=label, **params)]).fit(train)
+
+
+@dataclass
+class QuadraticClassifier:
+    """A normal density for each class; the prediction is the class of greatest density times share."""
+
+    features: list[str]
+    classes: list
+    means: np.ndarray
+    inverses: np.ndarray
+    offsets: np.ndarray
+
+    def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        known, scores = F.lit(True), []
+        for f in self.features:
+            known = known & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+        for c, mean, inverse, offset in zip(self.classes, self.means, self.inverses, self.offsets, strict=True):
+            d = [F.col(f).cast("double") - F.lit(float(m)) for f, m in zip(self.features, mean, strict=True)]
+            form = sum((d[i] * d[j] * F.lit(float(inverse[i, j])) for i in range(len(d)) for j in range(len(d))), F.lit(0.0))
+            scores.append((F.lit(float(offset)) - form / 2, c))
+        return df.withColumn(name, F.when(known, _best(scores)))
+
+
+def quadratic_discriminant(train: DataFrame, features: list[str], label: str, reg_param: float = 0.0) -> QuadraticClassifier:
+    """Class means and covariances (over n - 1), shrunk by reg_param towards the identity, with class shares as priors."""
+    if not 0 <= reg_param <= 1:
+        raise ValueError("reg_param must be from 0 to 1")
+    parts = grams(train.where(F.col(label).isNotNull()).withColumn("_zero", F.lit(0.0)), features, "_zero", label)
+    classes = sorted(parts)
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    total, inverses, offsets = sum(parts[c].n for c in classes), [], []
+    for c in classes:
+        if parts[c].n < 2:
+            raise ValueError(f"class {c} has fewer than two rows with known features")
+        cov = (1 - reg_param) * parts[c].xx / (parts[c].n - 1) + reg_param * np.eye(len(features))
+        sign, size = np.linalg.slogdet(cov)
+        if sign <= 0 or np.linalg.cond(cov) > 1e14:
+            raise ValueError(f"the covariance of class {c} has no inverse: set reg_param")
+        inverses.append(np.linalg.inv(cov))
+        offsets.append(np.log(parts[c].n / total) - size / 2)
+    return QuadraticClassifier(features, classes, np.array([parts[c].mean for c in classes]), np.array(inverses), np.array(offsets))

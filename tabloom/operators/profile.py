@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import correlation_of, finite, is_numeric, ranked, running_total, shuffle_key, value_bucket
+from ..functions.columns import correlation_of, finite, is_numeric, ordered_rank, ranked, running_total, shuffle_key, value_bucket
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -178,3 +178,31 @@ def auto_histogram(df: DataFrame, column: str, top: int = 30) -> DataFrame:
     counts = df.select(x.alias("x")).where("x is not null").groupBy(at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = df.sparkSession.range(bins).select(F.col("id").alias("bin"), (F.lit(low) + F.col("id") * width).alias("low"), (F.lit(low) + (F.col("id") + 1) * width).alias("high"))
     return every.join(counts, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def qq(df: DataFrame, column: str) -> DataFrame:
+    """(rank, theoretical, value): known values in order against normal quantiles of Filliben's medians of order statistics; at least three values."""
+    from ..functions.stages import keep
+
+    x = keep(df.select(finite(F.col(column)).alias("value")).where("value is not null"))
+    n = x.count()
+    if n < 3:
+        raise ValueError("fewer than three known values")
+    last = 0.5 ** (1.0 / n)
+
+    @F.pandas_udf("double")
+    def normal(p):
+        from statistics import NormalDist
+
+        import pandas as pd
+
+        inverse = NormalDist().inv_cdf
+        return pd.Series([inverse(v) for v in p], index=p.index, dtype=float)
+
+    median = F.when(F.col("rank") == 1, 1 - last).when(F.col("rank") == n, last).otherwise((F.col("rank") - 0.3175) / (n + 0.365))
+    return ordered_rank(x, "value").select("rank", normal(median).alias("theoretical"), "value")
+
+
+def qq_line(df: DataFrame, column: str) -> DataFrame:
+    """(slope, intercept, r) of the least-squares line through qq()."""
+    return qq(df, column).agg(F.regr_slope("value", "theoretical").alias("slope"), F.regr_intercept("value", "theoretical").alias("intercept"), correlation_of("value", "theoretical").alias("r"))

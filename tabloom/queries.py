@@ -650,4 +650,4 @@ def flagship_ridge(t):
     return flagship(df.sparkSession, path)
 
 
-from . import queries_learn, queries_models, queries_neighbors  # noqa: E402, F401  register their queries with the decorator above
+from . import queries_factors, queries_learn, queries_models, queries_neighbors  # noqa: E402, F401  register their queries with the decorator above
