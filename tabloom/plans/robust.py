@@ -16,12 +16,14 @@ from .gram import Linear, grams, ols
 
 
 def _known(df: DataFrame, features: list[str], label: str, key: str) -> DataFrame:
-    return keep(df.select(F.col(key), *[finite(F.col(c)).alias(c) for c in [*features, label]]).dropna(subset=[*features, label]))
+    """Rows with known values, and ``_key``: the key and the values, so that rows which share it are the same."""
+    known = df.select(F.col(key).cast("string").alias("_key"), *[finite(F.col(c)).alias(c) for c in [*features, label]]).dropna(subset=[*features, label])
+    return keep(known.withColumn("_key", F.concat_ws("|", F.coalesce("_key", F.lit("")), *[F.col(c).cast("string") for c in [*features, label]])))
 
 
-def _subset_fits(rows: DataFrame, features: list[str], label: str, key: str, subsets: int, size: int, seed: int) -> np.ndarray:
+def _subset_fits(rows: DataFrame, features: list[str], label: str, subsets: int, size: int, seed: int) -> np.ndarray:
     """(weights, intercept) of least squares on each subset of size rows; subsets without a unique fit are left out."""
-    drawn = shuffled_rank(rows, seed, key, name="_rank").where(F.col("_rank") <= subsets * size).orderBy("_rank").collect()
+    drawn = shuffled_rank(rows, seed, "_key", name="_rank").where(F.col("_rank") <= subsets * size).orderBy("_rank").collect()
     x = np.array([[*(r[f] for f in features), 1.0] for r in drawn])
     y, rng, out = np.array([r[label] for r in drawn]), np.random.default_rng(seed), []
     if len(x) < size:
@@ -42,7 +44,8 @@ def ransac(df: DataFrame, features: list[str], label: str, key: str, threshold:
     """(least squares on the rows that agree, df with ``inlier``): the subset fit with which most rows agree within threshold wins.
 
     One pass counts for all trials; ties go to the least squared residuals, then the first. threshold None: the median absolute deviation of
-    the label. size None: one row more than features. A row with an unknown value has a null inlier. Keys are unique.
+    the label. size None: one row more than features. A row with an unknown value has a null inlier.
+    Rows that share a key take part like any others.
     """
     rows = _known(df, features, label, key)
     if threshold is None:
@@ -50,7 +53,7 @@ def ransac(df: DataFrame, features: list[str], label: str, key: str, threshold:
         if middle is None:
             raise ValueError("no rows with known values")
         threshold = exact_quantiles(rows.select(F.abs(F.col(label) - F.lit(middle)).alias("d")), "d", [0.5])[0]
-    fits = _subset_fits(rows, features, label, key, trials, size or len(features) + 1, seed)
+    fits = _subset_fits(rows, features, label, trials, size or len(features) + 1, seed)
 
     def agree(x):
         e = np.abs(x[:, -1:] - x[:, :-1] @ fits[:, :-1].T - fits[:, -1])
@@ -70,7 +73,7 @@ def ransac(df: DataFrame, features: list[str], label: str, key: str, threshold:
 
 def theil_sen(df: DataFrame, features: list[str], label: str, key: str, subsets: int = 1000, size: int | None = None, seed: int = 0, steps: int = 1000, tol: float = 1e-10) -> Linear:
     """The spatial median of the fits of random subsets (of one row more than features), as weights and intercept."""
-    fits = _subset_fits(_known(df, features, label, key), features, label, key, subsets, size or len(features) + 1, seed)
+    fits = _subset_fits(_known(df, features, label, key), features, label, subsets, size or len(features) + 1, seed)
     at = np.median(fits, axis=0)
     for _ in range(steps):
         far = np.sqrt(((fits - at) ** 2).sum(axis=1))

@@ -88,7 +88,7 @@ def _lines(t) -> DataFrame:
     return x.select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("q"), (F.col("l_discount") * 10).alias("d"), F.floor(F.col("l_extendedprice") / 30000).cast("int").alias("grade"))
 
 
-@query(f"""WITH x AS (SELECT DISTINCT l_orderkey AS query, l_linenumber AS k, CAST(floor(l_extendedprice / 30000) AS INTEGER) AS g FROM lineitem), p AS (SELECT a.query, a.k AS better, b.k AS worse FROM x a JOIN x b ON a.query = b.query AND a.g > b.g)
+@query(f"""WITH x AS (SELECT l_orderkey AS query, l_linenumber AS k, CAST(floor(l_extendedprice / 30000) AS INTEGER) AS g FROM lineitem), p AS (SELECT a.query, a.k AS better, b.k AS worse FROM x a JOIN x b ON a.query = b.query AND a.g > b.g)
 SELECT query, better, worse, {_r('1.0 / count(*) OVER (PARTITION BY query)', 'weight')} FROM p""")
 def j8_query_pairs(t):
     """Lines of an order of which one has a higher grade of price."""
@@ -112,11 +112,11 @@ def l22_pls(t):
 
 
 @query(f"""WITH x AS (SELECT l_quantity / 50 AS q, l_extendedprice / 1000 AS y FROM lineitem), m AS (SELECT avg(q) AS mq, avg(y) AS my, var_pop(q) AS v, covar_pop(q, y) AS c FROM x)
-SELECT model, {_r('w', 'weight', 4)}, {_r('my - mq * w', 'intercept', 4)} FROM (SELECT *, unnest(['fused_lasso', 'group_lasso', 'lasso_lars', 'scad']) AS model, CASE WHEN model = 'scad' THEN c / v ELSE sign(c) * greatest(abs(c) - 0.1, 0) / v END AS w FROM m)""", places=4)
+SELECT model, {_r('w', 'weight', 4)}, {_r('my - mq * w', 'intercept', 4)} FROM (SELECT *, unnest(['fused_lasso', 'group_lasso', 'lasso_lars', 'scad']) AS model, CASE WHEN model = 'scad' THEN c / v ELSE sign(c) * greatest(abs(c) - 0.01, 0) / v END AS w FROM m)""", places=4)
 def l14_penalised_models(t):
     """One feature: groups, fused weights and the path agree with the soft threshold; beyond gamma alpha SCAD does not shrink. More features: the tests."""
     g = G.grams(_items(t), ["q"], "y")[None]
-    models = {"fused_lasso": P.fused_lasso(g, 0.1, 0.5), "group_lasso": P.group_lasso(g, 0.1), "lasso_lars": P.lasso_lars(g, 0.1), "scad": P.scad(g, 0.1)}
+    models = {"fused_lasso": P.fused_lasso(g, 0.01, 0.5), "group_lasso": P.group_lasso(g, 0.01), "lasso_lars": P.lasso_lars(g, 0.01), "scad": P.scad(g, 0.001)}
     return t("lineitem").sparkSession.createDataFrame([(n, float(m.coefficients[0]), float(m.intercept)) for n, m in models.items()], "model string, weight double, intercept double")
 
 

@@ -39,7 +39,7 @@ def test_ransac_and_theil_sen_ignore_outliers(spark, spoiled):
 
 def test_spatial_median_is_at_rest(spark, spoiled):
     t = robust.theil_sen(spoiled, ["a", "b"], "y", "key", subsets=50)
-    fits = robust._subset_fits(robust._known(spoiled, ["a", "b"], "y", "key"), ["a", "b"], "y", "key", 50, 3, 0)
+    fits = robust._subset_fits(robust._known(spoiled, ["a", "b"], "y", "key"), ["a", "b"], "y", 50, 3, 0)
     d = fits - [*t.coefficients, t.intercept]
     assert np.linalg.norm((d / np.linalg.norm(d, axis=1, keepdims=True)).sum(axis=0)) < 1e-3
 
