@@ -11,7 +11,7 @@ import json
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stages import keep, ship
@@ -61,14 +61,13 @@ class Factors:
     trace: list[float] = field(default_factory=list)
     noise: list[float] | None = None
 
-    def transform(self, df: DataFrame, name: str = "factor") -> DataFrame:
-        """df with name0, name1, ...; null where a feature is unknown."""
+    def expressions(self) -> list[Column]:
+        """The factors of a row as columns; null where a feature is unknown."""
         x = [F.col(f).cast("double") for f in self.features]
         if self.projection is not None:
             known = [F.when(~F.isnan(c), c) - F.lit(float(m)) for c, m in zip(x, self.mean, strict=True)]
-            return df.withColumns({f"{name}{i}": sum((c * F.lit(float(w)) for c, w in zip(known, row, strict=True)), F.lit(0.0)) for i, row in enumerate(self.projection)})
+            return [sum((c * F.lit(float(w)) for c, w in zip(known, row, strict=True)), F.lit(0.0)) for row in self.projection]
         h = np.array(self.components)
-        ship(df.sparkSession)
 
         @F.pandas_udf("array<double>")
         def solve(v):  # a batch of rows against the same components
@@ -76,10 +75,14 @@ class Factors:
 
             return pd.Series(list(_nonnegative_rows(np.array(v.tolist(), float), h)) if len(v) else [], index=v.index)
 
-        known = F.forall("_v", lambda e: e.isNotNull() & ~F.isnan(e))
-        out = df.withColumn("_v", F.array(*x)).withColumn("_known", known)
-        out = out.withColumn("_f", solve(F.when(F.col("_known"), F.col("_v")).otherwise(F.array(*[F.lit(0.0)] * len(x)))))
-        return out.withColumns({f"{name}{i}": F.when(F.col("_known"), F.get("_f", F.lit(i))) for i in range(len(h))}).drop("_v", "_known", "_f")
+        whole = F.forall(F.array(*x), lambda e: e.isNotNull() & ~F.isnan(e))
+        found = solve(F.when(whole, F.array(*x)).otherwise(F.array(*[F.lit(0.0)] * len(x))))
+        return [F.when(whole, F.get(found, F.lit(i))) for i in range(len(h))]
+
+    def transform(self, df: DataFrame, name: str = "factor") -> DataFrame:
+        """df with name0, name1, ...; null where a feature is unknown."""
+        ship(df.sparkSession)
+        return df.withColumns({f"{name}{i}": c for i, c in enumerate(self.expressions())})
 
     def save(self, df: DataFrame, path: str) -> None:
         """As one JSON row, through the session of df."""

@@ -42,10 +42,9 @@ class IterativeImputer:
         known = [finite(F.col(c)) for c in self.columns]
         return F.array(*[F.coalesce(c, F.lit(m)) for c, m in zip(known, self.start, strict=True)], *[c.isNull().cast("double") for c in known])
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """df with the columns as doubles without gaps: medians first, then all steps in their order."""
-        steps, p = self.steps, len(self.columns)
-        ship(df.sparkSession)
+    def expressions(self) -> dict[str, Column]:
+        """Each column without gaps: medians first, then all steps in their order."""
+        steps = self.steps
 
         @F.pandas_udf("array<double>")
         def fill(v):
@@ -53,9 +52,13 @@ class IterativeImputer:
 
             return pd.Series(list(_apply(np.array(v.tolist(), float), steps)) if len(v) else [], index=v.index)
 
-        if not p:
-            return df
-        return df.withColumn("_v", fill(self.block())).withColumns({c: F.get("_v", F.lit(i)) for i, c in enumerate(self.columns)}).drop("_v")
+        found = fill(self.block())
+        return {c: F.get(found, F.lit(i)) for i, c in enumerate(self.columns)}
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with the columns as doubles without gaps."""
+        ship(df.sparkSession)
+        return df.withColumns(self.expressions()) if self.columns else df
 
     def save(self, df: DataFrame, path: str) -> None:
         """As one JSON row, through the session of df."""

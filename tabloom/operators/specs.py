@@ -30,9 +30,13 @@ from pyspark.sql import functions as F
 from ..functions.columns import apply_math, exact_quantiles, finite, is_numeric, shuffled_rank
 from ..functions.stages import keep
 from ..plans import gram as G
+from ..plans import penalised as N
+from . import factors as X
 from . import gradient as D
+from . import impute as I
 from . import learn as L
 from . import metrics as M
+from . import prepare as P
 from .checks import direction
 
 #: Most categories of a column, most columns of a step, most fits of a search.
@@ -192,6 +196,85 @@ def _fit_clip(df, columns, o, target):
     return {c: exact_quantiles(df.select(_number(c).alias(c)), c, [o.get("lower", 0.05), o.get("upper", 0.95)]) for c in columns}
 
 
+def _fit_factors(df, columns, o, target, fit):
+    found = fit(df.select(*[_number(c).alias(c) for c in columns]), columns, int(o.get("components", 2)))
+    return {**found.__dict__, "trace": []}
+
+
+def _make_factors(columns, s, o):
+    return {f"{s['kind']}{i}": c for i, c in enumerate(X.Factors(**s).expressions())}
+
+
+def _fit_iterative(df, columns, o, target):
+    found = I.iterative_impute(df, columns, int(o.get("rounds", 10)), o.get("tol", 1e-3), o.get("nearest"))
+    return {"columns": found.columns, "start": found.start, "steps": [list(x) for x in found.steps]}
+
+
+def _make_iterative(columns, s, o):
+    """A column without any known value stays null."""
+    found = I.IterativeImputer(**s).expressions() if s["columns"] else {}
+    return {c: found.get(c, F.lit(None).cast("double")) for c in columns}
+
+
+def _fit_power(df, columns, o, target):
+    how = o.get("how", "yeo_johnson")
+    if how not in ("yeo_johnson", "box_cox"):
+        raise ValueError("power how: yeo_johnson or box_cox")
+    known = df.select(*[_number(c).alias(c) for c in columns])
+    if how == "box_cox" and known.agg(*[F.count_if(F.col(c) <= 0).alias(c) for c in columns]).where(" or ".join(f"`{c}` > 0" for c in columns)).count():
+        raise ValueError("box_cox needs values above 0")
+    return {c: P.power(known, c, how).stats["exponent"] for c in columns}
+
+
+def _make_power(columns, s, o):
+    return {c: _number(c) if s[c] is None else P._power(_number(c), s[c], o.get("how", "yeo_johnson")) for c in columns}
+
+
+def _fit_quantile(df, columns, o, target):
+    n = int(o.get("quantiles", 32))
+    if n < 1 or o.get("output", "uniform") not in ("uniform", "normal"):
+        raise ValueError("quantile: at least 1 quantile, output uniform or normal")
+    return {c: exact_quantiles(df.select(_number(c).alias(c)), c, [i / n for i in range(n + 1)]) for c in columns}
+
+
+def _make_quantile(columns, s, o):
+    """Piecewise linear between quantiles; a value that several share gets their middle. normal: within 1e-7 of either end is moved there."""
+
+    @F.pandas_udf("double")
+    def normal(p):
+        from statistics import NormalDist
+
+        import pandas as pd
+
+        inverse = NormalDist().inv_cdf
+        return pd.Series([None if v != v else inverse(min(max(v, 1e-7), 1 - 1e-7)) for v in p], index=p.index, dtype=float)
+
+    def place(c):
+        q, x, total = s[c], _number(c), F.lit(0.0)
+        if q[0] is None:
+            return F.lit(None).cast("double")
+        for a, b in zip(q, q[1:], strict=False):
+            total = total + (F.least(F.greatest((x - a) / (b - a), F.lit(0.0)), F.lit(1.0)) if b > a else F.when(x > a, 1.0).when(x == a, 0.5).otherwise(0.0))
+        even = F.when(x < q[0], 0.0).when(x > q[-1], 1.0).when(x.isNotNull(), total / (len(q) - 1))
+        return F.when(x.isNotNull(), normal(even)) if o.get("output") == "normal" else even
+
+    return {c: place(c) for c in columns}
+
+
+def _make_projection(columns, s, o):
+    """Gaussian directions whose expected squared lengths are kept."""
+    k = int(o.get("components", 2))
+    m = np.random.default_rng(int(o.get("seed", 0))).normal(size=(k, len(columns))) / np.sqrt(k)
+    return {f"rp{i}": sum((_number(c) * F.lit(float(w)) for c, w in zip(columns, row, strict=True)), F.lit(0.0)) for i, row in enumerate(m)}
+
+
+def _make_rbf(columns, s, o):
+    """Random Fourier features of the kernel exp(-gamma |x - y|^2): their products are near it."""
+    k, rng = int(o.get("components", 100)), np.random.default_rng(int(o.get("seed", 0)))
+    m, shift = rng.normal(size=(k, len(columns))) * np.sqrt(2 * o.get("gamma", 1.0)), rng.uniform(0, 2 * np.pi, k)
+    return {f"rbf{i}": F.lit(float(np.sqrt(2 / k))) * F.cos(sum((_number(c) * F.lit(float(w)) for c, w in zip(columns, row, strict=True)), F.lit(float(b)))) for i, (row, b) in enumerate(zip(m, shift, strict=True))}
+
+
 def _nothing(df, columns, o, target):
     return {}
 
@@ -212,10 +295,24 @@ TRANSFORMERS: dict[str, tuple[Callable, Callable]] = {
     "spline": (_fit_spline, _make_spline),
     "bins": (_fit_bins, lambda columns, s, o: {c: F.when(_number(c).isNotNull(), sum([(_number(c) > e).cast("double") for e in s[c]], F.lit(0.0))) for c in columns}),
     "pca": (_fit_pca, lambda columns, s, o: {f"pc{i}": sum(((_number(c) - F.lit(s["mean"][c])) * F.lit(w) for c, w in zip(columns, axis, strict=True)), F.lit(0.0)) for i, axis in enumerate(s["axes"])}),
+    "ica": (lambda df, columns, o, target: _fit_factors(df, columns, o, target, lambda d, c, k: X.fast_ica(d, c, k, seed=int(o.get("seed", 0)))), _make_factors),
+    "nmf": (lambda df, columns, o, target: _fit_factors(df, columns, o, target, X.nmf), _make_factors),
+    "factor_analysis": (lambda df, columns, o, target: _fit_factors(df, columns, o, target, X.factor_analysis), _make_factors),
+    "iterative_impute": (_fit_iterative, _make_iterative),
+    "power": (_fit_power, _make_power),
+    "quantile": (_fit_quantile, _make_quantile),
+    "random_projection": (_nothing, _make_projection),
+    "rbf": (_nothing, _make_rbf),
     "select": (_fit_select, lambda columns, s, o: {c: F.col(c) for c in s["kept"]}),
     "variance": (_fit_variance, lambda columns, s, o: {c: F.col(c) for c in s["kept"]}),
 }
-GRAM = {"ols": lambda g, o: G.ols(g), "ridge": lambda g, o: G.ridge(g, o.get("alpha", 1.0)), "lasso": lambda g, o: G.lasso(g, o.get("alpha", 1.0)), "elastic_net": lambda g, o: G.elastic_net(g, o.get("alpha", 1.0), o.get("l1_ratio", 0.5))}
+GRAM = {
+    "ols": lambda g, o: G.ols(g), "ridge": lambda g, o: G.ridge(g, o.get("alpha", 1.0)), "lasso": lambda g, o: G.lasso(g, o.get("alpha", 1.0)), "elastic_net": lambda g, o: G.elastic_net(g, o.get("alpha", 1.0), o.get("l1_ratio", 0.5)),
+    "nonnegative": lambda g, o: G.nonnegative(g), "adaptive_lasso": lambda g, o: G.adaptive_lasso(g, o.get("alpha", 1.0)), "bayesian_ridge": lambda g, o: G.bayesian_ridge(g), "ard": lambda g, o: N.ard(g), "omp": lambda g, o: G.omp(g, min(int(o.get("size", 1)), len(g.xy))),
+    "lars": lambda g, o: N.lars(g, int(o.get("size", 500))), "lasso_lars": lambda g, o: N.lasso_lars(g, o.get("alpha", 1.0)), "group_lasso": lambda g, o: N.group_lasso(g, o.get("alpha", 0.1), int(o.get("group_size", 2))),
+    "sparse_group_lasso": lambda g, o: N.sparse_group_lasso(g, o.get("alpha", 0.1), o.get("l1_ratio", 0.5), int(o.get("group_size", 2))), "fused_lasso": lambda g, o: N.fused_lasso(g, o.get("alpha", 0.1), o.get("fusion", 0.1)),
+    "scad": lambda g, o: N.scad(g, o.get("alpha", 0.1), o.get("gamma", 3.7)), "pls": lambda g, o: N.pls(g, int(o.get("components", 2))),
+}
 CLASSIFIERS = ("logistic", "linear_svc", "naive_bayes", "tree_classifier", "forest_classifier", "boosting_classifier")
 REGRESSORS = ("tree_regressor", "forest_regressor", "boosting_regressor")
 MODELS = (*GRAM, *CLASSIFIERS, *REGRESSORS, "gradient")
