@@ -263,3 +263,46 @@ def test_penalties_are_those_asked_for(spark, kind, weight):
         power = {"poisson": 1, "gamma": 2, "tweedie": 1.5}[kind]
         mu = np.exp(eta)
         assert x.T @ (w * (y - mu) * mu ** (1 - power)) / w.sum() == pytest.approx(0.5 * beta, rel=1e-3, abs=1e-5)
+
+
+def test_a_vector_is_sent_once_to_a_part_however_many_cells_it_visits(spark, monkeypatch):
+    """In many dimensions no cell is excluded; 16 cells are one part here, so each query is sent once."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1100, 24))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    sent, meet = [], neighbors._meet
+
+    def counted(queries, rows, function, schema, size):
+        sent.append(queries.count())
+        return meet(queries, rows, function, schema, size)
+
+    monkeypatch.setattr(neighbors, "_meet", counted)
+    got = {}
+    for r in neighbors.nearest(df, df, "id", "v", 3).collect():
+        got.setdefault(r["query"], []).append((r.place, r.key))
+    assert sent == [1100, 1100]
+    for i in range(0, 1100, 50):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = math.inf
+        assert [k for _, k in sorted(got[i])] == np.argsort(d)[:3].tolist()
+
+
+def test_nearest_far_from_the_origin(spark):
+    """Products of vectors would lose these differences; plain distances decide."""
+    x = [(i, 1e8 + i * 1e-3 * (-1) ** i, 1e-3 * (i % 7)) for i in range(200)] + [(1000 + i, 1e8, 0.0) for i in range(30)]
+    df = spark.createDataFrame(x, "id long, a double, b double")
+    got = {}
+    for r in neighbors.nearest(df, df, "id", ["a", "b"], 4).collect():
+        got.setdefault(r["query"], []).append((r.place, r.distance, r.key))
+    for i, a, b in x:
+        want = sorted((float(np.sqrt(((np.array([a, b]) - np.array([c, d])) ** 2).sum())), j) for j, c, d in x if j != i)[:4]
+        assert [(d, j) for _, d, j in sorted(got[i])] == want
+
+
+def test_knn_impute_searches_instead_of_comparing_all(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "_donors", lambda j, k: pytest.fail("all rows were compared"))
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else float(i % 5), float(i % 50)) for i in range(300)], "id long, gap double, b double")
+    got = {r.id: r.gap for r in neighbors.knn_impute(df, df, "id", ["gap", "b"], 3).collect()}
+    for i in range(0, 300, 7):
+        near = sorted((abs(j % 50 - i % 50), j) for j in range(300) if j % 7)[:3]
+        assert abs(got[i] - sum(j % 5 for _, j in near) / 3) < 1e-12
