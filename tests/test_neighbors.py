@@ -306,3 +306,32 @@ def test_knn_impute_searches_instead_of_comparing_all(spark, monkeypatch):
     for i in range(0, 300, 7):
         near = sorted((abs(j % 50 - i % 50), j) for j in range(300) if j % 7)[:3]
         assert abs(got[i] - sum(j % 5 for _, j in near) / 3) < 1e-12
+
+
+def test_copies_meet_once_in_radius_queries(spark, monkeypatch):
+    """300 rows at 6 places: joins see the places, results count the rows."""
+    seen, plain = [], neighbors.within
+
+    def counted(df, *args, **kw):
+        seen.append(df.count())
+        return plain(df, *args, **kw)
+
+    monkeypatch.setattr(neighbors, "within", counted)
+    place = [(0.0, 0.0), (0.3, 0.0), (0.9, 0.0), (5.0, 5.0), (-0.0, 9.0), (0.0, 9.2)]
+    rows = [(i, *place[i % 6], float(i), "x" if i % 12 < 6 else "y") for i in range(300)] + [(900, None, 0.0, 1.0, "x"), (901, 20.0, 20.0, 1.0, "y")]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double, cls string")
+    near = lambda r, s, d: None not in (r[1], s[1]) and math.dist(r[1:3], s[1:3]) <= d
+    train, asked = [r for r in rows if r[0] % 5], [r for r in rows if r[0] % 5 == 0]
+    got = {r.id: r.prediction for r in neighbors.radius_predict(df.where("id % 5 <> 0"), df.where("id % 5 = 0"), "id", ["a", "b"], "y", 0.5).collect()}
+    assert got.keys() == {r[0] for r in asked}
+    for q in asked:
+        want = [t[3] for t in train if near(q, t, 0.5)]
+        assert got[q[0]] is None if not want else abs(got[q[0]] - np.mean(want)) < 1e-9
+    got = {r.id: r.prediction for r in neighbors.radius_predict(df.where("id % 5 <> 0"), df.where("id % 5 = 0"), "id", ["a", "b"], "cls", 0.5, True).collect()}
+    for q in asked:
+        votes = [t[4] for t in train if near(q, t, 0.5)] or [t[4] for t in train]
+        assert got[q[0]] == max("xy", key=lambda c: (votes.count(c), c == "x"))
+    out = {r.id: (r.core, r.cluster) for r in neighbors.dbscan(df, "id", ["a", "b"], 0.5, 60).collect()}
+    want = {0: 0, 1: 0, 2: None, 3: None, 4: 4, 5: 4}
+    assert all(out[i] == (want[i % 6] is not None, want[i % 6]) for i in range(300)) and out[900] == out[901] == (False, None)
+    assert max(seen) <= 7
