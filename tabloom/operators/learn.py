@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import exact_quantiles, order_statistics
+from ..functions.stages import keep
 from .checks import balanced_weights, check_target, direction
 
 VECTOR = "features_vector"
@@ -171,32 +172,37 @@ def elliptic_envelope(df: DataFrame, features: list[str], contamination: float =
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination must be above 0 and at most 0.5")
     known = df.dropna(subset=features).select(*[F.col(f).cast("double").alias(f) for f in features])
-    n, p = known.count(), len(features)
+    # Distinct vectors with the number of their rows: the steps read no row twice.
+    known = keep(known.groupBy(*features).agg(F.count(F.lit(1)).alias("_n")))
+    n, p = known.agg(F.sum("_n")).first()[0] or 0, len(features)
     if n <= p + 1:
         raise ValueError("too few rows for a covariance")
     h = (n + p + 1) // 2
 
-    def fit(rows):
-        aggs = [F.avg(f).alias(f"m{i}") for i, f in enumerate(features)] + [F.covar_pop(f, h).alias(f"c{i}_{j}") for i, f in enumerate(features) for j, h in enumerate(features) if i <= j]
-        r = rows.agg(*aggs).first()
-        cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-        return [r[f"m{i}"] for i in range(p)], np.linalg.pinv(cov)
+    def fit(rows, near):
+        # Moments about the centre so far, so that large means take no digits.
+        d = [F.col(f) - F.lit(float(m)) for f, m in zip(features, near, strict=True)]
+        pairs = [(i, j) for i in range(p) for j in range(i, p)]
+        r = rows.agg(F.sum("_n").alias("n"), *[F.sum(F.col("_n") * x).alias(f"m{i}") for i, x in enumerate(d)], *[F.sum(F.col("_n") * d[i] * d[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+        mean = np.array([r[f"m{i}"] / r["n"] for i in range(p)])
+        cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] / r["n"] for j in range(p)] for i in range(p)]) - np.outer(mean, mean)
+        return [float(c + m) for c, m in zip(near, mean, strict=True)], np.linalg.pinv(cov)
 
     def distance(center, inverse):
         d = [F.col(f) - F.lit(float(m)) for f, m in zip(features, center, strict=True)]
         return reduce(lambda a, b: a + b, [d[i] * d[j] * F.lit(float(inverse[i, j])) for i in range(len(d)) for j in range(len(d))])
 
-    center = [exact_quantiles(known, f, [0.5])[0] for f in features]
-    spread = [exact_quantiles(known.select(F.abs(F.col(f) - F.lit(m)).alias("d")), "d", [0.5])[0] for f, m in zip(features, center, strict=True)]
+    center = [exact_quantiles(known, f, [0.5], "_n")[0] for f in features]
+    spread = [exact_quantiles(known.select(F.abs(F.col(f) - F.lit(m)).alias("d"), "_n"), "d", [0.5], "_n")[0] for f, m in zip(features, center, strict=True)]
     inverse = np.diag([1 / (1.4826 * s) ** 2 if s else 0.0 for s in spread])
     for _ in range(steps):
         scored = known.withColumn("_d", distance(center, inverse))
-        new, inverse_new = fit(scored.where(F.col("_d") <= order_statistics(scored, "_d", [h - 1])[0]))
+        new, inverse_new = fit(scored.where(F.col("_d") <= order_statistics(scored, "_d", [h - 1], "_n")[0]), center)
         done = np.allclose(new, center, rtol=1e-9) and np.allclose(inverse_new, inverse, rtol=1e-6)
         center, inverse = new, inverse_new
         if done:
             break
-    cut = exact_quantiles(known.withColumn("_d", distance(center, inverse)), "_d", [1 - contamination])[0]
+    cut = exact_quantiles(known.withColumn("_d", distance(center, inverse)), "_d", [1 - contamination], "_n")[0]
 
     def score(rows: DataFrame) -> DataFrame:
         return rows.withColumn("anomaly_score", distance(center, inverse)).withColumn("anomaly", F.when(F.col("anomaly_score") > cut, -1).when(F.col("anomaly_score").isNotNull(), 1))

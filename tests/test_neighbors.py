@@ -335,3 +335,32 @@ def test_copies_meet_once_in_radius_queries(spark, monkeypatch):
     want = {0: 0, 1: 0, 2: None, 3: None, 4: 4, 5: 4}
     assert all(out[i] == (want[i % 6] is not None, want[i % 6]) for i in range(300)) and out[900] == out[901] == (False, None)
     assert max(seen) <= 7
+
+
+def test_order_statistics_of_weighted_and_infinite_values(spark, monkeypatch):
+    from tabloom.functions import columns
+
+    monkeypatch.setattr(columns, "HELD", 5)
+    rng = np.random.default_rng(6)
+    rows = [(float(v), int(w)) for v, w in zip(np.r_[rng.normal(size=200), rng.normal(size=50) * 1e200, [math.inf, -math.inf, math.inf]], rng.integers(1, 9, 253), strict=True)]
+    df = spark.createDataFrame(rows, "v double, w int")
+    want = sorted(v for v, w in rows for _ in range(w))
+    at = [0, 1, 50, len(want) // 2, len(want) - 20, len(want) - 1]
+    assert order_statistics(df, "v", at, "w") == [want[k] for k in at]
+    few = df.where("abs(v) < 5")
+    assert exact_quantiles(few, "v", [0.3, 0.5], "w") == pytest.approx(np.quantile([v for v, w in rows if abs(v) < 5 for _ in range(w)], [0.3, 0.5]))
+
+
+def test_envelope_reads_each_place_once(spark, monkeypatch):
+    """600 rows at 30 places: the concentration steps see places, with the cut of all rows."""
+    seen, plain = [], learn.order_statistics
+
+    def counted(df, *args):
+        seen.append(df.count())
+        return plain(df, *args)
+
+    monkeypatch.setattr(learn, "order_statistics", counted)
+    df = spark.createDataFrame([(i, float(i % 30 % 6), float(i % 30 % 5) + 100 * (i % 30 == 7)) for i in range(600)], "id long, a double, b double")
+    out = learn.elliptic_envelope(df, ["a", "b"], 0.04)(df)
+    bad = {r.id % 30 for r in out.where("anomaly = -1").collect()}
+    assert bad == {7} and max(seen) == 30
