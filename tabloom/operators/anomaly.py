@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import exact_quantiles
+from ..functions.stages import keep
 
 EULER = 0.5772156649015329
 
@@ -139,7 +140,9 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], trees: int =
     size = min(size, n)
     grown = [grow(x, int(np.ceil(np.log2(size))), np.random.default_rng(s)) for x, s in zip(_samples(rows, n, trees, size, seed), rng.integers(0, 1 << 62, trees), strict=True) if len(x)]
     forest = Forest(features, grown, size)
-    forest.cut = exact_quantiles(forest.scored(known), "anomaly_score", [1 - contamination])[0]
+    # A distinct vector is scored once, however many rows and passes there are.
+    places = known.select(*[F.col(f).cast("double").alias(f) for f in features]).groupBy(*features).agg(F.count(F.lit(1)).alias("_n"))
+    forest.cut = exact_quantiles(keep(forest.scored(places).select("anomaly_score", "_n")), "anomaly_score", [1 - contamination], "_n")[0]
     return forest
 
 
