@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import exact_quantiles, order_statistics
+from ..functions.columns import exact_quantiles, is_numeric, order_statistics
 from ..functions.stages import keep
 from .checks import balanced_weights, check_target, direction
 
@@ -95,7 +95,17 @@ def classifier(train: DataFrame, features: list[str], target: str, kind: str = "
     if balanced and weight:
         raise ValueError("either balanced or weight")
     df = train.dropna(subset=[*features, target]).withColumn(target, F.col(target).cast("string"))
-    if balanced:
+    if kind == "logistic" and all(is_numeric(train.schema[f]) for f in features):
+        # The loss of equal rows is that of one with the sum of their weights, and its optimum is unique (the steps on a hinge would stop elsewhere).
+        w = F.col(weight).cast("double") if weight else F.lit(1.0)
+        refused = F.count_if(w.isNull() | F.isnan(w) | (w < 0)) > 0
+        df = keep(df.groupBy(*features, target).agg(F.when(refused, -1.0).otherwise(F.sum(w)).alias("_weight")))
+        if balanced:
+            per = df.groupBy(target).agg(F.sum("_weight").alias("_rows"))
+            n, k = per.agg(F.sum("_rows"), F.count(F.lit(1))).first()
+            df = df.join(per, target).withColumn("_weight", F.col("_weight") * F.lit(n) / (F.lit(k) * F.col("_rows"))).drop("_rows")
+        weight = "_weight"
+    elif balanced:
         # One row per class: few by the nature of a classifier, joined without a hint.
         df, weight = df.join(balanced_weights(df, target).select(target, F.col("weight").alias("_weight")), target), "_weight"
     total = float(df.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0] or 0)
@@ -243,16 +253,16 @@ def permutation_importance(model: Model, df: DataFrame, key: str, measure: Calla
     """
     from ..functions.columns import shuffled_rank
 
-    sign = 1 if direction(metric) == "max" else -1
-    base, out = sign * measure(model.transform(df)), []
-    for f in model.features:
-        drops = []
-        for r in range(repeats):
+    sign, df = 1 if direction(metric) == "max" else -1, keep(df)
+    base, drops = sign * measure(model.transform(df)), {f: [] for f in model.features}
+    for r in range(repeats):
+        # The order of the rows is the same for all features of a repeat.
+        ordered = keep(shuffled_rank(df, f"{seed}|{r}", key, name="_rank"))
+        for f in model.features:
             values = shuffled_rank(df.select(key, f), f"{seed}|{f}|{r}", key, name="_rank").select("_rank", F.col(f).alias("_value"))
-            rows = shuffled_rank(df, f"{seed}|{r}", key, name="_rank").join(values, "_rank").withColumn(f, F.col("_value")).drop("_rank", "_value")
-            drops.append(base - sign * measure(model.transform(rows)))
-        out.append((f, float(np.mean(drops)), float(np.std(drops))))
-    return out
+            rows = ordered.join(values, "_rank").withColumn(f, F.col("_value")).drop("_rank", "_value")
+            drops[f].append(base - sign * measure(model.transform(rows)))
+    return [(f, float(np.mean(d)), float(np.std(d))) for f, d in drops.items()]
 
 
 def prediction_view(model: Model, train: DataFrame, axes: list[str], points: int = 25) -> DataFrame:

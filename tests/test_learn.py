@@ -123,3 +123,22 @@ def test_small_measures(spark):
     assert {r.split: r["count"] for r in parts} == {"train": 7, "validation": 5, "test": 3}
     with pytest.raises(ValueError, match="more than"):
         splits.leave_one_out(rows, "id", 10)
+
+
+def test_equal_rows_are_fitted_as_one(spark, monkeypatch):
+    """Copies reach the solver once, with their number; the model is that of all rows."""
+    seen, plain = [], learn._fit
+
+    def counted(df, *args):
+        seen.append(df.count())
+        return plain(df, *args)
+
+    monkeypatch.setattr(learn, "_fit", counted)
+    rows = [(float(i % 5), float(i % 3), "yes" if (i % 5) + (i % 7 == 0) * 3 > 2 else "no") for i in range(2000)]
+    df = spark.createDataFrame(rows, "a double, b double, y string")
+    got = learn.classifier(df, ["a", "b"], "y")
+    assert seen == [len(set(rows))]
+    solver = learn.MC.LogisticRegression(regParam=1 / len(rows), standardization=False, maxIter=200, tol=1e-9, labelCol="_label")
+    assert [v for _, _, v in got.coefficients()] == pytest.approx([v for _, _, v in plain(df, ["a", "b"], "y", solver, "_label").coefficients()], abs=2e-3)
+    with pytest.raises(Exception, match="(?i)weight"):
+        learn.classifier(df.withColumn("w", F.when(F.col("a") == 0, -1.0).otherwise(1.0)), ["a", "b"], "y", weight="w")
