@@ -364,3 +364,11 @@ def test_envelope_reads_each_place_once(spark, monkeypatch):
     out = learn.elliptic_envelope(df, ["a", "b"], 0.04)(df)
     bad = {r.id % 30 for r in out.where("anomaly = -1").collect()}
     assert bad == {7} and max(seen) == 30
+
+
+def test_radius_means_do_not_depend_on_the_order_of_sums(spark):
+    y = [0.1 * 3**i for i in range(25)] + [1 / (i + 3) for i in range(25)]
+    train = [(i, 0.001 * i, v) for i, v in enumerate(y)]
+    df = spark.createDataFrame([*train, (100, 0.02, 0.0)], "id long, a double, y double").repartition(4)
+    got = neighbors.radius_predict(df.where("id < 100"), df.where("id = 100"), "id", ["a"], "y", 1.0).first().prediction
+    assert got == pytest.approx(math.fsum(y) / 50, rel=3e-16)
