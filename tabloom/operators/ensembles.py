@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import shuffled_rank
+from ..functions.columns import is_numeric, shuffled_rank
 from ..functions.stages import keep
 from . import learn as L
 
@@ -123,6 +123,13 @@ def bagging(train: DataFrame, key: str, features: list[str], target: str, kind:
     return Ensemble("soft" if soft else "hard", out, [1.0] * members, classes)
 
 
+def _start(known: DataFrame, features: list[str], target: str, options: dict) -> DataFrame:
+    """The rows that boosting weighs: those with equal features and target are right and wrong together, so one stands for them with their number."""
+    if L.mergeable(options) and all(is_numeric(known.schema[f]) for f in features):
+        return keep(L.equal_rows(known, [*features, target], None))
+    return keep(known.withColumn("_weight", F.lit(1.0)))
+
+
 def adaboost_classifier(train: DataFrame, key: str, features: list[str], target: str, rounds: int = 10, learning_rate: float = 1.0, **options) -> Ensemble:
     """SAMME over depth-limited trees: after each round a wrong row's weight grows by exp(rate x (ln((1 - e) / e) + ln(K - 1))), e its weighted error.
 
@@ -132,7 +139,7 @@ def adaboost_classifier(train: DataFrame, key: str, features: list[str], target:
     classes = sorted(r[0] for r in known.select(target).distinct().limit(1001).collect())
     if not 2 <= len(classes) <= 1000:
         raise ValueError("a classifier needs 2 to 1000 classes")
-    rows = keep(known.withColumn("_weight", F.lit(1.0)))
+    rows = _start(known, features, target, options)
     members, weights, trace = [], [], []
     for r in range(rounds):
         model = L.classifier(rows, features, target, "tree", weight="_weight", **{"maxDepth": 1} | options)
@@ -150,7 +157,7 @@ def adaboost_classifier(train: DataFrame, key: str, features: list[str], target:
         if error <= 0:
             break
         # Weights keep a mean of 1.
-        mean = (total - wrong + wrong * np.exp(alpha)) / rows.count() if r == 0 else (total - wrong + wrong * np.exp(alpha)) / total
+        mean = (total - wrong + wrong * np.exp(alpha)) / total
         rows = keep(scored.withColumn("_weight", F.col("_weight") * F.exp(F.lit(float(alpha)) * F.col("_wrong")) / F.lit(float(mean))).drop("_wrong"))
     return Ensemble("hard", members, weights, classes, trace=trace)
 
@@ -163,7 +170,7 @@ def adaboost_regressor(train: DataFrame, key: str, features: list[str], target:
     if loss not in ("linear", "square", "exponential"):
         raise ValueError("loss must be linear, square or exponential")
     known = train.dropna(subset=[*features, target])
-    rows, members, weights, trace = keep(known.withColumn("_weight", F.lit(1.0))), [], [], []
+    rows, members, weights, trace = _start(known, features, target, options), [], [], []
     for r in range(rounds):
         model = L.regressor(rows, features, target, "tree", weight="_weight", **{"maxDepth": 3} | options)
         scored = model.transform(rows).withColumn("_error", F.abs(F.col(target).cast("double") - F.col("prediction"))).select(*rows.columns, "_error")

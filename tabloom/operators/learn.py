@@ -88,6 +88,18 @@ def _fit(df: DataFrame, features: list[str], target: str | None, estimator, labe
     return Model(fitted, features, target, list(fitted.stages[1].labels) if label else None)
 
 
+def mergeable(options: dict) -> bool:
+    """Whether a tree's options ask for weights only, not for numbers of rows."""
+    return options.get("minInstancesPerNode", 1) == 1
+
+
+def equal_rows(df: DataFrame, columns: list[str], weight: str | None) -> DataFrame:
+    """Distinct rows of columns with the sum of their weights as _weight; a weight that a model would refuse stays one."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    refused = F.count_if(w.isNull() | F.isnan(w) | (w < 0)) > 0
+    return df.groupBy(*columns).agg(F.when(refused, -1.0).otherwise(F.sum(w)).alias("_weight"))
+
+
 def classifier(train: DataFrame, features: list[str], target: str, kind: str = "logistic", balanced: bool = False, weight: str | None = None, **options) -> Model:
     """kind: logistic (C), linear_svc (C, hinge loss, two classes or one against the rest), naive_bayes (modelType), tree, forest, boosting
     (one against the rest beyond two classes), mlp (hidden). balanced: weights n / (classes x rows of the class); not together with weight.
@@ -95,11 +107,9 @@ def classifier(train: DataFrame, features: list[str], target: str, kind: str = "
     if balanced and weight:
         raise ValueError("either balanced or weight")
     df = train.dropna(subset=[*features, target]).withColumn(target, F.col(target).cast("string"))
-    if kind == "logistic" and all(is_numeric(train.schema[f]) for f in features):
+    if (kind == "logistic" or (kind == "tree" and mergeable(options))) and all(is_numeric(train.schema[f]) for f in features):
         # The loss of equal rows is that of one with the sum of their weights, and its optimum is unique (the steps on a hinge would stop elsewhere).
-        w = F.col(weight).cast("double") if weight else F.lit(1.0)
-        refused = F.count_if(w.isNull() | F.isnan(w) | (w < 0)) > 0
-        df = keep(df.groupBy(*features, target).agg(F.when(refused, -1.0).otherwise(F.sum(w)).alias("_weight")))
+        df = keep(equal_rows(df, [*features, target], weight))
         if balanced:
             per = df.groupBy(target).agg(F.sum("_weight").alias("_rows"))
             n, k = per.agg(F.sum("_rows"), F.count(F.lit(1))).first()

@@ -92,3 +92,25 @@ def test_stacking_never_sees_its_own_fold(data):
     assert out.where("id < 999").agg(F.corr("prediction", "y")).first()[0] > 0.9
     classes = N.stacking(data, "id", [lambda d: L.classifier(d, AB, "k", "logistic"), lambda d: L.classifier(d, AB, "k", "tree")], "k", "logistic", True, 3)
     assert classes.transform(data).where("prediction = k").count() > 125
+
+
+def _equal(spark):
+    """2,000 rows of 25 distinct pairs of features and two classes."""
+    return spark.range(2000).selectExpr("id", "cast(id % 5 as double) a", "cast(id * 7 % 25 div 5 as double) b", "1e6 + id % 5 * 3.0 + (id % 25 div 5) * 0.5 + id * 37 % 11 y", "if((id % 5 + id * 13 % 4) > 3, 'u', 'v') k")
+
+
+def _fitted_rows(monkeypatch):
+    seen, fit = [], L._fit
+    monkeypatch.setattr(L, "_fit", lambda df, *a: (seen.append(df.count()), fit(df, *a))[1])
+    return seen
+
+
+def test_boosting_weighs_equal_rows_once(spark, monkeypatch):
+    rows, seen = _equal(spark), _fitted_rows(monkeypatch)
+    merged = N.adaboost_classifier(rows, "id", AB, "k", rounds=3)
+    assert max(seen) <= 50
+    monkeypatch.setattr(L, "mergeable", lambda options: False)
+    plain = N.adaboost_classifier(rows, "id", AB, "k", rounds=3)
+    assert max(seen) == 2000
+    assert [t["error"] for t in merged.trace] == pytest.approx([t["error"] for t in plain.trace]) and merged.weights == pytest.approx(plain.weights)
+    assert merged.transform(rows).select("id", "prediction").exceptAll(plain.transform(rows).select("id", "prediction")).isEmpty()
