@@ -114,7 +114,8 @@ def bagging(train: DataFrame, key: str, features: list[str], target: str, kind:
     out = []
     for i in range(members):
         u = _uniform(seed, i, key)
-        rows = train.withColumn("_weight", _poisson(u, max_samples) if bootstrap else (u < max_samples).cast("double")).where("_weight > 0")
+        # A count is above 0 from the first step of the distribution on; asked of u itself, so that a filter works out one hash a row.
+        rows = train.where(u >= float(np.exp(-max_samples)) if bootstrap else u < max_samples).withColumn("_weight", _poisson(u, max_samples) if bootstrap else F.lit(1.0))
         out.append(L.classifier(rows, features, target, kind, weight="_weight", **options) if classify else L.regressor(rows, features, target, kind, weight="_weight", **options))
     if not classify:
         return Ensemble("mean", out, [1.0] * members)

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import exact_quantiles, is_numeric, order_statistics
+from ..functions.columns import exact_quantiles, finite, is_numeric, order_statistics
 from ..functions.stages import keep
 from .checks import balanced_weights, check_target, direction
 
@@ -100,6 +100,24 @@ def equal_rows(df: DataFrame, columns: list[str], weight: str | None) -> DataFra
     return df.groupBy(*columns).agg(F.when(refused, -1.0).otherwise(F.sum(w)).alias("_weight"))
 
 
+def _equal_features(df: DataFrame, features: list[str], target: str, weight: str | None) -> DataFrame:
+    """One or two rows for the rows of equal features, with their weight, mean and variance of the target: a tree cannot tell them apart.
+
+    Moments are taken about one of the targets, so that a large mean takes no digits; targets that are all the same stay as they are.
+    """
+    first = df.select(finite(F.col(target)).alias("y")).first()
+    middle = first["y"] or 0.0 if first else 0.0
+    w, y = F.col(weight).cast("double") if weight else F.lit(1.0), F.col(target).cast("double")
+    d = y - F.lit(middle)
+    refused = F.count_if(w.isNull() | F.isnan(w) | (w < 0)) > 0
+    cells = df.groupBy(*features).agg(F.when(refused, -1.0).otherwise(F.sum(w)).alias("_w"), F.sum(w * d).alias("_s"), F.sum(w * d * d).alias("_ss"), F.min(y).alias("_low"), F.max(y).alias("_high"))
+    mean = F.col("_s") / F.col("_w")
+    sd = F.sqrt(F.greatest(F.col("_ss") / F.col("_w") - mean * mean, F.lit(0.0)))
+    targets = F.when((F.col("_low") == F.col("_high")) | (F.col("_w") <= 0), F.array("_low")).otherwise(F.array(F.lit(middle) + mean - sd, F.lit(middle) + mean + sd))
+    cells = cells.withColumn("_targets", targets).withColumn("_weight", F.col("_w") / F.size("_targets"))
+    return cells.select(*features, F.explode("_targets").alias(target), "_weight")
+
+
 def classifier(train: DataFrame, features: list[str], target: str, kind: str = "logistic", balanced: bool = False, weight: str | None = None, **options) -> Model:
     """kind: logistic (C), linear_svc (C, hinge loss, two classes or one against the rest), naive_bayes (modelType), tree, forest, boosting
     (one against the rest beyond two classes), mlp (hidden). balanced: weights n / (classes x rows of the class); not together with weight.
@@ -142,7 +160,13 @@ def regressor(train: DataFrame, features: list[str], target: str, kind: str = "h
     """kind: huber, poisson, gamma, tweedie (variancePower), tree, forest, boosting. alpha: ridge penalty, mean loss + alpha / 2 |w|^2
     for the deviances, sum of losses + alpha |w|^2 for huber. Targets outside the family's domain are refused.
     """
-    df = train.dropna(subset=[*features, target])
+    df, numeric = train.dropna(subset=[*features, target]), all(is_numeric(train.schema[f]) for f in features)
+    if kind == "tree" and mergeable(options) and numeric:
+        # One pass; the target is looked at again only if something in it cannot be fitted.
+        cells = keep(_equal_features(df, features, target, weight))
+        if not cells.where(finite(F.col(target)).isNull()).isEmpty():
+            check_target(df, target)
+        return _fit(cells, features, target, MR.DecisionTreeRegressor(labelCol=target, weightCol="_weight", **options))
     check_target(df, target, model=kind if kind in ("poisson", "gamma", "tweedie") else None, power=options.get("variancePower"))
     common = {"labelCol": target} | ({"weightCol": weight} if weight else {})
     w = F.col(weight) if weight else F.lit(1.0)

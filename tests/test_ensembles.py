@@ -114,3 +114,15 @@ def test_boosting_weighs_equal_rows_once(spark, monkeypatch):
     assert max(seen) == 2000
     assert [t["error"] for t in merged.trace] == pytest.approx([t["error"] for t in plain.trace]) and merged.weights == pytest.approx(plain.weights)
     assert merged.transform(rows).select("id", "prediction").exceptAll(plain.transform(rows).select("id", "prediction")).isEmpty()
+
+
+def test_bagged_trees_fit_equal_features_once(spark, monkeypatch):
+    rows, seen = _equal(spark), _fitted_rows(monkeypatch)
+    merged = {r.id: r.prediction for r in N.bagging(rows, "id", AB, "y", members=2, maxDepth=3).transform(rows).collect()}
+    assert max(seen) <= 50
+    monkeypatch.setattr(L, "mergeable", lambda options: False)
+    plain = {r.id: r.prediction for r in N.bagging(rows, "id", AB, "y", members=2, maxDepth=3).transform(rows).collect()}
+    assert max(seen) > 1000
+    assert merged == pytest.approx(plain, rel=1e-12)
+    with pytest.raises(ValueError, match="bad_target"):
+        L.regressor(rows.withColumn("y", F.when(F.col("id") == 3, float("inf")).otherwise(F.col("y"))), AB, "y", "tree")
