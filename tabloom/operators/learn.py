@@ -172,6 +172,9 @@ def regressor(train: DataFrame, features: list[str], target: str, kind: str = "h
     w = F.col(weight) if weight else F.lit(1.0)
     n, mean = df.agg(F.sum(w), F.sum(w * F.col(target)) / F.sum(w)).first()
     n = n or 0
+    if kind == "huber" and numeric:
+        df = keep(equal_rows(df, [*features, target], weight))
+        common["weightCol"] = "_weight"
     makers = {
         "huber": lambda: MR.LinearRegression(loss="huber", regParam=alpha / max(n, 1), standardization=False, **common, **options),
         # The penalty of the family's solver is scaled by the mean working weight, which is the (weighted) mean target for poisson and 1 for gamma.

@@ -126,3 +126,11 @@ def test_bagged_trees_fit_equal_features_once(spark, monkeypatch):
     assert merged == pytest.approx(plain, rel=1e-12)
     with pytest.raises(ValueError, match="bad_target"):
         L.regressor(rows.withColumn("y", F.when(F.col("id") == 3, float("inf")).otherwise(F.col("y"))), AB, "y", "tree")
+
+
+def test_stacked_huber_fits_equal_rows_once(spark, monkeypatch):
+    rows, seen = _equal(spark), _fitted_rows(monkeypatch)
+    model = L.regressor(rows.withColumn("w", F.lit(1.0)), AB, "y", "huber", weight="w")
+    assert max(seen) <= 275
+    plain = L._fit(rows.withColumn("y", F.col("y").cast("double")), AB, "y", L.MR.LinearRegression(loss="huber", regParam=0.0, standardization=False, labelCol="y"))
+    assert [c[2] for c in model.coefficients()] == pytest.approx([c[2] for c in plain.coefficients()], abs=1e-5)
