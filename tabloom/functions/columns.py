@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stages import keep
+
 
 def is_numeric(field: T.StructField) -> bool:
     """Booleans are not numeric."""
@@ -154,3 +156,34 @@ def exact_quantiles(df: DataFrame, column: str, qs: list[float], weight: str | N
     ranks = sorted({int(a) for a in at} | {min(int(a) + 1, n - 1) for a in at})
     value = dict(zip(ranks, order_statistics(known, column, ranks, weight), strict=True))
     return [value[int(a)] + (a - int(a)) * (value[min(int(a) + 1, n - 1)] - value[int(a)]) for a in at]
+
+
+#: Rows of a small table that is sent to all tasks, counted first.
+SENT = 100_000
+
+
+def group_quantiles(df: DataFrame, column: str, qs: list[float], by: list[str] | None = None, name: str = "q") -> DataFrame:
+    """(by, name): an array of the quantiles of the known values of each group, exactly and with linear interpolation, as percentile gives them.
+
+    Rows are counted in some 64 buckets of like size; only those that hold a wanted rank are ordered, each by itself, so that no task
+    holds the values of a group. A group without a known value has no row.
+    """
+    by, v = by or [], F.col("_v")
+    rows = df.select(*by, F.col(column).cast("double").alias("_v")).where(v.isNotNull())
+    rows = rows.withColumn("_bucket", value_bucket(rows, "_v"))
+    parts = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_t"))
+    whole = Window.partitionBy(*by)
+    parts = parts.withColumn("_all", F.sum("_t").over(whole)).withColumn("_before", F.coalesce(F.sum("_t").over(whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = [F.lit(float(q)) * (F.col("_all") - 1) for q in qs]
+    ranks = F.array_distinct(F.array(*[f(a) for a in at for f in (F.floor, F.ceil)]))
+    here = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_t")))
+    parts = keep(parts.withColumn("_ranks", here).where(F.size("_ranks") > 0).select(*by, "_bucket", "_all", "_before", "_ranks"))
+    near = join_null_safe(rows, F.broadcast(parts) if parts.count() <= SENT else parts, [*by, "_bucket"])
+    counts = near.groupBy(*by, "_bucket", "_v").agg(F.count(F.lit(1)).alias("_n"), F.first("_all").alias("_all"), F.first("_before").alias("_before"), F.first("_ranks").alias("_ranks"))
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_to", F.col("_before") + inside).withColumn("_from", F.col("_to") - F.col("_n"))
+    placed = placed.where(F.exists("_ranks", lambda r: (r >= F.col("_from")) & (r < F.col("_to"))))
+    found = lambda a, f: F.max(F.when((f(a) >= F.col("_from")) & (f(a) < F.col("_to")), v))
+    ends = placed.groupBy(*by).agg(F.first("_all").alias("_all"), *[found(a, f).alias(f"_{n}{i}") for i, a in enumerate(at) for n, f in (("low", F.floor), ("high", F.ceil))])
+    between = lambda i, a: F.when(F.col(f"_low{i}") == F.col(f"_high{i}"), F.col(f"_low{i}")).otherwise((F.ceil(a) - a) * F.col(f"_low{i}") + (a - F.floor(a)) * F.col(f"_high{i}"))
+    return ends.select(*by, F.array(*[between(i, a) for i, a in enumerate(at)]).alias(name)).where(F.col("_all").isNotNull())

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import correlation_of, finite, is_numeric, ordered_rank, ranked, running_total, shuffle_key, value_bucket
+from ..functions.columns import SENT, correlation_of, finite, group_quantiles, is_numeric, ordered_rank, ranked, running_total, shuffle_key, value_bucket
+from ..functions.stages import keep
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -51,9 +52,10 @@ def histogram2d(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
 def box(df: DataFrame, column: str, groups: list[str] | None = None) -> DataFrame:
     """Quartiles, whiskers (extreme values within 1.5 IQR) and the number of values beyond."""
     by = groups or []
-    q = df.groupBy(*by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(*by, *[F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("q25", "q50", "q75"))])
+    q = keep(group_quantiles(df, column, [0.25, 0.5, 0.75], by)).select(*by, *[F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("q25", "q50", "q75"))])
     q = q.withColumns({"_lo": F.col("q25") - 1.5 * (F.col("q75") - F.col("q25")), "_hi": F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))})
-    joined = df.join(q, by) if by else df.crossJoin(F.broadcast(q))
+    # Counted first: few groups are sent to the rows, many meet them.
+    joined = df.join(F.broadcast(q) if q.count() <= SENT else q, by, "left").where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by])) if by else df.join(F.broadcast(q), how="left")
     inside = F.col(column).between(F.col("_lo"), F.col("_hi"))
     return joined.groupBy(*by, "q25", "q50", "q75").agg(F.min(F.when(inside, F.col(column))).alias("low"), F.max(F.when(inside, F.col(column))).alias("high"), F.count_if(~inside).alias("n_out"))
 
@@ -182,8 +184,6 @@ def auto_histogram(df: DataFrame, column: str, top: int = 30) -> DataFrame:
 
 def qq(df: DataFrame, column: str) -> DataFrame:
     """(rank, theoretical, value): known values in order against normal quantiles of Filliben's medians of order statistics; at least three values."""
-    from ..functions.stages import keep
-
     x = keep(df.select(finite(F.col(column)).alias("value")).where("value is not null"))
     n = x.count()
     if n < 3:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import ordered_rank, shuffled_rank
+from tabloom.functions.columns import group_quantiles, ordered_rank, shuffled_rank
 from tabloom.operators import metrics as M
 from tabloom.operators import prepare as P
 from tabloom.operators import profile as E
@@ -184,3 +184,17 @@ def test_tfidf_query_takes_whole_texts(spark, tmp_path):
         want |= {(k, w): x / math.sqrt(sum(y * y for y in raw.values())) for w, x in raw.items()}
     got = {(r.doc_id, r.term): r.weight for r in QUERIES["f15b_tfidf_whole_text"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-5) and (0, "größe") in got and (1, "привет") in got
+
+
+def test_group_quantiles_order_few_values_only(spark):
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, null, concat('g', id % 3)) g", "if(id % 11 = 0, null, (id * 7919 % 6007) / 8.0) v").unionByName(spark.createDataFrame([("all_null", None)], "g string, v double"))
+    qs = [0.0, 0.1, 0.5, 0.75, 1.0]
+    for by in ([], ["g"]):
+        found = {tuple(r[:-1]): r[-1] for r in group_quantiles(rows, "v", qs, by).collect()}
+        slow = {tuple(r[:-1]): r[-1] for r in rows.groupBy(*by).agg(F.percentile("v", F.array(*map(F.lit, qs))).alias("q")).where("q is not null").collect()}
+        assert found == slow
+    import inspect
+
+    assert "F.percentile" not in inspect.getsource(E.box)
+    assert {r.g: (r.q50, r.n_out) for r in E.box(rows, "v", ["g"]).collect()}["all_null"] == (None, 0)
+    assert group_quantiles(rows.where("v < 0"), "v", [0.5]).isEmpty()
