@@ -511,7 +511,7 @@ def load_spec_model(df: DataFrame, path: str) -> SpecModel:
 
 def _score(df: DataFrame, target: str, metric: str) -> float | None:
     if metric in ("mse", "rmse", "mae", "r2", "explained_variance", "max_error", "medae"):
-        row = M.regression_metrics(df, target, "prediction").select(metric).first()
+        row = M.regression_metrics(df, target, "prediction", medae=metric == "medae").select(metric).first()
     else:
         row = M.classification_metrics(df.withColumn(target, F.col(target).cast("string")), target, "prediction").select(metric).first()
     return None if row is None or row[0] is None or np.isnan(row[0]) else float(row[0])
