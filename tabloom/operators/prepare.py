@@ -158,9 +158,11 @@ def tfidf(df: DataFrame, key: str, text: str, max_features: int = 1000, ngrams:
     grams = F.col("_w")
     for n in range(2, ngrams + 1):
         grams = F.concat(grams, F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(-1))), lambda i, n=n: F.array_join(F.slice("_w", i + 1, n), " ")))
-    counts = df2.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocab = counts.groupBy("term").agg(F.sum("tf").alias("_all"), F.count(F.lit(1)).alias("_df")).orderBy(F.desc("_all"), "term").limit(max_features)
-    kept = counts.join(F.broadcast(vocab), "term")
+    terms = df2.select(key, F.explode(grams).alias("term"))
+    # Frequency alone picks the terms, so only they are counted by key: the pairs of all others are never dealt.
+    chosen = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_all")).orderBy(F.desc("_all"), "term").limit(max_features).select("term")
+    counts = terms.join(F.broadcast(chosen), "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    kept = counts.join(F.broadcast(counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))), "term")
     if not weights:
         return kept.select(key, "term", F.col("tf").alias("weight"))
     n = df.agg(F.count(F.lit(1)).alias("_n"))

@@ -201,3 +201,14 @@ def test_group_quantiles_order_few_values_only(spark):
     m = {r.g: (r.medae, r.n) for r in M.regression_metrics(rows.withColumn("p", F.lit(300.0)), "v", "p", ["g"]).collect()}
     slow = {r.g: (r.m, r.n) for r in rows.where("v is not null").groupBy("g").agg(F.percentile(F.abs(F.col("v") - 300), 0.5).alias("m"), F.count("v").alias("n")).collect()}
     assert m == slow
+
+
+def test_tfidf_deals_chosen_terms_only(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa cc"), (1, "bb"), (2, "bb dd aa"), (3, None)], "id long, t string")
+    out = P.tfidf(docs, "id", "t", 2, weights=False)
+    assert rows(out, "id", "term") == [(1, "aa", 2), (1, "bb", 2), (2, "aa", 1), (2, "bb", 1)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    first = plan[plan.index("Aggregate [id#") :]
+    assert "Join" in first[: first.index("Generate")]
+    w = {(r.id, r.term): r.weight for r in P.tfidf(docs, "id", "t", 2).collect()}
+    assert w[1, "aa"] == pytest.approx(0.5**0.5) and w[2, "bb"] == pytest.approx(0.5**0.5)
