@@ -158,8 +158,8 @@ def missing_matrix(df: DataFrame, key: str, columns: list[str], sample_size: int
 
 
 def scatter(df: DataFrame, key: str, columns: list[str], sample_size: int = 2000, seed: int = 0) -> DataFrame:
-    """A reproducible sample of the rows where all columns are known."""
-    return df.dropna(subset=columns).orderBy(shuffle_key(seed, key), key).limit(sample_size).select(key, *columns)
+    """A reproducible sample of the rows where all columns are known; rows that share a key go by their values."""
+    return df.dropna(subset=columns).orderBy(shuffle_key(seed, key), key, *columns).limit(sample_size).select(key, *columns)
 
 
 def auto_histogram(df: DataFrame, column: str, top: int = 30) -> DataFrame:

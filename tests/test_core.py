@@ -212,3 +212,9 @@ def test_tfidf_deals_chosen_terms_only(spark):
     assert "Join" in first[: first.index("Generate")]
     w = {(r.id, r.term): r.weight for r in P.tfidf(docs, "id", "t", 2).collect()}
     assert w[1, "aa"] == pytest.approx(0.5**0.5) and w[2, "bb"] == pytest.approx(0.5**0.5)
+
+
+def test_scatter_of_repeated_keys_is_the_same_in_any_order(spark):
+    df = spark.range(400).selectExpr("id % 3 as key", "cast(hash(id) as double) as x", "cast(id % 7 as double) as y")
+    got = [sorted(map(tuple, E.scatter(d, "key", ["x", "y"], 50).collect())) for d in (df.repartition(5), df.orderBy("x").coalesce(1), df.orderBy(F.desc("x")).coalesce(1))]
+    assert got[0] == got[1] == got[2]
