@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import exact_quantiles, finite, shuffled_rank
+from ..functions.columns import exact_quantiles, finite, shuffle_key
 from ..functions.stages import keep
 from ..operators.gradient import _sums
 from .gram import Linear, grams, ols
@@ -18,12 +18,13 @@ from .gram import Linear, grams, ols
 def _known(df: DataFrame, features: list[str], label: str, key: str) -> DataFrame:
     """Rows with known values, and ``_key``: the key and the values, so that rows which share it are the same."""
     known = df.select(F.col(key).cast("string").alias("_key"), *[finite(F.col(c)).alias(c) for c in [*features, label]]).dropna(subset=[*features, label])
-    return keep(known.withColumn("_key", F.concat_ws("|", F.coalesce("_key", F.lit("")), *[F.col(c).cast("string") for c in [*features, label]])))
+    return known.withColumn("_key", F.concat_ws("|", F.coalesce("_key", F.lit("")), *[F.col(c).cast("string") for c in [*features, label]]))
 
 
 def _subset_fits(rows: DataFrame, features: list[str], label: str, subsets: int, size: int, seed: int) -> np.ndarray:
     """(weights, intercept) of least squares on each subset of size rows; subsets without a unique fit are left out."""
-    drawn = shuffled_rank(rows, seed, "_key", name="_rank").where(F.col("_rank") <= subsets * size).orderBy("_rank").collect()
+    # Every task gives its first rows in md5 order; no row is ranked but these.
+    drawn = rows.orderBy(shuffle_key(seed, "_key"), "_key").limit(subsets * size).collect()
     x = np.array([[*(r[f] for f in features), 1.0] for r in drawn])
     y, rng, out = np.array([r[label] for r in drawn]), np.random.default_rng(seed), []
     if len(x) < size:
@@ -47,13 +48,15 @@ def ransac(df: DataFrame, features: list[str], label: str, key: str, threshold:
     the label. size None: one row more than features. A row with an unknown value has a null inlier.
     Rows that share a key take part like any others.
     """
-    rows = _known(df, features, label, key)
+    keyed = _known(df, features, label, key)
+    # Only the draw asks for keys; the passes read the values.
+    rows = keep(keyed.drop("_key"))
     if threshold is None:
         middle = exact_quantiles(rows, label, [0.5])[0]
         if middle is None:
             raise ValueError("no rows with known values")
         threshold = exact_quantiles(rows.select(F.abs(F.col(label) - F.lit(middle)).alias("d")), "d", [0.5])[0]
-    fits = _subset_fits(rows, features, label, trials, size or len(features) + 1, seed)
+    fits = _subset_fits(keyed, features, label, trials, size or len(features) + 1, seed)
 
     def agree(x):
         e = np.abs(x[:, -1:] - x[:, :-1] @ fits[:, :-1].T - fits[:, -1])

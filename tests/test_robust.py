@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom.functions import columns
+from tabloom.functions.columns import shuffled_rank
 from tabloom.operators import metrics, models, profile
 from tabloom.plans import robust
 
@@ -119,3 +121,16 @@ def test_qq(spark):
     assert [line.slope, line.intercept] == pytest.approx(np.polyfit([r.theoretical for r in got], sorted(v), 1)) and line.r > 0.98
     with pytest.raises(ValueError, match="three"):
         profile.qq(df.limit(2), "x")
+
+
+def test_subsets_are_drawn_without_ranking_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 2))
+    rows = [(i % 250, *map(float, r), float(2 * r[0] - r[1])) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "key long, a double, b double, y double").repartition(5)
+    known = robust._known(df, ["a", "b"], "y", "key")
+    ranked = shuffled_rank(known, 3, "_key", name="_rank").where("_rank <= 30").orderBy("_rank").collect()
+    want = np.array([np.linalg.lstsq(np.array([[r.a, r.b, 1.0] for r in ranked[i : i + 3]]), [r.y for r in ranked[i : i + 3]], rcond=None)[0] for i in range(0, 30, 3)])
+    jobs = []
+    monkeypatch.setattr(columns, "ranked", lambda *a, **k: jobs.append(a))
+    assert robust._subset_fits(known, ["a", "b"], "y", 10, 3, 3) == pytest.approx(want) and not jobs
