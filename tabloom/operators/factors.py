@@ -9,22 +9,26 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stages import keep, ship
-from .gradient import _sums
+from ..functions.stages import ship
+from .gradient import _sums, packed
 
 #: Sweeps of the least squares of one block of rows.
 SWEEPS = 2000
+#: Most components of which all sets are tried.
+FEW = 3
 
 
 def _rows(df: DataFrame, features: list[str]) -> DataFrame:
-    """(v): the features of rows where all are known, held for several passes."""
+    """The features of rows where all are known, packed for several passes: a pass takes few large pieces out of the checkpoint, not rows."""
+    ship(df.sparkSession)
     v = df.select(F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
-    return keep(v.where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e))))
+    return packed(v.where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e))))
 
 
 def _moments(rows: DataFrame, p: int) -> tuple[float, np.ndarray, np.ndarray]:
@@ -69,15 +73,17 @@ class Factors:
             return [sum((c * F.lit(float(w)) for c, w in zip(known, row, strict=True)), F.lit(0.0)) for row in self.projection]
         h = np.array(self.components)
 
-        @F.pandas_udf("array<double>")
-        def solve(v):  # a batch of rows against the same components
+        names = [f"w{i}" for i in range(len(h))]
+
+        @F.pandas_udf(", ".join(f"{n} double" for n in names))
+        def solve(*v):  # a batch of rows against the same components
             import pandas as pd
 
-            return pd.Series(list(_nonnegative_rows(np.array(v.tolist(), float), h)) if len(v) else [], index=v.index)
+            return pd.DataFrame(_nonnegative_rows(np.column_stack([c.to_numpy(float) for c in v]), h), columns=names)
 
         whole = F.forall(F.array(*x), lambda e: e.isNotNull() & ~F.isnan(e))
-        found = solve(F.when(whole, F.array(*x)).otherwise(F.array(*[F.lit(0.0)] * len(x))))
-        return [F.when(whole, F.get(found, F.lit(i))) for i in range(len(h))]
+        found = solve(*[F.when(whole, c).otherwise(F.lit(0.0)) for c in x])
+        return [F.when(whole, found.getField(n)) for n in names]
 
     def transform(self, df: DataFrame, name: str = "factor") -> DataFrame:
         """df with name0, name1, ...; null where a feature is unknown."""
@@ -93,9 +99,34 @@ def load_factors(df: DataFrame, path: str) -> Factors:
     return Factors(**json.loads(df.sparkSession.read.text(path).first()[0]))
 
 
+def _best_supports(hh: np.ndarray, xh: np.ndarray) -> np.ndarray:
+    """The w of each row from plain least squares on every set of components: of those without a negative weight the one that lowers the loss most.
+
+    Some best w rests on independent components only, so sets that are not are left out.
+    """
+    out, best = np.zeros_like(xh), np.zeros(len(xh))
+    size = np.sqrt(np.diag(hh))
+    for n in range(1, len(hh) + 1):
+        for s in map(list, combinations(range(len(hh)), n)):
+            if not size[s].all():
+                continue
+            unit = hh[np.ix_(s, s)] / np.outer(size[s], size[s])
+            if np.linalg.eigvalsh(unit)[0] <= 1e-12:
+                continue
+            w = np.linalg.solve(unit, (xh[:, s] / size[s]).T).T / size[s]
+            gain = np.where((w >= 0).all(axis=1), (w * xh[:, s]).sum(axis=1), 0.0)
+            more = gain > best
+            best = np.where(more, gain, best)
+            out[more] = 0.0
+            out[np.ix_(more, s)] = w[more]
+    return out
+
+
 def _nonnegative_rows(x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """For each row the w >= 0 of least |x - w h|^2, by coordinate sweeps over the whole block."""
+    """For each row the w >= 0 of least |x - w h|^2: of few components the best set of those above 0, else by coordinate sweeps over the whole block."""
     hh, xh = h @ h.T, x @ h.T
+    if len(h) <= FEW:
+        return _best_supports(hh, xh)
     w = np.zeros_like(xh)
     live = [j for j in range(len(h)) if hh[j, j] > 0]
     for _ in range(SWEEPS):

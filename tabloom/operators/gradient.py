@@ -24,8 +24,8 @@ from ..functions.stages import keep
 
 #: Features whose second moments are held whole; beyond it only their diagonal.
 WHOLE_MOMENTS = 500
-#: Rows of a block in a task.
-BLOCK = 4096
+#: Rows of a block in a task; bytes of a piece of packed rows.
+BLOCK, PIECE = 4096, 4096
 CLASSIFIERS = ("log", "hinge", "squared_hinge", "modified_huber", "perceptron")
 KINKED = ("hinge", "perceptron", "epsilon_insensitive", "pinball")
 LOSSES = (*CLASSIFIERS, "squared", "huber", "epsilon_insensitive", "squared_epsilon_insensitive", "pinball")
@@ -105,19 +105,46 @@ def load_gradient_model(df: DataFrame, path: str) -> GradientModel:
     return GradientModel(**{**state, "trace": [tuple(t) for t in state["trace"]]})
 
 
-def _sums(rows: DataFrame, work: Callable, columns: tuple[str, ...] = ("y", "w", "held")) -> np.ndarray:
-    """Sums over tasks of the vectors that work returns for their blocks of the arrays v and the columns."""
+def packed(rows: DataFrame) -> DataFrame:
+    """(p, v): the arrays v of rows, all of p doubles, in pieces of some PIECE bytes, held for several passes of _sums()."""
 
     def task(batches):
         import pyarrow as pa
 
-        total = None
         for batch in batches:
+            if batch.num_rows:
+                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+                p = len(x) // batch.num_rows
+                step = max(1, PIECE // (8 * p)) * p
+                pieces = [x[a : a + step].tobytes() for a in range(0, len(x), step)]
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(pieces), pa.int32()), pa.array(pieces, pa.binary())], names=["p", "v"])
+
+    return keep(rows.select("v").mapInArrow(task, "p int, v binary"))
+
+
+def _sums(rows: DataFrame, work: Callable, columns: tuple[str, ...] = ("y", "w", "held")) -> np.ndarray:
+    """Sums over tasks of the vectors that work returns for their blocks of the arrays v and the columns; rows may be packed() if there are no columns."""
+    whole = "p" in rows.columns
+
+    def blocks(batches):
+        for batch in batches:
+            if whole and batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column("v").to_pylist())).reshape(-1, batch.column("p")[0].as_py())
+                for a in range(0, len(x), BLOCK):
+                    yield (x[a : a + BLOCK],)
+                continue
             for a in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(a, BLOCK)
                 x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                made = work(x, *[part.column(c).to_numpy(zero_copy_only=False) for c in columns])
-                total = made if total is None else total + made
+                yield (x, *[part.column(c).to_numpy(zero_copy_only=False) for c in columns])
+
+    def task(batches):
+        import pyarrow as pa
+
+        total = None
+        for block in blocks(batches):
+            made = work(*block)
+            total = made if total is None else total + made
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "s"])
 

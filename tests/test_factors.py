@@ -69,3 +69,26 @@ def test_factor_analysis_recovers_loadings_and_noise(spark):
     row = m.transform(df).where("key = 3").first()
     b = got @ np.linalg.inv(got.T @ got + np.diag(m.noise))
     assert [row.factor0, row.factor1] == pytest.approx(b @ (x[3] - x.mean(axis=0)))
+
+
+@pytest.mark.parametrize("h", [[[1.0, 2.0, 0.5]], [[1.0, 2.0, 0.5], [2.0, 0.1, 1.0]], [[1.0, 2.0, 0.5], [2.0, 4.0, 1.0], [0.0, 0.0, 0.0]], [[1.0, 0.9, 0.2], [0.8, 1.0, 0.1], [0.0, 0.2, 3.0]]])
+def test_nonnegative_rows_of_few_components_need_no_sweeps(h, monkeypatch):
+    x, h = np.random.default_rng(2).normal(0.4, 1.0, (500, 3)), np.array(h)
+    loss = lambda w: ((x - w @ h) ** 2).sum(axis=1)
+    monkeypatch.setattr(factors, "FEW", 0)
+    slow = factors._nonnegative_rows(x, h)
+    monkeypatch.setattr(factors, "FEW", 3)
+    monkeypatch.setattr(factors, "SWEEPS", 0)
+    fast = factors._nonnegative_rows(x, h)
+    assert (fast >= 0).all() and loss(fast) == pytest.approx(loss(slow), abs=1e-8) and (loss(fast) <= loss(slow) + 1e-9).all()
+    if np.linalg.matrix_rank(h) == len(h):
+        assert fast == pytest.approx(slow, abs=1e-6)
+
+
+def test_rows_are_packed_for_the_passes(spark):
+    x = np.random.default_rng(4).normal(size=(1000, 3))
+    df, names = _frame(spark, x, [(1000, None, 1.0, 1.0)])
+    rows = factors._rows(df, names)
+    assert rows.count() < 40
+    assert factors._sums(rows, lambda v: np.append(v.sum(axis=0), len(v)), ()) == pytest.approx([*x.sum(axis=0), 1000.0])
+    assert not len(factors._sums(factors._rows(df.where("key < 0"), names), lambda v: v.sum(axis=0), ()))
