@@ -89,8 +89,11 @@ def pairwise_ranker(train: DataFrame, features: list[str], relevance: str, query
     if alpha <= 0:
         raise ValueError("alpha must be above 0: separable pairs have no optimum without it")
     pairs = query_pairs(train, query, relevance, key, features, opponents, seed)
-    d = F.array(*[F.col(f"a_{f}").cast("double") - F.col(f"b_{f}").cast("double") for f in features])
-    rows = keep(pairs.select(d.alias("v"), F.col("weight").alias("w")).where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e))))
+    d = [(F.col(f"a_{f}").cast("double") - F.col(f"b_{f}").cast("double")).alias(f"d{i}") for i, f in enumerate(features)]
+    # Pairs of equal differences are one with the sum of their weights: the loss is the same.
+    names = [f"d{i}" for i in range(len(d))]
+    merged = pairs.select(*d, F.col("weight").alias("w")).groupBy(*names).agg(F.sum("w").alias("w")).select(F.array(*names).alias("v"), "w")
+    rows = keep(merged.where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e))))
     total = rows.agg(F.sum("w")).first()[0]
     if not total:
         raise ValueError("no pair of rows of one query with different relevance and known features")

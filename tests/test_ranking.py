@@ -58,3 +58,11 @@ def test_ranker_is_at_the_optimum_and_orders_by_relevance(spark, tmp_path):
         ranking.pairwise_ranker(df.withColumn("rel", F.lit(1)), ["a"], "rel", "q", "key")
     with pytest.raises(ValueError, match="alpha"):
         ranking.pairwise_ranker(df, ["a"], "rel", "q", "key", alpha=0.0)
+
+
+def test_ranker_reads_equal_differences_once(spark, monkeypatch):
+    seen, sums = [], ranking._sums
+    monkeypatch.setattr(ranking, "_sums", lambda rows, *a: (seen.append(rows.count()), sums(rows, *a))[1])
+    df = spark.range(4000).selectExpr("id as key", "id div 4 as q", "cast(id % 4 as double) as a", "cast(id * 7 % 3 as double) as b", "cast(hash(id) % 3 as double) as rel")
+    m = ranking.pairwise_ranker(df, ["a", "b"], "rel", "q", "key")
+    assert max(seen) <= 7 * 5 and len(m.coefficients) == 2
