@@ -21,6 +21,12 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = Non
         out = join_null_safe(rest, middle, by, "left") if by else rest.join(F.broadcast(middle), how="left")
         return out.withColumn("medae", F.col("_medae")).drop("_medae")
     Y, P = F.col(y).cast("double"), F.col(p).cast("double")
+    if by:
+        df = df.where(Y.isNotNull() & P.isNotNull())
+    else:
+        # Not a filter, which would be moved below the prediction and repeat what it is made of.
+        df = df.select(Y.alias("_y"), P.alias("_p")).select(F.when(F.col("_p").isNotNull(), F.col("_y")).alias("_y"), F.when(F.col("_y").isNotNull(), F.col("_p")).alias("_p"))
+        Y, P = F.col("_y"), F.col("_p")
     e = Y - P
     positive, nonneg = (F.count_if(~((Y > 0) & (P > 0))) == 0), (F.count_if((Y < 0) | (P < 0)) == 0)
     n = F.count(e)
@@ -29,10 +35,10 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = Non
     t = power
     tweedie = 2 * (F.pow(F.greatest(Y, F.lit(0.0)), F.lit(2 - t)) / ((1 - t) * (2 - t)) - Y * F.pow(P, F.lit(1 - t)) / (1 - t) + F.pow(P, F.lit(2 - t)) / (2 - t))
     spread = F.var_pop(Y)
-    return df.where(Y.isNotNull() & P.isNotNull()).groupBy(*by).agg(
+    return df.groupBy(*by).agg(
         n.alias("n"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.lit(None).cast("double").alias("medae"),
         F.when((n > 1) & (spread > 0), 1 - F.avg(e * e) / F.nullif(spread, F.lit(0.0))).alias("r2"), F.when((n > 1) & (spread > 0), 1 - F.var_pop(e) / F.nullif(spread, F.lit(0.0))).alias("explained_variance"), F.max(F.abs(e)).alias("max_error"),
-        F.when(F.count_if(Y == 0) == 0, F.avg(F.abs(e / F.nullif(Y, F.lit(0.0))))).alias("mape"), (200 * F.avg(F.coalesce(F.abs(e) / F.nullif(F.abs(Y) + F.abs(P), F.lit(0.0)), F.lit(0.0)))).alias("smape"),
+        F.when(F.count_if(Y == 0) == 0, F.avg(F.abs(e / F.nullif(Y, F.lit(0.0))))).alias("mape"), (200 * F.avg(F.when(e.isNotNull(), F.coalesce(F.abs(e) / F.nullif(F.abs(Y) + F.abs(P), F.lit(0.0)), F.lit(0.0))))).alias("smape"),
         F.when(nonneg, F.avg(F.pow(F.log1p(Y) - F.log1p(P), F.lit(2.0)))).alias("msle"), F.when(nonneg, F.sqrt(F.avg(F.pow(F.log1p(Y) - F.log1p(P), F.lit(2.0))))).alias("rmsle"),
         F.avg(F.greatest(quantile * e, (quantile - 1) * e)).alias("pinball"), F.when((F.count_if((Y < 0) | (P <= 0)) == 0), F.avg(poisson)).alias("poisson_deviance"), F.when(positive, F.avg(gamma)).alias("gamma_deviance"), F.when((F.count_if((Y < 0) | (P <= 0)) == 0), F.avg(tweedie)).alias("tweedie_deviance"),
     )

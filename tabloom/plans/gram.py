@@ -51,18 +51,22 @@ def gram_table(df: DataFrame, features: list[str], label: str, by: list[str] | N
     return df.dropna(subset=names).groupBy(*(by or [])).agg(*aggs)
 
 
-#: Features beyond which moments are block sums of vectors instead of one aggregate column for each pair.
-WIDE = 30
+#: Features beyond which moments are block sums of vectors instead of one aggregate column for each pair: with groups, and without.
+WIDE, WIDE_ALONE = 30, 8
 
 
 def _wide_grams(df: DataFrame, features: list[str], label: str, by: str | None) -> dict:
-    """grams() of many features: tasks multiply blocks of rows, and return sums of as many numbers as pairs for each group."""
+    """grams() of many features: tasks multiply blocks of rows, and return sums of as many numbers as pairs for each group.
+
+    Rows with a gap are left out inside the tasks: a filter would be moved below the features and repeat what they are made of.
+    """
     names = [*features, label]
     k = len(names)
     ship(df.sparkSession)
     v, group = F.array(*[F.col(c).cast("double") for c in names]).alias("v"), F.col(by).alias("by") if by else F.lit(0).alias("by")
-    rows = df.dropna(subset=names).select(group, v)
-    center = np.array(rows.agg(*[F.avg(F.get("v", F.lit(i))) for i in range(k)]).first(), dtype=object)
+    rows = df.select(group, v)
+    known = [F.nanvl(F.get("v", F.lit(i)), F.lit(None).cast("double")) for i in range(k)]
+    center = np.array(rows.agg(*[F.avg(c) for c in known]).first(), dtype=object)
     if any(c is None for c in center):
         return {}
     center, at = center.astype(float), np.triu_indices(k)
@@ -77,9 +81,10 @@ def _wide_grams(df: DataFrame, features: list[str], label: str, by: str | None)
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
                 x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, k) - center
-                keys = np.array([*part.column("by").to_pylist(), None], dtype=object)[:-1]
-                for g in set(keys):
-                    z = x[np.array([q == g for q in keys], bool)]
+                keys = np.array([*part.column("by").to_pylist(), None], dtype=object)[:-1] if by else None
+                for g in set(keys) if by else (0,):
+                    z = x[np.array([q == g for q in keys], bool)] if by else x
+                    z = z[~np.isnan(z).any(axis=1)]
                     made = np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z)[at]])
                     sums[g] = sums[g] + made if g in sums else made
         for g, s in sums.items():
@@ -92,6 +97,8 @@ def _wide_grams(df: DataFrame, features: list[str], label: str, by: str | None)
     out = {}
     for g, t in found.items():
         n, s, q = t[0], t[1 : k + 1], np.zeros((k, k))
+        if not n:
+            continue
         q[at] = t[k + 1 :]
         q = q + np.triu(q, 1).T
         m, c = s / n, q - np.outer(s, s) / n
@@ -101,7 +108,7 @@ def _wide_grams(df: DataFrame, features: list[str], label: str, by: str | None)
 
 def grams(df: DataFrame, features: list[str], label: str, by: str | None = None) -> dict:
     """Gram of every group (key None without groups); the means of a first, cheap aggregate are the shift."""
-    if len(features) > WIDE:
+    if len(features) > (WIDE if by else WIDE_ALONE):
         return _wide_grams(df, features, label, by)
     names = [*features, label]
     shift = {k: v or 0.0 for k, v in df.dropna(subset=names).agg(*[F.avg(c).alias(c) for c in names]).first().asDict().items()}

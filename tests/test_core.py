@@ -218,3 +218,25 @@ def test_scatter_of_repeated_keys_is_the_same_in_any_order(spark):
     df = spark.range(400).selectExpr("id % 3 as key", "cast(hash(id) as double) as x", "cast(id % 7 as double) as y")
     got = [sorted(map(tuple, E.scatter(d, "key", ["x", "y"], 50).collect())) for d in (df.repartition(5), df.orderBy("x").coalesce(1), df.orderBy(F.desc("x")).coalesce(1))]
     assert got[0] == got[1] == got[2]
+
+
+def test_moments_of_many_features_are_block_sums(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("cast(id % 10 as double) as y", *[f"case when id % 97 = 0 and {i} = 3 then null else 1e3 + hash(id, {i}) % 1000 / 100.0 end as x{i}" for i in range(12)]).repartition(5)
+    names = [f"x{i}" for i in range(12)]
+    monkeypatch.setattr(G, "WIDE_ALONE", 30)
+    want = G.grams(df, names, "y")[None]
+    monkeypatch.undo()
+    monkeypatch.setattr(G, "gram_table", None)  # one aggregate column for each pair of 12 features took most of a search
+    got = G.grams(df, names, "y")[None]
+    assert got.n == want.n and got.xx == pytest.approx(want.xx, rel=1e-9, abs=1e-6) and got.xy == pytest.approx(want.xy, rel=1e-9, abs=1e-6)
+
+
+def test_unknown_predictions_do_not_count(spark):
+    rows = [(1.0, 2.0), (2.0, 2.5), (4.0, None), (None, 3.0), (5.0, 4.0), (0.0, 0.0)]
+    df = spark.createDataFrame(rows, "y double, p double")
+    got = M.regression_metrics(df, "y", "p", medae=False).first().asDict()
+    want = M.regression_metrics(df.dropna().withColumn("g", F.lit(1)), "y", "p", ["g"], medae=False).drop("g").first().asDict()
+    assert got == want and got["n"] == 4
+    made = df.withColumn("q", F.col("p") * 2 + 1)
+    plan = M.regression_metrics(made, "y", "q", medae=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan
