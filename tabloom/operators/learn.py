@@ -125,8 +125,8 @@ def classifier(train: DataFrame, features: list[str], target: str, kind: str = "
     if balanced and weight:
         raise ValueError("either balanced or weight")
     df = train.dropna(subset=[*features, target]).withColumn(target, F.col(target).cast("string"))
-    if (kind == "logistic" or (kind == "tree" and mergeable(options))) and all(is_numeric(train.schema[f]) for f in features):
-        # The loss of equal rows is that of one with the sum of their weights, and its optimum is unique (the steps on a hinge would stop elsewhere).
+    if (kind in ("logistic", "linear_svc") or (kind == "tree" and mergeable(options))) and all(is_numeric(train.schema[f]) for f in features):
+        # The loss of equal rows is that of one with the sum of their weights, and the optimum is the same.
         df = keep(equal_rows(df, [*features, target], weight))
         if balanced:
             per = df.groupBy(target).agg(F.sum("_weight").alias("_rows"))

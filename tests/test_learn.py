@@ -42,6 +42,25 @@ def test_classifiers_learn_the_signal(data, kind):
     assert out.where("prediction = cls").count() > 240
 
 
+def _fitted_rows(monkeypatch):
+    """How many rows each fit of classifier() reads, in a list that fills as it runs."""
+    rows, fit = [], learn._fit
+    monkeypatch.setattr(learn, "_fit", lambda df, *a, **k: rows.append(df.count()) or fit(df, *a, **k))
+    return rows
+
+
+def test_linear_svc_fits_equal_rows_as_one(spark, monkeypatch):
+    """Hinge loss of the copies as of one row with their number: x = -1 no, 0.5 no twice as often as yes, 1 yes."""
+    data = spark.range(4000).select((F.col("id") % 4).alias("k")).selectExpr("array(-1.0D, 0.5D, 0.5D, 1.0D)[k] AS x", "CASE WHEN k = 3 OR k = 2 AND rand(1) < 0.6 THEN 'yes' ELSE 'no' END AS y").cache()
+    rows = _fitted_rows(monkeypatch)
+    m = learn.classifier(data, ["x"], "y", "linear_svc", maxIter=20)
+    assert rows == [4]
+    weighted = learn.classifier(data.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), ["x"], "y", "linear_svc", weight="n", maxIter=20)
+    assert m.coefficients()[0][2] == pytest.approx(weighted.coefficients()[0][2], rel=1e-6)
+    low = m.transform(data).groupBy("x").agg(F.max("prediction").alias("p")).orderBy("x").collect()
+    assert [r.p for r in low] == ["no", "no", "yes"]
+
+
 def test_saved_models_predict_the_same(spark, data, tmp_path):
     m = learn.classifier(data, ["a", "b"], "cls")
     m.save(str(tmp_path / "m"))
