@@ -148,8 +148,8 @@ def _sums(rows: DataFrame, work: Callable, columns: tuple[str, ...] = ("y", "w",
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "s"])
 
-    found = rows.mapInArrow(task, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()
-    return np.array([r["s"] for r in found])
+    found = rows.mapInArrow(task, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
+    return np.array([s for _, s in sorted(found)])
 
 
 def _proximal(h: np.ndarray, g: np.ndarray, at: np.ndarray, l1: float, l2: float, p: int) -> np.ndarray:

@@ -13,14 +13,18 @@ from pyspark.ml import clustering as MK
 from pyspark.ml import regression as MR
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import exact_quantiles, finite, is_numeric, order_statistics
 from ..functions.stages import keep
 from .checks import balanced_weights, check_target, direction
+from .gradient import _sums, packed
 
 VECTOR = "features_vector"
+#: Distinct rows that a task of an iterative fit reads, where there are no more tasks than the rows came in.
+TASK_ROWS = 1 << 16
 
 
 @dataclass
@@ -118,6 +122,87 @@ def _equal_features(df: DataFrame, features: list[str], target: str, weight: str
     return cells.select(*features, F.explode("_targets").alias(target), "_weight")
 
 
+def _minimum(evaluate: Callable, at: np.ndarray, steps: int, tol: float, memory: int = 10) -> np.ndarray:
+    """Limited-memory BFGS on evaluate(at) -> (loss, slope), with steps that lower the loss and flatten its slope enough.
+
+    Ends after steps, at a slope of no length, or when ten steps gain less than tol of the first loss.
+    """
+    value, slope = evaluate(at)
+    past, values = [], [value]
+    for _ in range(steps):
+        if np.linalg.norm(slope) <= max(tol * abs(value), 1e-8) or (len(values) > 10 and values[-11] - value <= tol * abs(values[0])):
+            break
+        move, taken = -slope, []
+        for s, y in reversed(past):
+            taken.append(s @ move / (s @ y))
+            move = move - taken[-1] * y
+        if past:
+            move = move * (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        for (s, y), a in zip(past, reversed(taken), strict=True):
+            move = move + (a - y @ move / (s @ y)) * s
+        length, low, high, along = 1.0 if past else 1 / np.linalg.norm(slope), 0.0, np.inf, slope @ move
+        for _ in range(20):
+            there = at + length * move
+            found = evaluate(there)
+            if not found[0] <= value + 1e-4 * length * along:
+                high = length
+            elif found[1] @ move < 0.9 * along:
+                low = length
+            else:
+                break
+            length = (low + high) / 2 if high < np.inf else 2 * low
+        if not found[0] < value:
+            break
+        s, y = there - at, found[1] - slope
+        if s @ y > 0:
+            past = [*past, (s, y)][-memory:]
+        at, (value, slope) = there, found
+        values.append(value)
+    return at
+
+
+def _perceptron(df: DataFrame, features: list[str], target: str, layers: list[int], maxIter: int = 100, tol: float = 1e-6, **options) -> Model:
+    """One hidden layer, fitted to the mean log loss of rows with a _weight from the first weights that Spark draws.
+
+    Spark's own estimator knows no weights and reads each of many equal rows in every step; it makes the first and the fitted model here.
+    """
+    p, h, k = layers
+
+    def model(**more) -> Model:
+        return _fit(df, features, target, MC.MultilayerPerceptronClassifier(labelCol="_label", layers=layers, seed=0, maxIter=0, **more, **options), "_label")
+
+    first = model()
+    label = F.array_position(F.array(*map(F.lit, first.classes)), F.col(target)) - 1
+    rows = packed(df.select(F.array(*[F.col(f).cast("double") for f in features], label.cast("double"), "_weight").alias("v")))
+    least, total = df.agg(F.min("_weight"), F.sum("_weight")).first()
+    if least < 0 or not total:
+        raise ValueError("weights must be known, not negative and not all 0")
+    cuts = np.cumsum([p * h, h, h * k])
+
+    def evaluate(w):
+        a, b, c, d = np.split(w, cuts)
+        a, c = a.reshape(p, h), c.reshape(h, k)
+
+        def work(block):
+            x, y, weights = block[:, :p], block[:, p].astype(int), block[:, p + 1]
+            hidden = 1 / (1 + np.exp(-np.clip(x @ a + b, -700, 700)))
+            z = hidden @ c + d
+            z -= z.max(axis=1, keepdims=True)
+            logs = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+            at = np.arange(len(y)), y
+            gap = np.exp(logs)
+            gap[at] -= 1
+            gap *= weights[:, None]
+            back = gap @ c.T * hidden * (1 - hidden)
+            return np.concatenate([(x.T @ back).ravel(), back.sum(axis=0), (hidden.T @ gap).ravel(), gap.sum(axis=0), [-(weights @ logs[at])]])
+
+        s = _sums(rows, work) / total
+        return s[-1], s[:-1]
+
+    fitted = _minimum(evaluate, first.pipeline.stages[-1].weights.toArray(), maxIter, tol)
+    return model(initialWeights=Vectors.dense(fitted))
+
+
 def classifier(train: DataFrame, features: list[str], target: str, kind: str = "logistic", balanced: bool = False, weight: str | None = None, **options) -> Model:
     """kind: logistic (C), linear_svc (C, hinge loss, two classes or one against the rest), naive_bayes (modelType), tree, forest, boosting
     (one against the rest beyond two classes), mlp (hidden). balanced: weights n / (classes x rows of the class); not together with weight.
@@ -125,9 +210,12 @@ def classifier(train: DataFrame, features: list[str], target: str, kind: str = "
     if balanced and weight:
         raise ValueError("either balanced or weight")
     df = train.dropna(subset=[*features, target]).withColumn(target, F.col(target).cast("string"))
-    if (kind in ("logistic", "linear_svc") or (kind == "tree" and mergeable(options))) and all(is_numeric(train.schema[f]) for f in features):
+    steps = kind == "mlp" and options.get("solver", "l-bfgs") == "l-bfgs" and "initialWeights" not in options and all(is_numeric(train.schema[f]) for f in features)
+    if (steps or kind in ("logistic", "linear_svc") or (kind == "tree" and mergeable(options))) and all(is_numeric(train.schema[f]) for f in features):
         # The loss of equal rows is that of one with the sum of their weights, and the optimum is the same.
         df = keep(equal_rows(df, [*features, target], weight))
+        # Many steps read these rows: few of them need few tasks.
+        df = df.coalesce(max(1, -(-df.count() // TASK_ROWS)))
         if balanced:
             per = df.groupBy(target).agg(F.sum("_weight").alias("_rows"))
             n, k = per.agg(F.sum("_rows"), F.count(F.lit(1))).first()
@@ -140,6 +228,8 @@ def classifier(train: DataFrame, features: list[str], target: str, kind: str = "
     k, c = df.select(target).distinct().count(), float(options.pop("C", 1.0))
     if k < 2:
         raise ValueError("a classifier needs two classes")
+    if steps:
+        return _perceptron(df, features, target, [len(features), options.pop("hidden", 8), k], **options)
     common = {"labelCol": "_label"} | ({"weightCol": weight} if weight else {})
     makers = {
         "logistic": lambda: MC.LogisticRegression(regParam=1 / (c * total), standardization=False, maxIter=200, tol=1e-9, **common, **options),

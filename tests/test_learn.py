@@ -61,6 +61,22 @@ def test_linear_svc_fits_equal_rows_as_one(spark, monkeypatch):
     assert [r.p for r in low] == ["no", "no", "yes"]
 
 
+def test_perceptron_fits_equal_rows_as_one(spark, data, monkeypatch):
+    """As many copies of every row change nothing but the rows read; the loss is no worse than where Spark's own steps end."""
+    copies = data.crossJoin(spark.range(5).select(F.lit(1).alias("one")))
+    rows = _fitted_rows(monkeypatch)
+    m = learn.classifier(copies, ["a", "b"], "cls", "mlp")
+    assert rows and max(rows) == 300
+    own = learn._fit(data, ["a", "b"], "cls", learn.MC.MultilayerPerceptronClassifier(labelCol="_label", layers=[2, 8, 3], seed=0), "_label")
+
+    def loss(model):
+        return -np.mean([np.log(r.probabilities[model.classes.index(r.cls)]) for r in model.transform(data).collect()])
+
+    assert loss(m) < loss(own) + 0.01
+    heavy = learn.classifier(data, ["a", "b"], "cls", "mlp", balanced=True).transform(data).where("prediction = 'maybe'").count()
+    assert heavy >= m.transform(data).where("prediction = 'maybe'").count()
+
+
 def test_saved_models_predict_the_same(spark, data, tmp_path):
     m = learn.classifier(data, ["a", "b"], "cls")
     m.save(str(tmp_path / "m"))
