@@ -386,3 +386,16 @@ def test_radius_means_do_not_depend_on_the_order_of_sums(spark):
     df = spark.createDataFrame([*train, (100, 0.02, 0.0)], "id long, a double, y double").repartition(4)
     got = neighbors.radius_predict(df.where("id < 100"), df.where("id = 100"), "id", ["a"], "y", 1.0).first().prediction
     assert got == pytest.approx(math.fsum(y) / 50, rel=3e-16)
+
+
+def test_nearest_meets_few_rows_of_a_place(spark, monkeypatch):
+    """Three places of 400 rows and 20 rows alone: no more than k + 1 rows of a place are held, and the nearest are those of brute force."""
+    rows, assign = [], neighbors._assign
+    monkeypatch.setattr(neighbors, "_assign", lambda df, pivots, name: (rows.append((name, df.count())), assign(df, pivots, name))[1])
+    data = [(i * 7 % 1200, float(i % 3), 0.0) for i in range(1200)] + [(2000 + i, 0.5 + i, 1.0) for i in range(20)]
+    df = spark.createDataFrame(data, "key long, a double, b double")
+    found = {(r["query"], r["place"]): (r["key"], r["distance"]) for r in neighbors.nearest(df, df, "key", ["a", "b"], 4).collect()}
+    assert dict(rows) == {"key": 3 * 5 + 20, "query": 1220} and len(found) == 4 * 1220
+    for key, a, b in [*data[::60], *data[-20:]]:
+        best = sorted((((a - x) ** 2 + (b - y) ** 2) ** 0.5, k) for k, x, y in data if k != key)[:4]
+        assert [found[key, i + 1] for i in range(4)] == [(k, pytest.approx(d)) for d, k in best]
