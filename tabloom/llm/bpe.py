@@ -102,6 +102,11 @@ class Merges:
             if not n:
                 out[word] = []
                 continue
+            t = final.get(word)
+            if t is not None:
+                # A token by itself; the path stays at the word before.
+                out[word] = [t]
+                continue
             while len(last) <= n:
                 last.append(0)
                 start.append(0)
@@ -184,13 +189,16 @@ class TrieEncoder(Encoder):
 
         mark = self.between.strip(" ") or self.between
         cut: dict[str, list[str]] = {}
-        lines = [p for p in parts if mark not in p] if self.line is not None else []
+        if self.quick and self.quick.folds:
+            # In such a file a run of ASCII letters is a word of its own, in these letters.
+            cut = {p: [p.lower()] for p in parts if p.isascii() and p.isalpha()}
+        lines = [p for p in parts if p not in cut and mark not in p] if self.line is not None else []
         if lines:
             words = self._words(self.between.join(lines))
             alone = self._words(mark)
             at = [i for i, w in enumerate(words) if w == alone[0]] if len(alone) == 1 else []
             if len(at) == len(lines) - 1:
-                cut = {p: words[a:b] for p, a, b in zip(lines, [0, *[i + 1 for i in at]], [*at, len(words)], strict=True)}
+                cut |= {p: words[a:b] for p, a, b in zip(lines, [0, *[i + 1 for i in at]], [*at, len(words)], strict=True)}
         for p in parts:
             if p not in cut:
                 cut[p] = self._words(p)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import wraps
 
 #: Unicode White_Space (fixed values): what the tokenizers' patterns call \\s.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -90,6 +92,22 @@ class Quick:
         return [data[a:b] for a, b in zip(starts, cuts if self.folds else [c - 4 for c in cuts], strict=True)]
 
 
+def _uncollected(work: Callable) -> Callable:
+    """work without searches for cycles: it makes none, and each search would go through its many small lists."""
+
+    @wraps(work)
+    def run(*args):
+        if not gc.isenabled():
+            return work(*args)
+        gc.disable()
+        try:
+            return work(*args)
+        finally:
+            gc.enable()
+
+    return run
+
+
 class Encoder:
     """Ids of a text as packed little-endian unsigned 32-bit integers: those that tokenizer.encode gives for the whole text.
 
@@ -213,6 +231,7 @@ class Encoder:
         known.update([(w, parts[p[:-1]] + parts[p[-1]]) for w, p in cut])
         known.update([(w, parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x])) for w, x in split])
 
+    @_uncollected
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; null is empty."""
         texts = [t or "" for t in texts]

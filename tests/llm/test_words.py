@@ -212,3 +212,16 @@ def test_bpe_takes_the_edge_table(spark):
     assert sorted([(r.doc_id, r.text) for r in out if len(r.text) < 99], key=str) == sorted([(None, ""), (None, "one</w> two</w>"), (1, ""), (1, ""), (1, "one</w> two</w>"), (1, "one</w> two</w>")], key=str)
     assert max(len(r.text) for r in out) > 150_000
     assert bpe.encode_texts(docs.limit(0), path).count() == 0
+
+
+def test_runs_of_letters_are_not_cut_by_the_library(monkeypatch):
+    """Words of ASCII letters are words of the file as they are, and cycles are searched for again afterwards."""
+    import gc
+
+    enc, asked = TrieEncoder(vocabulary("word_bpe_49k.json")), []
+    words = enc._words
+    monkeypatch.setattr(enc, "_words", lambda text: asked.append(text) or words(text))
+    texts = ["Plain words zyxqvwk tHe end", "x" * 70 + " don't 12ab"]
+    got = enc.encode(texts)
+    assert got == [enc._directly(t) for t in texts] == [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert asked and not any("zyxqvwk" in a for a in asked[:1]) and gc.isenabled()
