@@ -157,9 +157,9 @@ def missing_matrix(df: DataFrame, key: str, columns: list[str], sample_size: int
     return df.orderBy(shuffle_key(seed, key), key).limit(sample_size).select(key, *[F.col(c).isNull().cast("int").alias(c) for c in columns])
 
 
-def scatter(df: DataFrame, key: str, columns: list[str], sample_size: int = 2000, seed: int = 0) -> DataFrame:
-    """A reproducible sample of the rows where all columns are known; rows that share a key go by their values."""
-    return df.dropna(subset=columns).orderBy(shuffle_key(seed, key), key, *columns).limit(sample_size).select(key, *columns)
+def scatter(df: DataFrame, key: str, columns: list[str], sample_size: int = 2000, seed: int = 0, ties: list[str] | None = None) -> DataFrame:
+    """A reproducible sample of the rows where all columns are known; rows that share a key go by ties, then by their values."""
+    return df.dropna(subset=columns).orderBy(shuffle_key(seed, key), key, *(ties or []), *columns).limit(sample_size).select(key, *columns)
 
 
 def auto_histogram(df: DataFrame, column: str, top: int = 30) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 from collections import Counter
@@ -13,6 +14,7 @@ from tabloom.operators import profile as E
 from tabloom.operators import splits as V
 from tabloom.operators import temporal as T
 from tabloom.plans import gram as G
+from tabloom.queries import QUERIES
 from tabloom.sources import tables as S
 
 
@@ -240,3 +242,12 @@ def test_unknown_predictions_do_not_count(spark):
     made = df.withColumn("q", F.col("p") * 2 + 1)
     plan = M.regression_metrics(made, "y", "q", medae=False)._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" not in plan
+
+
+def test_scatter_takes_rows_that_share_a_key_as_they_are_stored(spark, tmp_path):
+    # 500 rows end inside a key of three; later rows have smaller values.
+    made = [(k, 1, 1000.0 - 300 * i - k % 7, 5.0 - i) for i in range(3) for k in range(1, 301)]
+    spark.createDataFrame(made, "l_orderkey long, l_linenumber long, l_quantity double, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    order = sorted(range(len(made)), key=lambda i: (hashlib.md5(f"3|{made[i][0] * 10 + 1}".encode()).hexdigest(), i))[:500]
+    got = rows(QUERIES["e8_scatter"](spark, str(tmp_path)))
+    assert sorted(got) == sorted((made[i][0] * 10 + 1, *made[i][2:]) for i in order)
