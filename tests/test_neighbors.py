@@ -76,6 +76,18 @@ def test_pairs_within_lists_the_rows_of_shared_places(points, members, monkeypat
     assert neighbors.pairs_within(same, "id", ["a", "b"], 0.1).count() == len(rows) * (len(rows) - 1) // 2
 
 
+def test_pairs_within_deals_the_pairs_of_one_cell_over_tasks(spark, monkeypatch):
+    for name, value in {"MEMBERS": 8, "YIELD": 256, "PAIRS": 1 << 12}.items():
+        monkeypatch.setattr(neighbors, name, value, raising=False)
+    # 10 places of one cell, 60 rows at each, and one row beyond the radius of the rest.
+    rows = spark.range(601).selectExpr("id", "if(id = 600, 9.05, id % 10 / 1000) as x", "0.0 as y")
+    out = neighbors.pairs_within(rows, "id", ["x", "y"], 0.1, 4).withColumn("task", F.spark_partition_id()).toPandas()
+    assert sorted(zip(out.a, out.b, strict=True)) == [(i, j) for i in range(600) for j in range(i + 1, 600)]
+    assert out.distance.tolist() == pytest.approx((abs(out.a % 10 - out.b % 10) / 1000).tolist(), abs=5.1e-5)
+    # Before, all were listed by one task.
+    assert out.groupby("task").size().max() < len(out) / 4
+
+
 @pytest.mark.parametrize("eps", [0.35, 0.7])
 def test_dbscan_equals_brute_force(points, eps):
     rows = known(points)
