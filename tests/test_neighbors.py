@@ -77,7 +77,7 @@ def test_pairs_within_lists_the_rows_of_shared_places(points, members, monkeypat
 
 
 def test_pairs_within_deals_the_pairs_of_one_cell_over_tasks(spark, monkeypatch):
-    for name, value in {"MEMBERS": 8, "YIELD": 256, "PAIRS": 1 << 12}.items():
+    for name, value in {"MEMBERS": 8, "PAIRS": 1 << 12}.items():
         monkeypatch.setattr(neighbors, name, value, raising=False)
     # 10 places of one cell, 60 rows at each, and one row beyond the radius of the rest.
     rows = spark.range(601).selectExpr("id", "if(id = 600, 9.05, id % 10 / 1000) as x", "0.0 as y")
